@@ -64,3 +64,282 @@ FROM {_name}_state""")
 SELECT CAST(YearStart AS INTEGER) AS YearStart, StratificationCategory1, Stratification1,
        N_States, Total_Sample_Size, {_cols}{_extra}
 FROM {_name}_national""")
+
+
+# -- C ------------------------------------------------------------------------------
+from ..functions.distributions import pearson_p_sql, normal_cdf_sql  # noqa: E402
+from ..functions.distributions import _ACKLAM_A, _ACKLAM_B, _ACKLAM_C, _ACKLAM_D, _ACKLAM_SPLIT, _horner  # noqa: E402
+
+KEYS = "CAST(YearStart AS INTEGER) AS YearStart, StratificationCategory1, Stratification1"
+
+
+def stars(p: str) -> str:
+    return (f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' "
+            f"WHEN {p} < 0.05 THEN '*' ELSE '' END")
+
+
+def test_cols(r_col="r", n_col="n") -> str:
+    p = pearson_p_sql(r_col, n_col, "duckdb")
+    return (f"round_even({r_col}, 4) AS r, round_even({p}, 6) AS p_value, {n_col} AS n, "
+            f"{stars(p)} AS stars")
+
+
+oracle("join_outcome_driver", f"SELECT {KEYS}, {r('Outcome','Outcome')}, {r('Driver','Driver')} FROM od")
+oracle("join_three", f"SELECT {KEYS}, {r('Outcome','Outcome')}, {r('Driver','Driver')}, {r('Habit','Habit')} FROM odh")
+oracle("join_left_habit", f"""
+SELECT {KEYS}, {r('o.Outcome','Outcome')}, {r('d.Driver','Driver')}, {r('h.Habit','Habit')}
+FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)""")
+
+_YEARLY_OD = """
+yo AS (SELECT YearStart, avg(Outcome) AS Outcome FROM outcome_national WHERE StratificationCategory1 = 'Total' GROUP BY YearStart),
+yd AS (SELECT YearStart, avg(Driver) AS Driver FROM driver_national WHERE StratificationCategory1 = 'Total' GROUP BY YearStart),
+yj AS (SELECT * FROM yo JOIN yd USING (YearStart))"""
+oracle("join_yearly", f""", {_YEARLY_OD}
+SELECT CAST(YearStart AS INTEGER) AS YearStart, {r('Outcome','Outcome')}, {r('Driver','Driver')},
+       round_even((SELECT corr(Outcome, Driver) FROM yj), 4) AS r
+FROM yj""")
+
+oracle("attach_group_mean", f"""
+SELECT {KEYS}, {r('o.Outcome','Outcome')}, {r('d.Driver','Driver')}, {r('h.Habit','Habit')},
+       round_even(avg(h.Habit) OVER (PARTITION BY StratificationCategory1, Stratification1), 4) AS GroupMean
+FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)""")
+
+# -- D / I / J ----------------------------------------------------------------------
+for _n, _t, _m in (("outcome", "outcome_national", "Outcome"), ("driver", "driver_national", "Driver")):
+    oracle(f"yearly_trend_{_n}", f""",
+y AS (SELECT YearStart, avg({_m}) AS v FROM {_t} WHERE StratificationCategory1 = 'Total' GROUP BY YearStart),
+f AS (SELECT regr_slope(v, YearStart) AS b1, regr_intercept(v, YearStart) AS b0 FROM y)
+SELECT CAST(YearStart AS INTEGER) AS YearStart, round_even(v, 4) AS {_m},
+       round_even(b0 + b1 * YearStart, 4) AS trend, round_even(b1, 4) AS slope
+FROM y, f""")
+
+oracle("first_last_change", """,
+y AS (SELECT YearStart, avg(Outcome) AS v FROM outcome_national WHERE StratificationCategory1 = 'Total' GROUP BY YearStart)
+SELECT CAST(min(YearStart) AS INTEGER) AS first_period, CAST(max(YearStart) AS INTEGER) AS last_period,
+       round_even(arg_min(v, YearStart), 4) AS first_value, round_even(arg_max(v, YearStart), 4) AS last_value,
+       round_even(arg_max(v, YearStart) - arg_min(v, YearStart), 4) AS change
+FROM y""")
+
+oracle("latest_period", f"""
+SELECT {KEYS}, N_States, Total_Sample_Size, {r('Outcome','Outcome')}
+FROM outcome_national WHERE YearStart = (SELECT max(YearStart) FROM outcome_national)""")
+
+oracle("category_spread_latest", """
+SELECT StratificationCategory1, round_even(avg(Outcome), 2) AS mean, round_even(stddev_samp(Outcome), 2) AS std,
+       round_even(min(Outcome), 2) AS min, round_even(max(Outcome), 2) AS max
+FROM outcome_national WHERE YearStart = (SELECT max(YearStart) FROM outcome_national)
+GROUP BY StratificationCategory1""")
+
+oracle("category_summary", """
+SELECT StratificationCategory1 AS Category, count(*) AS N, round_even(avg(Outcome), 2) AS Mean,
+       round_even(stddev_samp(Outcome), 2) AS Std, round_even(min(Outcome), 2) AS Min,
+       round_even(max(Outcome), 2) AS Max
+FROM outcome_national GROUP BY StratificationCategory1""")
+
+
+def _summary(label, table, col):
+    return f"""SELECT '{label}' AS Indicator, count(*) AS N, round_even(avg({col}), 2) AS Mean,
+  round_even(quantile_cont({col}, 0.5), 2) AS Median, round_even(stddev_samp({col}), 2) AS Std,
+  round_even(min({col}), 2) AS Min, round_even(max({col}), 2) AS Max,
+  round_even(quantile_cont({col}, 0.25), 2) AS Q1, round_even(quantile_cont({col}, 0.75), 2) AS Q3
+FROM {table} WHERE {col} IS NOT NULL"""
+
+
+oracle("indicator_summary", "\nUNION ALL ".join([
+    _summary("Outcome", "outcome_national", "Outcome"), _summary("Driver", "driver_national", "Driver"),
+    _summary("Habit", "habit_national", "Habit"), _summary("HabitA", "habit_national", "HabitA"),
+    _summary("HabitB", "habit_national", "HabitB")]))
+
+
+def _describe_row(name, fn):
+    return (f"SELECT '{name}' AS statistic, " +
+            ", ".join(f"round_even(CAST({fn.format(c=c)} AS DOUBLE), 2) AS {c}"
+                      for c in ("Outcome", "Driver", "Habit")) + " FROM odh")
+
+
+oracle("describe_combined", "\nUNION ALL ".join([
+    _describe_row("count", "count({c})"), _describe_row("mean", "avg({c})"),
+    _describe_row("std", "stddev_samp({c})"), _describe_row("min", "min({c})"),
+    _describe_row("25%", "quantile_cont({c}, 0.25)"), _describe_row("50%", "quantile_cont({c}, 0.5)"),
+    _describe_row("75%", "quantile_cont({c}, 0.75)"), _describe_row("max", "max({c})")]))
+
+oracle("global_moments", """
+SELECT round_even(avg(Outcome), 2) AS all_mean, round_even(median(Outcome), 2) AS all_median,
+       round_even(stddev_samp(Outcome), 2) AS all_std, round_even(min(Outcome), 2) AS all_min,
+       round_even(max(Outcome), 2) AS all_max,
+       round_even(avg(Outcome) FILTER (WHERE StratificationCategory1 = 'Total'), 2) AS total_mean,
+       round_even(median(Outcome) FILTER (WHERE StratificationCategory1 = 'Total'), 2) AS total_median,
+       round_even(stddev_samp(Outcome) FILTER (WHERE StratificationCategory1 = 'Total'), 2) AS total_std,
+       round_even(min(Outcome) FILTER (WHERE StratificationCategory1 = 'Total'), 2) AS total_min,
+       round_even(max(Outcome) FILTER (WHERE StratificationCategory1 = 'Total'), 2) AS total_max
+FROM outcome_national""")
+
+oracle("group_median_order", """
+SELECT Stratification1, round_even(median, 4) AS median,
+       CAST(row_number() OVER (ORDER BY median DESC, Stratification1) AS INTEGER) AS rank
+FROM (SELECT Stratification1, median(Outcome) AS median FROM outcome_national
+      WHERE StratificationCategory1 = 'Segment' GROUP BY Stratification1)""")
+
+oracle("group_mean_habit", """
+SELECT StratificationCategory1, Stratification1, round_even(avg(Habit), 4) AS Habit
+FROM habit_national GROUP BY StratificationCategory1, Stratification1""")
+
+oracle("value_counts_category", """
+SELECT StratificationCategory1, count(*) AS count,
+       round_even(count(*) / (SELECT count(*) FROM od), 4) AS share
+FROM od GROUP BY StratificationCategory1""")
+
+oracle("missing_report", """,
+lj AS (SELECT o.Outcome, d.Driver, h.Habit
+  FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+  LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1))
+SELECT 'Outcome' AS column, count(*) FILTER (WHERE Outcome IS NULL) AS n_missing,
+       round_even(avg(CAST(Outcome IS NULL AS DOUBLE)), 4) AS frac_missing FROM lj
+UNION ALL SELECT 'Driver', count(*) FILTER (WHERE Driver IS NULL), round_even(avg(CAST(Driver IS NULL AS DOUBLE)), 4) FROM lj
+UNION ALL SELECT 'Habit', count(*) FILTER (WHERE Habit IS NULL), round_even(avg(CAST(Habit IS NULL AS DOUBLE)), 4) FROM lj""")
+
+oracle("distinct_years", "SELECT DISTINCT CAST(YearStart AS INTEGER) AS YearStart FROM habit_national")
+
+
+def _hist(name, where, bins):
+    oracle(name, f""",
+v AS (SELECT Outcome AS x FROM outcome_national WHERE Outcome IS NOT NULL {where}),
+s AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+c AS (SELECT CAST(coalesce(least(floor((x - lo) / nullif((hi - lo) / {bins}, 0)), {bins - 1}), 0) AS INTEGER) AS bin,
+             count(*) AS cnt FROM v, s GROUP BY 1)
+SELECT CAST(g.bin AS INTEGER) AS bin, round_even(lo + g.bin * ((hi - lo) / {bins}), 6) AS bin_lo,
+       round_even(lo + (g.bin + 1) * ((hi - lo) / {bins}), 6) AS bin_hi, coalesce(cnt, 0) AS count
+FROM (SELECT range AS bin FROM range({bins})) g CROSS JOIN s LEFT JOIN c ON c.bin = g.bin""")
+
+
+_hist("histogram_outcome", "", 35)
+_hist("histogram_outcome_total", "AND StratificationCategory1 = 'Total'", 20)
+
+oracle("kde_outcome", """,
+v AS (SELECT Outcome AS x FROM outcome_national WHERE Outcome IS NOT NULL),
+s AS (SELECT count(*) AS n, stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw,
+             min(x) AS lo, max(x) AS hi FROM v),
+g AS (SELECT range AS k, lo + range * ((hi - lo) / 199) AS gx FROM range(200), s),
+d AS (SELECT k, sum(exp(-0.5 * pow((gx - x) / bw, 2))) AS ks FROM g, v, s GROUP BY k)
+SELECT CAST(g.k AS INTEGER) AS point, round_even(g.gx, 6) AS x,
+       round_even(d.ks / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM g JOIN d USING (k), s""")
+
+oracle("box_stats_outcome", """,
+q AS (SELECT StratificationCategory1, Stratification1, quantile_cont(Outcome, 0.25) AS q1,
+             quantile_cont(Outcome, 0.5) AS median, quantile_cont(Outcome, 0.75) AS q3
+      FROM outcome_national WHERE Outcome IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT q.*, min(Outcome) FILTER (WHERE Outcome BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS wlo,
+             max(Outcome) FILTER (WHERE Outcome BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whi,
+             count(*) FILTER (WHERE NOT (Outcome BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS n_out,
+             count(*) AS n
+      FROM outcome_national o JOIN q USING (StratificationCategory1, Stratification1)
+      WHERE Outcome IS NOT NULL GROUP BY ALL),
+ord AS (SELECT * FROM (VALUES ('Priority', '1-URGENT', 0), ('Priority', '2-HIGH', 1), ('Priority', '3-MEDIUM', 2),
+                              ('Priority', '4-NOT SPECIFIED', 3), ('Priority', '5-LOW', 4)) t(StratificationCategory1, Stratification1, rank)
+        UNION ALL
+        SELECT StratificationCategory1, Stratification1,
+               row_number() OVER (PARTITION BY StratificationCategory1 ORDER BY m DESC, Stratification1) - 1
+        FROM (SELECT StratificationCategory1, Stratification1, median(Outcome) AS m FROM outcome_national
+              WHERE StratificationCategory1 = 'Segment' GROUP BY 1, 2))
+SELECT StratificationCategory1, Stratification1, round_even(q1, 4) AS q1, round_even(median, 4) AS median,
+       round_even(q3, 4) AS q3, round_even(wlo, 4) AS whisker_lo, round_even(whi, 4) AS whisker_hi,
+       n_out AS n_outliers, n, CAST(rank AS INTEGER) AS rank
+FROM b JOIN ord USING (StratificationCategory1, Stratification1)""")
+
+oracle("habit_rates_total", """
+SELECT CAST(YearStart AS INTEGER) AS YearStart, round_even(HabitA, 4) AS HabitA, round_even(HabitB, 4) AS HabitB,
+       round_even(Habit, 4) AS Habit
+FROM habit_national WHERE StratificationCategory1 = 'Total'""")
+
+oracle("habit_vs_outcome", """,
+p AS (SELECT h.YearStart, h.Habit, o.Outcome FROM
+      (SELECT YearStart, Habit FROM habit_national WHERE StratificationCategory1 = 'Total') h
+      JOIN (SELECT YearStart, Outcome FROM outcome_national WHERE StratificationCategory1 = 'Total') o USING (YearStart)),
+f AS (SELECT regr_slope(Outcome, Habit) AS b1, regr_intercept(Outcome, Habit) AS b0, corr(Habit, Outcome) AS r FROM p)
+SELECT CAST(YearStart AS INTEGER) AS YearStart, round_even(Habit, 4) AS Habit, round_even(Outcome, 4) AS Outcome,
+       round_even(b1, 4) AS slope, round_even(b0, 4) AS intercept, round_even(r, 4) AS r
+FROM p, f""")
+
+oracle("corr_matrix", """,
+c AS (SELECT corr(Outcome, Driver) AS od, corr(Outcome, Habit) AS oh, corr(Driver, Habit) AS dh FROM odh)
+SELECT var1, var2, round_even(r, 3) AS r FROM (
+  SELECT 'Outcome' AS var1, 'Outcome' AS var2, 1.0::DOUBLE AS r UNION ALL SELECT 'Driver', 'Driver', 1.0
+  UNION ALL SELECT 'Habit', 'Habit', 1.0
+  UNION ALL SELECT 'Outcome', 'Driver', od FROM c UNION ALL SELECT 'Driver', 'Outcome', od FROM c
+  UNION ALL SELECT 'Outcome', 'Habit', oh FROM c UNION ALL SELECT 'Habit', 'Outcome', oh FROM c
+  UNION ALL SELECT 'Driver', 'Habit', dh FROM c UNION ALL SELECT 'Habit', 'Driver', dh FROM c)""")
+
+oracle("pearson_overall", f"""
+SELECT {test_cols()} FROM (SELECT corr(Outcome, Driver) AS r, count(*) AS n FROM od)""")
+
+oracle("grouped_pearson", f"""
+SELECT Category, {test_cols()} FROM (
+  SELECT StratificationCategory1 AS Category, corr(Outcome, Driver) AS r, count(*) AS n
+  FROM od GROUP BY StratificationCategory1 HAVING count(*) >= 5)""")
+
+
+def _pairs_sql(table, pairs, where=""):
+    parts = [f"SELECT '{a}' AS Var1, '{b}' AS Var2, corr({a}, {b}) AS r, "
+             f"count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM {table} {where}"
+             for a, b in pairs]
+    return f"SELECT Var1, Var2, {test_cols()} FROM ({' UNION ALL '.join(parts)})"
+
+
+oracle("time_trend_tests", """,
+tt AS (SELECT * FROM od WHERE StratificationCategory1 = 'Total'
+       AND (SELECT count(*) FROM od WHERE StratificationCategory1 = 'Total') >= 5)
+""" + _pairs_sql("tt", [("YearStart", "Outcome"), ("YearStart", "Driver"), ("Outcome", "Driver")]))
+
+oracle("pairwise_tests", _pairs_sql("odhx", [("Outcome", "Driver"), ("Outcome", "Habit"), ("Outcome", "HabitA"),
+                                            ("Outcome", "HabitB"), ("Driver", "Habit"), ("HabitA", "HabitB")]))
+
+oracle("vif", """,
+g AS (SELECT sum(Driver * Driver) AS s11, sum(Habit * Habit) AS s22, sum(Driver * Habit) AS s12 FROM odh
+      WHERE (SELECT count(*) FROM odh) >= 3),
+v AS (SELECT round_even(1.0 / nullif(1.0 - s12 * s12 / (s11 * s22), 0), 2) AS VIF FROM g)
+SELECT Feature, VIF, CASE WHEN VIF > 10 THEN 'problem' WHEN VIF > 5 THEN 'warning' ELSE 'ok' END AS band
+FROM (SELECT 'Driver' AS Feature, VIF FROM v UNION ALL SELECT 'Habit', VIF FROM v)""")
+
+oracle("linear_trend", """,
+y AS (SELECT YearStart, avg(Outcome) AS v FROM outcome_national WHERE StratificationCategory1 = 'Total' GROUP BY YearStart)
+SELECT round_even(regr_slope(v, YearStart), 6) AS slope, round_even(regr_intercept(v, YearStart), 6) AS intercept,
+       round_even(regr_r2(v, YearStart), 6) AS r2, regr_count(v, YearStart) AS n FROM y""")
+
+oracle("scatter_matrix", f"SELECT {r('Outcome','Outcome')}, {r('Driver','Driver')}, {r('Habit','Habit')} FROM odh")
+
+oracle("fit_line", """,
+s AS (SELECT min(Driver) AS lo, max(Driver) AS hi, regr_slope(Outcome, Driver) AS b1,
+             regr_intercept(Outcome, Driver) AS b0, regr_r2(Outcome, Driver) AS r2 FROM od),
+l AS (SELECT range AS point, lo + (hi - lo) * range / 99 AS x, b0, b1, r2 FROM range(100), s)
+SELECT CAST(point AS INTEGER) AS point, round_even(x, 4) AS x, round_even(b0 + b1 * x, 4) AS y_hat,
+       round_even(b1, 4) AS slope, round_even(r2, 4) AS r2 FROM l""")
+
+oracle("residual_points", f""",
+f AS (SELECT regr_slope(Outcome, Driver) AS b1, regr_intercept(Outcome, Driver) AS b0 FROM od)
+SELECT {KEYS}, round_even(b0 + b1 * Driver, 4) AS fitted, round_even(Outcome - (b0 + b1 * Driver), 4) AS residual
+FROM od, f""")
+
+
+def _ppf_x0(p: str) -> str:
+    tail = lambda q: f"({_horner(_ACKLAM_C, q)} / ({_horner(_ACKLAM_D, q)} * ({q}) + 1.0))"
+    rr = f"(({p}) - 0.5) * (({p}) - 0.5)"
+    central = f"({_horner(_ACKLAM_A, rr)} * (({p}) - 0.5) / ({_horner(_ACKLAM_B, rr)} * ({rr}) + 1.0))"
+    return (f"(CASE WHEN {p} < {_ACKLAM_SPLIT} THEN {tail(f'sqrt(-2.0 * ln({p}))')} "
+            f"WHEN {p} <= {1 - _ACKLAM_SPLIT!r} THEN {central} "
+            f"ELSE -{tail(f'sqrt(-2.0 * ln(1.0 - {p}))')} END)")
+
+
+oracle("qq_points", f""",
+f AS (SELECT regr_slope(Outcome, Driver) AS b1, regr_intercept(Outcome, Driver) AS b0 FROM od),
+res AS (SELECT round_even(Outcome - (b0 + b1 * Driver), 4) AS v FROM od, f),
+rk AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n, avg(v) OVER () AS mu,
+              stddev_samp(v) OVER () AS sd FROM res),
+p0 AS (SELECT *, CAST(i AS DOUBLE) / (n + 1) AS p FROM rk),
+p1 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM p0),
+p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM p1),
+p3 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS theo FROM p2)
+SELECT CAST(i AS INTEGER) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
+       round_even(mu + sd * theo, 4) AS line FROM p3""")

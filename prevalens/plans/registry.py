@@ -120,3 +120,222 @@ def q_national_driver(spark, sf_dir):
 @register("national_habit")
 def q_national_habit(spark, sf_dir):
     return rounded(nationals(spark, sf_dir)[2])
+
+
+# -- C: joins -----------------------------------------------------------------------
+
+from . import charts, eda  # noqa: E402
+from ..functions import stats  # noqa: E402
+from ..operators import joins  # noqa: E402
+
+
+def datasets(spark, sf_dir):
+    o, d, h = nationals(spark, sf_dir)
+    return {
+        "od": eda.join_two(o, d, SPEC),
+        "odh": eda.join_three(o, d, h, SPEC),
+        "odhx": eda.join_three(o, d, h, SPEC, [SPEC.habit_score] + SPEC.habit_parts),
+        "left": eda.join_left(o, d, h, SPEC),
+        "o": o, "d": d, "h": h,
+    }
+
+
+@register("join_outcome_driver")
+def q_join_outcome_driver(spark, sf_dir):
+    return rounded(datasets(spark, sf_dir)["od"])
+
+
+@register("join_three")
+def q_join_three(spark, sf_dir):
+    return rounded(datasets(spark, sf_dir)["odh"])
+
+
+@register("join_left_habit")
+def q_join_left_habit(spark, sf_dir):
+    return rounded(datasets(spark, sf_dir)["left"])
+
+
+@register("join_yearly")
+def q_join_yearly(spark, sf_dir):
+    return eda.dual_series(*nationals(spark, sf_dir)[:2], SPEC)
+
+
+@register("attach_group_mean")
+def q_attach_group_mean(spark, sf_dir):
+    left = datasets(spark, sf_dir)["left"]
+    return rounded(joins.attach_group_mean(left, SPEC.strata_keys, SPEC.habit_score, "GroupMean"))
+
+
+# -- D / F / I / J: EDA ---------------------------------------------------------------
+
+@register("yearly_trend_outcome")
+def q_yearly_trend_outcome(spark, sf_dir):
+    return eda.yearly_trend(nationals(spark, sf_dir)[0], SPEC, SPEC.outcome_col)
+
+
+@register("yearly_trend_driver")
+def q_yearly_trend_driver(spark, sf_dir):
+    return eda.yearly_trend(nationals(spark, sf_dir)[1], SPEC, SPEC.driver_col)
+
+
+@register("first_last_change")
+def q_first_last_change(spark, sf_dir):
+    return eda.change_over_period(nationals(spark, sf_dir)[0], SPEC, SPEC.outcome_col)
+
+
+@register("latest_period")
+def q_latest_period(spark, sf_dir):
+    return rounded(flt.latest_period(nationals(spark, sf_dir)[0], SPEC.year))
+
+
+@register("category_spread_latest")
+def q_category_spread_latest(spark, sf_dir):
+    return eda.spread_latest(nationals(spark, sf_dir)[0], SPEC, SPEC.outcome_col)
+
+
+@register("category_summary")
+def q_category_summary(spark, sf_dir):
+    return agg.category_summary(nationals(spark, sf_dir)[0], SPEC.category, SPEC.outcome_col)
+
+
+@register("indicator_summary")
+def q_indicator_summary(spark, sf_dir):
+    return eda.indicator_summary(*nationals(spark, sf_dir), SPEC)
+
+
+@register("describe_combined")
+def q_describe_combined(spark, sf_dir):
+    return agg.describe(datasets(spark, sf_dir)["odh"],
+                        [SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score])
+
+
+@register("global_moments")
+def q_global_moments(spark, sf_dir):
+    return agg.global_moments(nationals(spark, sf_dir)[0], SPEC.outcome_col,
+                              category_col=SPEC.category, total_value=SPEC.total_category)
+
+
+@register("group_median_order")
+def q_group_median_order(spark, sf_dir):
+    seg = flt.equals(nationals(spark, sf_dir)[0], SPEC.category, "Segment")
+    return rounded(agg.group_median_order(seg, SPEC.stratum, SPEC.outcome_col))
+
+
+@register("group_mean_habit")
+def q_group_mean_habit(spark, sf_dir):
+    return rounded(agg.group_mean(nationals(spark, sf_dir)[2], SPEC.strata_keys, SPEC.habit_score))
+
+
+@register("value_counts_category")
+def q_value_counts_category(spark, sf_dir):
+    return agg.value_counts(datasets(spark, sf_dir)["od"], SPEC.category)
+
+
+@register("missing_report")
+def q_missing_report(spark, sf_dir):
+    return agg.missing_report(datasets(spark, sf_dir)["left"],
+                              [SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score])
+
+
+@register("distinct_years")
+def q_distinct_years(spark, sf_dir):
+    return agg.distinct_sorted(nationals(spark, sf_dir)[2], [SPEC.year])
+
+
+@register("histogram_outcome")
+def q_histogram_outcome(spark, sf_dir):
+    return charts.histogram(nationals(spark, sf_dir)[0], SPEC.outcome_col, 35)
+
+
+@register("histogram_outcome_total")
+def q_histogram_outcome_total(spark, sf_dir):
+    return charts.histogram(eda.total_rows(nationals(spark, sf_dir)[0], SPEC), SPEC.outcome_col, 20)
+
+
+@register("kde_outcome")
+def q_kde_outcome(spark, sf_dir):
+    return charts.kde(nationals(spark, sf_dir)[0], SPEC.outcome_col)
+
+
+@register("box_stats_outcome")
+def q_box_stats_outcome(spark, sf_dir):
+    return eda.strata_boxes(nationals(spark, sf_dir)[0], SPEC, SPEC.outcome_col)
+
+
+@register("habit_rates_total")
+def q_habit_rates_total(spark, sf_dir):
+    return eda.habit_rates(nationals(spark, sf_dir)[2], SPEC)
+
+
+@register("habit_vs_outcome")
+def q_habit_vs_outcome(spark, sf_dir):
+    o, _, h = nationals(spark, sf_dir)
+    return eda.habit_vs_outcome(h, o, SPEC)
+
+
+@register("corr_matrix")
+def q_corr_matrix(spark, sf_dir):
+    return stats.corr_matrix(datasets(spark, sf_dir)["odh"],
+                             [SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score])
+
+
+@register("pearson_overall")
+def q_pearson_overall(spark, sf_dir):
+    return stats.pearson_test(datasets(spark, sf_dir)["od"], SPEC.outcome_col, SPEC.driver_col)
+
+
+@register("grouped_pearson")
+def q_grouped_pearson(spark, sf_dir):
+    return stats.grouped_pearson_test(datasets(spark, sf_dir)["od"], SPEC.category,
+                                      SPEC.outcome_col, SPEC.driver_col)
+
+
+@register("time_trend_tests")
+def q_time_trend_tests(spark, sf_dir):
+    return eda.time_trend_tests(datasets(spark, sf_dir)["od"], SPEC)
+
+
+@register("pairwise_tests")
+def q_pairwise_tests(spark, sf_dir):
+    return stats.pairwise_tests(datasets(spark, sf_dir)["odhx"], eda.combined_pairs(SPEC))
+
+
+@register("vif")
+def q_vif(spark, sf_dir):
+    return eda.vif_report(datasets(spark, sf_dir)["odh"], SPEC)
+
+
+@register("linear_trend")
+def q_linear_trend(spark, sf_dir):
+    yearly = agg.yearly_mean(eda.total_rows(nationals(spark, sf_dir)[0], SPEC), SPEC.year,
+                             SPEC.outcome_col)
+    return stats.linear_trend(yearly, SPEC.year, SPEC.outcome_col)
+
+
+@register("shapiro_wilk")
+def q_shapiro_wilk(spark, sf_dir):
+    return eda.normality(*nationals(spark, sf_dir), SPEC)
+
+
+@register("scatter_matrix")
+def q_scatter_matrix(spark, sf_dir):
+    return rounded(datasets(spark, sf_dir)["odh"].select(
+        SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score))
+
+
+@register("fit_line")
+def q_fit_line(spark, sf_dir):
+    return charts.fit_line(datasets(spark, sf_dir)["od"], SPEC.driver_col, SPEC.outcome_col)
+
+
+@register("residual_points")
+def q_residual_points(spark, sf_dir):
+    return charts.residual_points(datasets(spark, sf_dir)["od"], SPEC.driver_col,
+                                  SPEC.outcome_col, SPEC.national_keys)
+
+
+@register("qq_points")
+def q_qq_points(spark, sf_dir):
+    res = charts.residual_points(datasets(spark, sf_dir)["od"], SPEC.driver_col,
+                                 SPEC.outcome_col, SPEC.national_keys)
+    return charts.qq_points(res, "residual")
