@@ -343,3 +343,50 @@ p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0
 p3 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS theo FROM p2)
 SELECT CAST(i AS INTEGER) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
        round_even(mu + sd * theo, 4) AS line FROM p3""")
+
+
+# -- E / K ----------------------------------------------------------------------------
+from ..functions.distributions import t_two_sided_p_sql  # noqa: E402
+
+oracle("contiguous_folds", """,
+rk AS (SELECT row_number() OVER (ORDER BY YearStart, StratificationCategory1, Stratification1) - 1 AS i,
+              count(*) OVER () AS n FROM odh),
+fd AS (SELECT CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+                   ELSE (n % 5) + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM rk)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n FROM fd GROUP BY fold""")
+
+_HASH = ("CAST(('0x' || substr(md5('42|' || CAST(YearStart AS VARCHAR) || '|' || StratificationCategory1"
+         " || '|' || Stratification1), 1, 7)) AS BIGINT)")
+oracle("hash_folds", f"SELECT {KEYS}, CAST({_HASH} % 5 AS INTEGER) AS fold FROM od")
+oracle("stratified_folds", f""",
+lab AS (SELECT *, CAST(Outcome > (SELECT median(Outcome) FROM od) AS INTEGER) AS HighRisk FROM od)
+SELECT {KEYS}, HighRisk,
+       CAST((row_number() OVER (PARTITION BY HighRisk ORDER BY {_HASH}, YearStart, StratificationCategory1,
+                                Stratification1) - 1) % 5 AS INTEGER) AS fold
+FROM lab""")
+
+
+def _ols_sql(table, y, x, model):
+    t_int = "b0 / se0"
+    t_sl = "b1 / se1"
+    p_int = t_two_sided_p_sql(t_int, "(n - 2)", "duckdb")
+    p_sl = t_two_sided_p_sql(t_sl, "(n - 2)", "duckdb")
+    return f""",
+s AS (SELECT regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1, regr_count({y}, {x}) AS n,
+             regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_avgx({y}, {x}) AS mx,
+             regr_r2({y}, {x}) AS r2 FROM {table}),
+e AS (SELECT *, (syy - b1 * b1 * sxx) / (n - 2) AS s2 FROM s),
+f AS (SELECT *, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se0, sqrt(s2 / sxx) AS se1 FROM e),
+g AS (SELECT *, {p_int} AS p0, {p_sl} AS p1 FROM f)
+SELECT '{model}' AS model, 'Intercept' AS term, round_even(b0, 4) AS coef, round_even(se0, 4) AS std_err,
+       round_even(b0 / se0, 3) AS t, round_even(p0, 6) AS p_value, {stars('p0')} AS stars, n,
+       round_even(r2, 4) AS r2, round_even(1 - (1 - r2) * (n - 1) / (n - 2), 4) AS adj_r2,
+       round_even(p1, 6) AS f_pvalue FROM g
+UNION ALL
+SELECT '{model}', '{x}', round_even(b1, 4), round_even(se1, 4), round_even(b1 / se1, 3), round_even(p1, 6),
+       {stars('p1')}, n, round_even(r2, 4), round_even(1 - (1 - r2) * (n - 1) / (n - 2), 4),
+       round_even(p1, 6) FROM g"""
+
+
+oracle("ols_outcome_driver", _ols_sql("od", "Outcome", "Driver", "Outcome ~ Driver"))
+oracle("ols_outcome_habit", _ols_sql("odh", "Outcome", "Habit", "Outcome ~ Habit"))

@@ -339,3 +339,67 @@ def q_qq_points(spark, sf_dir):
     res = charts.residual_points(datasets(spark, sf_dir)["od"], SPEC.driver_col,
                                  SPEC.outcome_col, SPEC.national_keys)
     return charts.qq_points(res, "residual")
+
+
+# -- E / K: folds and regression ------------------------------------------------------
+
+from . import regression  # noqa: E402
+from ..operators import windows  # noqa: E402
+
+
+@register("contiguous_folds")
+def q_contiguous_folds(spark, sf_dir):
+    folds = windows.contiguous_folds(datasets(spark, sf_dir)["odh"], SPEC.national_keys, 5)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("hash_folds")
+def q_hash_folds(spark, sf_dir):
+    od = datasets(spark, sf_dir)["od"]
+    return windows.hash_folds(od, SPEC.national_keys, 5, 42).select(*SPEC.national_keys, "fold")
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    od = flt.binary_label(datasets(spark, sf_dir)["od"], SPEC.outcome_col, SPEC.label)
+    return windows.stratified_folds(od, SPEC.label, SPEC.national_keys, 5, 42).select(
+        *SPEC.national_keys, SPEC.label, "fold")
+
+
+@register("ols_outcome_driver")
+def q_ols_outcome_driver(spark, sf_dir):
+    return regression.ols(datasets(spark, sf_dir)["od"], SPEC.outcome_col, [SPEC.driver_col],
+                          "Outcome ~ Driver")
+
+
+@register("ols_outcome_habit")
+def q_ols_outcome_habit(spark, sf_dir):
+    return regression.ols(datasets(spark, sf_dir)["odh"], SPEC.outcome_col, [SPEC.habit_score],
+                          "Outcome ~ Habit")
+
+
+def _ridge(spark, sf_dir):
+    from ..session import materialize
+    odh = materialize(datasets(spark, sf_dir)["odh"])
+    return odh, regression.ridge_cv(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score],
+                                    SPEC.national_keys)
+
+
+@register("ridge_cv")
+def q_ridge_cv(spark, sf_dir):
+    _, res = _ridge(spark, sf_dir)
+    return regression.ridge_table(spark, res, [SPEC.driver_col, SPEC.habit_score],
+                                  "Ridge Outcome ~ Driver + Habit")
+
+
+@register("ridge_alpha_path")
+def q_ridge_alpha_path(spark, sf_dir):
+    _, res = _ridge(spark, sf_dir)
+    return spark.createDataFrame(res.alpha_path, "alpha double, cv_r2 double")
+
+
+@register("model_compare")
+def q_model_compare(spark, sf_dir):
+    odh, res = _ridge(spark, sf_dir)
+    return regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score],
+                                    res.r2)
