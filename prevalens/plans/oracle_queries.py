@@ -390,3 +390,36 @@ SELECT '{model}', '{x}', round_even(b1, 4), round_even(se1, 4), round_even(b1 /
 
 oracle("ols_outcome_driver", _ols_sql("od", "Outcome", "Driver", "Outcome ~ Driver"))
 oracle("ols_outcome_habit", _ols_sql("odh", "Outcome", "Habit", "Outcome ~ Habit"))
+
+
+# -- L ------------------------------------------------------------------------------
+_LAB_A = """lab AS (SELECT *, CAST(Outcome > (SELECT median(Outcome) FROM od) AS INTEGER) AS HighRisk,
+                 CAST(StratificationCategory1 = 'Segment' AS DOUBLE) AS Strat_Segment,
+                 CAST(StratificationCategory1 = 'Total' AS DOUBLE) AS Strat_Total FROM od)"""
+_LAB_B = """labb AS (SELECT *, CAST(Outcome > (SELECT median(Outcome) FROM odh) AS INTEGER) AS HighRisk,
+                 CAST(StratificationCategory1 = 'Segment' AS DOUBLE) AS Strat_Segment,
+                 CAST(StratificationCategory1 = 'Total' AS DOUBLE) AS Strat_Total FROM odh)"""
+oracle("labeled_dataset_a", f""", {_LAB_A}
+SELECT {KEYS}, round_even(Driver, 4) AS Driver, Strat_Segment, Strat_Total, HighRisk FROM lab""")
+oracle("labeled_dataset_b", f""", {_LAB_B}
+SELECT {KEYS}, round_even(Driver, 4) AS Driver, round_even(Habit, 4) AS Habit, Strat_Segment, Strat_Total,
+       HighRisk FROM labb""")
+oracle("class_balance", f""", {_LAB_A}
+SELECT CAST(sum(HighRisk) AS BIGINT) AS n_positive, CAST(sum(1 - HighRisk) AS BIGINT) AS n_negative,
+       round_even(avg(CAST(HighRisk AS DOUBLE)), 4) AS share_positive,
+       round_even(avg(CAST(1 - HighRisk AS DOUBLE)), 4) AS share_negative FROM lab""")
+oracle("crosstab_category_label", f""", {_LAB_A}
+SELECT StratificationCategory1, round_even(count(*) FILTER (WHERE HighRisk = 0) / count(*), 3) AS label_0,
+       round_even(count(*) FILTER (WHERE HighRisk = 1) / count(*), 3) AS label_1
+FROM lab GROUP BY StratificationCategory1""")
+oracle("roc_driver_score", f""", {_LAB_A},
+per AS (SELECT Driver AS threshold, sum(HighRisk) AS tp, sum(1 - HighRisk) AS fp FROM lab GROUP BY Driver),
+cum AS (SELECT threshold, sum(tp) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp,
+               sum(fp) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cfp,
+               sum(tp) OVER () AS P, sum(fp) OVER () AS N FROM per)
+SELECT round_even(threshold, 6) AS threshold, round_even(ctp / nullif(P, 0), 6) AS tpr,
+       round_even(cfp / nullif(N, 0), 6) AS fpr FROM cum""")
+oracle("auc_driver_score", f""", {_LAB_A},
+per AS (SELECT Driver AS s, sum(HighRisk) AS pos, sum(1 - HighRisk) AS neg FROM lab GROUP BY Driver),
+nb AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM per)
+SELECT round_even(sum(pos * (neg_below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM nb""")

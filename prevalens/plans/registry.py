@@ -403,3 +403,89 @@ def q_model_compare(spark, sf_dir):
     odh, res = _ridge(spark, sf_dir)
     return regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score],
                                     res.r2)
+
+
+# -- L: classification ------------------------------------------------------------------
+
+from . import classification as clf  # noqa: E402
+
+
+def labeled(spark, sf_dir, with_habit: bool):
+    o, d, h = nationals(spark, sf_dir)
+    return clf.build_labeled(o, d, h, SPEC, with_habit=with_habit)
+
+
+@register("labeled_dataset_a")
+def q_labeled_dataset_a(spark, sf_dir):
+    df, feats = labeled(spark, sf_dir, False)
+    return rounded(df.select(*SPEC.national_keys, *feats, SPEC.label))
+
+
+@register("labeled_dataset_b")
+def q_labeled_dataset_b(spark, sf_dir):
+    df, feats = labeled(spark, sf_dir, True)
+    return rounded(df.select(*SPEC.national_keys, *feats, SPEC.label))
+
+
+@register("class_balance")
+def q_class_balance(spark, sf_dir):
+    return agg.class_balance(labeled(spark, sf_dir, False)[0], SPEC.label)
+
+
+@register("crosstab_category_label")
+def q_crosstab_category_label(spark, sf_dir):
+    return agg.crosstab_normalized(labeled(spark, sf_dir, False)[0], SPEC.category, SPEC.label,
+                                   [0, 1], prefix="label_")
+
+
+@register("roc_driver_score")
+def q_roc_driver_score(spark, sf_dir):
+    df = labeled(spark, sf_dir, False)[0]
+    return rounded(windows.roc_curve(df, SPEC.label, SPEC.driver_col), 6)
+
+
+@register("auc_driver_score")
+def q_auc_driver_score(spark, sf_dir):
+    df = labeled(spark, sf_dir, False)[0]
+    return spark.range(1).select(
+        F.bround(windows.auc_rank(df, SPEC.label, SPEC.driver_col), 6).alias("auc"))
+
+
+def _classify(spark, sf_dir, with_habit, classifiers=clf.CLASSIFIERS):
+    df, feats = labeled(spark, sf_dir, with_habit)
+    data = clf.prepare(df, feats, SPEC)
+    return data, feats, clf.run_dataset(data, classifiers)
+
+
+@register("classifier_report_a")
+def q_classifier_report_a(spark, sf_dir):
+    return clf.results_table(spark, _classify(spark, sf_dir, False)[2])
+
+
+@register("classifier_report_b")
+def q_classifier_report_b(spark, sf_dir):
+    return clf.results_table(spark, _classify(spark, sf_dir, True)[2])
+
+
+@register("confusion_matrix_logistic")
+def q_confusion_matrix_logistic(spark, sf_dir):
+    res = _classify(spark, sf_dir, False, ("Logistic Regression",))[2]
+    return clf.confusion_matrix(res[0]["pred"])
+
+
+@register("roc_curve_logistic")
+def q_roc_curve_logistic(spark, sf_dir):
+    res = _classify(spark, sf_dir, False, ("Logistic Regression",))[2]
+    return rounded(windows.roc_curve(res[0]["pred"], "label", "score"), 6)
+
+
+@register("feature_importance_forest")
+def q_feature_importance_forest(spark, sf_dir):
+    _, feats, res = _classify(spark, sf_dir, False, ("Random Forest",))
+    return clf.feature_importance(res[0]["model"], feats, spark)
+
+
+@register("tree_rules")
+def q_tree_rules(spark, sf_dir):
+    _, feats, res = _classify(spark, sf_dir, False, ("Decision Tree",))
+    return clf.tree_rules(res[0]["model"], feats, spark)
