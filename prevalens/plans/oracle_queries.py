@@ -423,3 +423,16 @@ oracle("auc_driver_score", f""", {_LAB_A},
 per AS (SELECT Driver AS s, sum(HighRisk) AS pos, sum(1 - HighRisk) AS neg FROM lab GROUP BY Driver),
 nb AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM per)
 SELECT round_even(sum(pos * (neg_below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM nb""")
+
+
+# -- E1 -----------------------------------------------------------------------------
+oracle("imputed_dataset", f""",
+lj AS (SELECT o.YearStart, o.StratificationCategory1, o.Stratification1, o.Outcome, d.Driver, h.Habit
+  FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+  LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)),
+im AS (SELECT *, Habit IS NULL AS Habit_imputed,
+              coalesce(Habit, avg(Habit) OVER (PARTITION BY StratificationCategory1, Stratification1),
+                       (SELECT avg(Habit) FROM habit_national)) AS Habit_f FROM lj)
+SELECT {KEYS}, round_even(Outcome, 4) AS Outcome, round_even(Driver, 4) AS Driver,
+       round_even(Habit_f, 4) AS Habit, Habit_imputed
+FROM im WHERE Outcome IS NOT NULL AND Driver IS NOT NULL AND Habit_f IS NOT NULL""")

@@ -489,3 +489,68 @@ def q_feature_importance_forest(spark, sf_dir):
 def q_tree_rules(spark, sf_dir):
     _, feats, res = _classify(spark, sf_dir, False, ("Decision Tree",))
     return clf.tree_rules(res[0]["model"], feats, spark)
+
+
+# -- E1 / M: imputation and clustering ----------------------------------------------------
+
+from . import clustering as clu  # noqa: E402
+
+CLUSTER_K = 4   # the reference's chosen k; the sweep query searches k = 2..8
+
+
+def imputed(spark, sf_dir):
+    return clu.build_imputed(*nationals(spark, sf_dir), SPEC)
+
+
+@register("imputed_dataset")
+def q_imputed_dataset(spark, sf_dir):
+    return rounded(imputed(spark, sf_dir))
+
+
+def _clustered(spark, sf_dir, k=CLUSTER_K):
+    data = clu.prepare(imputed(spark, sf_dir), SPEC)
+    clustered, explained = clu.pca2(clu.fit_clusters(data, k))
+    return clustered.drop("features"), explained
+
+
+@register("kmeans_sweep")
+def q_kmeans_sweep(spark, sf_dir):
+    return clu.kmeans_sweep(clu.prepare(imputed(spark, sf_dir), SPEC))
+
+
+@register("cluster_profiles")
+def q_cluster_profiles(spark, sf_dir):
+    return clu.profiles(_clustered(spark, sf_dir)[0], SPEC)
+
+
+@register("cluster_labels")
+def q_cluster_labels(spark, sf_dir):
+    return clu.canonical_labels(clu.profiles(_clustered(spark, sf_dir)[0], SPEC), SPEC)
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return agg.value_counts(_clustered(spark, sf_dir)[0], "Cluster")
+
+
+@register("cluster_crosstab")
+def q_cluster_crosstab(spark, sf_dir):
+    return clu.crosstab(_clustered(spark, sf_dir)[0], SPEC, CLUSTER_K)
+
+
+@register("cluster_composition")
+def q_cluster_composition(spark, sf_dir):
+    return clu.composition(_clustered(spark, sf_dir)[0], SPEC, ["Priority", "Segment", "Total"])
+
+
+@register("pca_points")
+def q_pca_points(spark, sf_dir):
+    c, _ = _clustered(spark, sf_dir)
+    return rounded(c.select(*SPEC.national_keys, "Cluster", "PCA1", "PCA2"))
+
+
+@register("pca_explained")
+def q_pca_explained(spark, sf_dir):
+    _, ev = _clustered(spark, sf_dir)
+    return spark.createDataFrame([(i + 1, float(round(v, 4))) for i, v in enumerate(ev)],
+                                 "component int, explained_ratio double")
