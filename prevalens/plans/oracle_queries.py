@@ -436,3 +436,31 @@ im AS (SELECT *, Habit IS NULL AS Habit_imputed,
 SELECT {KEYS}, round_even(Outcome, 4) AS Outcome, round_even(Driver, 4) AS Driver,
        round_even(Habit_f, 4) AS Habit, Habit_imputed
 FROM im WHERE Outcome IS NOT NULL AND Driver IS NOT NULL AND Habit_f IS NOT NULL""")
+
+
+# -- A / N --------------------------------------------------------------------------
+# the round trips must give back exactly what was written
+ORACLE["read_survey_csv"] = ORACLE["survey_view"]
+ORACLE["national_tables_parquet"] = ORACLE["national_habit"]
+ORACLE["report_csv_roundtrip"] = ORACLE["indicator_summary"]
+
+
+def _cat(name, table, variables):
+    return f"""SELECT '{name}' AS Dataset, count(*) AS Rows,
+  CASE WHEN max(YearStart) - min(YearStart) + 1 = count(DISTINCT YearStart)
+       THEN CAST(min(YearStart) AS VARCHAR) || '–' || CAST(max(YearStart) AS VARCHAR)
+       ELSE string_agg(DISTINCT CAST(YearStart AS VARCHAR), ', ' ORDER BY CAST(YearStart AS VARCHAR)) END AS Years,
+  '{variables}' AS Variables FROM {table}"""
+
+
+oracle("dataset_catalog", """,
+imp AS (SELECT o.YearStart FROM outcome_national o
+        JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+        WHERE o.Outcome IS NOT NULL AND d.Driver IS NOT NULL)
+""" + "\nUNION ALL ".join([
+    _cat("outcome_national", "outcome_national", "Outcome"),
+    _cat("driver_national", "driver_national", "Driver"),
+    _cat("habit_national", "habit_national", "HabitA, HabitB, Habit"),
+    _cat("modeling_two_way", "od", "Outcome, Driver"),
+    _cat("modeling_three_way", "odh", "Outcome, Driver, Habit"),
+    _cat("clustering", "imp", "Outcome, Driver, Habit")]))

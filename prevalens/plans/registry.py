@@ -554,3 +554,97 @@ def q_pca_explained(spark, sf_dir):
     _, ev = _clustered(spark, sf_dir)
     return spark.createDataFrame([(i + 1, float(round(v, 4))) for i, v in enumerate(ev)],
                                  "component int, explained_ratio double")
+
+
+# -- A: sources and sinks (round trips through the shared scratch folder) -------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import survey_csv, tables as tbl  # noqa: E402
+
+
+@register("read_survey_csv")
+def q_read_survey_csv(spark, sf_dir):
+    """Raw long table -> CSV (with droppable columns, empty fields for NULL) -> scan."""
+    raw = raw_survey(spark, sf_dir, raw_columns=True)
+    path = scratch_path(spark, "survey_raw_csv")
+    survey_csv.write_survey_csv(raw, path)
+    back = survey_csv.read_survey_csv(spark, path, raw.columns)
+    kept, _, _ = flt.drop_columns(back, SPEC.drop_columns)
+    return rounded(kept)
+
+
+@register("national_tables_parquet")
+def q_national_tables_parquet(spark, sf_dir):
+    """Clean job sink (six parquet tables) and the downstream scan of one of them."""
+    out = scratch_path(spark, "clean_outputs")
+    clean.clean_job(raw_survey(spark, sf_dir), SPEC, out, min_sample=MIN_SAMPLE)
+    return rounded(tbl.read_table(spark, out, "habit_national"))
+
+
+@register("report_csv_roundtrip")
+def q_report_csv_roundtrip(spark, sf_dir):
+    rep = eda.indicator_summary(*nationals(spark, sf_dir), SPEC)
+    path = scratch_path(spark, "stats_summary_csv")
+    tbl.write_report_csv(rep, path)
+    return tbl.read_report_csv(spark, path, rep.schema)
+
+
+# -- N / F: reports -----------------------------------------------------------------------------
+
+from . import reports  # noqa: E402
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, sf_dir):
+    o, d, h = nationals(spark, sf_dir)
+    ds = datasets(spark, sf_dir)
+    oc, dc, hc = SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score
+    return reports.dataset_catalog([
+        ("outcome_national", o, [oc]), ("driver_national", d, [dc]),
+        ("habit_national", h, SPEC.habit_parts + [hc]),
+        ("modeling_two_way", ds["od"], [oc, dc]), ("modeling_three_way", ds["odh"], [oc, dc, hc]),
+        ("clustering", imputed(spark, sf_dir), [oc, dc, hc])], SPEC.year)
+
+
+@register("classifier_display")
+def q_classifier_display(spark, sf_dir):
+    return reports.classifier_display(q_classifier_report_a(spark, sf_dir))
+
+
+@register("profile_display")
+def q_profile_display(spark, sf_dir):
+    return reports.profile_display(q_cluster_labels(spark, sf_dir), SPEC)
+
+
+@register("kmeans_best_k")
+def q_kmeans_best_k(spark, sf_dir):
+    return clu.best_k(q_kmeans_sweep(spark, sf_dir))
+
+
+@register("importance_rank")
+def q_importance_rank(spark, sf_dir):
+    imp = q_feature_importance_forest(spark, sf_dir)
+    from pyspark.sql.window import Window
+    return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
+@register("results_overview")
+def q_results_overview(spark, sf_dir):
+    ds = datasets(spark, sf_dir)
+    m1 = regression.ols(ds["od"], SPEC.outcome_col, [SPEC.driver_col], "Outcome ~ Driver")
+    m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "Outcome ~ Habit")
+    _, rid = _ridge(spark, sf_dir)
+    res_a = clf.results_table(spark, _classify(spark, sf_dir, False)[2])
+    res_b = clf.results_table(spark, _classify(spark, sf_dir, True)[2])
+    best = q_kmeans_best_k(spark, sf_dir).first()
+    return reports.results_overview(spark, [m1, m2], rid, [("A", res_a), ("B", res_b)], best)
+
+
+@register("headline_kpis")
+def q_headline_kpis(spark, sf_dir):
+    o = nationals(spark, sf_dir)[0]
+    change = eda.change_over_period(o, SPEC, SPEC.outcome_col)
+    odh, rid = _ridge(spark, sf_dir)
+    r2 = regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score], rid.r2)
+    res_b = clf.results_table(spark, _classify(spark, sf_dir, True)[2])
+    return reports.headline_kpis(change, r2, res_b)
