@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import round_half_even
 from ..operators import aggregates as agg
 from ..operators import windows
-from ..session import materialize
+from ..session import materialize, right_sized
 from . import eda
 from .regression import standardize
 
@@ -57,7 +57,7 @@ def prepare(imputed: DataFrame, spec) -> DataFrame:
     feats = features_of(spec)
     scaled = standardize(imputed, feats, "__z")
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in feats], outputCol="features")
-    return materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats]))
+    return right_sized(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats])))
 
 
 def _fit(data, k, seed, max_iter=300, tol=1e-4):

@@ -71,3 +71,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def right_sized(df: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """Coalesce a materialised table to ~``rows_per_partition`` rows per task.
+
+    Iterative fits launch one job per iteration over their input; a table of
+    a few hundred rows spread over many partitions pays task overhead on
+    every iteration.  Coalescing is narrow (no shuffle) and keeps large
+    inputs at full parallelism.
+    """
+    n = df.count()
+    parts = max(1, -(-n // rows_per_partition))
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
