@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import SurveySpec
 from ..operators import aggregates as agg
 from ..operators import filters as flt
-from ..operators.pivot import pivot_mean
+from ..operators.pivot import pivot_classes, pivot_mean
 
 
 def prepare(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None = None,
@@ -47,12 +47,19 @@ def national_table(state: DataFrame, spec: SurveySpec, measures: list) -> DataFr
 
 def clean_tables(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None = None,
                  validate: bool = True) -> dict:
-    """All six outputs of the clean step, lazily (nothing runs until written)."""
+    """All six outputs of the clean step, lazily (nothing runs until written).
+
+    The three class pivots come out of one tagged aggregate (``pivot_classes``)
+    so the input is computed once however many tables a plan uses.
+    """
     filtered = prepare(raw, spec, min_sample=min_sample, validate=validate)
+    roles = (("outcome", spec.outcome), ("driver", spec.driver), ("habit", spec.habit))
+    states = pivot_classes(filtered, spec.state_keys, spec.klass, spec.question, spec.value,
+                           {role: (g.class_pattern, g.questions) for role, g in roles},
+                           sample_col=spec.sample_size)
     out = {}
-    for role, group in (("outcome", spec.outcome), ("driver", spec.driver),
-                        ("habit", spec.habit)):
-        state = state_table(filtered, spec, group)
+    for role, group in roles:
+        state = states[role]
         nat = national_table(state, spec, group.measures)
         if role == "habit":
             nat = agg.add_row_mean(nat, spec.habit_score, spec.habit_parts)

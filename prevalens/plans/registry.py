@@ -45,7 +45,16 @@ def raw_survey(spark: SparkSession, sf_dir: str, raw_columns: bool = False) -> D
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict:
-    return clean.clean_tables(raw_survey(spark, sf_dir), SPEC, min_sample=MIN_SAMPLE,
+    """The clean step's six tables over a checkpointed survey view.
+
+    The long survey table is the output of the grouping-sets aggregate, so its
+    size is set by the key domain, not by lineitem.  Writing it once to the
+    shared checkpoint folder means every branch of a plan (three classes,
+    joins back, model fits) reads that small table: the raw-table joins run
+    exactly once per query, and a lost executor never re-runs them.
+    """
+    from ..session import materialize
+    return clean.clean_tables(materialize(raw_survey(spark, sf_dir)), SPEC, min_sample=MIN_SAMPLE,
                               validate=False)
 
 
