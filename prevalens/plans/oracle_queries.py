@@ -464,3 +464,17 @@ imp AS (SELECT o.YearStart FROM outcome_national o
     _cat("modeling_two_way", "od", "Outcome, Driver"),
     _cat("modeling_three_way", "odh", "Outcome, Driver, Habit"),
     _cat("clustering", "imp", "Outcome, Driver, Habit")]))
+
+
+# -- H / K ---------------------------------------------------------------------------
+oracle("strata_slugs", """
+SELECT DISTINCT StratificationCategory1, Stratification1,
+       'outcome_q3_' || translate(lower(StratificationCategory1), '/ ', '__') AS slug,
+       CASE StratificationCategory1 WHEN 'Segment' THEN 'Market segment' WHEN 'Priority' THEN 'Order priority'
+            WHEN 'Total' THEN 'All orders' ELSE 'Other' END AS label
+FROM outcome_national""")
+
+oracle("standardized_features", f""",
+s AS (SELECT avg(Driver) AS md, stddev_pop(Driver) AS sd, avg(Habit) AS mh, stddev_pop(Habit) AS sh FROM odh)
+SELECT {KEYS}, round_even((Driver - md) / sd, 6) AS Driver_z, round_even((Habit - mh) / sh, 6) AS Habit_z
+FROM odh, s""")

@@ -657,3 +657,64 @@ def q_headline_kpis(spark, sf_dir):
     r2 = regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score], rid.r2)
     res_b = clf.results_table(spark, _classify(spark, sf_dir, True)[2])
     return reports.headline_kpis(change, r2, res_b)
+
+
+# -- remaining inventory: H6/H8, K4, J14, K10, M10, N3, N5 ---------------------------------
+
+from ..functions.scalar import map_values, slug  # noqa: E402
+
+
+@register("strata_slugs")
+def q_strata_slugs(spark, sf_dir):
+    """File-name slug and display label of every (category, stratum) of the outcome table."""
+    o = nationals(spark, sf_dir)[0]
+    labels = {"Segment": "Market segment", "Priority": "Order priority", "Total": "All orders"}
+    return (o.select(SPEC.category, SPEC.stratum).distinct()
+            .select(SPEC.category, SPEC.stratum,
+                    F.concat(F.lit("outcome_q3_"), slug(F.col(SPEC.category))).alias("slug"),
+                    map_values(SPEC.category, labels, "Other").alias("label")))
+
+
+@register("standardized_features")
+def q_standardized_features(spark, sf_dir):
+    odh = datasets(spark, sf_dir)["odh"]
+    z = regression.standardize(odh, [SPEC.driver_col, SPEC.habit_score], "_z")
+    return rounded(z.select(*SPEC.national_keys, f"{SPEC.driver_col}_z", f"{SPEC.habit_score}_z"), 6)
+
+
+@register("ridge_predictions")
+def q_ridge_predictions(spark, sf_dir):
+    """Predicted vs actual of the chosen ridge model on the standardised features."""
+    odh, res = _ridge(spark, sf_dir)
+    feats = [SPEC.driver_col, SPEC.habit_score]
+    z = regression.standardize(odh, feats, "__z")
+    pred = F.lit(float(res.intercept))
+    for f, w in zip(feats, res.coef):
+        pred = pred + F.lit(float(w)) * F.col(f"{f}__z")
+    return z.select(*SPEC.national_keys, F.bround(SPEC.outcome_col, 4).alias("actual"),
+                    F.bround(pred, 4).alias("predicted"))
+
+
+@register("model_summary")
+def q_model_summary(spark, sf_dir):
+    ds = datasets(spark, sf_dir)
+    m1 = regression.ols(ds["od"], SPEC.outcome_col, [SPEC.driver_col], "M1: Outcome ~ Driver")
+    m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "M2: Outcome ~ Habit")
+    odh, res = _ridge(spark, sf_dir)
+    slopes = m1.unionByName(m2).where(F.col("term") != "Intercept").select(
+        "model", "n", "r2", F.concat(F.lit("b="), F.format_number("coef", 3), F.lit(", p="),
+                                     F.format_number("p_value", 6)).alias("finding"))
+    ridge = spark.range(1).select(F.lit("M3: Ridge (Driver + Habit)").alias("model"),
+                                  F.lit(res.n).cast("long").alias("n"),
+                                  F.lit(round(res.r2, 4)).alias("r2"),
+                                  F.lit(f"CV R2={res.cv_r2_mean:.4f}").alias("finding"))
+    return slopes.unionByName(ridge)
+
+
+@register("clustered_dataset")
+def q_clustered_dataset(spark, sf_dir):
+    """Clustering sink: the labelled, projected table written as parquet and read back."""
+    c, _ = _clustered(spark, sf_dir)
+    out = scratch_path(spark, "cluster_outputs")
+    tbl.write_table(c, out, "clustered_dataset")
+    return rounded(tbl.read_table(spark, out, "clustered_dataset"))
