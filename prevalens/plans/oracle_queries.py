@@ -478,3 +478,99 @@ oracle("standardized_features", f""",
 s AS (SELECT avg(Driver) AS md, stddev_pop(Driver) AS sd, avg(Habit) AS mh, stddev_pop(Habit) AS sh FROM odh)
 SELECT {KEYS}, round_even((Driver - md) / sd, 6) AS Driver_z, round_even((Habit - mh) / sh, 6) AS Habit_z
 FROM odh, s""")
+
+
+# -- K5-K10: ridge search in SQL (closed-form 2 x 2 solves) ------------------------------
+def _fold_sums(name, fold):
+    return f"""{name} AS (SELECT {fold} AS f, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(y) AS sy,
+  sum(a * a) AS saa, sum(a * b) AS sab, sum(b * b) AS sbb, sum(a * y) AS say, sum(b * y) AS sby,
+  sum(y * y) AS syy FROM zf GROUP BY {fold})"""
+
+
+def _tot(name, src):
+    return f"""{name} AS (SELECT sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb, sum(sy) AS sy, sum(saa) AS saa,
+  sum(sab) AS sab, sum(sbb) AS sbb, sum(say) AS say, sum(sby) AS sby, sum(syy) AS syy FROM {src})"""
+
+
+# train sums tr_* (total minus fold), then the centred 2 x 2 ridge solve and the fold R^2
+_SOLVE = """
+  (t.sa - f.sa) / (t.n - f.n) AS ma, (t.sb - f.sb) / (t.n - f.n) AS mb, (t.sy - f.sy) / (t.n - f.n) AS my,
+  t.n - f.n AS tn, t.saa - f.saa AS taa, t.sab - f.sab AS tab, t.sbb - f.sbb AS tbb,
+  t.say - f.say AS tay, t.sby - f.sby AS tby"""
+_CENTER = """caa, cab, cbb, cay, cby, ma, mb, my FROM (SELECT *, taa - tn * ma * ma AS caa, tab - tn * ma * mb AS cab,
+  tbb - tn * mb * mb AS cbb, tay - tn * ma * my AS cay, tby - tn * mb * my AS cby FROM c0)"""
+_W = """((cbb + alpha) * cay - cab * cby) / ((caa + alpha) * (cbb + alpha) - cab * cab) AS wa,
+  ((caa + alpha) * cby - cab * cay) / ((caa + alpha) * (cbb + alpha) - cab * cab) AS wb"""
+_R2 = """1.0 - (syy - 2 * (b0 * sy + wa * say + wb * sby)
+        + (n * b0 * b0 + 2 * b0 * (wa * sa + wb * sb) + wa * wa * saa + 2 * wa * wb * sab + wb * wb * sbb))
+      / (syy - sy * sy / n)"""
+
+RIDGE_CTES = f""",
+rb AS (SELECT YearStart, StratificationCategory1, Stratification1, Outcome AS y, Driver, Habit FROM odh),
+st AS (SELECT avg(Driver) AS md0, CASE WHEN stddev_pop(Driver) > 0 THEN stddev_pop(Driver) ELSE 1 END AS sd0,
+              avg(Habit) AS mh0, CASE WHEN stddev_pop(Habit) > 0 THEN stddev_pop(Habit) ELSE 1 END AS sh0 FROM rb),
+z AS (SELECT rb.*, (Driver - md0) / sd0 AS a, (Habit - mh0) / sh0 AS b,
+             row_number() OVER (ORDER BY YearStart, StratificationCategory1, Stratification1) - 1 AS i,
+             count(*) OVER () AS n_all, {_HASH} % 5 AS hf FROM rb, st),
+zf AS (SELECT *, CASE WHEN i < (n_all % 5) * (n_all // 5 + 1) THEN i // (n_all // 5 + 1)
+                      ELSE (n_all % 5) + (i - (n_all % 5) * (n_all // 5 + 1)) // (n_all // 5) END AS cf FROM z),
+{_fold_sums('fc', 'cf')}, {_tot('tc', 'fc')},
+al AS (SELECT range AS ai, pow(10.0, -3 + range * (6.0 / 99)) AS alpha FROM range(100)),
+c0 AS (SELECT f.f, {_SOLVE} FROM fc f, tc t),
+c1 AS (SELECT f, {_CENTER}),
+c2 AS (SELECT c1.*, al.ai, al.alpha, {_W} FROM c1, al),
+c3 AS (SELECT c2.ai, c2.alpha, c2.f, c2.wa, c2.wb, c2.my - c2.ma * c2.wa - c2.mb * c2.wb AS b0, fc.*
+       FROM c2 JOIN fc USING (f)),
+path AS (SELECT ai, alpha, avg({_R2}) AS cv FROM c3 GROUP BY ai, alpha),
+best AS (SELECT alpha FROM path ORDER BY cv DESC, ai ASC LIMIT 1),
+fit0 AS (SELECT t.n, t.sa / t.n AS ma, t.sb / t.n AS mb, t.sy / t.n AS my, t.n AS tn, t.saa AS taa,
+                t.sab AS tab, t.sbb AS tbb, t.say AS tay, t.sby AS tby FROM tc t),
+fit1 AS (SELECT *, taa - tn * ma * ma AS caa, tab - tn * ma * mb AS cab, tbb - tn * mb * mb AS cbb,
+                tay - tn * ma * my AS cay, tby - tn * mb * my AS cby FROM fit0),
+fit2 AS (SELECT fit1.*, best.alpha, {_W} FROM fit1, best),
+fit AS (SELECT fit2.alpha, fit2.wa, fit2.wb, fit2.my - fit2.ma * fit2.wa - fit2.mb * fit2.wb AS b0,
+               tc.* FROM fit2, tc),
+fitr AS (SELECT *, {_R2} AS r2 FROM fit),
+fitx AS (SELECT *, sqrt(greatest((1.0 - r2) * (syy - sy * sy / n), 0) / n) AS rmse FROM fitr),
+{_fold_sums('fh', 'hf')}, {_tot('th', 'fh')},
+h0 AS (SELECT f.f, {_SOLVE} FROM fh f, th t),
+h1 AS (SELECT * FROM (SELECT *, taa - tn * ma * ma AS caa, tab - tn * ma * mb AS cab, tbb - tn * mb * mb AS cbb,
+                             tay - tn * ma * my AS cay, tby - tn * mb * my AS cby FROM h0)),
+h2 AS (SELECT h1.*, best.alpha, {_W} FROM h1, best),
+h3 AS (SELECT h2.wa, h2.wb, h2.my - h2.ma * h2.wa - h2.mb * h2.wb AS b0, fh.* FROM h2 JOIN fh USING (f)),
+hcv AS (SELECT avg({_R2}) AS cv_mean, stddev_pop({_R2}) AS cv_std FROM h3)"""
+
+oracle("ridge_alpha_path", RIDGE_CTES + """
+SELECT round_even(alpha, 6) AS alpha, round_even(cv, 6) AS cv_r2 FROM path""")
+
+oracle("ridge_cv", RIDGE_CTES + """,
+rr AS (SELECT 'Driver' AS term, wa AS coef FROM fitx UNION ALL SELECT 'Habit', wb FROM fitx
+       UNION ALL SELECT 'Intercept', b0 FROM fitx)
+SELECT 'Ridge Outcome ~ Driver + Habit' AS model, term, round_even(coef, 4) AS coef,
+       round_even(alpha, 4) AS alpha, round_even(r2, 4) AS r2_train, round_even(rmse, 4) AS rmse,
+       round_even(cv_mean, 4) AS cv_r2, round_even(cv_std, 4) AS cv_r2_std, CAST(n AS BIGINT) AS n
+FROM rr, fitx, hcv""")
+
+oracle("model_compare", RIDGE_CTES + """
+SELECT 'OLS Driver only' AS model, round_even(regr_r2(Outcome, Driver), 4) AS r2 FROM odh
+UNION ALL SELECT 'OLS Habit only', round_even(regr_r2(Outcome, Habit), 4) FROM odh
+UNION ALL SELECT 'Ridge combined', round_even(r2, 4) FROM fitx""")
+
+oracle("ridge_predictions", RIDGE_CTES + f"""
+SELECT {KEYS}, round_even(y, 4) AS actual, round_even(fitx.b0 + fitx.wa * z.a + fitx.wb * z.b, 4) AS predicted
+FROM z, fitx""")
+
+_OLS_SUMMARY = """
+m{k} AS (SELECT regr_slope(Outcome, {x}) AS b1, regr_count(Outcome, {x}) AS n, regr_r2(Outcome, {x}) AS r2,
+               regr_sxx(Outcome, {x}) AS sxx, regr_syy(Outcome, {x}) AS syy FROM {t}),
+p{k} AS (SELECT *, b1 / sqrt((syy - b1 * b1 * sxx) / (n - 2) / sxx) AS tt FROM m{k})"""
+oracle("model_summary", RIDGE_CTES + "," + _OLS_SUMMARY.format(k=1, x="Driver", t="od") + "," +
+       _OLS_SUMMARY.format(k=2, x="Habit", t="odh") + f"""
+SELECT 'M1: Outcome ~ Driver' AS model, n, round_even(r2, 4) AS r2,
+       'b=' || printf('%.3f', round_even(b1, 3)) || ', p=' || printf('%.6f', round_even({t_two_sided_p_sql('tt', '(n - 2)', 'duckdb')}, 6)) AS finding FROM p1
+UNION ALL
+SELECT 'M2: Outcome ~ Habit', n, round_even(r2, 4),
+       'b=' || printf('%.3f', round_even(b1, 3)) || ', p=' || printf('%.6f', round_even({t_two_sided_p_sql('tt', '(n - 2)', 'duckdb')}, 6)) FROM p2
+UNION ALL
+SELECT 'M3: Ridge (Driver + Habit)', CAST(n AS BIGINT), round_even(r2, 4), 'CV R2=' || printf('%.4f', round_even(cv_mean, 4))
+FROM fitx, hcv""")

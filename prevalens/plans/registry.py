@@ -404,7 +404,8 @@ def q_ridge_cv(spark, sf_dir):
 @register("ridge_alpha_path")
 def q_ridge_alpha_path(spark, sf_dir):
     _, res = _ridge(spark, sf_dir)
-    return spark.createDataFrame(res.alpha_path, "alpha double, cv_r2 double")
+    path = spark.createDataFrame(res.alpha_path, "alpha double, cv_r2 double")
+    return path.select(F.bround("alpha", 6).alias("alpha"), F.bround("cv_r2", 6).alias("cv_r2"))
 
 
 @register("model_compare")
@@ -702,12 +703,13 @@ def q_model_summary(spark, sf_dir):
     m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "M2: Outcome ~ Habit")
     odh, res = _ridge(spark, sf_dir)
     slopes = m1.unionByName(m2).where(F.col("term") != "Intercept").select(
-        "model", "n", "r2", F.concat(F.lit("b="), F.format_number("coef", 3), F.lit(", p="),
-                                     F.format_number("p_value", 6)).alias("finding"))
+        "model", "n", "r2", F.concat(F.lit("b="), F.format_number(F.bround("coef", 3), 3),
+                                     F.lit(", p="), F.format_number("p_value", 6)).alias("finding"))
     ridge = spark.range(1).select(F.lit("M3: Ridge (Driver + Habit)").alias("model"),
                                   F.lit(res.n).cast("long").alias("n"),
-                                  F.lit(round(res.r2, 4)).alias("r2"),
-                                  F.lit(f"CV R2={res.cv_r2_mean:.4f}").alias("finding"))
+                                  F.bround(F.lit(float(res.r2)), 4).alias("r2"),
+                                  F.concat(F.lit("CV R2="), F.format_number(
+                                      F.bround(F.lit(float(res.cv_r2_mean)), 4), 4)).alias("finding"))
     return slopes.unionByName(ridge)
 
 

@@ -204,12 +204,11 @@ def ridge_table(spark, res: RidgeResult, features: list, model: str) -> DataFram
     rows = [(model, f, float(c)) for f, c in zip(features, res.coef)]
     rows.append((model, "Intercept", float(res.intercept)))
     coefs = spark.createDataFrame(rows, "model string, term string, coef double")
+    lit = lambda v: round_half_even(F.lit(float(v)), 4)
     return coefs.select("model", "term", round_half_even("coef", 4).alias("coef"),
-                        F.lit(round(res.alpha, 4)).alias("alpha"),
-                        F.lit(round(res.r2, 4)).alias("r2_train"),
-                        F.lit(round(res.rmse, 4)).alias("rmse"),
-                        F.lit(round(res.cv_r2_mean, 4)).alias("cv_r2"),
-                        F.lit(round(res.cv_r2_std, 4)).alias("cv_r2_std"),
+                        lit(res.alpha).alias("alpha"), lit(res.r2).alias("r2_train"),
+                        lit(res.rmse).alias("rmse"), lit(res.cv_r2_mean).alias("cv_r2"),
+                        lit(res.cv_r2_std).alias("cv_r2_std"),
                         F.lit(res.n).cast("long").alias("n"))
 
 
@@ -222,7 +221,7 @@ def model_compare(df: DataFrame, y: str, features: list, ridge_r2: float) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     ridge = df.sparkSession.range(1).select(F.lit("Ridge combined").alias("model"),
-                                            F.lit(round(ridge_r2, 4)).alias("r2"))
+                                            round_half_even(F.lit(float(ridge_r2)), 4).alias("r2"))
     return out.unionByName(ridge)
 
 
