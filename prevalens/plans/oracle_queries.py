@@ -574,3 +574,47 @@ SELECT 'M2: Outcome ~ Habit', n, round_even(r2, 4),
 UNION ALL
 SELECT 'M3: Ridge (Driver + Habit)', CAST(n AS BIGINT), round_even(r2, 4), 'CV R2=' || printf('%.4f', round_even(cv_mean, 4))
 FROM fitx, hcv""")
+
+
+# -- I8: Shapiro-Wilk (n <= 500, so the sample is every row) ---------------------------
+from ..functions.stats import (_SW_C1, _SW_C2, _SW_LARGE_MEAN, _SW_LARGE_SD,  # noqa: E402
+                               _SW_SMALL_GAMMA, _SW_SMALL_MEAN, _SW_SMALL_SD)
+
+
+def _poly_sql(coefs, x):
+    return _horner(tuple(reversed(coefs)), x)
+
+
+oracle("shapiro_wilk", f""",
+swv AS (SELECT 'Outcome' AS ind, Outcome AS x FROM outcome_national WHERE Outcome IS NOT NULL
+        UNION ALL SELECT 'Driver', Driver FROM driver_national WHERE Driver IS NOT NULL
+        UNION ALL SELECT 'Habit', Habit FROM habit_national WHERE Habit IS NOT NULL),
+sw1 AS (SELECT ind, x, row_number() OVER (PARTITION BY ind ORDER BY x) AS i,
+               count(*) OVER (PARTITION BY ind) AS n FROM swv),
+sw2 AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM sw1),
+sw3 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM sw2),
+sw4 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM sw3),
+sw5 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS m FROM sw4),
+sw6 AS (SELECT *, sum(m * m) OVER (PARTITION BY ind) AS mm,
+               max(CASE WHEN i = n THEN m END) OVER (PARTITION BY ind) AS m_n,
+               max(CASE WHEN i = n - 1 THEN m END) OVER (PARTITION BY ind) AS m_n1,
+               1.0 / sqrt(n) AS u1 FROM sw5),
+sw7 AS (SELECT *, m_n / sqrt(mm) + {_poly_sql(_SW_C1, 'u1')} AS a_n,
+               m_n1 / sqrt(mm) + {_poly_sql(_SW_C2, 'u1')} AS a_n1 FROM sw6),
+sw8 AS (SELECT *, CASE WHEN n > 5 THEN (mm - 2 * m_n * m_n - 2 * m_n1 * m_n1) / (1 - 2 * a_n * a_n - 2 * a_n1 * a_n1)
+                       ELSE (mm - 2 * m_n * m_n) / (1 - 2 * a_n * a_n) END AS phi FROM sw7),
+sw9 AS (SELECT *, CASE WHEN n = 3 THEN CASE WHEN i = 1 THEN -sqrt(0.5) WHEN i = 3 THEN sqrt(0.5) ELSE 0.0 END
+                       WHEN i = n THEN a_n WHEN i = 1 THEN -a_n
+                       WHEN n > 5 AND i = n - 1 THEN a_n1 WHEN n > 5 AND i = 2 THEN -a_n1
+                       ELSE m / sqrt(phi) END AS a FROM sw8),
+sw10 AS (SELECT ind, any_value(n) AS n, sum(a * x) AS ax, var_pop(x) AS vp FROM sw9 GROUP BY ind),
+sw11 AS (SELECT *, least(ax * ax / (vp * n), 1.0) AS W, CAST(n AS DOUBLE) AS nn FROM sw10),
+sw12 AS (SELECT *, CASE WHEN n <= 11
+    THEN (-ln({_poly_sql(_SW_SMALL_GAMMA, 'nn')} - ln(1 - W)) - {_poly_sql(_SW_SMALL_MEAN, 'nn')})
+         / exp({_poly_sql(_SW_SMALL_SD, 'nn')})
+    ELSE (ln(1 - W) - {_poly_sql(_SW_LARGE_MEAN, 'ln(nn)')}) / exp({_poly_sql(_SW_LARGE_SD, 'ln(nn)')}) END AS zz
+  FROM sw11),
+sw13 AS (SELECT *, CASE WHEN n < 3 THEN NULL
+                        WHEN n = 3 THEN greatest(6.0 / pi() * (asin(sqrt(W)) - asin(sqrt(0.75))), 0.0)
+                        ELSE {normal_cdf_sql('-zz')} END AS pv FROM sw12)
+SELECT ind AS Indicator, n, round_even(W, 4) AS W, round_even(pv, 6) AS p_value, pv > 0.05 AS normal FROM sw13""")
