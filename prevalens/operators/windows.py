@@ -66,37 +66,80 @@ def impute_group_mean(df: DataFrame, value_col: str, group_cols: list, *,
     return out.na.drop(subset=required or [value_col])
 
 
+def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: list | None = None,
+                descending: bool = False, inclusive: bool = True, buckets: int = 256,
+                prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order_col`` order (per ``group_cols``),
+    without a single-task global window.
+
+    Rows are bucketed by approximate quantiles of ``order_col`` (a
+    ``buckets``-long array from one small aggregate; equal values share a
+    bucket), bucket totals give each bucket its starting offset (a table of
+    groups x buckets rows), and the running sum inside each bucket is a window
+    partitioned by (group, bucket), so the work spreads over ``buckets`` tasks
+    per group.  Callers pass one row per distinct order value (e.g. per score),
+    so a heavily repeated value is a single row here.
+    """
+    groups = list(group_cols or [])
+    qs = [i / buckets for i in range(1, buckets)]
+    # ``buckets - 1`` numbers, fetched once and inlined as a literal array
+    # (subqueries cannot appear inside the higher-order ``filter``)
+    row = df.agg(F.percentile_approx(order_col, qs, 10 * buckets).alias("b")).first()
+    bounds = F.array(*[F.lit(float(v)) for v in (row["b"] or [])]) if row["b"] else \
+        F.array().cast("array<double>")
+    x = F.col(order_col)
+    b = F.size(F.filter(bounds, lambda v: v < x))
+    if descending:
+        b = F.lit(buckets) - b
+    tagged = df.withColumn("_bucket", b)
+    totals = tagged.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "_bucket", *[
+        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    order = F.desc(order_col) if descending else F.asc(order_col)
+    within = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    out = tagged.join(offsets, [*groups, "_bucket"])
+    for c in sum_cols:
+        run = F.col(f"_o_{c}") + F.sum(c).over(within)
+        out = out.withColumn(f"{prefix}{c}", run if inclusive else run - F.col(c))
+    return out.drop("_bucket", *[f"_o_{c}" for c in sum_cols])
+
+
 def roc_curve(scored: DataFrame, label_col: str, score_col: str) -> DataFrame:
     """ROC points: thresholds at each distinct score (descending), cumulative TPR/FPR.
 
     Rows are first reduced to one row per distinct score (ties grouped, as
-    the step function requires); the running sums then order the distinct
-    scores of a model's predictions.
+    the step function requires); the cumulative counts are bucketed prefix
+    sums, and the class totals a scalar subquery.
     """
     per = (scored.groupBy(F.col(score_col).alias("threshold"))
            .agg(F.sum(F.col(label_col).cast("long")).alias("tp"),
                 F.sum((1 - F.col(label_col)).cast("long")).alias("fp")))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return (per.withColumn("ctp", F.sum("tp").over(w)).withColumn("cfp", F.sum("fp").over(w))
-            .withColumn("P", F.sum("tp").over(tot)).withColumn("N", F.sum("fp").over(tot))
-            .select("threshold",
-                    F.try_divide(F.col("ctp").cast("double"), F.nullif(F.col("P"), F.lit(0))).alias("tpr"),
-                    F.try_divide(F.col("cfp").cast("double"), F.nullif(F.col("N"), F.lit(0))).alias("fpr")))
+    tot = per.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
+    P, N = tot.select("P").scalar(), tot.select("N").scalar()
+    cum = prefix_sums(per, "threshold", ["tp", "fp"], descending=True)
+    return cum.select("threshold",
+                      F.try_divide(F.col("cum_tp").cast("double"), F.nullif(P, F.lit(0))).alias("tpr"),
+                      F.try_divide(F.col("cum_fp").cast("double"), F.nullif(N, F.lit(0))).alias("fpr"))
+
+
+def auc_by_group(scored: DataFrame, label_col: str, score_col: str,
+                 group_cols: list | None = None) -> DataFrame:
+    """AUC per group, Mann-Whitney form with mid-ranks for ties: positives at a
+    score beat every negative at a lower score and tie with those at the same
+    score.  One row per (group, distinct score) feeds a bucketed prefix sum."""
+    groups = list(group_cols or [])
+    y = F.col(label_col)
+    per = scored.groupBy(*groups, F.col(score_col).alias("s")).agg(
+        F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"))
+    below = prefix_sums(per, "s", ["neg"], group_cols=groups, inclusive=False, prefix="below_")
+    return below.groupBy(*groups).agg(
+        F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + 0.5 * F.col("neg"))),
+                     F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def auc_rank(scored: DataFrame, label_col: str, score_col: str) -> Column:
-    """AUC as a scalar subquery, Mann-Whitney form with mid-ranks for ties.
-
-    Computed from per-score counts: for each distinct score, positives there
-    beat every negative at a lower score and tie (half credit) with the
-    negatives at the same score.
-    """
-    per = (scored.groupBy(F.col(score_col).alias("s"))
-           .agg(F.sum(F.col(label_col).cast("long")).alias("pos"),
-                F.sum((1 - F.col(label_col)).cast("long")).alias("neg")))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    credit = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0))).agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
-                     F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
-    return credit.scalar()
+    """AUC of the whole frame as a scalar subquery (see ``auc_by_group``)."""
+    return auc_by_group(scored, label_col, score_col).select("auc").scalar()

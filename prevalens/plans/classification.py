@@ -116,13 +116,7 @@ def fold_metrics(pred: DataFrame, group_cols: list) -> DataFrame:
     counts = pred.groupBy(*group_cols).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 1) & (p == 0)).alias("fn"))
-    per_score = pred.groupBy(*group_cols, "score").agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    w = Window.partitionBy(*group_cols).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    auc = (per_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-           .groupBy(*group_cols).agg(
-               F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
-                            F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc")))
+    auc = windows.auc_by_group(pred, "label", "score", group_cols)
     z = lambda num, den: F.coalesce(F.try_divide(num, F.nullif(den, F.lit(0))), F.lit(0.0))
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     prec, rec = z(tp, tp + fp), z(tp, tp + fn)

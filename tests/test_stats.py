@@ -190,3 +190,22 @@ def test_kmeans_and_pca_on_blobs(spark):
     assert sizes == [30, 30, 30]
     _, explained = clu.pca2(clustered)
     assert explained[0] >= explained[1] and sum(explained) > 0.99
+
+
+def test_prefix_sums_match_cumsum(spark):
+    rng = np.random.default_rng(9)
+    g = rng.integers(0, 3, 400)
+    s = rng.normal(size=400)
+    v = rng.integers(0, 5, 400)
+    df = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(g, s, v)],
+                               "g int, s double, v long")
+    for desc in (False, True):
+        out = windows.prefix_sums(df, "s", ["v"], group_cols=["g"], descending=desc,
+                                  buckets=16).collect()
+        got = {(r["g"], r["s"]): r["cum_v"] for r in out}
+        for grp in range(3):
+            idx = np.where(g == grp)[0]
+            order = idx[np.argsort(-s[idx] if desc else s[idx])]
+            cum = np.cumsum(v[order])
+            for i, c in zip(order, cum):
+                assert got[(grp, float(s[i]))] == c
