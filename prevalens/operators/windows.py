@@ -82,13 +82,13 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: li
     """
     groups = list(group_cols or [])
     qs = [i / buckets for i in range(1, buckets)]
-    # ``buckets - 1`` numbers, fetched once and inlined as a literal array
-    # (subqueries cannot appear inside the higher-order ``filter``)
+    # ``buckets - 1`` numbers, fetched once and inlined as literals: the bucket
+    # is the count of bounds below x, a flat sum of comparisons in codegen.
     row = df.agg(F.percentile_approx(order_col, qs, 10 * buckets).alias("b")).first()
-    bounds = F.array(*[F.lit(float(v)) for v in (row["b"] or [])]) if row["b"] else \
-        F.array().cast("array<double>")
     x = F.col(order_col)
-    b = F.size(F.filter(bounds, lambda v: v < x))
+    b = F.lit(0)
+    for v in sorted(set(row["b"] or [])):
+        b = b + (x > F.lit(float(v))).cast("int")
     if descending:
         b = F.lit(buckets) - b
     tagged = df.withColumn("_bucket", b)
