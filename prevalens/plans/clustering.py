@@ -81,13 +81,23 @@ def silhouette(pred: DataFrame) -> float:
 
 def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
                  threads: int = 8) -> DataFrame:
-    """k, inertia (within-cluster SS of the best start), silhouette."""
-    rows = []
+    """k, inertia (within-cluster SS of the best start), silhouette.
+
+    All (k, seed) starts are submitted to one pool, then the winners'
+    silhouettes are evaluated concurrently: the sweep is latency-bound small
+    jobs, so keeping the scheduler busy matters more than anything per fit.
+    """
+    ks = list(ks)
+    seeds = [seed + i for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=threads) as pool:
+        futs = {(k, s): pool.submit(_fit, data, k, s) for k in ks for s in seeds}
+        best = {}
         for k in ks:
-            m = best_of(data, k, n_init, seed, pool)
-            rows.append((int(k), float(m.summary.trainingCost),
-                         float(silhouette(m.transform(data)))))
+            models = [futs[(k, s)].result() for s in seeds]
+            costs = [m.summary.trainingCost for m in models]
+            best[k] = models[int(np.argmin(costs))]      # first seed wins ties
+        sils = {k: pool.submit(lambda m: silhouette(m.transform(data)), best[k]) for k in ks}
+        rows = [(int(k), float(best[k].summary.trainingCost), float(sils[k].result())) for k in ks]
     df = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", round_half_even("inertia", 4).alias("inertia"),
                      round_half_even("silhouette", 4).alias("silhouette"))
