@@ -618,3 +618,16 @@ sw13 AS (SELECT *, CASE WHEN n < 3 THEN NULL
                         WHEN n = 3 THEN greatest(6.0 / pi() * (asin(sqrt(W)) - asin(sqrt(0.75))), 0.0)
                         ELSE {normal_cdf_sql('-zz')} END AS pv FROM sw12)
 SELECT ind AS Indicator, n, round_even(W, 4) AS W, round_even(pv, 6) AS p_value, pv > 0.05 AS normal FROM sw13""")
+
+
+# -- J10: KDE diagonal of the scatter matrix -------------------------------------------
+def _kde_sql(col, grid):
+    return f"""SELECT '{col}' AS measure, CAST(g.k AS INTEGER) AS point, round_even(g.gx, 6) AS x,
+       round_even(d.ks / (s.n * s.bw * sqrt(2 * pi())), 6) AS density
+FROM (SELECT count(*) AS n, stddev_samp({col}) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw,
+             min({col}) AS lo, max({col}) AS hi FROM odh) s,
+     LATERAL (SELECT range AS k, s.lo + range * ((s.hi - s.lo) / {grid - 1}) AS gx FROM range({grid})) g,
+     LATERAL (SELECT sum(exp(-0.5 * pow((g.gx - {col}) / s.bw, 2))) AS ks FROM odh) d"""
+
+
+oracle("kde_diagonal", "\nUNION ALL ".join(_kde_sql(c, 50) for c in ("Outcome", "Driver", "Habit")))

@@ -720,3 +720,15 @@ def q_clustered_dataset(spark, sf_dir):
     out = scratch_path(spark, "cluster_outputs")
     tbl.write_table(c, out, "clustered_dataset")
     return rounded(tbl.read_table(spark, out, "clustered_dataset"))
+
+
+@register("kde_diagonal")
+def q_kde_diagonal(spark, sf_dir):
+    """Scatter-matrix diagonal: a KDE of each combined measure (one aggregate each)."""
+    odh = datasets(spark, sf_dir)["odh"]
+    parts = [charts.kde(odh, c, gridsize=50).select(F.lit(c).alias("measure"), "*")
+             for c in (SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -49,7 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or sc.getConf().get("spark.checkpoint.dir", None))
     if not configured:
         # Unset only in tests / local runs: a private scratch folder is fine there.
         configured = tempfile.mkdtemp(prefix="prevalens-ckpt-")
