@@ -59,7 +59,10 @@ def build_labeled(outcome, driver, habit, spec, *, with_habit: bool) -> tuple:
     """(table, feature names): joined complete cases, label = outcome > median, dummies."""
     df = (eda.join_three(outcome, driver, habit, spec) if with_habit
           else eda.join_two(outcome, driver, spec))
-    df = flt.binary_label(df, spec.outcome_col, spec.label)
+    # checkpoint the labelled rows once: the category domain, the scaling
+    # statistics and the folds below then read this small table instead of
+    # re-running the joins and the median subquery for each of them
+    df = materialize(flt.binary_label(df, spec.outcome_col, spec.label))
     df, dummies = one_hot_drop_first(df, spec.category, "Strat")
     behaviour = [spec.driver_col] + ([spec.habit_score] if with_habit else [])
     return df, behaviour + dummies
