@@ -138,8 +138,8 @@ from ..functions import stats  # noqa: E402
 from ..operators import joins  # noqa: E402
 
 
-def datasets(spark, sf_dir):
-    o, d, h = nationals(spark, sf_dir)
+def datasets(spark, sf_dir, nat=None):
+    o, d, h = nat or nationals(spark, sf_dir)
     return {
         "od": eda.join_two(o, d, SPEC),
         "odh": eda.join_three(o, d, h, SPEC),
@@ -387,9 +387,9 @@ def q_ols_outcome_habit(spark, sf_dir):
                           "Outcome ~ Habit")
 
 
-def _ridge(spark, sf_dir):
+def _ridge(spark, sf_dir, nat=None):
     from ..session import materialize
-    odh = materialize(datasets(spark, sf_dir)["odh"])
+    odh = materialize(datasets(spark, sf_dir, nat)["odh"])
     return odh, regression.ridge_cv(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score],
                                     SPEC.national_keys)
 
@@ -420,8 +420,8 @@ def q_model_compare(spark, sf_dir):
 from . import classification as clf  # noqa: E402
 
 
-def labeled(spark, sf_dir, with_habit: bool):
-    o, d, h = nationals(spark, sf_dir)
+def labeled(spark, sf_dir, with_habit: bool, nat=None):
+    o, d, h = nat or nationals(spark, sf_dir)
     return clf.build_labeled(o, d, h, SPEC, with_habit=with_habit)
 
 
@@ -461,8 +461,8 @@ def q_auc_driver_score(spark, sf_dir):
         F.bround(windows.auc_rank(df, SPEC.label, SPEC.driver_col), 6).alias("auc"))
 
 
-def _classify(spark, sf_dir, with_habit, classifiers=clf.CLASSIFIERS):
-    df, feats = labeled(spark, sf_dir, with_habit)
+def _classify(spark, sf_dir, with_habit, classifiers=clf.CLASSIFIERS, nat=None):
+    df, feats = labeled(spark, sf_dir, with_habit, nat)
     data = clf.prepare(df, feats, SPEC)
     return data, feats, clf.run_dataset(data, classifiers)
 
@@ -640,23 +640,25 @@ def q_importance_rank(spark, sf_dir):
 
 @register("results_overview")
 def q_results_overview(spark, sf_dir):
-    ds = datasets(spark, sf_dir)
+    nat = nationals(spark, sf_dir)        # one survey-view pass shared by every model
+    ds = datasets(spark, sf_dir, nat)
     m1 = regression.ols(ds["od"], SPEC.outcome_col, [SPEC.driver_col], "Outcome ~ Driver")
     m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "Outcome ~ Habit")
-    _, rid = _ridge(spark, sf_dir)
-    res_a = clf.results_table(spark, _classify(spark, sf_dir, False)[2])
-    res_b = clf.results_table(spark, _classify(spark, sf_dir, True)[2])
-    best = q_kmeans_best_k(spark, sf_dir).first()
+    _, rid = _ridge(spark, sf_dir, nat)
+    res_a = clf.results_table(spark, _classify(spark, sf_dir, False, nat=nat)[2])
+    res_b = clf.results_table(spark, _classify(spark, sf_dir, True, nat=nat)[2])
+    data = clu.prepare(clu.build_imputed(*nat, SPEC), SPEC)
+    best = clu.best_k(clu.kmeans_sweep(data)).first()
     return reports.results_overview(spark, [m1, m2], rid, [("A", res_a), ("B", res_b)], best)
 
 
 @register("headline_kpis")
 def q_headline_kpis(spark, sf_dir):
-    o = nationals(spark, sf_dir)[0]
-    change = eda.change_over_period(o, SPEC, SPEC.outcome_col)
-    odh, rid = _ridge(spark, sf_dir)
+    nat = nationals(spark, sf_dir)
+    change = eda.change_over_period(nat[0], SPEC, SPEC.outcome_col)
+    odh, rid = _ridge(spark, sf_dir, nat)
     r2 = regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score], rid.r2)
-    res_b = clf.results_table(spark, _classify(spark, sf_dir, True)[2])
+    res_b = clf.results_table(spark, _classify(spark, sf_dir, True, nat=nat)[2])
     return reports.headline_kpis(change, r2, res_b)
 
 
@@ -698,10 +700,11 @@ def q_ridge_predictions(spark, sf_dir):
 
 @register("model_summary")
 def q_model_summary(spark, sf_dir):
-    ds = datasets(spark, sf_dir)
+    nat = nationals(spark, sf_dir)
+    ds = datasets(spark, sf_dir, nat)
     m1 = regression.ols(ds["od"], SPEC.outcome_col, [SPEC.driver_col], "M1: Outcome ~ Driver")
     m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "M2: Outcome ~ Habit")
-    odh, res = _ridge(spark, sf_dir)
+    odh, res = _ridge(spark, sf_dir, nat)
     slopes = m1.unionByName(m2).where(F.col("term") != "Intercept").select(
         "model", "n", "r2", F.concat(F.lit("b="), F.format_number(F.bround("coef", 3), 3),
                                      F.lit(", p="), F.format_number("p_value", 6)).alias("finding"))
