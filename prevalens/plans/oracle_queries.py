@@ -306,7 +306,7 @@ FROM (SELECT 'Driver' AS Feature, VIF FROM v UNION ALL SELECT 'Habit', VIF FROM
 oracle("linear_trend", """,
 y AS (SELECT YearStart, avg(Outcome) AS v FROM outcome_national WHERE StratificationCategory1 = 'Total' GROUP BY YearStart)
 SELECT round_even(regr_slope(v, YearStart), 6) AS slope, round_even(regr_intercept(v, YearStart), 6) AS intercept,
-       round_even(regr_r2(v, YearStart), 6) AS r2, regr_count(v, YearStart) AS n FROM y""")
+       round_even(regr_r2(v, YearStart), 6) AS r2, CAST(regr_count(v, YearStart) AS BIGINT) AS n FROM y""")
 
 oracle("scatter_matrix", f"SELECT {r('Outcome','Outcome')}, {r('Driver','Driver')}, {r('Habit','Habit')} FROM odh")
 
@@ -372,7 +372,7 @@ def _ols_sql(table, y, x, model):
     p_int = t_two_sided_p_sql(t_int, "(n - 2)", "duckdb")
     p_sl = t_two_sided_p_sql(t_sl, "(n - 2)", "duckdb")
     return f""",
-s AS (SELECT regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1, regr_count({y}, {x}) AS n,
+s AS (SELECT regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1, CAST(regr_count({y}, {x}) AS BIGINT) AS n,
              regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_avgx({y}, {x}) AS mx,
              regr_r2({y}, {x}) AS r2 FROM {table}),
 e AS (SELECT *, (syy - b1 * b1 * sxx) / (n - 2) AS s2 FROM s),
@@ -561,7 +561,7 @@ SELECT {KEYS}, round_even(y, 4) AS actual, round_even(fitx.b0 + fitx.wa * z.a +
 FROM z, fitx""")
 
 _OLS_SUMMARY = """
-m{k} AS (SELECT regr_slope(Outcome, {x}) AS b1, regr_count(Outcome, {x}) AS n, regr_r2(Outcome, {x}) AS r2,
+m{k} AS (SELECT regr_slope(Outcome, {x}) AS b1, CAST(regr_count(Outcome, {x}) AS BIGINT) AS n, regr_r2(Outcome, {x}) AS r2,
                regr_sxx(Outcome, {x}) AS sxx, regr_syy(Outcome, {x}) AS syy FROM {t}),
 p{k} AS (SELECT *, b1 / sqrt((syy - b1 * b1 * sxx) / (n - 2) / sxx) AS tt FROM m{k})"""
 oracle("model_summary", RIDGE_CTES + "," + _OLS_SUMMARY.format(k=1, x="Driver", t="od") + "," +

@@ -39,11 +39,17 @@ def _rows(pdf):
     return cols, sorted(rows, key=repr)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_oracle(spark, duck, name):
-    got = E.queries()[name](spark, SF_MID).toPandas()
-    want = duck.sql(E.oracle_sql()[name]).df()
-    assert _rows(got) == _rows(want)
+    sdf = E.queries()[name](spark, SF_MID)
+    rel = duck.sql(E.oracle_sql()[name])
+    types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert types == dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert _rows(sdf.toPandas()) == _rows(rel.df())
 
 
 def test_contract(spark):
