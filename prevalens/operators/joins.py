@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
@@ -32,5 +31,12 @@ def join_measures(frames: list, keys: list, how: str = "inner",
 
 
 def attach_group_mean(df: DataFrame, keys: list, value_col: str, name: str) -> DataFrame:
-    """Group mean attached to every row with a window (no aggregate-and-join-back)."""
-    return df.withColumn(name, F.avg(value_col).over(Window.partitionBy(*keys)))
+    """Group mean attached to every row: a partial+final aggregate (one row per
+    group, NULL keys forming their own group as in a window) joined back on the
+    keys, so no group is ever gathered into a single task."""
+    renamed = [f"_gk{i}" for i in range(len(keys))]
+    means = (df.groupBy(*keys).agg(F.avg(value_col).alias(name))
+             .select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], name))
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)])
+    return df.join(means, cond, "left").drop(*renamed)

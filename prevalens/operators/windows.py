@@ -45,30 +45,45 @@ def contiguous_folds(df: DataFrame, order_cols: list, k: int = 5,
 
 def stratified_folds(df: DataFrame, label_col: str, key_cols: list, k: int = 5,
                      seed: int = 42, fold_col: str = "fold") -> DataFrame:
-    """Balanced folds per label: rank rows of each label by hash(seed|key), deal mod k."""
-    w = Window.partitionBy(label_col).orderBy(key_hash(key_cols, seed), *key_cols)
-    return (df.withColumn(fold_col, ((F.row_number().over(w) - 1) % k).cast("int")))
+    """Balanced folds per label: rank the rows of each label by hash(seed|key)
+    (keys break ties) and deal the ranks round-robin, fold = (rank - 1) mod k.
+
+    The rank is a bucketed prefix count, so a label holding most of the rows
+    is spread over many tasks instead of one window partition per label.
+    """
+    tagged = df.withColumn("_h", key_hash(key_cols, seed)).withColumn("_one", F.lit(1))
+    ranked = prefix_sums(tagged, "_h", ["_one"], group_cols=[label_col], tie_cols=key_cols,
+                         prefix="_rank")
+    return (ranked.withColumn(fold_col, ((F.col("_rank_one") - 1) % k).cast("int"))
+            .drop("_h", "_one", "_rank_one"))
 
 
 def impute_group_mean(df: DataFrame, value_col: str, group_cols: list, *,
                       fallback: Column | None = None, flag_col: str | None = None,
                       required: list | None = None) -> DataFrame:
-    """Fill NULLs from the group mean (window over the same rows), then ``fallback``;
-    flag imputed rows; drop rows still missing any ``required`` column."""
+    """Fill NULLs from the group mean over the same rows, then ``fallback``;
+    flag imputed rows; drop rows still missing any ``required`` column.
+
+    The group means are a partial+final aggregate joined back on the group
+    keys (one row per group: AQE broadcasts it when small), so a group that
+    holds a third of the rows is never gathered into one task.
+    """
     v = F.col(value_col)
     out = df
     if flag_col:
         out = out.withColumn(flag_col, v.isNull())
-    filled = F.coalesce(v, F.avg(v).over(Window.partitionBy(*group_cols)))
+    means = df.groupBy(*group_cols).agg(F.avg(value_col).alias("_group_mean"))
+    out = out.join(means, group_cols, "left")
+    filled = F.coalesce(v, F.col("_group_mean"))
     if fallback is not None:
         filled = F.coalesce(filled, fallback)
-    out = out.withColumn(value_col, filled)
+    out = out.withColumn(value_col, filled).drop("_group_mean")
     return out.na.drop(subset=required or [value_col])
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: list | None = None,
                 descending: bool = False, inclusive: bool = True, buckets: int = 256,
-                prefix: str = "cum_") -> DataFrame:
+                prefix: str = "cum_", tie_cols: list | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` in ``order_col`` order (per ``group_cols``),
     without a single-task global window.
 
@@ -97,7 +112,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: li
     offsets = totals.select(*groups, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
     order = F.desc(order_col) if descending else F.asc(order_col)
-    within = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(
+    within = Window.partitionBy(*groups, "_bucket").orderBy(order, *(tie_cols or [])).rowsBetween(
         Window.unboundedPreceding, 0)
     out = tagged.join(offsets, [*groups, "_bucket"])
     for c in sum_cols:
