@@ -132,17 +132,19 @@ def qq_points(df: DataFrame, value_col: str, digits: int = 4) -> DataFrame:
     """Normal Q-Q points: theoretical quantile at i/(n+1) vs the i-th smallest value,
     with the standardised reference line mean + std * theoretical.
 
-    The rank is a global ordering; the inputs here are model residuals of a
-    national table, whose size is bounded by years x strata.
+    The rank i is a bucketed prefix count (no single-task global window); n,
+    mean and std are one aggregate.
     """
+    from ..operators.windows import prefix_sums
     vals = df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("v"))
-    w = Window.partitionBy()
-    ranked = (vals.withColumn("i", F.row_number().over(Window.orderBy("v")))
-              .withColumn("n", F.count(F.lit(1)).over(w))
-              .withColumn("mu", F.avg("v").over(w))
-              .withColumn("sd", F.stddev_samp("v").over(w)))
-    ranked = with_normal_ppf(ranked.withColumn("_pp", F.col("i") / (F.col("n") + 1)), "_pp", "theo")
+    st = vals.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mu"),
+                  F.stddev_samp("v").alias("sd"))
+    n, mu, sd = (st.select(c).scalar() for c in ("n", "mu", "sd"))
+    ranked = prefix_sums(vals.withColumn("_one", F.lit(1)), "v", ["_one"], prefix="_i")
+    ranked = ranked.select(F.col("_i_one").alias("i"), "v").withColumn("_pp", F.col("i") / (n + 1))
+    ranked = with_normal_ppf(ranked, "_pp", "theo")
     theo = F.col("theo")
-    return ranked.select("i", round_half_even(theo, digits).alias("theoretical"),
+    return ranked.select(F.col("i").cast("int").alias("i"),
+                         round_half_even(theo, digits).alias("theoretical"),
                          round_half_even(F.col("v"), digits).alias("sample"),
-                         round_half_even(F.col("mu") + F.col("sd") * theo, digits).alias("line"))
+                         round_half_even(mu + sd * theo, digits).alias("line"))
