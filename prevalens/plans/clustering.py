@@ -1,7 +1,8 @@
 """Clustering job: imputation, K-Means sweep, PCA, profiles, crosstabs, labels.
 
-* imputation is a window (group mean over the joined rows) plus a scalar
-  fallback - no aggregate-and-join-back;
+* imputation is the group mean over the joined rows (an aggregate joined back
+  on the strata keys, so no stratum is gathered into one task) plus a scalar
+  fallback;
 * the feature table is standardised, assembled and checkpointed once; every
   K-Means start reads that small table;
 * K-Means is ``pyspark.ml.clustering.KMeans`` (k-means|| init); "best of n
