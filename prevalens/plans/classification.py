@@ -130,7 +130,7 @@ def fold_metrics(pred: DataFrame, group_cols: list) -> DataFrame:
 
 
 def run_dataset(data: DataFrame, classifiers=CLASSIFIERS, k: int = 5, seed: int = 42,
-                threads: int = 8) -> list:
+                threads: int = 16) -> list:
     """All (classifier, fold) fits plus one full-data fit per classifier.
 
     Fits are independent jobs submitted to one thread pool; the predictions

@@ -81,7 +81,7 @@ def silhouette(pred: DataFrame) -> float:
 
 
 def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
-                 threads: int = 8) -> DataFrame:
+                 threads: int = 16) -> DataFrame:
     """k, inertia (within-cluster SS of the best start), silhouette.
 
     All (k, seed) starts are submitted to one pool, then the winners'
@@ -110,7 +110,7 @@ def best_k(sweep: DataFrame) -> DataFrame:
 
 
 def fit_clusters(data: DataFrame, k: int, n_init: int = 20, seed: int = 42,
-                 threads: int = 8) -> DataFrame:
+                 threads: int = 16) -> DataFrame:
     with ThreadPoolExecutor(max_workers=threads) as pool:
         model = best_of(data, k, n_init, seed, pool)
     return model.transform(data).withColumnRenamed("prediction", "Cluster")
