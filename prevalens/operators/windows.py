@@ -5,9 +5,8 @@ Two kinds of folds:
 * ``hash_folds`` - a pure row expression of the key (md5 of seed|key), so
   it runs at any scale with no shuffle and identical results in DuckDB.
 * ``contiguous_folds`` / ``stratified_folds`` - exact sizes (KFold-style /
-  balanced per label) need a rank, i.e. a global order.  They are meant for
-  modelling tables whose size is bounded by the key domain (years x strata);
-  for unbounded inputs use ``hash_folds``.
+  balanced per label) need a rank.  Both compute it distributed: a range-
+  partitioned rank with per-partition offsets, and a bucketed prefix count.
 """
 
 from __future__ import annotations
@@ -29,18 +28,46 @@ def hash_folds(df: DataFrame, key_cols: list, k: int = 5, seed: int = 42,
     return df.withColumn(fold_col, (key_hash(key_cols, seed) % k).cast("int"))
 
 
+def global_rank(df: DataFrame, order_cols: list, rank_col: str = "_rank",
+                partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in ``order_cols`` order, computed without
+    a single-task window.
+
+    Rows are range-partitioned and sorted within partitions; a monotonically
+    increasing id then carries the partition index (high bits) and the row's
+    position inside its partition (low 33 bits).  The ranged table is
+    checkpointed so both passes below see the same placement.  Per-partition
+    counts (one row per partition) give each partition its offset.  Rows with
+    equal order keys share a range partition, so the keys should be unique
+    (true for the table keys this is used with).
+    """
+    from ..session import materialize
+    spark = df.sparkSession
+    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    ranged = materialize(df.repartitionByRange(n_parts, *order_cols)
+                         .sortWithinPartitions(*order_cols)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = (ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (ranged.join(offsets, "_pid")
+            .withColumn(rank_col, F.col("_off") + F.col("_local"))
+            .drop("_mid", "_pid", "_local", "_off"))
+
+
 def contiguous_folds(df: DataFrame, order_cols: list, k: int = 5,
                      fold_col: str = "fold") -> DataFrame:
     """Unshuffled K-fold in key order: the first n % k folds get one extra row."""
-    w = Window.orderBy(*order_cols)
-    ranked = (df.withColumn("_i", F.row_number().over(w) - 1)
-              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))
-    q = F.floor(F.col("_n") / k)
-    r = F.col("_n") % k
+    ranked = global_rank(df, order_cols, "_i")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    q = F.floor(n / k)
+    r = n % k
     big = r * (q + 1)
     fold = F.when(F.col("_i") < big, F.floor(F.col("_i") / (q + 1))).otherwise(
         r + F.floor((F.col("_i") - big) / q))
-    return ranked.withColumn(fold_col, fold.cast("int")).drop("_i", "_n")
+    return ranked.withColumn(fold_col, fold.cast("int")).drop("_i")
 
 
 def stratified_folds(df: DataFrame, label_col: str, key_cols: list, k: int = 5,

@@ -209,3 +209,14 @@ def test_prefix_sums_match_cumsum(spark):
             cum = np.cumsum(v[order])
             for i, c in zip(order, cum):
                 assert got[(grp, float(s[i]))] == c
+
+
+def test_global_rank_matches_sort(spark):
+    rng = np.random.default_rng(13)
+    a = rng.integers(0, 50, 5000)
+    b = rng.permutation(5000)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long").repartition(7)
+    ranked = windows.global_rank(df, ["a", "b"], "r", partitions=6).collect()
+    got = {(r["a"], r["b"]): r["r"] for r in ranked}
+    expected = sorted(zip(a.tolist(), b.tolist()))
+    assert [got[k] for k in expected] == list(range(5000))
