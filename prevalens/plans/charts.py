@@ -148,3 +148,19 @@ def qq_points(df: DataFrame, value_col: str, digits: int = 4) -> DataFrame:
                          round_half_even(theo, digits).alias("theoretical"),
                          round_half_even(F.col("v"), digits).alias("sample"),
                          round_half_even(mu + sd * theo, digits).alias("line"))
+
+
+def box_outliers(df: DataFrame, group_cols, value_col: str, *, whisker: float = 1.5,
+                 exact: bool = True, digits: int = 4) -> DataFrame:
+    """The rows drawn as outlier points: values outside [Q1 - w IQR, Q3 + w IQR]
+    of their group (group quartiles joined back, one row per group)."""
+    keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    vals = df.where(F.col(value_col).isNotNull()).na.drop(subset=keys)
+    q = vals.groupBy(*keys).agg(_quantile(value_col, 0.25, exact).alias("_q1"),
+                                _quantile(value_col, 0.75, exact).alias("_q3"))
+    x = F.col(value_col)
+    lo = F.col("_q1") - whisker * (F.col("_q3") - F.col("_q1"))
+    hi = F.col("_q3") + whisker * (F.col("_q3") - F.col("_q1"))
+    return (vals.join(q, keys).where((x < lo) | (x > hi))
+            .select(*[c for c in df.columns if c != value_col],
+                    round_half_even(x, digits).alias(value_col)))

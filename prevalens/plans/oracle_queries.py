@@ -631,3 +631,12 @@ FROM (SELECT count(*) AS n, stddev_samp({col}) * pow(CAST(count(*) AS DOUBLE), -
 
 
 oracle("kde_diagonal", "\nUNION ALL ".join(_kde_sql(c, 50) for c in ("Outcome", "Driver", "Habit")))
+
+
+oracle("box_outliers", f""",
+q AS (SELECT StratificationCategory1, Stratification1, quantile_cont(Outcome, 0.25) AS q1,
+             quantile_cont(Outcome, 0.75) AS q3
+      FROM outcome_national WHERE Outcome IS NOT NULL GROUP BY 1, 2)
+SELECT {KEYS}, round_even(Outcome, 4) AS Outcome
+FROM outcome_national o JOIN q USING (StratificationCategory1, Stratification1)
+WHERE Outcome < q1 - 1.5 * (q3 - q1) OR Outcome > q3 + 1.5 * (q3 - q1)""")

@@ -735,3 +735,10 @@ def q_kde_diagonal(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("box_outliers")
+def q_box_outliers(spark, sf_dir):
+    """Outlier points of the per-stratum outcome box plots."""
+    o = nationals(spark, sf_dir)[0].select(*SPEC.national_keys, SPEC.outcome_col)
+    return charts.box_outliers(o, [SPEC.category, SPEC.stratum], SPEC.outcome_col)
