@@ -640,3 +640,23 @@ q AS (SELECT StratificationCategory1, Stratification1, quantile_cont(Outcome, 0.
 SELECT {KEYS}, round_even(Outcome, 4) AS Outcome
 FROM outcome_national o JOIN q USING (StratificationCategory1, Stratification1)
 WHERE Outcome < q1 - 1.5 * (q3 - q1) OR Outcome > q3 + 1.5 * (q3 - q1)""")
+
+
+# -- M5: PCA explained-variance ratios = eigenvalues of the correlation matrix / 3
+# (closed-form eigenvalues of a symmetric 3 x 3 matrix, trigonometric method)
+oracle("pca_explained", """,
+lj AS (SELECT o.YearStart, o.StratificationCategory1, o.Stratification1, o.Outcome, d.Driver, h.Habit
+  FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+  LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)),
+im AS (SELECT Outcome, Driver,
+              coalesce(Habit, avg(Habit) OVER (PARTITION BY StratificationCategory1, Stratification1),
+                       (SELECT avg(Habit) FROM habit_national)) AS Habit FROM lj),
+c AS (SELECT corr(Outcome, Driver) AS a12, corr(Outcome, Habit) AS a13, corr(Driver, Habit) AS a23
+      FROM im WHERE Outcome IS NOT NULL AND Driver IS NOT NULL AND Habit IS NOT NULL),
+e0 AS (SELECT *, a12 * a12 + a13 * a13 + a23 * a23 AS p1 FROM c),
+e1 AS (SELECT *, sqrt(2 * p1 / 6) AS p FROM e0),
+e2 AS (SELECT *, (2 * a12 * a13 * a23) / (p * p * p) / 2 AS r FROM e1),
+e3 AS (SELECT *, acos(greatest(least(r, 1.0), -1.0)) / 3 AS phi FROM e2),
+e4 AS (SELECT 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e3)
+SELECT 1 AS component, round_even(l1 / 3, 4) AS explained_ratio FROM e4
+UNION ALL SELECT 2, round_even((3 - l1 - l3) / 3, 4) FROM e4""")

@@ -561,9 +561,11 @@ def q_pca_points(spark, sf_dir):
 
 @register("pca_explained")
 def q_pca_explained(spark, sf_dir):
-    _, ev = _clustered(spark, sf_dir)
-    return spark.createDataFrame([(i + 1, float(round(v, 4))) for i, v in enumerate(ev)],
-                                 "component int, explained_ratio double")
+    data = clu.prepare(imputed(spark, sf_dir), SPEC)
+    _, ev = clu.pca2(data)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)],
+                                 "component int, explained_ratio double").select(
+        "component", F.bround("explained_ratio", 4).alias("explained_ratio"))
 
 
 # -- A: sources and sinks (round trips through the shared scratch folder) -------------------
