@@ -660,3 +660,38 @@ e3 AS (SELECT *, acos(greatest(least(r, 1.0), -1.0)) / 3 AS phi FROM e2),
 e4 AS (SELECT 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e3)
 SELECT 1 AS component, round_even(l1 / 3, 4) AS explained_ratio FROM e4
 UNION ALL SELECT 2, round_even((3 - l1 - l3) / 3, 4) FROM e4""")
+
+
+def _eigvec(l):
+    """Unit eigenvector of the correlation matrix for eigenvalue ``l`` (cross product of
+    two rows of R - l I), sign-fixed so the largest-magnitude entry is positive."""
+    return f"""(SELECT *, CASE WHEN abs(vx) >= abs(vy) AND abs(vx) >= abs(vz) THEN sign(vx)
+                      WHEN abs(vy) >= abs(vz) THEN sign(vy) ELSE sign(vz) END / nv AS s
+   FROM (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS nv FROM
+     (SELECT a12 * a23 - a13 * (1 - {l}) AS vx, a13 * a12 - (1 - {l}) * a23 AS vy,
+             (1 - {l}) * (1 - {l}) - a12 * a12 AS vz FROM ev)))"""
+
+
+oracle("pca_scores", f""",
+lj AS (SELECT o.YearStart, o.StratificationCategory1, o.Stratification1, o.Outcome, d.Driver, h.Habit
+  FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+  LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)),
+im0 AS (SELECT YearStart, StratificationCategory1, Stratification1, Outcome, Driver,
+               coalesce(Habit, avg(Habit) OVER (PARTITION BY StratificationCategory1, Stratification1),
+                        (SELECT avg(Habit) FROM habit_national)) AS Habit FROM lj),
+im AS (SELECT * FROM im0 WHERE Outcome IS NOT NULL AND Driver IS NOT NULL AND Habit IS NOT NULL),
+sd AS (SELECT avg(Outcome) AS mo, stddev_pop(Outcome) AS so, avg(Driver) AS md, stddev_pop(Driver) AS sdd,
+              avg(Habit) AS mh, stddev_pop(Habit) AS sh,
+              corr(Outcome, Driver) AS a12, corr(Outcome, Habit) AS a13, corr(Driver, Habit) AS a23 FROM im),
+e1 AS (SELECT *, sqrt(2 * (a12 * a12 + a13 * a13 + a23 * a23) / 6) AS p FROM sd),
+e2 AS (SELECT *, acos(greatest(least(a12 * a13 * a23 / (p * p * p), 1.0), -1.0)) / 3 AS phi FROM e1),
+ev AS (SELECT *, 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e2),
+ev2 AS (SELECT *, 3 - l1 - l3 AS l2 FROM ev),
+v1 AS {_eigvec('l1')},
+v2 AS {_eigvec('(SELECT l2 FROM ev2)')}
+SELECT {KEYS},
+  round_even(((Outcome - mo) / so) * v1.vx * v1.s + ((Driver - md) / sdd) * v1.vy * v1.s
+             + ((Habit - mh) / sh) * v1.vz * v1.s, 4) AS PCA1,
+  round_even(((Outcome - mo) / so) * v2.vx * v2.s + ((Driver - md) / sdd) * v2.vy * v2.s
+             + ((Habit - mh) / sh) * v2.vz * v2.s, 4) AS PCA2
+FROM im, sd, v1, v2""")

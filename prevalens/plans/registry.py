@@ -744,3 +744,11 @@ def q_box_outliers(spark, sf_dir):
     """Outlier points of the per-stratum outcome box plots."""
     o = nationals(spark, sf_dir)[0].select(*SPEC.national_keys, SPEC.outcome_col)
     return charts.box_outliers(o, [SPEC.category, SPEC.stratum], SPEC.outcome_col)
+
+
+@register("pca_scores")
+def q_pca_scores(spark, sf_dir):
+    """PCA projection of the standardised clustering features (sign-fixed components)."""
+    data = clu.prepare(imputed(spark, sf_dir), SPEC)
+    scored, _ = clu.pca2(data)
+    return rounded(scored.select(*SPEC.national_keys, "PCA1", "PCA2"))
