@@ -75,8 +75,10 @@ def prepare(df: DataFrame, features: list, spec, k: int = 5, seed: int = 42) ->
     scaled = windows.stratified_folds(scaled, spec.label, spec.national_keys, k, seed)
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="features")
     out = asm.transform(scaled).withColumn("label", F.col(spec.label).cast("double"))
+    # checkpointed (lineage cut) and persisted: the estimators then skip caching
+    # their own copy of the input on every fit; a lost block re-reads the checkpoint
     return right_sized(materialize(
-        out.select(*spec.national_keys, spec.category, "features", "label", "fold")))
+        out.select(*spec.national_keys, spec.category, "features", "label", "fold"))).persist()
 
 
 # -- estimators ------------------------------------------------------------------------

@@ -58,7 +58,8 @@ def prepare(imputed: DataFrame, spec) -> DataFrame:
     feats = features_of(spec)
     scaled = standardize(imputed, feats, "__z")
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in feats], outputCol="features")
-    return right_sized(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats])))
+    # checkpointed and persisted: the many K-Means starts share one cached copy
+    return right_sized(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats]))).persist()
 
 
 def _fit(data, k, seed, max_iter=300, tol=1e-4):
