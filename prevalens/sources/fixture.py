@@ -7,10 +7,11 @@ and a total row.  ``Data_Value`` is the mean line quantity of the cell and
 
 Scale notes (lineitem is the only table that grows fast):
 
-* lineitem is reduced per (order, class, question) *before* the join.  The
-  partial aggregate runs map-side, so an order that owns a third of all lines
-  collapses to at most four rows before anything is shuffled, and the result
-  is already hash-partitioned on the order key that the join needs.
+* lineitem is reduced to one row per order (a sum / count per class-question
+  cell) *before* the join.  The partial aggregate runs map-side, so an order
+  that owns a third of all lines collapses to one row before anything is
+  shuffled, and the result is hash-partitioned on exactly the order key the
+  join needs: lineitem is shuffled once.
 * orders / customer joins are plain equi-joins; AQE picks broadcast or
   sort-merge from runtime sizes and splits skewed partitions (a customer with
   a third of all orders).  nation has a fixed 25-row domain; the planner's own
@@ -52,6 +53,11 @@ def _question_expr(flag, partkey):
             .otherwise(habit_q))
 
 
+# (class, question) cells a line can fall in; a NULL class covers unknown flags
+_CELLS = [("Outcome", "outcome"), ("Driver", "driver"), ("Habit", "habit_a"),
+          ("Habit", "habit_b"), (None, "habit_a"), (None, "habit_b")]
+
+
 def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False) -> DataFrame:
     """The long survey table (8 survey columns; plus droppable extras if ``raw_columns``)."""
     flag, partkey = F.col("l_returnflag"), F.col("l_partkey")
@@ -59,12 +65,18 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
              .select("l_orderkey", "l_quantity",
                      _class_expr(flag).alias("Class"),
                      _question_expr(flag, partkey).alias("Question")))
-    # Decomposable pieces of avg / min / max, combined map-side per order.
-    per_order = (lines.groupBy("l_orderkey", "Class", "Question")
-                 .agg(F.sum("l_quantity").alias("qty"),
-                      F.count(F.lit(1)).alias("n"),
-                      F.min("l_quantity").alias("qmin"),
-                      F.max("l_quantity").alias("qmax")))
+    # One row per order, one sum / count / min / max per (class, question) cell.
+    # Grouping by the order key alone keeps the map-side combine (an order with
+    # a third of all lines collapses to one row before the shuffle) and leaves
+    # the result hash-partitioned on exactly the key the orders join needs, so
+    # lineitem is shuffled once.
+    aggs = []
+    for i, (c, q) in enumerate(_CELLS):
+        hit = F.col("Class").eqNullSafe(F.lit(c)) & (F.col("Question") == q)
+        qty = F.when(hit, F.col("l_quantity"))
+        aggs += [F.sum(qty).alias(f"qty{i}"), F.count(qty).alias(f"n{i}"),
+                 F.min(qty).alias(f"qmin{i}"), F.max(qty).alias(f"qmax{i}")]
+    per_order = lines.groupBy("l_orderkey").agg(*aggs)
 
     orders = (read_table(spark, sf_dir, "orders")
               .select("o_orderkey", "o_custkey", "o_orderpriority",
@@ -75,16 +87,22 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
         "n_nationkey", F.col("n_name").alias("LocationDesc"))
 
     joined = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
-              .where(~F.col("Class").eqNullSafe("Habit")
-                     | F.col("YearStart").isin(*HABIT_YEARS))
               .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-              .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-              .select("YearStart", "LocationDesc", "Class", "Question",
-                      "c_mktsegment", "o_orderpriority", "qty", "n", "qmin", "qmax"))
+              .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
+    # back to one row per (order, cell) with lines, just before the grouping sets
+    cell = F.explode(F.array(*[
+        F.struct(F.lit(c).cast("string").alias("Class"), F.lit(q).alias("Question"),
+                 F.col(f"qty{i}").alias("qty"), F.col(f"n{i}").alias("n"),
+                 F.col(f"qmin{i}").alias("qmin"), F.col(f"qmax{i}").alias("qmax"))
+        for i, (c, q) in enumerate(_CELLS)])).alias("cell")
+    long = (joined.select("YearStart", "LocationDesc", "c_mktsegment", "o_orderpriority", cell)
+            .select("YearStart", "LocationDesc", "c_mktsegment", "o_orderpriority", "cell.*")
+            .where((F.col("n") > 0)
+                   & (~F.col("Class").eqNullSafe("Habit") | F.col("YearStart").isin(*HABIT_YEARS))))
 
     keys = ["YearStart", "LocationDesc", "Class", "Question"]
     seg, prio = "c_mktsegment", "o_orderpriority"
-    cells = (joined.groupingSets([keys + [seg], keys + [prio], keys], *keys, seg, prio)
+    cells = (long.groupingSets([keys + [seg], keys + [prio], keys], *keys, seg, prio)
              .agg(F.grouping(seg).alias("_g_seg"), F.grouping(prio).alias("_g_prio"),
                   (F.sum("qty") / F.sum("n")).alias("Data_Value"),
                   F.sum("n").cast("double").alias("Sample_Size"),

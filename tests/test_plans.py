@@ -40,3 +40,22 @@ def test_checkpointed_view_feeds_every_branch(spark):
     # the three national tables of one query read the single checkpointed view
     text = _plan(E.queries()["join_three"](spark, SF_MID))
     assert "lineitem" not in text          # raw joins ran once, in the checkpoint job
+
+
+def test_lineitem_shuffled_once_when_joins_shuffle(spark):
+    """With broadcast off (cluster-scale sizes), the per-order pre-aggregate's
+    partitioning is reused by the orders join: one exchange of lineitem."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        text = _plan(survey_view(spark, SF_MID))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "SortMergeJoin" in text
+    assert text.count("Exchange hashpartitioning(l_orderkey") == 1
