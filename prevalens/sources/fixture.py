@@ -74,8 +74,9 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
     for i, (c, q) in enumerate(_CELLS):
         hit = F.col("Class").eqNullSafe(F.lit(c)) & (F.col("Question") == q)
         qty = F.when(hit, F.col("l_quantity"))
-        aggs += [F.sum(qty).alias(f"qty{i}"), F.count(qty).alias(f"n{i}"),
-                 F.min(qty).alias(f"qmin{i}"), F.max(qty).alias(f"qmax{i}")]
+        aggs += [F.sum(qty).alias(f"qty{i}"), F.count(qty).alias(f"n{i}")]
+        if raw_columns:   # min / max only feed the raw file's confidence-limit columns
+            aggs += [F.min(qty).alias(f"qmin{i}"), F.max(qty).alias(f"qmax{i}")]
     per_order = lines.groupBy("l_orderkey").agg(*aggs)
 
     orders = (read_table(spark, sf_dir, "orders")
@@ -90,11 +91,13 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
               .join(customer, F.col("o_custkey") == F.col("c_custkey"))
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     # back to one row per (order, cell) with lines, just before the grouping sets
-    cell = F.explode(F.array(*[
-        F.struct(F.lit(c).cast("string").alias("Class"), F.lit(q).alias("Question"),
-                 F.col(f"qty{i}").alias("qty"), F.col(f"n{i}").alias("n"),
-                 F.col(f"qmin{i}").alias("qmin"), F.col(f"qmax{i}").alias("qmax"))
-        for i, (c, q) in enumerate(_CELLS)])).alias("cell")
+    def cell_struct(i, c, q):
+        fields = [F.lit(c).cast("string").alias("Class"), F.lit(q).alias("Question"),
+                  F.col(f"qty{i}").alias("qty"), F.col(f"n{i}").alias("n")]
+        if raw_columns:
+            fields += [F.col(f"qmin{i}").alias("qmin"), F.col(f"qmax{i}").alias("qmax")]
+        return F.struct(*fields)
+    cell = F.explode(F.array(*[cell_struct(i, c, q) for i, (c, q) in enumerate(_CELLS)])).alias("cell")
     long = (joined.select("YearStart", "LocationDesc", "c_mktsegment", "o_orderpriority", cell)
             .select("YearStart", "LocationDesc", "c_mktsegment", "o_orderpriority", "cell.*")
             .where((F.col("n") > 0)
@@ -102,11 +105,11 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
 
     keys = ["YearStart", "LocationDesc", "Class", "Question"]
     seg, prio = "c_mktsegment", "o_orderpriority"
+    extra = [F.min("qmin").alias("_qmin"), F.max("qmax").alias("_qmax")] if raw_columns else []
     cells = (long.groupingSets([keys + [seg], keys + [prio], keys], *keys, seg, prio)
              .agg(F.grouping(seg).alias("_g_seg"), F.grouping(prio).alias("_g_prio"),
                   (F.sum("qty") / F.sum("n")).alias("Data_Value"),
-                  F.sum("n").cast("double").alias("Sample_Size"),
-                  F.min("qmin").alias("_qmin"), F.max("qmax").alias("_qmax")))
+                  F.sum("n").cast("double").alias("Sample_Size"), *extra))
 
     category = (F.when(F.col("_g_seg") == 0, F.lit(SEGMENT_CATEGORY))
                 .when(F.col("_g_prio") == 0, F.lit(PRIORITY_CATEGORY))
