@@ -71,3 +71,60 @@ def test_clean_matches_pandas(spark, seed):
     got["tot"] = got["tot"].astype(float)
     want_nat["tot"] = want_nat["tot"].astype(float)
     assert rows(got, ncols) == rows(want_nat, ncols)
+
+
+def _r(x, d):
+    return None if x is None or (isinstance(x, float) and np.isnan(x)) else round(float(x), d)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_summaries_match_pandas(spark, seed):
+    from prevalens.functions.stats import grouped_pearson_test
+    from prevalens.operators import aggregates as agg
+    rng = np.random.default_rng(seed)
+    n = 300
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c", "d"], n, p=[.4, .3, .25, .05]),
+                        "x": rng.normal(30, 5, n).round(2), "y": rng.normal(20, 3, n).round(2),
+                        "k": rng.integers(0, 3, n)})
+    pdf.loc[rng.random(n) < .1, "x"] = np.nan
+    sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                                "g string, x double, y double, k long")
+
+    # category summary: N counts every row (NaN included), stats skip NaN, 2 dp
+    got = {r["Category"]: r for r in agg.category_summary(sdf, "g", "x").collect()}
+    for cat, grp in pdf.groupby("g"):
+        s = grp["x"]
+        assert got[cat]["N"] == len(s)
+        assert got[cat]["Mean"] == _r(round(s.mean(), 2), 2)
+        assert got[cat]["Max"] == _r(round(s.max(), 2), 2)
+        if s.count() > 1:
+            assert abs(got[cat]["Std"] - s.std()) <= 0.005 + 1e-9
+
+    # column summary with linear quantiles (pandas default interpolation)
+    row = agg.column_summary(sdf, "x", "x", digits=6).first()
+    s = pdf["x"].dropna()
+    assert row["N"] == len(s)
+    for name, q in (("Q1", .25), ("Median", .5), ("Q3", .75)):
+        assert abs(row[name] - s.quantile(q)) < 1e-6
+
+    # crosstab row proportions and value-count shares
+    ct = pd.crosstab(pdf["g"], pdf["k"], normalize="index")
+    got = {r["g"]: r for r in agg.crosstab_normalized(sdf, "g", "k", [0, 1, 2]).collect()}
+    for cat in ct.index:
+        for k in (0, 1, 2):
+            want = ct.loc[cat, k] if k in ct.columns else 0.0
+            assert abs(got[cat][str(k)] - want) <= 0.0005 + 1e-12
+    vc = pdf["g"].value_counts(normalize=True)
+    got = {r["g"]: r["share"] for r in agg.value_counts(sdf, "g").collect()}
+    assert all(abs(got[c] - vc[c]) <= 0.00005 + 1e-12 for c in vc.index)
+
+    # grouped Pearson r on complete cases, groups with >= 5 rows
+    cc = pdf.dropna(subset=["x", "y"])
+    got = {r["Category"]: r for r in grouped_pearson_test(
+        sdf.na.drop(subset=["x", "y"]), "g", "x", "y").collect()}
+    for cat, grp in cc.groupby("g"):
+        if len(grp) >= 5:
+            assert abs(got[cat]["r"] - grp["x"].corr(grp["y"])) <= 0.00005 + 1e-12
+            assert got[cat]["n"] == len(grp)
+        else:
+            assert cat not in got
