@@ -128,3 +128,31 @@ def test_summaries_match_pandas(spark, seed):
             assert got[cat]["n"] == len(grp)
         else:
             assert cat not in got
+
+
+def test_imputation_matches_pandas(spark):
+    from prevalens.operators.windows import impute_group_mean
+    rng = np.random.default_rng(8)
+    n = 120
+    base = pd.DataFrame({"y": rng.integers(2000, 2010, n), "c": rng.choice(["c1", "c2", "c3"], n),
+                         "s": rng.choice(["s1", "s2"], n), "o": rng.normal(30, 4, n).round(2)})
+    base = base.drop_duplicates(["y", "c", "s"]).reset_index(drop=True)
+    habit = base.sample(frac=0.3, random_state=1)[["y", "c", "s"]].copy()
+    habit["h"] = rng.normal(25, 3, len(habit)).round(2)
+    habit = habit[~((habit["c"] == "c3") & (habit["s"] == "s2"))]     # a group with no habit data
+    # pandas: left join, group mean over the joined rows, global mean of the habit table
+    pj = base.merge(habit, on=["y", "c", "s"], how="left")
+    gm = pj.groupby(["c", "s"])["h"].mean().rename("gm").reset_index()
+    pj = pj.merge(gm, on=["c", "s"], how="left")
+    pj["flag"] = pj["h"].isna()
+    pj["h"] = pj["h"].fillna(pj["gm"]).fillna(habit["h"].mean())
+    want = sorted((int(r.y), r.c, r.s, round(r.h, 9), bool(r.flag)) for r in pj.itertuples())
+
+    sb = spark.createDataFrame(base)
+    sh = spark.createDataFrame(habit)
+    left = sb.join(sh, ["y", "c", "s"], "left")
+    from pyspark.sql import functions as F
+    out = impute_group_mean(left, "h", ["c", "s"], fallback=sh.agg(F.avg("h")).scalar(),
+                            flag_col="flag", required=["o", "h"])
+    got = sorted((int(r["y"]), r["c"], r["s"], round(r["h"], 9), r["flag"]) for r in out.collect())
+    assert got == want
