@@ -156,3 +156,39 @@ def test_imputation_matches_pandas(spark):
                             flag_col="flag", required=["o", "h"])
     got = sorted((int(r["y"]), r["c"], r["s"], round(r["h"], 9), r["flag"]) for r in out.collect())
     assert got == want
+
+
+def test_fold_metrics_match_numpy(spark):
+    from prevalens.plans.classification import fold_metrics
+    rng = np.random.default_rng(21)
+    rows = []
+    for f in range(3):
+        y = rng.integers(0, 2, 60)
+        score = np.round(rng.random(60) * 0.6 + 0.4 * y, 2)
+        pred = (score > 0.5).astype(int)
+        rows += [(f, float(a), float(b), float(c)) for a, b, c in zip(y, pred, score)]
+    pdf = pd.DataFrame(rows, columns=["fold", "label", "prediction", "score"])
+    got = {r["fold"]: r for r in fold_metrics(spark.createDataFrame(pdf), ["fold"]).collect()}
+    for f, g in pdf.groupby("fold"):
+        y, p, s = g["label"].values, g["prediction"].values, g["score"].values
+        tp, fp = ((y == 1) & (p == 1)).sum(), ((y == 0) & (p == 1)).sum()
+        fn = ((y == 1) & (p == 0)).sum()
+        prec, rec = tp / (tp + fp), tp / (tp + fn)
+        assert abs(got[f]["accuracy"] - (y == p).mean()) < 1e-12
+        assert abs(got[f]["precision"] - prec) < 1e-12 and abs(got[f]["recall"] - rec) < 1e-12
+        assert abs(got[f]["f1"] - 2 * prec * rec / (prec + rec)) < 1e-12
+        pos, neg = s[y == 1], s[y == 0]
+        auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) \
+            / (len(pos) * len(neg))
+        assert abs(got[f]["auc"] - auc) < 1e-12
+
+
+def test_hash_folds_match_python_md5(spark):
+    import hashlib
+    from prevalens.operators.windows import hash_folds
+    keys = [(1996 + i % 5, f"cat{i % 3}", f"s{i}") for i in range(200)]
+    df = spark.createDataFrame(keys, "y int, c string, s string")
+    got = {(r["y"], r["c"], r["s"]): r["fold"] for r in hash_folds(df, ["y", "c", "s"], 5, 42).collect()}
+    for y, c, s in keys:
+        h = int(hashlib.md5(f"42|{y}|{c}|{s}".encode()).hexdigest()[:7], 16)
+        assert got[(y, c, s)] == h % 5
