@@ -220,3 +220,20 @@ def test_global_rank_matches_sort(spark):
     got = {(r["a"], r["b"]): r["r"] for r in ranked}
     expected = sorted(zip(a.tolist(), b.tolist()))
     assert [got[k] for k in expected] == list(range(5000))
+
+
+def test_approx_switches_close_to_exact(spark):
+    from prevalens.operators import aggregates as agg
+    from prevalens.sources.profile import profile_source
+    df = spark.range(20000).select((F.col("id") % 997).cast("double").alias("x"),
+                                   (F.col("id") % 7).cast("string").alias("g"),
+                                   (F.col("id") % 3).cast("string").alias("c"),
+                                   (F.col("id") % 5 + 2000).cast("int").alias("y"))
+    exact = agg.column_summary(df, "x", "x", exact=True).first()
+    approx = agg.column_summary(df, "x", "x", exact=False).first()
+    for q in ("Q1", "Median", "Q3"):
+        assert abs(exact[q] - approx[q]) <= 2.0          # within a couple of ranks of 997 values
+    boxes = charts.box_stats(df, "g", "x", exact=False).collect()
+    assert len(boxes) == 7 and all(b["n"] > 0 for b in boxes)
+    prof = profile_source(df, class_col="c", location_col="g", year_col="y", approx=True).first()
+    assert prof["n_rows"] == 20000 and prof["n_locations"] == 7 and prof["years"].startswith("2000")
