@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Word separators of every contract: space, tab, newline, vertical tab, form feed, return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; the path may be on any store that Spark can read."""
+    # Python workers of a local run find this package where the driver found it
+    spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import jaccard_join, language, mixing, quality_model, quality_rules
 from .common import table
 
 
@@ -14,11 +15,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~out))
+    return language.predict(docs.select("doc_id", out.alias("held_out"), "text"), model,
+                            keep=["doc_id", "held_out"])
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = language.held_out(F.col("doc_id"), fold=1, folds=3)
+    model = quality_model.fit(docs, labels.where(~out))
+    return quality_model.predict(docs.select("doc_id", out.alias("held_out"), "text"), model,
+                                 keep=["doc_id", "held_out"])
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_source_mixing": op5_source_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
 }
