@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, mixing, quality_model, quality_rules
+from . import html_extract, jaccard_join, language, mixing, packing, pii, quality_model, quality_rules
 from .common import table
 
 
@@ -40,10 +40,37 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_text(pages, html_extract.fit(pages), keep=["page_id", "url"])
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs), keep=["doc_id"])
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(F.col("base"), lambda s: s["kind"] == F.lit(i))).cast("long").alias(f"n_{k}")
+              for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_source_mixing": op5_source_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_pii": op10_pii,
 }
