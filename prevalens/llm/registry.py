@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, language, mixing, packing, pii, quality_model, quality_rules
+from . import (fingerprints, html_extract, jaccard_join, language, mixing, packing, pii,
+               quality_model, quality_rules)
 from .common import table
 
 
@@ -44,6 +45,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_text(pages, html_extract.fit(pages), keep=["page_id", "url"])
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
