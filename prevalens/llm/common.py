@@ -47,7 +47,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times inside a row expression."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def words(text: Column) -> Column:

@@ -360,6 +360,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     return linked
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document, the smallest id, of every component; equal rows count once.
+
+    Rows with a null id are not compared and stay.
+    """
+    joined = join(docs.select(key, text), key, text, **options)
+    gone = joined.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    left = docs.join(gone, key, "left_anti")
+    known = left.where(F.col(key).isNotNull()).dropDuplicates([key, text])
+    return known.unionByName(left.where(F.col(key).isNull())).select(*docs.columns)
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     return (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")

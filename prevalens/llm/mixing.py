@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import saved, word_count, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -104,3 +104,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return positioned.select("doc_id", F.col("src").alias("source"), *(carry or []), "size",
                              F.col("source_size").cast("long").alias("source_size"), "target",
                              taken.alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
+               weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per whole epoch of a document, and
+    one with its first words where the budget ends inside it."""
+    packed = docs.select("*", F.struct(*docs.columns).alias("__row"))
+    taken = mix(packed, text, source, key, weights, max_epochs, seed, carry=["__row"])
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(-1), whole),
+                     F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = taken.select("__row", F.explode(parts).alias("first_words"))
+    old = F.col(f"__row.{text}")
+    new = F.when(F.col("first_words") < 0, old).otherwise(
+        F.array_join(F.slice(words(old), 1, F.greatest(F.col("first_words"), F.lit(0))), " "))
+    return rows.select(*[new.alias(c) if c == text else F.col(f"__row.{c}").alias(c) for c in docs.columns])

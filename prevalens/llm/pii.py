@@ -358,6 +358,36 @@ def detect(docs: DataFrame, model: dict | None, text: str = "text", keep: list |
     return source.mapInArrow(run, schema)
 
 
+def masked(text: str, spans: list) -> str:
+    """The text with every span replaced by its kind in angle brackets; overlaps count as one."""
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """``docs`` with all spans of ``text`` masked; a null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in slices(batch, text):
+                texts = part.column(at).to_pylist()
+                known = [t or "" for t in texts]
+                base = [base_spans(t) for t in known]
+                more = model_spans(known, shared.value, base) if shared.value else [[]] * len(known)
+                new = [t if t is None else masked(t, sorted(b + m)) for t, b, m in zip(texts, base, more)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) if i != at else pa.array(new, pa.string()) for i in range(part.num_columns)],
+                    names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def listed(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

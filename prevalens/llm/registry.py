@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fingerprints, html_extract, jaccard_join, language, mixing, packing, pii,
-               quality_model, quality_rules)
+from . import (fingerprints, html_extract, jaccard_join, language, licenses, mixing, packing,
+               pii, quality_model, quality_rules)
 from .common import table
 
 
@@ -37,6 +37,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  keep=["doc_id", "held_out"])
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(field: str):
+        return F.array_join(F.transform("licenses", lambda x: x[field].cast("string")), ",")
+
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+                        listed("license").alias("licenses"), listed("start_word").alias("start_words"),
+                        listed("containment").alias("containments"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
