@@ -1,7 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set is its distinct five-word shingles.  Sets with equal shingles
-are one class; only the class representative (smallest id) goes on.
+are one class, named by a 64-bit key of the set; a task signs a class once,
+however many copies it reads, so a large group of copies adds one entry per task.
 
 Signatures.  A pair with Jaccard similarity of at least g has a symmetric
 difference of at most (|a| + |b|) (1 - g) / (1 + g).  Sizes are cut into bands
@@ -18,7 +19,7 @@ never empty); of two linked sets the one that stops first decides.  A set with
 fewer such partitions emits all it has, and the single shingles too, so that
 two of these sets meet as well.  No linked pair is lost.
 
-Level one (n2 = 1, k2 = 0) signs every representative.  Signatures held by more
+Level one (n2 = 1, k2 = 0) signs every class.  Signatures held by more
 than ``max_group`` sets are not expanded into pairs: their sets are compared
 with the group's first set only, and those that are not yet all in one
 component are signed again on the next level, whose signatures hold more
@@ -26,8 +27,10 @@ elements.  Every linked pair of such a group lies in this smaller input, so a
 level is complete for it; the last level compares what is left in full, in
 blocks that Spark spreads.
 
-Candidate pairs are verified on the shingle sets themselves (64-bit hashes),
-and links are closed into components by repeated minimum labels.
+Candidate pairs pass two lower bounds of the symmetric difference (counts of
+elements in cells, first few cells, then many), which never reject a linked
+pair, and are then verified on the shingle sets themselves (64-bit hashes).
+Links are closed into components by repeated minimum labels.
 
 Edge cases: null or empty text and texts without words have the empty set and
 are linked with nothing; fewer than five words make one shingle; a null id
@@ -41,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +59,10 @@ LEVELS = ((1, 0), (4, 1), (6, 2))
 DOCS_PER_BUCKET = 4_000
 #: Cells of the count sketch; the sum of cell differences never exceeds the symmetric difference.
 SKETCH = 128
+#: Cells of the fine sketch of a set: about its size, within these powers of two.
+FINE = (7, 13)
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -71,30 +79,42 @@ def shingle_sets(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarr
     return h[new], np.concatenate([[0], np.cumsum(new)])[cuts]
 
 
-def set_keys(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(id, n_shingles, k1, k2, sketch): equal sets have equal keys and sketches.
+def _set_sums(h: np.ndarray, cuts: np.ndarray) -> list:
+    """Two 64-bit keys of every set: order-free sums of differently mixed hashes."""
+    return [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[cuts])
+            .astype(np.uint64).view(np.int64) for x in (mixed(h), mixed(h ^ np.uint64(0x5851F42D4C957F2D)))]
 
-    The sketch holds the number of elements in each of ``SKETCH`` cells, at most 255.
-    """
+
+def _sketches(h: np.ndarray, cuts: np.ndarray) -> tuple[list, list]:
+    """Numbers of elements (at most 255) in ``SKETCH`` cells and in about as many cells as elements."""
+    sizes = np.diff(cuts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = mixed(h + np.uint64(41))
+    coarse = np.minimum(np.bincount(
+        owner * SKETCH + (cell % np.uint64(SKETCH)).astype(np.int64), minlength=len(sizes) * SKETCH),
+        255).astype(np.uint8).reshape(-1, SKETCH)
+    width = np.int64(1) << np.clip(np.frexp(np.maximum(sizes, 1))[1], *FINE).astype(np.int64)
+    begin = np.cumsum(width) - width
+    at = begin[owner] + (cell % width[owner].astype(np.uint64)).astype(np.int64)
+    fine = np.minimum(np.bincount(at, minlength=int(width.sum())), 255).astype(np.uint8)
+    return ([c.tobytes() for c in coarse],
+            [fine[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + width).tolist())])
+
+
+def set_keys(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(id, n_shingles, k1, k2, sketch, fine): equal sets have equal keys and sketches."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
                 h, cuts = shingle_sets(part.column("t"), n)
-                sums = [np.diff(np.concatenate([np.zeros(1, np.uint64),
-                                                np.cumsum(x, dtype=np.uint64)])[cuts])
-                        for x in (mixed(h), mixed(h ^ np.uint64(0x5851F42D4C957F2D)))]
-                owner = np.repeat(np.arange(part.num_rows), np.diff(cuts))
-                cells = np.minimum(np.bincount(
-                    owner * SKETCH + (mixed(h + np.uint64(41)) % np.uint64(SKETCH)).astype(np.int64),
-                    minlength=part.num_rows * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+                coarse, fine = _sketches(h, cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.diff(cuts)),
-                     *[pa.array(s.astype(np.uint64).view(np.int64)) for s in sums],
-                     pa.array([c.tobytes() for c in cells], pa.binary())],
-                    names=["id", "n_shingles", "k1", "k2", "sketch"])
+                    [part.column("id"), pa.array(np.diff(cuts)), *map(pa.array, _set_sums(h, cuts)),
+                     pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["id", "n_shingles", "k1", "k2", "sketch", "fine"])
 
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, sketch binary")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, sketch binary, fine binary")
 
 
 def signatures(h: np.ndarray, cuts: np.ndarray, level: tuple, threshold=THRESHOLD) -> tuple:
@@ -154,30 +174,37 @@ def signatures(h: np.ndarray, cuts: np.ndarray, level: tuple, threshold=THRESHOL
 
 
 def _signature_blocks(texts: DataFrame, level: tuple, buckets: int, n: int, threshold) -> DataFrame:
-    """(bucket, signatures, slots, ids): per task batch and bucket, signatures as packed 32-bit ints."""
+    """(bucket, sigs, slots, ids): per task batch and bucket, 32-bit signatures and the class keys."""
     def run(batches):
         for batch in batches:
-            found = []
-            base = 0
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            found, names, base = [], [], 0
             for part in slices(batch, "t"):
-                s, d = signatures(*shingle_sets(part.column("t"), n), level, threshold)
+                h, cuts = shingle_sets(part.column("t"), n)
+                names.append(_set_sums(h, cuts)[0])
+                # a class that this slice holds twice is signed once
+                once = np.zeros(part.num_rows, dtype=bool)
+                once[np.unique(names[-1], return_index=True)[1]] = True
+                sizes = np.diff(cuts)
+                keep = np.repeat(once, sizes)
+                s, d = signatures(h[keep], np.concatenate([[0], np.cumsum(np.where(once, sizes, 0))]),
+                                  level, threshold)
                 found.append((s, d + base))
                 base += part.num_rows
             if not found:
                 continue
             s, d = (np.concatenate(x) for x in zip(*found))
+            ids = np.concatenate(names)
             b = (s >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(b, kind="stable")
             s, d, b = s[order].astype("<u4"), d[order], b[order]
             at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
             rows = {"bucket": [], "sigs": [], "slots": [], "ids": []}
             for x, y in zip(at, np.append(at[1:], len(b)) if len(b) else []):
-                own, slot = np.unique(d[x:y], return_inverse=True)
+                own, slot = np.unique(ids[d[x:y]], return_inverse=True)
                 rows["bucket"].append(int(b[x]))
                 rows["sigs"].append(s[x:y].tobytes())
                 rows["slots"].append(slot.astype("<u2" if len(own) < 65536 else "<u4").tobytes())
-                rows["ids"].append(ids[own].astype("<i8").tobytes())
+                rows["ids"].append(own.astype("<i8").tobytes())
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(rows["bucket"], pa.int32()), "sigs": pa.array(rows["sigs"], pa.binary()),
                 "slots": pa.array(rows["slots"], pa.binary()), "ids": pa.array(rows["ids"], pa.binary())})
@@ -232,31 +259,48 @@ def _candidates(blocks: DataFrame, max_group: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "a long, b long, big long")
 
 
-def _possible(pairs: DataFrame, reps: DataFrame, threshold) -> DataFrame:
+def _possible(pairs: DataFrame, reps: DataFrame, column: str, threshold) -> DataFrame:
     """The pairs whose sketches allow the similarity; what goes has a larger symmetric difference."""
     num, den = threshold
     side = {x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"),
-                           F.col("sketch").alias(f"s{x}")) for x in "ab"}
+                           F.col(column).alias(f"s{x}")) for x in "ab"}
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
-                    .reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
-            both = (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
-            keep = pa.array(np.abs(x - y).sum(axis=1) * (num + den) <= both * (den - num))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+            # sketches of the same widths side by side; the wider one is folded
+            widths = [pc.binary_length(batch.column(c)).to_numpy() for c in ("sa", "sb")]
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for wide in {(int(x), int(y)) for x, y in zip(*widths)}:
+                rows = np.flatnonzero((widths[0] == wide[0]) & (widths[1] == wide[1]))
+                cells = [np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), np.uint8)
+                         .reshape(len(rows), -1, min(wide)).astype(np.int32).sum(axis=1) for c in ("sa", "sb")]
+                # a cell holds at most 255, so only sums below that are exact
+                cells = [np.minimum(c, 255) for c in cells]
+                least = np.abs(cells[0] - cells[1]).sum(axis=1)
+                keep[rows] = least * (num + den) <= both[rows] * (den - num)
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "ab"], names=["a", "b"])
 
     sized = (pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b")
              .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids: broadcast up to ``BROADCAST_IDS`` of them, a shuffle join beyond."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, threshold) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     num, den = threshold
-    pairs = saved(_possible(pairs, reps, threshold), "join-possible")
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    pairs = saved(_possible(pairs, reps, "sketch", threshold), "join-possible")
+    pairs = saved(_possible(pairs, reps, "fine", threshold), "join-likely")
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
+    few = saved(_pick(texts, ids).dropDuplicates(["id"]), "join-texts")
+    left = few.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+    right = few.select(F.col("id").alias("b"), F.col("t").alias("tb"))
 
     def run(batches):
         for batch in batches:
@@ -264,24 +308,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, thres
             done, held = 0, (None, None)
             for part in slices(batch, "tb"):
                 h, cuts = shingle_sets(part.column("tb"), n)
-                ids, texts_a = part.column("a").to_pylist(), part.column("ta")
+                names, texts_a = part.column("a").to_pylist(), part.column("ta")
                 for i in range(part.num_rows):
-                    if held[0] != ids[i]:
-                        held = (ids[i], shingle_sets(texts_a.slice(i, 1), n)[0])
+                    if held[0] != names[i]:
+                        held = (names[i], shingle_sets(texts_a.slice(i, 1), n)[0])
                     x, y = held[1], h[cuts[i]:cuts[i + 1]]
-                    both = len(x) + len(y)
-                    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+                    if not len(x) or not len(y):
                         continue
                     at = np.searchsorted(x, y)
                     at[at == len(x)] = 0
-                    same = int((x[at] == y).sum()) if len(x) else 0
-                    keep[done + i] = den * same >= num * (both - same) and same > 0
+                    same = int((x[at] == y).sum())
+                    keep[done + i] = den * same >= num * (len(x) + len(y) - same)
                 done += part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))],
-                names=["a", "b"])
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "ab"], names=["a", "b"])
 
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -317,47 +359,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     spark = docs.sparkSession
     keys = saved(set_keys(docs, key, text, n), "join-keys")
     classes = (keys.where("n_shingles > 0 and id is not null").groupBy("k1", "k2", "n_shingles")
-               .agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
-    reps = saved(classes.select(F.col("rep").alias("id"), "n_shingles", "sketch"), "join-reps")
+               .agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
+    reps = saved(classes, "join-reps")
     texts = (docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-             .where(F.col("t").isNotNull()))
-    links, todo, labels = None, reps.select("id").distinct(), None
+             .where(F.col("t").isNotNull() & F.col("id").isNotNull()))
+    names = {x: reps.select(F.col("k1").alias(f"k{x}"), F.col("id").alias(x)) for x in "ab"}
+    links, todo, labels = None, None, None
     for depth, level in enumerate(LEVELS):
-        last = depth == len(LEVELS) - 1
-        count = todo.count()
+        count = (todo if depth else reps).count()
         if not count:
             break
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // DOCS_PER_BUCKET)
-        blocks = _signature_blocks(texts.join(todo, "id"), level, buckets, n, threshold)
-        found = saved(_candidates(blocks, max_group), "join-candidates")
-        pairs = found.select("a", "b").distinct()
+        source = _pick(texts, todo) if depth else texts
+        found = saved(_candidates(_signature_blocks(source, level, buckets, n, threshold), max_group),
+                      "join-candidates")
+        pairs = (found.select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
+                 .join(names["a"], "ka").join(names["b"], "kb").select("a", "b"))
         if depth:          # pairs inside one component tell nothing new
             pairs = _across(pairs, labels)
         good = saved(_verified(pairs, reps, texts, n, threshold), "join-links")
         links = good if links is None else links.union(good)
         labels = components(links)
-        groups = found.where("big <> 0")
-        # ids of the big groups that are not yet in one component
-        star = groups.select("big", F.col("a").alias("id")).union(groups.select("big", F.col("b").alias("id")))
-        named = (star.distinct().join(labels, "id", "left")
+        # classes of the big groups that are not yet in one component
+        star = (found.where("big <> 0").select("big", F.explode(F.array("a", "b")).alias("ka")).distinct()
+                .join(names["a"], "ka").select("big", F.col("a").alias("id")))
+        named = (star.join(labels, "id", "left")
                  .withColumn("component", F.coalesce("component", "id")))
-        mixed_groups = (named.groupBy("big").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                        .where("x <> y").select("big"))
-        rest = named.join(mixed_groups, "big")
-        if last:
-            links = links.union(_verified(_block_pairs(rest), reps, texts, n, threshold))
+        apart = (named.groupBy("big").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                 .where("x <> y").select("big"))
+        rest = named.join(apart, "big")
+        if depth == len(LEVELS) - 1:
+            links = links.union(saved(_verified(_block_pairs(rest), reps, texts, n, threshold), "join-links"))
             labels = components(links)
         else:
             todo = saved(rest.select("id").distinct(), "join-todo")
     if labels is None:
         labels = spark.createDataFrame([], "id long, component long")
-    in_class = classes.drop("sketch").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "k1", "k2", "n_shingles", F.col("rep").alias("class_id"),
-        F.coalesce("component", "rep").alias("component_id"))
-    linked = keys.drop("sketch").join(in_class, ["k1", "k2", "n_shingles"], "left").select(
+    in_class = reps.join(labels, "id", "left").select(
+        "k1", "k2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    return keys.drop("sketch", "fine").join(in_class, ["k1", "k2", "n_shingles"], "left").select(
         F.col("id").alias(key), "n_shingles", F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"))
-    return linked
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
