@@ -9,10 +9,10 @@ whole-stage codegen, and the DuckDB oracle embeds the same math.
   ~1e-16), as published by G. West (2005).
 * normal quantile: Acklam's rational approximation plus one Halley step
   against the CDF above (error ~1e-14).
-* two-sided Student t p-value for integer df: the finite series of
-  Abramowitz & Stegun 26.7.3/26.7.4 (exact up to rounding); above
-  ``T_SERIES_MAX_DF`` degrees of freedom, the normal tail with the first
-  Edgeworth correction (error well below 1e-8 there).
+* two-sided Student t p-value: the regularised incomplete beta function by its
+  continued fraction, one formula for all degrees of freedom.  (The SQL text
+  version, used for the oracle twins only, sums the finite series of
+  Abramowitz & Stegun 26.7.3/26.7.4 instead, so the two are independent.)
 """
 
 from __future__ import annotations
@@ -68,23 +68,6 @@ def normal_sf_sql(x: str) -> str:
     return normal_cdf_sql(f"-({x})")
 
 
-def normal_ppf_sql(p: str) -> str:
-    """Phi^-1(p) as SQL text (NULL outside (0, 1))."""
-    q_tail = f"sqrt(-2.0 * ln({p}))"
-    q_up = f"sqrt(-2.0 * ln(1.0 - ({p})))"
-    tail = lambda q: f"({_horner(_ACKLAM_C, q)} / ({_horner(_ACKLAM_D, q)} * ({q}) + 1.0))"
-    r = f"(({p}) - 0.5) * (({p}) - 0.5)"
-    central = (f"({_horner(_ACKLAM_A, r)} * (({p}) - 0.5) / "
-               f"({_horner(_ACKLAM_B, r)} * ({r}) + 1.0))")
-    x0 = (f"(CASE WHEN ({p}) < {_ACKLAM_SPLIT} THEN {tail(q_tail)} "
-          f"WHEN ({p}) <= {1 - _ACKLAM_SPLIT!r} THEN {central} "
-          f"ELSE -{tail(q_up)} END)")
-    # one Halley refinement step
-    u = f"(({normal_cdf_sql(x0)} - ({p})) * {_SQRT_2PI!r} * exp({x0} * {x0} / 2.0))"
-    refined = f"({x0} - {u} / (1.0 + {x0} * {u} / 2.0))"
-    return f"(CASE WHEN ({p}) > 0.0 AND ({p}) < 1.0 THEN {refined} END)"
-
-
 def _t_tail_normal_sql(t: str, nu: str) -> str:
     ta = f"abs({t})"
     phi = f"(exp(-({ta}) * ({ta}) / 2.0) / {_SQRT_2PI!r})"
@@ -195,33 +178,59 @@ def with_normal_ppf(df, p_col: str, out_col: str):
     return staged.withColumn(out_col, x0 - u / (1.0 + x0 * u / 2.0)).drop("_ppf_x0", "_ppf_u")
 
 
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): a product up to a + 12, then the asymptotic series."""
+    out, top = F.lit(1.0), a + 12.0
+    for j in range(12):
+        out = out * (a + float(j)) / (a + (j + 0.5))
+    i2 = 1.0 / (top * top)
+    return out * F.exp(0.5 * F.log(top) - (1.0 / 8 - (1.0 / 192 - (1.0 / 640 - 17.0 / 14336 * i2) * i2) * i2) / top)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated forwards.
+
+    The even and odd coefficients of step m multiply the running value with the
+    ratio of two successive convergents, until ``steps``.
+    """
+    def guarded(v: Column) -> Column:
+        return F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def turn(s: Column, k: Column) -> Column:
+        below = 1.0 / guarded(1.0 + k * s["below"])
+        above = guarded(1.0 + k / s["above"])
+        return F.struct(above.alias("above"), below.alias("below"), (s["value"] * above * below).alias("value"))
+
+    def step(s: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # bind the half step, so that it is evaluated once
+        return F.transform(F.array(turn(s, even)), lambda h: turn(h, odd))[0]
+
+    first = 1.0 / guarded(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("above"), first.alias("below"), first.alias("value"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, lambda s: s["value"])
+
+
 def t_two_sided_p(t: Column, nu: Column) -> Column:
-    """Two-sided p of Student t with integer df ``nu``."""
-    nu_l = nu.cast("long")
-    th = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
-    s, c = F.sin(th), F.cos(th)
-    cc = c * c
-
-    def series(m, first, ratio):
-        # sum_{k=0..m} term_k with term_0 = first, term_k = term_{k-1} * ratio(k) * cos^2
-        start = F.struct(first.alias("t"), first.alias("s"))
-        body = F.aggregate(
-            F.sequence(F.lit(1).cast("long"), m), start,
-            lambda acc, k: F.struct((acc["t"] * ratio(k) * cc).alias("t"),
-                                    (acc["s"] + acc["t"] * ratio(k) * cc).alias("s")),
-            lambda acc: acc["s"])
-        return F.when(m >= 1, body).when(m == 0, first).otherwise(F.lit(0.0))
-
-    even = s * series(F.floor(nu_l / 2) - 1, F.lit(1.0), lambda k: (2 * k - 1) / (2 * k))
-    odd = 2.0 / math.pi * (th + s * series(F.floor((nu_l - 3) / 2), c,
-                                           lambda k: (2 * k) / (2 * k + 1)))
-    a = F.when(nu_l % 2 == 0, even).otherwise(odd)
-    ta = F.abs(t)
-    phi = F.exp(-ta * ta / 2.0) / _SQRT_2PI
-    normal_tail = 2.0 * (normal_sf(ta) + phi * (ta * ta * ta + ta) / (4.0 * nu.cast("double")))
+    """Two-sided p of Student t with ``nu`` degrees of freedom: I_x(nu/2, 1/2), x = nu / (nu + t^2).
+
+    One formula for every ``nu``.  The tail is computed directly, so small p-values
+    keep their relative accuracy; for small |t| (p above about 0.08) the complement
+    converges faster.  The number of steps grows with the square root of ``nu``.
+    """
+    nu = nu.cast("double")
+    half, a = F.lit(0.5), nu / 2.0
+    steps = F.least(F.ceil(60 + 6 * F.sqrt(nu)), F.lit(2_000_000)).cast("long")
+    square = t * t
+    x, y = nu / (nu + square), square / (nu + square)
+    # x^a (1 - x)^(1/2) / B(a, 1/2)
+    front = F.exp(-a * F.log1p(square / nu)) * F.sqrt(y) * _gamma_ratio(a) / math.sqrt(math.pi)
+    tail = front * _beta_fraction(a, half, x, steps) / a
+    middle = 1.0 - front * _beta_fraction(half, a, y, steps) / half
     return (F.when(nu.isNull() | (nu < 1) | t.isNull(), F.lit(None).cast("double"))
-            .when(nu > T_SERIES_MAX_DF, normal_tail)
-            .otherwise(F.greatest(1.0 - a, F.lit(0.0))))
+            .when(square > 3.0, tail).otherwise(middle))
 
 
 def pearson_p(r: Column, n: Column) -> Column:

@@ -30,10 +30,6 @@ def safe_divide(num, den) -> Column:
     return F.try_divide(col(num), F.nullif(col(den), F.lit(0)))
 
 
-def zero_if_null(c) -> Column:
-    return F.coalesce(col(c), F.lit(0.0))
-
-
 def contains_ci(c, pattern: str) -> Column:
     """Case-insensitive regex "contains"; NULL input gives False."""
     return F.coalesce(col(c).rlike(f"(?i){pattern}"), F.lit(False))
@@ -61,22 +57,12 @@ def significance_stars(p) -> Column:
             .when(p < 0.05, "*").otherwise(""))
 
 
-def significance_text(p) -> Column:
-    p = col(p)
-    return (F.when(p < 0.001, "Significant ***").when(p < 0.01, "Significant **")
-            .when(p < 0.05, "Significant *").otherwise("Not significant"))
-
-
 def vif_band(v) -> Column:
     """VIF > 10 problem, > 5 warning, else ok."""
     v = col(v)
     return F.when(v > 10, "problem").when(v > 5, "warning").otherwise("ok")
 
 
-def normality_text(p, alpha: float = 0.05) -> Column:
-    return F.when(col(p) > alpha, "Normal (p>0.05)").otherwise("Non-normal (p<0.05)")
-
-
 def map_values(c, mapping: dict, default=None) -> Column:
     """Dictionary lookup as a literal map (no join, no UDF)."""
     if not mapping:
@@ -86,13 +72,6 @@ def map_values(c, mapping: dict, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def log_space(start_exp: float, stop_exp: float, num: int) -> Column:
-    """Array of ``num`` log-spaced values 10^start .. 10^stop (numpy.logspace)."""
-    step = (stop_exp - start_exp) / (num - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(num - 1)),
-                       lambda i: F.pow(F.lit(10.0), F.lit(start_exp) + i * F.lit(step)))
-
-
 def lin_space(lo, hi, num: int) -> Column:
     """Array of ``num`` evenly spaced values from lo to hi inclusive."""
     lo, hi = col(lo), col(hi)

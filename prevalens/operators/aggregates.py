@@ -15,8 +15,9 @@ from ..functions.scalar import round_half_even, row_mean, safe_divide
 # -- national roll-up --------------------------------------------------------------
 
 def weighted_mean(value_col: str, weight_col: str) -> Column:
-    """Sum(v*w)/sum(w) over pairs where both are present; all-NULL cell -> NULL."""
-    v, w = F.col(value_col), F.col(weight_col)
+    """Sum(v*w)/sum(w) over pairs where both are present (NaN is missing); none -> NULL."""
+    nan = F.lit(float("nan"))
+    v, w = (F.nullif(F.col(c).cast("double"), nan) for c in (value_col, weight_col))
     both = v.isNotNull() & w.isNotNull()
     return safe_divide(F.sum(F.when(both, v * w)), F.sum(F.when(both, w)))
 

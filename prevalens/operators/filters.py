@@ -19,15 +19,6 @@ def drop_columns(df: DataFrame, names) -> tuple:
     return df.drop(*present), present, absent
 
 
-def project_keys(df: DataFrame, keys: list, *measures) -> DataFrame:
-    return df.select(*keys, *measures)
-
-
-def rename_columns(df: DataFrame, mapping: dict) -> DataFrame:
-    mapping = {k: v for k, v in mapping.items() if k in df.columns}
-    return df.withColumnsRenamed(mapping) if mapping else df
-
-
 def complete_cases(df: DataFrame, subset: list | None = None) -> DataFrame:
     """Drop rows with a NULL (or NaN) in any / the named columns."""
     return df.na.drop(how="any", subset=subset)
@@ -44,11 +35,6 @@ def class_contains(df: DataFrame, class_col: str, pattern: str) -> DataFrame:
     return df.where(contains_ci(class_col, pattern))
 
 
-def split_by_class(df: DataFrame, class_col: str, patterns: dict) -> dict:
-    """One lazy filter per pattern (subsets need not be exclusive)."""
-    return {name: class_contains(df, class_col, p) for name, p in patterns.items()}
-
-
 def class_split_counts(df: DataFrame, class_col: str, patterns: dict) -> DataFrame:
     """Row count of each class subset in one pass (``count_if`` per pattern)."""
     return df.agg(*[F.count_if(contains_ci(class_col, p)).alias(f"n_{name}")
@@ -56,10 +42,6 @@ def class_split_counts(df: DataFrame, class_col: str, patterns: dict) -> DataFra
                   F.count(F.lit(1)).alias("n_total"))
 
 
-def question_in(df: DataFrame, question_col: str, questions) -> DataFrame:
-    return df.where(F.col(question_col).isin(list(questions)))
-
-
 def equals(df: DataFrame, c: str, value) -> DataFrame:
     """``total_only`` / ``strat_only``: equality filter on one column."""
     return df.where(F.col(c) == F.lit(value))
@@ -91,10 +73,6 @@ def min_rows(df: DataFrame, n: int) -> DataFrame:
     return df.where(df.agg(F.count(F.lit(1))).scalar() >= F.lit(n))
 
 
-def imputed_flag(c) -> Column:
-    return col(c).isNull()
-
-
 # -- validation -----------------------------------------------------------------
 
 class ValidationError(ValueError):
@@ -128,7 +106,3 @@ def validate_table(df: DataFrame, **kwargs) -> DataFrame:
     if failed:
         raise ValidationError("validation failed: " + ", ".join(failed))
     return df
-
-
-def all_of(*conds) -> Column:
-    return reduce(lambda a, b: a & b, conds)

@@ -14,10 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
-    return left.join(right, on=keys, how=how)
-
-
 def join_measures(frames: list, keys: list, how: str = "inner",
                   drop_incomplete: bool = True) -> DataFrame:
     """Join (frame, [measures]) pairs on ``keys``; optionally drop rows with any NULL.

@@ -77,6 +77,7 @@ def stratified_folds(df: DataFrame, label_col: str, key_cols: list, k: int = 5,
 
     The rank is a bucketed prefix count, so a label holding most of the rows
     is spread over many tasks instead of one window partition per label.
+    Rows with a null label are dealt among themselves and stay.
     """
     tagged = df.withColumn("_h", key_hash(key_cols, seed)).withColumn("_one", F.lit(1))
     ranked = prefix_sums(tagged, "_h", ["_one"], group_cols=[label_col], tie_cols=key_cols,
@@ -109,7 +110,7 @@ def impute_group_mean(df: DataFrame, value_col: str, group_cols: list, *,
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: list | None = None,
-                descending: bool = False, inclusive: bool = True, buckets: int = 256,
+                descending: bool = False, inclusive: bool = True, buckets: int | None = None,
                 prefix: str = "cum_", tie_cols: list | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` in ``order_col`` order (per ``group_cols``),
     without a single-task global window.
@@ -121,27 +122,45 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list, *, group_cols: li
     partitioned by (group, bucket), so the work spreads over ``buckets`` tasks
     per group.  Callers pass one row per distinct order value (e.g. per score),
     so a heavily repeated value is a single row here.
+
+    ``buckets`` only sets how far the work spreads (default: twice the shuffle
+    partitions, at least 256); results do not depend on it.  Rows with a null
+    order value come first (last when descending), a null group is a group.
     """
     groups = list(group_cols or [])
+    if buckets is None:
+        buckets = max(256, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     qs = [i / buckets for i in range(1, buckets)]
     # ``buckets - 1`` numbers, fetched once and inlined as literals: the bucket
     # is the count of bounds below x, a flat sum of comparisons in codegen.
     row = df.agg(F.percentile_approx(order_col, qs, 10 * buckets).alias("b")).first()
     x = F.col(order_col)
-    b = F.lit(0)
-    for v in sorted(set(row["b"] or [])):
-        b = b + (x > F.lit(float(v))).cast("int")
+    bounds = sorted(set(float(v) for v in row["b"] or []))
+    if len(bounds) <= 256:
+        b = F.lit(0)
+        for v in bounds:
+            b = b + (x > F.lit(v)).cast("int")
+    else:              # too many comparisons for one generated method
+        b = F.size(F.filter(F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>"),
+                            lambda v: v < x))
     if descending:
         b = F.lit(buckets) - b
+    b = F.when(x.isNull(), F.lit(buckets + 1 if descending else -1)).otherwise(b)
     tagged = df.withColumn("_bucket", b)
     totals = tagged.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    order = F.desc(order_col) if descending else F.asc(order_col)
+    order = F.desc_nulls_last(order_col) if descending else F.asc_nulls_first(order_col)
     within = Window.partitionBy(*groups, "_bucket").orderBy(order, *(tie_cols or [])).rowsBetween(
         Window.unboundedPreceding, 0)
-    out = tagged.join(offsets, [*groups, "_bucket"])
+    # null-safe: a null group keeps its rows
+    keyed = offsets.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate([*groups, "_bucket"])],
+                           *[f"_o_{c}" for c in sum_cols])
+    match = F.lit(True)
+    for i, c in enumerate([*groups, "_bucket"]):
+        match = match & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
+    out = tagged.join(keyed, match).drop(*[f"_g_{i}" for i in range(len(groups) + 1)])
     for c in sum_cols:
         run = F.col(f"_o_{c}") + F.sum(c).over(within)
         out = out.withColumn(f"{prefix}{c}", run if inclusive else run - F.col(c))

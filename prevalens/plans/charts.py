@@ -40,9 +40,9 @@ def kde(df: DataFrame, value_col: str, gridsize: int = 200, cut: float = 0.0,
         digits: int = 6) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth (std * n^-1/5).
 
-    One aggregate with one sum per grid point: each row adds its kernel value
-    to every grid column inside the same codegen loop, partial sums merge
-    map-side, and no data x grid rows are ever materialised.
+    Every row adds its kernel value to every grid point: the grid is exploded
+    inside the scan's generated loop and summed map-side, so only ``gridsize``
+    partial sums per task are shuffled, whatever the number of rows or points.
     """
     vals = df.where(F.col(value_col).isNotNull())
     # n / std / min / max: one bounded row, fetched once and used as literals
@@ -58,10 +58,9 @@ def kde(df: DataFrame, value_col: str, gridsize: int = 200, cut: float = 0.0,
     hi = F.lit(s["hi"]) + F.lit(cut) * bw
     step = (hi - lo) / (gridsize - 1)
     x = F.col(value_col)
-    sums = vals.agg(*[F.sum(F.exp(-0.5 * F.pow((lo + F.lit(k) * step - x) / bw, 2))).alias(f"k{k}")
-                      for k in range(gridsize)])
-    stack = ", ".join(f"{k}, k{k}" for k in range(gridsize))
-    long = sums.selectExpr(f"stack({gridsize}, {stack}) AS (point, ksum)")
+    long = (vals.select(x.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+            .groupBy("point")
+            .agg(F.sum(F.exp(-0.5 * F.pow((lo + F.col("point") * step - F.col("v")) / bw, 2))).alias("ksum")))
     norm = F.lit(float(n)) * bw * math.sqrt(2 * math.pi)
     return long.select(F.col("point").cast("int").alias("point"),
                        round_half_even(lo + F.col("point") * step, digits).alias("x"),
@@ -118,30 +117,34 @@ def fit_line(df: DataFrame, x: str, y: str, points: int = 100, digits: int = 4)
                        round_half_even(F.col("r2"), digits).alias("r2"))
 
 
-def residual_points(df: DataFrame, x: str, y: str, keys: list, digits: int = 4) -> DataFrame:
-    """Fitted value and residual of a one-feature OLS for every row."""
+def residual_points(df: DataFrame, x: str, y: str, keys: list, digits: int | None = 4) -> DataFrame:
+    """Fitted value and residual of a one-feature OLS for every row (``digits`` None: not rounded)."""
     rows = df.na.drop(subset=[x, y])
     b1 = rows.agg(F.regr_slope(y, x)).scalar()
     b0 = rows.agg(F.regr_intercept(y, x)).scalar()
     fitted = b0 + b1 * F.col(x)
-    return rows.select(*keys, round_half_even(fitted, digits).alias("fitted"),
-                       round_half_even(F.col(y) - fitted, digits).alias("residual"))
+    shown = (lambda c: c) if digits is None else (lambda c: round_half_even(c, digits))
+    return rows.select(*keys, shown(fitted).alias("fitted"), shown(F.col(y) - fitted).alias("residual"))
 
 
 def qq_points(df: DataFrame, value_col: str, digits: int = 4) -> DataFrame:
     """Normal Q-Q points: theoretical quantile at i/(n+1) vs the i-th smallest value,
     with the standardised reference line mean + std * theoretical.
 
-    The rank i is a bucketed prefix count (no single-task global window); n,
-    mean and std are one aggregate.
+    Values are counted first and the rank of a distinct value is a bucketed prefix
+    count (no single-task global window, and a value that many rows share is one
+    row there); the ranks of its copies are unfolded afterwards.  n, mean and the
+    population std are one aggregate.
     """
     from ..operators.windows import prefix_sums
     vals = df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("v"))
     st = vals.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mu"),
-                  F.stddev_samp("v").alias("sd"))
+                  F.stddev_pop("v").alias("sd"))
     n, mu, sd = (st.select(c).scalar() for c in ("n", "mu", "sd"))
-    ranked = prefix_sums(vals.withColumn("_one", F.lit(1)), "v", ["_one"], prefix="_i")
-    ranked = ranked.select(F.col("_i_one").alias("i"), "v").withColumn("_pp", F.col("i") / (n + 1))
+    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = prefix_sums(counted, "v", ["c"], prefix="_to_", inclusive=True)
+    ranked = (ranked.select("v", F.explode(F.sequence(F.col("_to_c") - F.col("c") + 1, F.col("_to_c"))).alias("i"))
+              .withColumn("_pp", F.col("i") / (n + 1)))
     ranked = with_normal_ppf(ranked, "_pp", "theo")
     theo = F.col("theo")
     return ranked.select(F.col("i").cast("int").alias("i"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import SurveySpec
 from ..operators import aggregates as agg
 from ..operators import filters as flt
-from ..operators.pivot import pivot_classes, pivot_mean
+from ..operators.pivot import pivot_classes
 
 
 def prepare(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None = None,
@@ -33,13 +33,6 @@ def prepare(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None = None
     return flt.filter_min_sample(kept, spec.sample_size, threshold)
 
 
-def state_table(filtered: DataFrame, spec: SurveySpec, group) -> DataFrame:
-    """One class: class filter -> pivot its questions (state grain)."""
-    rows = flt.class_contains(filtered, spec.klass, group.class_pattern)
-    return pivot_mean(rows, spec.state_keys, spec.question, spec.value, group.questions,
-                      sample_col=spec.sample_size)
-
-
 def national_table(state: DataFrame, spec: SurveySpec, measures: list) -> DataFrame:
     return agg.aggregate_national(state, spec.national_keys, measures,
                                   location_col=spec.location, weight_col=spec.sample_size)
@@ -68,17 +61,17 @@ def clean_tables(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None =
     return out
 
 
-def national_tables(raw: DataFrame, spec: SurveySpec, **kw) -> tuple:
-    """(outcome, driver, habit) national tables."""
-    t = clean_tables(raw, spec, **kw)
-    return t["outcome_national"], t["driver_national"], t["habit_national"]
-
-
 def clean_job(raw: DataFrame, spec: SurveySpec, output_dir: str, *,
               min_sample: float | None = None) -> dict:
-    """Run the clean step and write the six parquet tables (sorted by key)."""
+    """Run the clean step and write the six parquet tables (sorted by key).
+
+    The long table without the dropped columns is checkpointed first, so the
+    validation and the six writes together scan the input once.
+    """
+    from ..session import materialize
     from ..sources.tables import write_tables
-    tables = clean_tables(raw, spec, min_sample=min_sample)
+    kept, _, _ = flt.drop_columns(raw, spec.drop_columns)
+    tables = clean_tables(materialize(kept), spec, min_sample=min_sample)
     ordered = {}
     for name, df in tables.items():
         keys = spec.state_keys if name.endswith("_state") else spec.national_keys

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import round_half_even
 from ..operators import aggregates as agg
 from ..operators import windows
-from ..session import materialize, right_sized
+from ..session import laid_out, materialize
 from . import eda
 from .regression import standardize
 
@@ -59,7 +59,8 @@ def prepare(imputed: DataFrame, spec) -> DataFrame:
     scaled = standardize(imputed, feats, "__z")
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in feats], outputCol="features")
     # checkpointed and persisted: the many K-Means starts share one cached copy
-    return right_sized(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats]))).persist()
+    return laid_out(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats])),
+                    spec.national_keys).persist()
 
 
 def _fit(data, k, seed, max_iter=300, tol=1e-4):
@@ -76,14 +77,15 @@ def best_of(data: DataFrame, k: int, n_init: int, seed: int = 42,
     return models[int(np.argmin(costs))]
 
 
-def silhouette(pred: DataFrame) -> float:
+def silhouette_squared(pred: DataFrame) -> float:
+    """Silhouette with squared Euclidean distances (not comparable with the plain one)."""
     return ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                                distanceMeasure="squaredEuclidean").evaluate(pred)
 
 
 def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
                  threads: int = 16) -> DataFrame:
-    """k, inertia (within-cluster SS of the best start), silhouette.
+    """k, inertia (within-cluster SS of the best start), silhouette_squared.
 
     All (k, seed) starts are submitted to one pool, then the winners'
     silhouettes are evaluated concurrently: the sweep is latency-bound small
@@ -98,16 +100,17 @@ def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int =
             models = [futs[(k, s)].result() for s in seeds]
             costs = [m.summary.trainingCost for m in models]
             best[k] = models[int(np.argmin(costs))]      # first seed wins ties
-        sils = {k: pool.submit(lambda m: silhouette(m.transform(data)), best[k]) for k in ks}
+        sils = {k: pool.submit(lambda m: silhouette_squared(m.transform(data)), best[k]) for k in ks}
         rows = [(int(k), float(best[k].summary.trainingCost), float(sils[k].result())) for k in ks]
-    df = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    df = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_squared double")
     return df.select("k", round_half_even("inertia", 4).alias("inertia"),
-                     round_half_even("silhouette", 4).alias("silhouette"))
+                     round_half_even("silhouette_squared", 4).alias("silhouette_squared"))
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
+    """The k with the best squared-distance silhouette (smallest k on ties)."""
     from ..operators.ordering import best_by
-    return best_by(sweep, "silhouette", "k")
+    return best_by(sweep, "silhouette_squared", "k")
 
 
 def fit_clusters(data: DataFrame, k: int, n_init: int = 20, seed: int = 42,

@@ -31,7 +31,7 @@ def _nationals(spark, input_dir):
 
 def _write_reports(tables: dict, output_dir: str) -> dict:
     from pyspark.sql import DataFrame
-    return {n: write_report_csv(df.coalesce(1), os.path.join(output_dir, n))
+    return {n: write_report_csv(df, os.path.join(output_dir, n))
             for n, df in tables.items() if isinstance(df, DataFrame)}
 
 

@@ -334,9 +334,9 @@ def _ppf_x0(p: str) -> str:
 
 oracle("qq_points", f""",
 f AS (SELECT regr_slope(Outcome, Driver) AS b1, regr_intercept(Outcome, Driver) AS b0 FROM od),
-res AS (SELECT round_even(Outcome - (b0 + b1 * Driver), 4) AS v FROM od, f),
+res AS (SELECT Outcome - (b0 + b1 * Driver) AS v FROM od, f),
 rk AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n, avg(v) OVER () AS mu,
-              stddev_samp(v) OVER () AS sd FROM res),
+              stddev_pop(v) OVER () AS sd FROM res),
 p0 AS (SELECT *, CAST(i AS DOUBLE) / (n + 1) AS p FROM rk),
 p1 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM p0),
 p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM p1),
@@ -630,7 +630,7 @@ FROM (SELECT count(*) AS n, stddev_samp({col}) * pow(CAST(count(*) AS DOUBLE), -
      LATERAL (SELECT sum(exp(-0.5 * pow((g.gx - {col}) / s.bw, 2))) AS ks FROM odh) d"""
 
 
-oracle("kde_diagonal", "\nUNION ALL ".join(_kde_sql(c, 50) for c in ("Outcome", "Driver", "Habit")))
+oracle("kde_diagonal", "\nUNION ALL ".join(_kde_sql(c, 1000) for c in ("Outcome", "Driver", "Habit")))
 
 
 oracle("box_outliers", f""",

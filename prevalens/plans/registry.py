@@ -346,7 +346,7 @@ def q_residual_points(spark, sf_dir):
 @register("qq_points")
 def q_qq_points(spark, sf_dir):
     res = charts.residual_points(datasets(spark, sf_dir)["od"], SPEC.driver_col,
-                                 SPEC.outcome_col, SPEC.national_keys)
+                                 SPEC.outcome_col, SPEC.national_keys, digits=None)
     return charts.qq_points(res, "residual")
 
 
@@ -508,8 +508,8 @@ from . import clustering as clu  # noqa: E402
 CLUSTER_K = 4   # the reference's chosen k; the sweep query searches k = 2..8
 
 
-def imputed(spark, sf_dir):
-    return clu.build_imputed(*nationals(spark, sf_dir), SPEC)
+def imputed(spark, sf_dir, nat=None):
+    return clu.build_imputed(*(nat or nationals(spark, sf_dir)), SPEC)
 
 
 @register("imputed_dataset")
@@ -608,14 +608,14 @@ from . import reports  # noqa: E402
 
 @register("dataset_catalog")
 def q_dataset_catalog(spark, sf_dir):
-    o, d, h = nationals(spark, sf_dir)
-    ds = datasets(spark, sf_dir)
+    o, d, h = nat = nationals(spark, sf_dir)      # one survey-view pass for all six entries
+    ds = datasets(spark, sf_dir, nat)
     oc, dc, hc = SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score
     return reports.dataset_catalog([
         ("outcome_national", o, [oc]), ("driver_national", d, [dc]),
         ("habit_national", h, SPEC.habit_parts + [hc]),
         ("modeling_two_way", ds["od"], [oc, dc]), ("modeling_three_way", ds["odh"], [oc, dc, hc]),
-        ("clustering", imputed(spark, sf_dir), [oc, dc, hc])], SPEC.year)
+        ("clustering", imputed(spark, sf_dir, nat), [oc, dc, hc])], SPEC.year)
 
 
 @register("classifier_display")
@@ -651,7 +651,9 @@ def q_results_overview(spark, sf_dir):
     res_b = clf.results_table(spark, _classify(spark, sf_dir, True, nat=nat)[2])
     data = clu.prepare(clu.build_imputed(*nat, SPEC), SPEC)
     best = clu.best_k(clu.kmeans_sweep(data)).first()
-    return reports.results_overview(spark, [m1, m2], rid, [("A", res_a), ("B", res_b)], best)
+    return reports.results_overview(
+        spark, [m1, m2], rid, [("A", res_a, ds["od"].count()), ("B", res_b, ds["odh"].count())],
+        best, data.count())
 
 
 @register("headline_kpis")
@@ -660,8 +662,10 @@ def q_headline_kpis(spark, sf_dir):
     change = eda.change_over_period(nat[0], SPEC, SPEC.outcome_col)
     odh, rid = _ridge(spark, sf_dir, nat)
     r2 = regression.model_compare(odh, SPEC.outcome_col, [SPEC.driver_col, SPEC.habit_score], rid.r2)
-    res_b = clf.results_table(spark, _classify(spark, sf_dir, True, nat=nat)[2])
-    return reports.headline_kpis(change, r2, res_b)
+    both = [clf.results_table(spark, _classify(spark, sf_dir, habit, nat=nat)[2])
+            .withColumn("dataset", F.lit(tag)) for tag, habit in (("A", False), ("B", True))]
+    sweep = clu.kmeans_sweep(clu.prepare(clu.build_imputed(*nat, SPEC), SPEC))
+    return reports.headline_kpis(change, r2, both[0].unionByName(both[1]), clu.best_k(sweep).first())
 
 
 # -- remaining inventory: H6/H8, K4, J14, K10, M10, N3, N5 ---------------------------------
@@ -729,9 +733,9 @@ def q_clustered_dataset(spark, sf_dir):
 
 @register("kde_diagonal")
 def q_kde_diagonal(spark, sf_dir):
-    """Scatter-matrix diagonal: a KDE of each combined measure (one aggregate each)."""
+    """Scatter-matrix diagonal: a KDE of each combined measure on the drawn 1000 points."""
     odh = datasets(spark, sf_dir)["odh"]
-    parts = [charts.kde(odh, c, gridsize=50).select(F.lit(c).alias("measure"), "*")
+    parts = [charts.kde(odh, c, gridsize=1000).select(F.lit(c).alias("measure"), "*")
              for c in (SPEC.outcome_col, SPEC.driver_col, SPEC.habit_score)]
     out = parts[0]
     for p in parts[1:]:

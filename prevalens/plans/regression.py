@@ -10,6 +10,8 @@ whole search costs a single Spark job.
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,7 +86,26 @@ def ols_fit(st: Stats) -> dict:
     r2 = 1.0 - ssr / cyy if cyy > 0 else float("nan")
     adj = 1.0 - (1.0 - r2) * (st.n - 1) / dof if dof > 0 else float("nan")
     return {"coef": np.concatenate([[b0], beta]), "se": np.concatenate([[se_b0], se_beta]),
-            "r2": r2, "adj_r2": adj, "n": int(st.n), "dof": int(dof), "ssr": ssr}
+            "r2": r2, "adj_r2": adj, "n": int(st.n), "dof": int(dof), "ssr": ssr, "tss": cyy}
+
+
+def f_upper_p(f: float, d1: int, d2: int) -> float:
+    """P(F > f) of the F distribution: the incomplete beta function by its continued fraction."""
+    if not f > 0 or d2 < 1:
+        return float("nan")
+    a, b, x = d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+                     + a * math.log(x) + b * math.log1p(-x)) / a if 0 < x < 1 else 0.0
+    value = 1.0     # evaluated backwards from a fixed depth
+    for m in range(int(60 + 6 * math.sqrt(a + b)), 0, -1):
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1 + odd / (1 + even / value)
+    p = front / value
+    return 1 - p if flip else p
 
 
 def ols(df: DataFrame, y: str, features: list, model: str) -> DataFrame:
@@ -101,7 +122,9 @@ def ols(df: DataFrame, y: str, features: list, model: str) -> DataFrame:
     tab = tab.withColumn("t", F.try_divide(F.col("coef"), F.nullif(F.col("se"), F.lit(0.0))))
     tab = tab.withColumn("p", t_two_sided_p(F.col("t"), F.col("dof")))
     slope_p = F.max(F.when(F.col("idx") == 1, F.col("p"))).over(Window.partitionBy("model"))
-    tab = tab.withColumn("f_p", slope_p if len(features) == 1 else F.lit(None).cast("double"))
+    tab = tab.withColumn("f_p", slope_p if len(features) == 1 else F.lit(f_upper_p(
+        (fit["tss"] - fit["ssr"]) / len(features) / (fit["ssr"] / fit["dof"]), len(features), fit["dof"])
+        if fit["dof"] > 0 and fit["ssr"] > 0 else None).cast("double"))
     return tab.select("model", "term", round_half_even("coef", 4).alias("coef"),
                       round_half_even("se", 4).alias("std_err"),
                       round_half_even("t", 3).alias("t"),

@@ -46,7 +46,8 @@ def dataset_catalog(tables: list, year_col: str) -> DataFrame:
     return out
 
 
-def results_overview(spark, ols_tables: list, ridge, class_results: list, sweep_best) -> DataFrame:
+def results_overview(spark, ols_tables: list, ridge, class_results: list, sweep_best,
+                     n_clustered: int | None = None) -> DataFrame:
     """Model, n, headline result and finding for every fitted model (union of fits)."""
     rows = []
     for tab in ols_tables:
@@ -55,22 +56,24 @@ def results_overview(spark, ols_tables: list, ridge, class_results: list, sweep_
                      f"β={r['coef']:.3f}, p={r['p_value']:.6f}"))
     rows.append(("Ridge (combined)", ridge.n, f"R²={ridge.r2:.3f}, CV R²={ridge.cv_r2_mean:.3f}",
                  f"alpha={ridge.alpha:.3f}"))
-    for tag, res in class_results:
+    for tag, res, n in class_results:
         best = res.orderBy(F.desc("CV_Accuracy"), "Classifier").first()
-        rows.append((f"Classification ({tag}) — Best CV", None,
+        rows.append((f"Classification ({tag}) — Best CV", n,
                      f"{best['Classifier']} {best['CV_Accuracy'] * 100:.1f}% CV accuracy", ""))
     if sweep_best is not None:
-        rows.append(("K-Means Clustering", None,
-                     f"k={sweep_best['k']}, silhouette={sweep_best['silhouette']:.2f}", ""))
+        rows.append(("K-Means Clustering", n_clustered,
+                     f"k={sweep_best['k']}, squared silhouette={sweep_best['silhouette_squared']:.2f}", ""))
     return spark.createDataFrame(rows, "Model string, n long, Result string, Finding string")
 
 
-def headline_kpis(change: DataFrame, model_r2: DataFrame, class_results: DataFrame) -> DataFrame:
-    """First/last value and change, best R^2, best CV accuracy and its classifier."""
+def headline_kpis(change: DataFrame, model_r2: DataFrame, class_results: DataFrame, sweep_best) -> DataFrame:
+    """First/last value and change, best R^2, best CV accuracy with its classifier and
+    dataset (``class_results`` of all datasets, tagged), chosen k and its silhouette."""
     best_r2 = model_r2.agg(F.max("r2").alias("best_r2"), F.max_by("model", "r2").alias("best_r2_model"))
     best_acc = class_results.agg(F.max("CV_Accuracy").alias("best_cv_accuracy"),
-                                 F.max_by("Classifier", "CV_Accuracy").alias("best_classifier"))
+                                 F.max_by("Classifier", "CV_Accuracy").alias("best_classifier"),
+                                 F.max_by("dataset", "CV_Accuracy").alias("best_dataset"))
     first = change.first()
     extra = best_r2.first().asDict() | best_acc.first().asDict()
-    row = first.asDict() | extra
+    row = first.asDict() | extra | {"k": sweep_best["k"], "silhouette_squared": sweep_best["silhouette_squared"]}
     return change.sparkSession.createDataFrame([row])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,15 +54,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
                   or sc.getConf().get("spark.checkpoint.dir", None))
     if not configured:
         # Unset only in tests / local runs: a private scratch folder is fine there.
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="prevalens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a written intermediate table, next to the checkpoints."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A new path for a written intermediate table, next to the checkpoints.
+
+    Every call gives another folder, so a result stays readable after later calls.
+    """
+    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -74,14 +79,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def right_sized(df: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Coalesce a materialised table to ~``rows_per_partition`` rows per task.
+def laid_out(df: DataFrame, keys: list, partitions: int = 1) -> DataFrame:
+    """Hash-partition by ``keys`` into ``partitions`` and sort inside by the keys.
 
-    Iterative fits launch one job per iteration over their input; a table of
-    a few hundred rows spread over many partitions pays task overhead on
-    every iteration.  Coalescing is narrow (no shuffle) and keeps large
-    inputs at full parallelism.
+    Iterative fits (forests, K-Means) depend on the order of their input, so the
+    layout is fixed by a parameter and the keys, not by the cluster or the row
+    count: the same data gives the same model.  Raise ``partitions`` for input
+    that is not a small model table.
     """
-    n = df.count()
-    parts = max(1, -(-n // rows_per_partition))
-    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)

@@ -65,7 +65,8 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
              .select("l_orderkey", "l_quantity",
                      _class_expr(flag).alias("Class"),
                      _question_expr(flag, partkey).alias("Question")))
-    # One row per order, one sum / count / min / max per (class, question) cell.
+    # One row per order; per (class, question) cell its sum, values, rows, min and max.
+    # A cell's mean is over its values, its sample size counts all its rows.
     # Grouping by the order key alone keeps the map-side combine (an order with
     # a third of all lines collapses to one row before the shuffle) and leaves
     # the result hash-partitioned on exactly the key the orders join needs, so
@@ -74,7 +75,7 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
     for i, (c, q) in enumerate(_CELLS):
         hit = F.col("Class").eqNullSafe(F.lit(c)) & (F.col("Question") == q)
         qty = F.when(hit, F.col("l_quantity"))
-        aggs += [F.sum(qty).alias(f"qty{i}"), F.count(qty).alias(f"n{i}")]
+        aggs += [F.sum(qty).alias(f"qty{i}"), F.count(qty).alias(f"m{i}"), F.count_if(hit).alias(f"n{i}")]
         if raw_columns:   # min / max only feed the raw file's confidence-limit columns
             aggs += [F.min(qty).alias(f"qmin{i}"), F.max(qty).alias(f"qmax{i}")]
     per_order = lines.groupBy("l_orderkey").agg(*aggs)
@@ -93,7 +94,8 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
     # back to one row per (order, cell) with lines, just before the grouping sets
     def cell_struct(i, c, q):
         fields = [F.lit(c).cast("string").alias("Class"), F.lit(q).alias("Question"),
-                  F.col(f"qty{i}").alias("qty"), F.col(f"n{i}").alias("n")]
+                  F.col(f"qty{i}").alias("qty"), F.col(f"m{i}").alias("m"),
+                  F.col(f"n{i}").alias("n")]
         if raw_columns:
             fields += [F.col(f"qmin{i}").alias("qmin"), F.col(f"qmax{i}").alias("qmax")]
         return F.struct(*fields)
@@ -108,7 +110,7 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
     extra = [F.min("qmin").alias("_qmin"), F.max("qmax").alias("_qmax")] if raw_columns else []
     cells = (long.groupingSets([keys + [seg], keys + [prio], keys], *keys, seg, prio)
              .agg(F.grouping(seg).alias("_g_seg"), F.grouping(prio).alias("_g_prio"),
-                  (F.sum("qty") / F.sum("n")).alias("Data_Value"),
+                  F.try_divide(F.sum("qty"), F.sum("m")).alias("Data_Value"),
                   F.sum("n").cast("double").alias("Sample_Size"), *extra))
 
     category = (F.when(F.col("_g_seg") == 0, F.lit(SEGMENT_CATEGORY))
@@ -136,14 +138,14 @@ def survey_view(spark: SparkSession, sf_dir: str, *, raw_columns: bool = False)
 # DuckDB twin of ``survey_view`` (used by the oracle SQL and the tests).
 SURVEY_VIEW_SQL = """
 SELECT YearStart, LocationDesc, Class, Question,
-       sum_q / cnt AS Data_Value, CAST(cnt AS DOUBLE) AS Sample_Size,
+       sum_q / nullif(cnt_q, 0) AS Data_Value, CAST(cnt AS DOUBLE) AS Sample_Size,
        CASE WHEN g_seg = 0 THEN 'Segment' WHEN g_prio = 0 THEN 'Priority' ELSE 'Total' END
          AS StratificationCategory1,
        coalesce(c_mktsegment, o_orderpriority, 'Overall') AS Stratification1
 FROM (
   SELECT YearStart, LocationDesc, Class, Question, c_mktsegment, o_orderpriority,
          grouping(c_mktsegment) AS g_seg, grouping(o_orderpriority) AS g_prio,
-         sum(l_quantity) AS sum_q, count(*) AS cnt
+         sum(l_quantity) AS sum_q, count(l_quantity) AS cnt_q, count(*) AS cnt
   FROM (
     SELECT year(o.o_orderdate) AS YearStart, n.n_name AS LocationDesc,
            CASE l.l_returnflag WHEN 'A' THEN 'Outcome' WHEN 'N' THEN 'Driver'

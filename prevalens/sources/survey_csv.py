@@ -21,19 +21,21 @@ SURVEY_TYPES = {
 
 
 def read_survey_csv(spark: SparkSession, path: str, columns: list,
-                    types: dict | None = None) -> DataFrame:
+                    types: dict | None = None, *, multi_line: bool = False) -> DataFrame:
     """Scan a raw survey CSV by header name.
 
     All columns are read as strings (an explicit schema, no inference pass
     over the file); missing tokens become NULL, then the typed columns are
     converted with ``try_cast`` so a stray token never fails the job.
-    ``columns`` is the header list (it fixes the scan schema).
+    ``columns`` is the header list (it fixes the scan schema).  A file is split
+    among tasks unless ``multi_line`` is set (needed only where a quoted field
+    holds a line break: then a file is one task).
     """
     types = SURVEY_TYPES if types is None else types
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     raw = (spark.read.schema(schema)
            .option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("enforceSchema", False)
+           .option("multiLine", multi_line).option("enforceSchema", False)
            .csv(path))
     out = []
     for c in columns:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -13,9 +14,17 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
 
 
+def nan_as_null(df: DataFrame, columns: list | None = None) -> DataFrame:
+    """NaN in floating columns becomes NULL, as missing values are in a survey file."""
+    floating = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    chosen = floating & set(columns) if columns is not None else floating
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(float("nan")).cast(df.schema[c].dataType))
+                           for c in df.columns if c in chosen})
+
+
 def read_tables(spark: SparkSession, base_dir: str, names) -> dict:
     """Scan several parquet tables of one folder (e.g. the national tables)."""
-    return {n: read_table(spark, base_dir, n) for n in names}
+    return {n: nan_as_null(read_table(spark, base_dir, n)) for n in names}
 
 
 def write_table(df: DataFrame, base_dir: str, name: str, *,

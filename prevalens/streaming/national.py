@@ -2,12 +2,12 @@
 
 The clean step is a two-level aggregation (state pivot, then weighted national
 roll-up), which Structured Streaming cannot chain as stateful operators on a
-non-time key.  Survey files arrive one reporting period at a time, so each
-micro-batch holds complete periods; ``foreachBatch`` runs the batch clean plan
-on it and writes the national tables of those periods.  The sink is
-partitioned by period and overwritten per period (dynamic partition
-overwrite), so a replayed batch after a failure rewrites the same partitions:
-the output is idempotent, and the checkpoint location gives exactly-once
+non-time key.  ``foreachBatch`` therefore keeps the received rows as a table,
+partitioned by batch and period, and recomputes the national tables of every
+period that the batch touches from all rows received for that period.  A period
+split over several files, or a late file, adds to what is there.  Both writes
+overwrite their own partitions only, so a batch replayed after a failure
+rewrites the same ones, and the checkpoint location gives exactly-once
 progress over the source files.
 """
 
@@ -16,15 +16,24 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import SurveySpec
 from ..plans import clean
 
 
-def _write_period_tables(batch: DataFrame, spec: SurveySpec, sink_dir: str,
+def _write_period_tables(batch: DataFrame, epoch: int, spec: SurveySpec, sink_dir: str,
                          min_sample: float | None) -> None:
-    tables = clean.clean_tables(batch, spec, min_sample=min_sample, validate=False)
+    rows_dir = os.path.join(sink_dir, "_rows")
+    (batch.withColumn("_batch", F.lit(epoch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_batch", spec.year).parquet(rows_dir))
+    received = batch.sparkSession.read.schema(batch.schema.add("_batch", "long")).parquet(rows_dir)
+    # the periods of one batch: a handful of values, used to prune the received rows
+    touched = [r[0] for r in received.where(F.col("_batch") == epoch).select(spec.year).distinct().collect()]
+    rows = received.where(F.col(spec.year).isin(touched)).drop("_batch").select(*batch.columns)
+    tables = clean.clean_tables(rows, spec, min_sample=min_sample, validate=False)
     for name in ("outcome_national", "driver_national", "habit_national"):
         (tables[name].write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
@@ -37,15 +46,15 @@ def national_stream(spark: SparkSession, source_dir: str, schema: StructType, sp
                     files_per_trigger: int = 1, available_now: bool = True):
     """Start the streaming query; returns the ``StreamingQuery``.
 
-    ``source_dir`` receives parquet files of the long survey table, each
-    holding whole periods.  With ``available_now`` the query processes what is
+    ``source_dir`` receives parquet files of the long survey table; a period may
+    come in several files.  With ``available_now`` the query processes what is
     there and stops (batch-style backfill); otherwise it keeps polling.
     """
     stream = (spark.readStream.schema(schema)
               .option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     writer = (stream.writeStream
-              .foreachBatch(lambda df, _epoch: _write_period_tables(df, spec, sink_dir, min_sample))
+              .foreachBatch(lambda df, epoch: _write_period_tables(df, epoch, spec, sink_dir, min_sample))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="30 seconds")

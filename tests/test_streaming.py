@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 from prevalens.config import FIXTURE_SURVEY
 from prevalens.plans import clean
@@ -16,8 +17,11 @@ def test_stream_matches_batch(spark):
     src = os.path.join(base, "src")
     view = survey_view(spark, SF_SMALL)
     years = sorted(r[0] for r in view.select("YearStart").distinct().collect())
-    for y in years:   # one file per reporting period
-        view.where(view.YearStart == y).coalesce(1).write.parquet(os.path.join(src, f"y={y}"[2:]))
+    # two files per reporting period: a period split over batches must add up
+    for half in (0, 1):
+        for y in years:
+            part = view.where((view.YearStart == y) & (F.crc32(view.LocationDesc) % 2 == half))
+            part.coalesce(1).write.parquet(os.path.join(src, f"{half}-{y}"))
     q = national_stream(spark, src + "/*", view.schema, FIXTURE_SURVEY, os.path.join(base, "out"),
                         os.path.join(base, "ckpt"), min_sample=2.0)
     q.awaitTermination(300)
