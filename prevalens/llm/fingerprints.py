@@ -41,7 +41,7 @@ _MASK = (1 << 32) - 1
 
 def _chunk_anchors(chunk: Column, start: Column) -> Column:
     """Anchors of one chunk: position * 2**32 + hash."""
-    smers = F.regexp_extract_all(chunk, F.lit("(?s)(?=(.{%d}))" % S), F.lit(1))
+    smers = F.regexp_extract_all(chunk, F.lit("(?s)(?=(.{%d}))." % S), F.lit(1))
 
     def pick(h: Column) -> Column:
         # minimum over 16 neighbours by doubling the reach four times
@@ -74,7 +74,7 @@ def anchors(text: Column, begin: Column | None = None) -> Column:
 def or_whole(found: Column, text: Column) -> Column:
     """The anchors, or for a text that has none all its inner substrings, or the hash of the whole."""
     short = F.when(F.length(text) < S, F.array(F.hash(text))).otherwise(F.transform(
-        F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % S), F.lit(1)), lambda x: F.hash(x)))
+        F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % S), F.lit(1)), lambda x: F.hash(x)))
     return F.when((F.size(found) == 0) & (F.length(text) > 0), F.transform(
         short, lambda x: x.cast("long").bitwiseAND(F.lit(_MASK)))).otherwise(found)
 
