@@ -67,8 +67,13 @@ def kde(df: DataFrame, value_col: str, gridsize: int = 200, cut: float = 0.0,
                        round_half_even(F.col("ksum") / norm, digits).alias("density"))
 
 
-def _quantile(c: str, q: float, exact: bool) -> Column:
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000)
+def _quartiles(vals: DataFrame, value_col: str, keys: list, names: dict, exact: bool) -> DataFrame:
+    """Quantiles per group: exact ones spread over tasks, or ``percentile_approx``."""
+    if exact:
+        from ..operators.windows import exact_quantiles
+        return exact_quantiles(vals, value_col, names, keys)
+    return vals.groupBy(*keys).agg(*[F.percentile_approx(value_col, q, 10000).alias(n)
+                                     for n, q in names.items()])
 
 
 def box_stats(df: DataFrame, group_cols, value_col: str, *, whisker: float = 1.5,
@@ -76,9 +81,7 @@ def box_stats(df: DataFrame, group_cols, value_col: str, *, whisker: float = 1.5
     """Per group: Q1, median, Q3, whiskers (extreme points within whisker*IQR), outlier count."""
     keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
     vals = df.where(F.col(value_col).isNotNull()).na.drop(subset=keys)
-    q = vals.groupBy(*keys).agg(_quantile(value_col, 0.25, exact).alias("q1"),
-                                _quantile(value_col, 0.5, exact).alias("median"),
-                                _quantile(value_col, 0.75, exact).alias("q3"))
+    q = _quartiles(vals, value_col, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact)
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("fence_lo", F.col("q1") - whisker * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + whisker * F.col("iqr")))
@@ -159,8 +162,7 @@ def box_outliers(df: DataFrame, group_cols, value_col: str, *, whisker: float =
     of their group (group quartiles joined back, one row per group)."""
     keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
     vals = df.where(F.col(value_col).isNotNull()).na.drop(subset=keys)
-    q = vals.groupBy(*keys).agg(_quantile(value_col, 0.25, exact).alias("_q1"),
-                                _quantile(value_col, 0.75, exact).alias("_q3"))
+    q = _quartiles(vals, value_col, keys, {"_q1": 0.25, "_q3": 0.75}, exact)
     x = F.col(value_col)
     lo = F.col("_q1") - whisker * (F.col("_q3") - F.col("_q1"))
     hi = F.col("_q3") + whisker * (F.col("_q3") - F.col("_q1"))

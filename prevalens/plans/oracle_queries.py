@@ -695,3 +695,101 @@ SELECT {KEYS},
   round_even(((Outcome - mo) / so) * v2.vx * v2.s + ((Driver - md) / sdd) * v2.vy * v2.s
              + ((Habit - mh) / sh) * v2.vz * v2.s, 4) AS PCA2
 FROM im, sd, v1, v2""")
+
+
+# -- row-grain queries (plans/row_grain.py): no survey view needed ----------------------
+def plain(name, body):
+    ORACLE[name] = body.strip()
+
+
+plain("row_pearson_part", f"""
+SELECT {test_cols()} FROM (SELECT corr(p_partkey, p_retailprice) AS r, count(*) AS n FROM part)""")
+plain("row_pairwise_lineitem", _pairs_sql("lineitem", [
+    ("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_discount", "l_tax")]))
+oracle("row_ols_part", _ols_sql("part", "p_retailprice", "p_partkey", "price ~ key"))
+plain("row_histogram_quantity", """
+WITH s AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 35 AS w FROM lineitem),
+c AS (SELECT least(CAST(floor((l_quantity - lo) / w) AS INTEGER), 34) AS bin, count(*) AS n
+      FROM lineitem, s WHERE l_quantity IS NOT NULL GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, round_even(lo + range * w, 6) AS bin_lo,
+       round_even(lo + (range + 1) * w, 6) AS bin_hi, coalesce(n, 0) AS count
+FROM range(35) CROSS JOIN s LEFT JOIN c ON c.bin = range""")
+plain("row_kde_price", """
+WITH v AS (SELECT p_retailprice AS x FROM part),
+s AS (SELECT count(*) AS n, stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw, min(x) AS lo, max(x) AS hi FROM v),
+g AS (SELECT range AS k, lo + range * ((hi - lo) / 199) AS gx FROM range(200), s),
+d AS (SELECT k, sum(exp(-0.5 * pow((gx - x) / bw, 2))) AS ks FROM g, v, s GROUP BY k)
+SELECT CAST(g.k AS INTEGER) AS point, round_even(g.gx, 6) AS x,
+       round_even(d.ks / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM g JOIN d USING (k), s""")
+
+
+def _box_sql(table, keys, col):
+    inside = f"{col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+    return f"""
+q AS (SELECT {keys}, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median,
+             quantile_cont({col}, 0.75) AS q3 FROM {table} WHERE {col} IS NOT NULL GROUP BY {keys}),
+b AS (SELECT q.*, min({col}) FILTER (WHERE {inside}) AS wlo, max({col}) FILTER (WHERE {inside}) AS whi,
+             count(*) FILTER (WHERE NOT ({inside})) AS n_outliers, count(*) AS n
+      FROM {table} JOIN q USING ({keys}) WHERE {col} IS NOT NULL GROUP BY ALL)
+SELECT {keys}, round_even(q1, 4) AS q1, round_even(median, 4) AS median, round_even(q3, 4) AS q3,
+       round_even(wlo, 4) AS whisker_lo, round_even(whi, 4) AS whisker_hi, n_outliers, n FROM b"""
+
+
+plain("row_box_stats_orders", "WITH " + _box_sql("orders", "o_orderpriority", "o_totalprice").strip())
+_Q = (("p01", 0.01), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p99", 0.99))
+plain("row_quantiles_lineitem", "SELECT l_returnflag, " + ", ".join(
+    f"round_even(quantile_cont(l_extendedprice, {q}), 4) AS {n}" for n, q in _Q)
+    + " FROM lineitem GROUP BY l_returnflag")
+_SCORED = """per AS (SELECT CAST(n_chars AS DOUBLE) AS s, sum(quality) AS tp, sum(1 - quality) AS fp
+                     FROM labels JOIN documents USING (doc_id) GROUP BY 1)"""
+plain("row_auc_length_quality", f"""
+WITH {_SCORED},
+nb AS (SELECT *, coalesce(sum(fp) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per)
+SELECT round_even(sum(tp * (below + 0.5 * fp)) / nullif(sum(tp) * sum(fp), 0), 6) AS auc FROM nb""")
+plain("row_roc_length_quality", f"""
+WITH {_SCORED},
+cum AS (SELECT s AS threshold, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp, sum(tp) OVER () AS P, sum(fp) OVER () AS N
+        FROM per WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT round_even(threshold, 6) AS threshold, round_even(ctp / nullif(P, 0), 6) AS tpr,
+       round_even(cfp / nullif(N, 0), 6) AS fpr FROM cum""")
+plain("row_stratified_folds", """
+SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY
+  CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 7)) AS BIGINT), doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM labels""")
+plain("row_contiguous_folds", """
+WITH rk AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+fd AS (SELECT o_orderkey, CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1)
+                               ELSE (n % 7) + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END AS fold FROM rk)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last
+FROM fd GROUP BY 1""")
+plain("row_qq_price", f"""
+WITH rk AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS i, count(*) OVER () AS n,
+                   avg(p_retailprice) OVER () AS mu, stddev_pop(p_retailprice) OVER () AS sd FROM part),
+p0 AS (SELECT *, CAST(i AS DOUBLE) / (n + 1) AS p FROM rk),
+p1 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM p0),
+p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM p1),
+p3 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS theo FROM p2)
+SELECT CAST(i AS INTEGER) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
+       round_even(mu + sd * theo, 4) AS line FROM p3""")
+
+oracle("fit_line_habit", """,
+s AS (SELECT min(Habit) AS lo, max(Habit) AS hi, regr_slope(Outcome, Habit) AS b1,
+             regr_intercept(Outcome, Habit) AS b0, regr_r2(Outcome, Habit) AS r2 FROM odh),
+l AS (SELECT range AS point, lo + (hi - lo) * range / 99 AS x, b0, b1, r2 FROM range(100), s)
+SELECT CAST(point AS INTEGER) AS point, round_even(x, 4) AS x, round_even(b0 + b1 * x, 4) AS y_hat,
+       round_even(b1, 4) AS slope, round_even(r2, 4) AS r2 FROM l""")
+oracle("residual_points_habit", f""",
+f AS (SELECT regr_slope(Outcome, Habit) AS b1, regr_intercept(Outcome, Habit) AS b0 FROM odh)
+SELECT {KEYS}, round_even(b0 + b1 * Habit, 4) AS fitted, round_even(Outcome - (b0 + b1 * Habit), 4) AS residual
+FROM odh, f""")
+oracle("histogram_driver", """,
+s AS (SELECT min(Driver) AS lo, (max(Driver) - min(Driver)) / 35 AS w FROM driver_national),
+c AS (SELECT least(CAST(floor((Driver - lo) / w) AS INTEGER), 34) AS bin, count(*) AS n
+      FROM driver_national, s WHERE Driver IS NOT NULL GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, round_even(lo + range * w, 6) AS bin_lo,
+       round_even(lo + (range + 1) * w, 6) AS bin_hi, coalesce(n, 0) AS count
+FROM range(35) CROSS JOIN s LEFT JOIN c ON c.bin = range""")
+for _m in ("Driver", "Habit"):
+    oracle(f"box_stats_{_m.lower()}", "," + _box_sql(
+        f"{_m.lower()}_national", "StratificationCategory1, Stratification1", _m))
