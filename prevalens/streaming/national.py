@@ -17,7 +17,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import SurveySpec
 from ..plans import clean
@@ -29,7 +29,8 @@ def _write_period_tables(batch: DataFrame, epoch: int, spec: SurveySpec, sink_di
     (batch.withColumn("_batch", F.lit(epoch)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("_batch", spec.year).parquet(rows_dir))
-    received = batch.sparkSession.read.schema(batch.schema.add("_batch", "long")).parquet(rows_dir)
+    schema = StructType([*batch.schema.fields, StructField("_batch", LongType())])
+    received = batch.sparkSession.read.schema(schema).parquet(rows_dir)
     # the periods of one batch: a handful of values, used to prune the received rows
     touched = [r[0] for r in received.where(F.col("_batch") == epoch).select(spec.year).distinct().collect()]
     rows = received.where(F.col(spec.year).isin(touched)).drop("_batch").select(*batch.columns)
