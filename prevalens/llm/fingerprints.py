@@ -44,9 +44,10 @@ def _chunk_anchors(chunk: Column, start: Column) -> Column:
     smers = F.regexp_extract_all(chunk, F.lit("(?s)(?=(.{%d}))." % S), F.lit(1))
 
     def pick(h: Column) -> Column:
-        # minimum over 16 neighbours by doubling the reach four times
+        # minimum over 16 neighbours: over four, then over four of these
         def least(a: Column, reach: int) -> Column:
-            return F.transform(a, lambda x, i: F.least(x, F.get(a, i + reach)))
+            return F.transform(a, lambda x, i: F.least(
+                x, F.get(a, i + reach), F.get(a, i + 2 * reach), F.get(a, i + 3 * reach)))
 
         def marked(low: Column) -> Column:
             last = F.size(h) - INNER
@@ -56,8 +57,7 @@ def _chunk_anchors(chunk: Column, start: Column) -> Column:
                     F.hash(F.get(h, i), F.get(h, i + S), F.get(h, i + 2 * S), F.get(h, i + 3 * S))
                     .cast("long").bitwiseAND(F.lit(_MASK))))), lambda x: x.isNotNull())
 
-        return let(least(h, 1), lambda a: let(least(a, 2), lambda b: let(
-            least(b, 4), lambda c: let(least(c, 8), marked))))
+        return let(least(h, 1), lambda a: let(least(a, 4), marked))
 
     return let(F.transform(smers, lambda x: F.hash(x)), pick)
 
