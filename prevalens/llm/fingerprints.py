@@ -75,8 +75,9 @@ def or_whole(found: Column, text: Column) -> Column:
     """The anchors, or for a text that has none all its inner substrings, or the hash of the whole."""
     short = F.when(F.length(text) < S, F.array(F.hash(text))).otherwise(F.transform(
         F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % S), F.lit(1)), lambda x: F.hash(x)))
-    return F.when((F.size(found) == 0) & (F.length(text) > 0), F.transform(
-        short, lambda x: x.cast("long").bitwiseAND(F.lit(_MASK)))).otherwise(found)
+    # bound once: the array is needed for the test and for the result
+    return let(found, lambda a: F.when((F.size(a) == 0) & (F.length(text) > 0), F.transform(
+        short, lambda x: x.cast("long").bitwiseAND(F.lit(_MASK)))).otherwise(a))
 
 
 def hashes(found: Column) -> Column:
