@@ -34,8 +34,8 @@ Links are closed into components by repeated minimum labels.
 
 Edge cases: null or empty text and texts without words have the empty set and
 are linked with nothing; fewer than five words make one shingle; a null id
-keeps a row with a null component; rows with the same id are one vertex (their
-sets all count); an empty table gives no rows; very long texts are read whole.
+keeps a row with a null component; rows with the same id are one document whose
+sets all count; an empty table gives no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -298,7 +298,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, thres
     pairs = saved(_possible(pairs, reps, "sketch", threshold), "join-possible")
     pairs = saved(_possible(pairs, reps, "fine", threshold), "join-likely")
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
-    few = saved(_pick(texts, ids).dropDuplicates(["id"]), "join-texts")
+    few = saved(_pick(texts, ids).dropDuplicates(["id", "t"]), "join-texts")
     left = few.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = few.select(F.col("id").alias("b"), F.col("t").alias("tb"))
 

@@ -80,6 +80,12 @@ def test_join_hot_groups(spark):
     check_join(df, max_group=3)
 
 
+def test_join_ids_with_several_texts(spark):
+    rows = [(1, "a b c d e f g h"), (1, "k l m n o p q r"), (2, "k l m n o p q r"), (3, "a b c d e f g h"),
+            (4, "s t u v w x y z"), (0, "a b c d e f g h i j k l m n"), (5, "a b c d e f g h i j k l m n x")]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_signatures_meet():
     """Every pair at or above the threshold shares a signature on every level."""
     rng = np.random.default_rng(1)
