@@ -147,19 +147,20 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     rows, order = bucketed(docs, key, text)
     found = (rows.withColumn("next_text", F.lead("text").over(order))
-             .withColumn("found", or_whole(anchors(F.col("text")), F.col("text")))
-             .withColumn("next_found", F.lead("found").over(order))
+             .withColumn("raw", anchors(F.col("text")))
+             .withColumn("next_raw", F.lead("raw").over(order))
              .where("copy = 0"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - third),
                       F.col("next_text").substr(F.lit(1), third))
-    shaped = found.select("doc_id", "text", "found", "next_found", n.cast("long").alias("n_chars"),
+    shaped = found.select("doc_id", "raw", or_whole(F.col("raw"), F.col("text")).alias("found"),
+                          or_whole(F.col("next_raw"), F.col("next_text")).alias("next_found"),
+                          n.cast("long").alias("n_chars"),
                           edited.alias("edited"), (n - third).alias("kept"))
     # k-mers inside the kept part are those of the original; the others are looked at anew
     fresh = F.greatest(F.col("kept") - (K - 1), F.lit(0))
-    kept = F.filter(F.when(F.col("n_chars") < K, F.array().cast("array<long>")).otherwise(F.col("found")),
-                    lambda x: F.shiftright(x, 32) < fresh)
+    kept = F.filter(F.col("raw"), lambda x: F.shiftright(x, 32) < fresh)
     again = F.when(F.length("edited") < K, F.array().cast("array<long>")).otherwise(
         F.concat(kept, anchors(F.col("edited"), fresh)))
     compared = shaped.withColumn("edited_found", or_whole(again, F.col("edited")))

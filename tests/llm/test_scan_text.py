@@ -68,7 +68,10 @@ def test_license_edges(spark, edge, nothing):
 
 # ---- fingerprints --------------------------------------------------------------------
 def test_edited_text_and_context_free_anchors(spark, edge):
-    df = edge.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    rng = np.random.default_rng(6)
+    short = [(100 + i, "".join(rng.choice(list("abc "), int(n)))) for i, n in enumerate(rng.integers(0, 45, 150))]
+    df = (edge.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+          .union(spark.createDataFrame(short, "doc_id long, text string")))
     rows = sorted(df.collect(), key=lambda r: -r["doc_id"])
     out = {r["doc_id"]: r for r in fingerprints.compare_with_next(df).collect()}
     edited = []
