@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings trained by numpy gradient descent.
 
-A document is the average of learned vectors of its words and of the character
+A document is the average of learned vectors of its words, its word pairs and the character
 n-grams (three to five, with a border mark on each side of a word), all hashed
 into ``buckets`` rows; a linear layer and a softmax over the two labels follow.
 
@@ -35,11 +35,17 @@ ORDERS = (3, 4, 5)
 
 
 def features(column: pa.Array, buckets: int = BUCKETS) -> list:
-    """[(bucket ids, counts per text)]: words, then every order of character n-grams (UTF-8 bytes)."""
+    """[(bucket ids, counts per text)]: words, word pairs, every order of character n-grams (UTF-8 bytes)."""
     raw, offsets = utf8(column)
     starts, ends, first = word_spans(raw, offsets)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    out = [((mixed(word_hashes(raw, starts, ends)) >> shift).astype(np.int32), np.diff(first))]
+    words, per_text = word_hashes(raw, starts, ends), np.diff(first)
+    out = [((mixed(words) >> shift).astype(np.int32), per_text)]
+    # two words in a row, hashed by their difference: a word and itself is one bucket for all words
+    pair = np.ones(max(0, len(words) - 1), dtype=bool)
+    edge = first[1:-1]
+    pair[edge[(edge > 0) & (edge < len(words))] - 1] = False
+    out.append(((mixed(words[1:] ^ words[:-1]) >> shift).astype(np.int32)[pair], np.maximum(per_text - 1, 0)))
     # every word between two border marks in one long array
     n = ends - starts
     size = n + 2
