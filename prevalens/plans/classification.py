@@ -201,6 +201,33 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
             .withColumnRenamed("0.0", "pred_0").withColumnRenamed("1.0", "pred_1"))
 
 
+def confusion_matrices(results: list, tag: str) -> DataFrame:
+    """Confusion matrices of all classifiers of a data set, tagged, from one aggregate."""
+    tagged = _tagged(results, tag)
+    return (tagged.groupBy("dataset", "classifier", F.col("label").cast("int").alias("actual"))
+            .agg(F.count_if(F.col("prediction") == 0).alias("pred_0"),
+                 F.count_if(F.col("prediction") == 1).alias("pred_1")))
+
+
+def roc_curves(results: list, tag: str) -> DataFrame:
+    """ROC points of all classifiers of a data set, tagged."""
+    parts = [windows.roc_curve(r["pred"], "label", "score").select(
+        F.lit(tag).alias("dataset"), F.lit(r["name"]).alias("classifier"), "*") for r in results]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _tagged(results: list, tag: str) -> DataFrame:
+    parts = [r["pred"].select(F.lit(tag).alias("dataset"), F.lit(r["name"]).alias("classifier"),
+                              "label", "prediction", "score") for r in results]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def feature_importance(model, features: list, spark) -> DataFrame:
     """Gini importances of a tree ensemble (sum to 1), highest first."""
     imp = model.featureImportances.toArray().tolist()
@@ -233,8 +260,8 @@ def classification_job(outcome, driver, habit, spec) -> dict:
         res = run_dataset(data)
         out[f"results_{tag}"] = results_table(spark, res)
         byname = {r["name"]: r for r in res}
-        out[f"confusion_{tag}"] = confusion_matrix(byname["Logistic Regression"]["pred"])
+        out[f"confusion_{tag}"] = confusion_matrices(res, tag)
         out[f"importance_{tag}"] = feature_importance(byname["Random Forest"]["model"], feats, spark)
         out[f"tree_{tag}"] = tree_rules(byname["Decision Tree"]["model"], feats, spark)
-        out[f"roc_{tag}"] = windows.roc_curve(byname["Logistic Regression"]["pred"], "label", "score")
+        out[f"roc_{tag}"] = roc_curves(res, tag)
     return out

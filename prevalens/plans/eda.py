@@ -160,6 +160,16 @@ def eda_job(outcome: DataFrame, driver: DataFrame, habit: DataFrame, spec: Surve
         "outcome_total_histogram": charts.histogram(total_rows(outcome, spec), o, 20),
         "outcome_kde": charts.kde(outcome, o),
         "outcome_boxes": strata_boxes(outcome, spec, o),
+        "outcome_outliers": charts.box_outliers(
+            outcome.select(*spec.national_keys, o), [spec.category, spec.stratum], o),
+        "driver_histogram": charts.histogram(driver, d, 35),
+        "driver_total_histogram": charts.histogram(total_rows(driver, spec), d, 20),
+        "driver_kde": charts.kde(driver, d),
+        "driver_boxes": strata_boxes(driver, spec, d),
+        "habit_boxes": strata_boxes(habit, spec, spec.habit_score),
+        "outcome_moments": agg.global_moments(outcome, o, category_col=spec.category, total_value=spec.total_category),
+        "driver_moments": agg.global_moments(driver, d, category_col=spec.category, total_value=spec.total_category),
+        "scatter_matrix": odh.select(*spec.national_keys, o, d, spec.habit_score),
         "dual_series": dual_series(outcome, driver, spec),
         "habit_rates": habit_rates(habit, spec),
         "habit_vs_outcome": habit_vs_outcome(habit, outcome, spec),

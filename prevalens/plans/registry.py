@@ -489,6 +489,24 @@ def q_roc_curve_logistic(spark, sf_dir):
     return rounded(windows.roc_curve(res[0]["pred"], "label", "score"), 6)
 
 
+@register("confusion_matrices")
+def q_confusion_matrices(spark, sf_dir):
+    """All four classifiers on both data sets."""
+    nat = nationals(spark, sf_dir)
+    a, b = (clf.confusion_matrices(_classify(spark, sf_dir, habit, nat=nat)[2], tag)
+            for tag, habit in (("A", False), ("B", True)))
+    return a.unionByName(b)
+
+
+@register("roc_curves")
+def q_roc_curves(spark, sf_dir):
+    """All four classifiers on both data sets."""
+    nat = nationals(spark, sf_dir)
+    a, b = (clf.roc_curves(_classify(spark, sf_dir, habit, nat=nat)[2], tag)
+            for tag, habit in (("A", False), ("B", True)))
+    return rounded(a.unionByName(b), 6)
+
+
 @register("feature_importance_forest")
 def q_feature_importance_forest(spark, sf_dir):
     _, feats, res = _classify(spark, sf_dir, False, ("Random Forest",))

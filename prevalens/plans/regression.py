@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.distributions import t_two_sided_p
 from ..functions.scalar import round_half_even, significance_stars
 from ..operators import windows
+from . import charts
 
 
 # -- sufficient statistics -------------------------------------------------------------
@@ -255,7 +256,14 @@ def regression_job(od: DataFrame, odh: DataFrame, spec, key_cols: list) -> dict:
     m2 = ols(odh, o, [h], f"{o} ~ {h}")
     rid = ridge_cv(odh, o, [d, h], key_cols)
     spark = od.sparkSession
-    return {"ols_driver": m1, "ols_habit": m2,
+    # fit line, residuals and Q-Q points of both one-feature models
+    diagnostics = {}
+    for name, rows, x in (("driver", od, d), ("habit", odh, h)):
+        diagnostics[f"fit_line_{name}"] = charts.fit_line(rows, x, o)
+        diagnostics[f"residuals_{name}"] = charts.residual_points(rows, x, o, key_cols)
+        diagnostics[f"qq_{name}"] = charts.qq_points(
+            charts.residual_points(rows, x, o, key_cols, digits=None), "residual")
+    return {"ols_driver": m1, "ols_habit": m2, **diagnostics,
             "ridge": ridge_table(spark, rid, [d, h], f"Ridge {o} ~ {d} + {h}"),
             "ridge_alpha_path": spark.createDataFrame(rid.alpha_path, "alpha double, cv_r2 double"),
             "model_compare": model_compare(odh, o, [d, h], rid.r2),
