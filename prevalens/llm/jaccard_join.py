@@ -54,6 +54,10 @@ from .textnum import mixed, shingle_hashes, slices, utf8, word_hashes, word_span
 THRESHOLD = (75, 100)
 NGRAM = 5
 MAX_GROUP = 32
+#: The last level expands groups up to this size inside a task, where pairs that many groups
+#: share are merged at once; larger ones are compared in blocks.
+LAST_GROUP = 2_048
+_HELD_PAIRS = 4_000_000
 #: (n2, k2) of the levels: longer projections, more subsets.
 LEVELS = ((1, 0), (4, 1), (6, 2))
 DOCS_PER_BUCKET = 4_000
@@ -217,8 +221,6 @@ def _candidates(blocks: DataFrame, max_group: int) -> DataFrame:
 
     ``big`` is null for pairs of small groups, else the hash of the group's id list.
     """
-    pairs_of = {m: np.triu_indices(m, 1) for m in range(2, max_group + 1)}
-
     def run(table: pa.Table) -> pa.Table:
         s, d = [], []
         for row in zip(*(table.column(c).to_pylist() for c in ("sigs", "slots", "ids"))):
@@ -234,13 +236,25 @@ def _candidates(blocks: DataFrame, max_group: int) -> DataFrame:
         s, d = s[new], d[new]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(start, len(s)))
-        a, b, big = [], [], []
-        for m, (i, j) in pairs_of.items():
+        known, place = np.unique(d, return_inverse=True)
+        held, waiting = [], 0
+        for m in np.unique(size[(size > 1) & (size <= max_group)]).tolist():
+            i, j = np.triu_indices(m, 1)
             at = start[size == m]
-            if len(at):
-                a.append(d[at[:, None] + i].ravel())
-                b.append(d[at[:, None] + j].ravel())
-                big.append(np.zeros(len(a[-1]), np.int64))
+            step = max(1, _HELD_PAIRS // len(i))
+            for k in range(0, len(at), step):
+                some = at[k:k + step, None]
+                # a pair is one number; members are in the order of their ids
+                held.append((place[some + i] * np.int64(len(known)) + place[some + j]).ravel())
+                waiting += held[-1].size
+                if waiting > _HELD_PAIRS:
+                    held, waiting = [np.unique(np.concatenate(held))], 0
+        a, b, big = [], [], []
+        if held:
+            pair = np.unique(np.concatenate(held))
+            a.append(known[pair // len(known)])
+            b.append(known[pair % len(known)])
+            big.append(np.zeros(len(pair), np.int64))
         seen = set()
         for x, m in zip(start[size > max_group].tolist(), size[size > max_group].tolist()):
             ids = d[x:x + m]
@@ -253,8 +267,7 @@ def _candidates(blocks: DataFrame, max_group: int) -> DataFrame:
                 big.append(np.full(m - 1, name, np.int64))
         if not a:
             return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "big")})
-        rows = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(big)]), axis=1)
-        return pa.table({k: pa.array(np.ascontiguousarray(v)) for k, v in zip(("a", "b", "big"), rows)})
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("a", "b", "big"), (a, b, big))})
 
     return blocks.groupBy("bucket").applyInArrow(run, "a long, b long, big long")
 
@@ -354,7 +367,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM,
-         threshold=THRESHOLD, max_group: int = MAX_GROUP) -> DataFrame:
+         threshold=THRESHOLD, max_group: int = MAX_GROUP, last_group: int = LAST_GROUP) -> DataFrame:
     """(key, n_shingles, class_id, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
     keys = saved(set_keys(docs, key, text, n), "join-keys")
@@ -371,7 +384,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
             break
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // DOCS_PER_BUCKET)
         source = _pick(texts, todo) if depth else texts
-        found = saved(_candidates(_signature_blocks(source, level, buckets, n, threshold), max_group),
+        largest = last_group if depth == len(LEVELS) - 1 else max_group
+        found = saved(_candidates(_signature_blocks(source, level, buckets, n, threshold), largest),
                       "join-candidates")
         pairs = (found.select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
                  .join(names["a"], "ka").join(names["b"], "kb").select("a", "b"))
