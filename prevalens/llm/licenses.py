@@ -90,30 +90,43 @@ def _longs(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
-def matches(h: Column, templates: dict) -> Column:
+def band_minima(spark, templates: dict) -> dict:
+    """name -> (salt, shingle, hash) of every band: the template's minimum and its hash in that band.
+
+    A band hashes the shingles anew, so the minima of different bands are independent.
+    """
+    rng = random.Random(11)
+    bands = {n: plan(len(v))[2] for n, v in templates.items()}
+    salts = [rng.getrandbits(62) for _ in range(max(bands.values()))]
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, h array<long>")
+    hashed = rows.select("name", *[F.array_min(F.transform("h", lambda x: F.struct(
+        F.xxhash64(x, F.lit(salt)).alias("low"), x.alias("x")))).alias(f"b{i}") for i, salt in enumerate(salts)])
+    return {r["name"]: [(salts[i], r[f"b{i}"]["x"], r[f"b{i}"]["low"]) for i in range(bands[r["name"]])]
+            for r in hashed.collect()}
+
+
+def matches(h: Column, templates: dict, minima: dict) -> Column:
     """array<struct<t, start, found>>: verified windows; t numbers the sorted templates."""
     names = sorted(templates)
     plans = [plan(len(templates[n])) for n in names]
-    rng = random.Random(11)
-    salts = [rng.getrandbits(62) for _ in range(max(b for _, _, b in plans))]
     num, den = CONTAINMENT
-    # the shingle that is the minimum under each band, for every template
-    lowest = [[min(templates[n], key=lambda x: x ^ salt) for salt in salts[:b]]
-              for n, (_, _, b) in zip(names, plans)]
+    # (salt, shingle that is the minimum under the band, its hash there) of each band, for every template
+    bands_of = [minima[n] for n in names]
+    lowest = [[x for _, x, _ in rows] for rows in bands_of]
     marked = F.filter(F.transform(h, lambda x, i: F.when(
         x.isin(sorted({x for row in lowest for x in row})), i)), lambda i: i.isNotNull())
 
     def windows(t: int, i: Column) -> Column:
         """Windows around position i that share a band with template t and hold enough of it."""
-        d, w, b = plans[t]
-        bands = F.arrays_zip(_longs(salts[:b]).alias("salt"),
-                             _longs([x ^ s for x, s in zip(lowest[t], salts)]).alias("low"))
+        d, w, _ = plans[t]
+        bands = F.arrays_zip(_longs([salt for salt, _, _ in bands_of[t]]).alias("salt"),
+                             _longs([low for _, _, low in bands_of[t]]).alias("low"))
         shingle_set = _longs(templates[names[t]])
 
         def one(start: Column) -> Column:
             return let(F.slice(h, start + 1, w), lambda part: F.when(
                 F.exists(bands, lambda z: F.array_min(F.transform(
-                    part, lambda x: x.bitwiseXOR(z["salt"]))) == z["low"]),
+                    part, lambda x: F.xxhash64(x, z["salt"]))) == z["low"]),
                 F.struct(F.lit(t).alias("t"), start.alias("start"),
                          F.size(F.array_intersect(part, shingle_set)).alias("found"))))
 
@@ -138,7 +151,8 @@ def scan(docs: DataFrame, text: str = "text", templates: dict | None = None) ->
     hashed = template_shingles(docs.sparkSession, templates or TEMPLATES)
     names = sorted(hashed)
     labels, sizes = F.split(F.lit("\n".join(names)), "\n"), _longs([len(hashed[n]) for n in names])
-    found = let(shingles(F.col(text)), lambda h: matches(h, hashed))
+    minima = band_minima(docs.sparkSession, hashed)
+    found = let(shingles(F.col(text)), lambda h: matches(h, hashed, minima))
     best = let(found, lambda a: F.transform(
         F.array_sort(F.array_distinct(F.transform(a, lambda x: x["t"]))),
         lambda t: let(F.array_max(F.transform(F.filter(a, lambda x: x["t"] == t), lambda x: F.struct(

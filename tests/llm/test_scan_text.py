@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prevalens.llm import fingerprints, html_extract, licenses, pii
 
@@ -57,6 +58,26 @@ def test_bands_guarantee_recall():
         assert w >= m and (m <= 3 or w >= m + d - 1) and 1 - (1 - min(s, 1)) ** b >= 0.999
 
 
+def test_measured_recall_of_every_template(spark):
+    rng = np.random.default_rng(8)
+    rows, contexts = [], 200
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        m = len(plain(text)) - 4
+        least = -(-3 * m // 4)
+        # whole, and exactly three quarters of the shingles: the first ones, the last ones
+        for kind, cut in enumerate((w, w[:len(w) - (m - least)], w[m - least:])):
+            for _ in range(contexts):
+                pad = [f"c{x}" for x in rng.integers(0, 10**6, 60)]
+                at = int(rng.integers(0, 61))
+                rows.append((name, kind, " ".join(pad[:at] + cut + pad[at:])))
+    df = spark.createDataFrame(rows, "name string, kind int, text string")
+    got = licenses.scan(df).groupBy("name", "kind").agg(F.avg(F.array_contains(
+        F.transform("licenses", lambda x: x["license"]), F.col("name")).cast("int")).alias("recall")).collect()
+    assert {r["name"] for r in got} == set(licenses.TEMPLATES)
+    assert [r for r in got if r["recall"] < 0.99] == []
+
+
 def test_license_edges(spark, edge, nothing):
     out = licenses.scan(edge)
     assert out.count() == edge.count() and out.where("size(licenses) > 0").count() == 0
