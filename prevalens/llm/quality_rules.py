@@ -3,11 +3,14 @@
 The method compares two multinomials over hashed word n-grams (one and two
 words): the trusted target and the raw corpus.  Each document's score is the
 sum of ``log p_target - log p_raw`` over its n-grams, divided by their number,
-and a document is kept when the score is at least ``threshold``.  Both
+and a document is kept when the score is not far below those of the trusted
+texts of the same corpus: the cut is their median less ``SPREADS`` times the
+distance from it to their 1 % quantile, so it moves with the corpus.  Both
 multinomials count every n-gram of every text.  A count is one
 ``groupBy(bucket)`` whose result has at most ``buckets`` rows, so what crosses
 the network is bounded by (tasks x buckets) pairs of integers; the log ratios
-are one array of ``buckets`` doubles, whose size does not depend on the corpus.
+are a broadcast table of ``buckets`` rows, whose size does not depend on the
+corpus.  Scores are joined back by a 128-bit hash of the row.
 
 The trusted target is a boolean column; by default ``running_prose``, a strict
 rule on the text itself.  The rule only feeds the target's counts: every
@@ -16,7 +19,8 @@ document is judged by its score.
 Edge cases: null or empty text has no words, fails the base rules and scores 0;
 an empty table gives no rows; one-word texts have one n-gram; very long texts
 are read whole; repeated rows are scored one by one; extra columns are ignored;
-a corpus without any trusted text gives every document a score near 0.
+a corpus without any trusted text gives every document the score 0, and under
+``MIN_TRUSTED`` trusted texts the score drops nothing.
 """
 
 from __future__ import annotations
@@ -26,13 +30,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, saved, words
 
-BUCKETS = 1 << 15
-THRESHOLD = -0.06
+BUCKETS = 1 << 20
+#: The cut lies so many lower spreads under the median score of the trusted texts.
+SPREADS = 3
+#: Fewer trusted texts give no cut.
+MIN_TRUSTED = 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
+_UNIT = 1 << 24         # log ratios are whole multiples of 1 / _UNIT
+_CELLS = 1 << 12        # histogram cells per unit of the score
 _POS_BITS = 28          # position of a window inside a packed long
 
 
@@ -105,53 +114,91 @@ def running_prose(w: Column, text: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, text: str = "text", trusted: str | None = None,
-               buckets: int = BUCKETS) -> list:
-    """``buckets`` values log p_target - log p_raw, each multinomial smoothed by one count a bucket."""
-    flag = ((lambda w: F.coalesce(F.col(trusted), F.lit(False))) if trusted
-            else (lambda w: running_prose(w, F.col(text))))
+               buckets: int = BUCKETS) -> DataFrame:
+    """(b, ratio): log p_target - log p_raw of every bucket that occurs, in units of 1 / ``_UNIT``.
+
+    Each multinomial is smoothed by one count a bucket.
+    """
     # the words are bound inside one expression: a reference from a lambda to a column of an
     # inner select could be inlined by the optimizer and split the text once per word
+    counted = saved(_grams(docs, text, trusted, buckets, [])
+                    .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trust").alias("target"))
+                    .where(F.col("b").isNotNull()), "rules-buckets")
+    raw, target = counted.agg(F.sum("raw"), F.sum("target")).first()
+    if not target:                       # nothing trusted: no evidence either way
+        return counted.select("b", F.lit(0).cast("long").alias("ratio"))
+    shift = math.log(raw + buckets) - math.log(target + buckets)
+    ratio = F.log(F.col("target") + 1.0) - F.log(F.col("raw") + 1.0) + F.lit(shift)
+    return counted.select("b", F.round(ratio * _UNIT).cast("long").alias("ratio"))
+
+
+def _grams(docs: DataFrame, text: str, trusted: str | None, buckets: int, keep: list) -> DataFrame:
+    """``keep`` columns, trust and one bucket ``b`` per n-gram; a text without any has a null one."""
+    flag = ((lambda w: F.coalesce(F.col(trusted), F.lit(False))) if trusted
+            else (lambda w: running_prose(w, F.col(text))))
     found = let(words(F.col(text)), lambda w: F.struct(
         flag(w).alias("trust"), ngram_buckets(w, buckets).alias("b")))
-    counted = (docs.select(found.alias("f"))
-               # the outer form: the plain one infers a filter that evaluates the array twice
-               .select(F.col("f.trust").alias("trust"), F.explode_outer("f.b").alias("b"))
-               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trust").alias("target"))
-               .where(F.col("b").isNotNull()))
-    raw, target = [1] * buckets, [1] * buckets
-    for r in counted.collect():          # at most ``buckets`` rows
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
-    if sum(target) == buckets:           # nothing trusted: no evidence either way
-        return [0.0] * buckets
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for r, t in zip(raw, target)]
+    # the outer form: the plain one infers a filter that evaluates the array twice
+    return (docs.select(*keep, found.alias("f"))
+            .select(*keep, F.col("f.trust").alias("trust"), F.explode_outer("f.b").alias("b")))
 
 
-def score(docs: DataFrame, text: str = "text", trusted: str | None = None, buckets: int = BUCKETS,
-          threshold: float = THRESHOLD) -> DataFrame:
-    """All input columns plus the base counts, ``base_failed``, ``llr`` and ``kept``."""
-    ratios = log_ratios(docs, text, trusted, buckets)
-    # a folded constant array: one value in the plan, not one expression per bucket
-    table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
-    t = F.col(text)
+def corpus_cut(scores: DataFrame) -> float:
+    """The least score of a kept document: ``SPREADS`` lower spreads under the median of the trusted ones.
+
+    The lower spread is the distance from the median to the 1 % quantile.  Both come from a
+    histogram whose cells do not depend on the layout of the table, nor their number on its size.
+    """
+    cells = (scores.where("trust").groupBy(F.floor(F.col("llr") * _CELLS).alias("cell"))
+             .agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect())
+    total = sum(r["n"] for r in cells)
+    if total < MIN_TRUSTED:
+        return -math.inf
+
+    def quantile(share: float) -> float:
+        seen = 0
+        for r in cells:
+            seen += r["n"]
+            if seen >= share * total:
+                return r["cell"] / _CELLS
+        return cells[-1]["cell"] / _CELLS
+
+    middle = quantile(0.5)
+    return middle - SPREADS * (middle - quantile(0.01))
 
-    def mean_ratio(b: Column) -> Column:
-        total = F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x))
-        return F.when(F.size(b) == 0, F.lit(0.0)).otherwise(total / F.size(b))
 
+def score(docs: DataFrame, text: str = "text", trusted: str | None = None, buckets: int = BUCKETS,
+          threshold: float | None = None) -> DataFrame:
+    """All input columns plus the base counts, ``base_failed``, ``llr`` and ``kept``.
+
+    ``threshold`` replaces the cut that is derived from the scores of the trusted texts.
+    """
+    t = F.col(text)
+    # rows that are equal in all columns share a key, and their score; maps have no hash
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({"_k1": F.xxhash64(*plain), "_k2": F.xxhash64(F.lit(1), *plain)})
+    # at most ``buckets`` rows: broadcast is bounded by that parameter
+    ratios = F.broadcast(log_ratios(docs, text, trusted, buckets))
+    # whole numbers: their sum does not depend on the order
+    summed = (_grams(keyed, text, trusted, buckets, ["_k1", "_k2"]).join(ratios, "b")
+              .groupBy("_k1", "_k2").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"),
+                                         F.max("trust").alias("trust")))
+    scores = saved(summed.select("_k1", "_k2", (F.col("sum") / F.col("n") / _UNIT).alias("llr"), "trust"),
+                   "rules-scores")
+    cut = corpus_cut(scores) if threshold is None else threshold
     facts = let(words(t), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         symbol_count(t).alias("n_symbols"),
         dup_lines(t).alias("n_dup_lines"),
-        repeat_words(w).alias("n_repeat_words"),
-        let(ngram_buckets(w, buckets), mean_ratio).alias("llr")))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")
-    counted = (docs.withColumn("_facts", facts)
-               .select(*[F.col(c) for c in docs.columns if c not in names + ("base_failed", "kept")],
-                       *[F.col(f"_facts.{n}").alias(n) for n in names]))
+        repeat_words(w).alias("n_repeat_words")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    counted = (keyed.withColumn("_facts", facts)
+               .select(*[F.col(c) for c in docs.columns if c not in names + ("llr", "base_failed", "kept")],
+                       "_k1", "_k2", *[F.col(f"_facts.{n}").alias(n) for n in names])
+               .join(scores.drop("trust"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+               .withColumn("llr", F.coalesce("llr", F.lit(0.0))))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return (counted.withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(cut)))))

@@ -52,6 +52,20 @@ def test_rules_verdict(spark, docs):
     assert bad.where("kept").count() <= 0.3 * bad.count()
 
 
+def test_rules_verdict_holds_as_the_vocabulary_grows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    # twenty times the corpus in prose of new words
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", "i"), F.lit(400_000)).cast("string"))
+    new = (spark.range(20_000).select((F.col("id") + 10**9).alias("doc_id"))
+           .select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(400))).alias("i"))
+           .groupBy("doc_id").agg(F.array_join(F.collect_list(word), " ").alias("text")))
+    out = quality_rules.score(d.union(new)).drop("text").join(labels, "doc_id").where("not base_failed")
+    good, bad = out.where("quality = 1"), out.where("quality = 0")
+    assert good.where("not kept").count() <= 0.01 * good.count()
+    assert bad.count() > 0 and bad.where("kept").count() == 0
+
+
 def test_rules_edges(edge, nothing):
     out = quality_rules.score(edge).collect()
     check_rules(edge.collect(), out)
