@@ -26,6 +26,7 @@ five words are rejected.
 from __future__ import annotations
 
 import math
+import os
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,10 @@ from .common import let
 NGRAM = 5
 CONTAINMENT = (3, 4)
 RECALL = 0.999
-#: Usual license notices, as published.
-TEMPLATES = {
+#: Usual license notices, as published.  Names that share most of their words
+#: (GPL, LGPL and AGPL) have templates so short that all or nearly all shingles must be there.
+NOTICES = {
+    "agpl": "under the terms of the GNU Affero General Public License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
         "except in compliance with the License. You may obtain a copy of the License at",
@@ -45,16 +48,37 @@ TEMPLATES = {
         "provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc0-1.0": "has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at",
+    "gpl-2.0": "GNU General Public License, version 2",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of "
         "the GNU General Public License as published by the Free Software Foundation",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
         "fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl": "under the terms of the GNU Lesser General Public License",
     "mit": "Released under the MIT License",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
         "and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Whole license texts, one file each; read on the driver only.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+
+
+def license_texts(folder: str = TEXTS) -> dict:
+    """Name -> text of the files in a folder."""
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            found[name.removesuffix(".txt")] = f.read()
+    return found
+
+
+#: What ``scan`` looks for unless templates are given.
+TEMPLATES = {**NOTICES, **license_texts()}
 
 
 def shingles(text: Column) -> Column:
@@ -70,7 +94,7 @@ def plan(m: int) -> tuple[int, int, int]:
     """(d, w, b): stride, window and number of bands for a template of m shingles."""
     if m <= 3:
         return 1, m, 1
-    d = 2 if m < 15 else 8
+    d = 2 if m < 15 else max(8, m // 8)
     w = -(-(m + d - 1) // d) * d
     least = -(-m * CONTAINMENT[0] // CONTAINMENT[1])
     s = least / (w + m - least)
