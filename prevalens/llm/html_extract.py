@@ -9,7 +9,10 @@ Weights come from labelled pages: pages with exactly one ``article`` or
 ``main`` element (or ``itemprop="articleBody"``) show what is inside and outside.  For every tag and
 every class or id word the learner counts words inside and outside, on top of
 prior counts for the usual names of page furniture; a word is furniture if the
-smallest log-odds of its ancestors' features is below zero.  Furniture explains its content away:
+smallest log-odds of its ancestors' features is below zero.  A furniture
+name does not count on the main labelled element and what encloses it, on html and body, nor, as
+part of a token of several words, on an element with almost all words of the page; a class token
+counts as a whole if the learner knows it, else by its words.  Furniture explains its content away:
 a list item inside a menu is no evidence against list items.  Counts come from a
 bounded sample of ``MAX_TRAIN`` labelled pages (a parameter), chosen by a hash
 of the page id.
@@ -56,36 +59,76 @@ FURNITURE_NAMES = frozenset("""ad ads advert adverts advertisement advertising b
     related reply replies search share sharing sidebar sidenav signup skip social sponsor sponsored
     subscribe subscription tags toc toolbar topbar widget widgets""".split())
 _PRIOR = 25.0
+#: Words that make a class token the state of a page ("no-sidebar"), not the name of its furniture.
+_STATES = frozenset("no not has have with without enabled disabled".split())
+_WRAPPER_SHARE = 0.9
 _CLOSES_P = BLOCK - {"html", "body"}
 
 
 def _furniture_prior(feature: str) -> bool:
     kind, name = feature.split(":", 1)
-    return name in (FURNITURE_TAGS if kind == "tag" else FURNITURE_NAMES)
+    if kind == "tag":
+        return name in FURNITURE_TAGS
+    parts = name.split("-")
+    return not _STATES.intersection(parts) and not FURNITURE_NAMES.isdisjoint(parts)
+
+
+def _parts(feature: str) -> list:
+    """The single words of a class token of several words that is not a state."""
+    kind, name = feature.split(":", 1)
+    parts = name.split("-")
+    return [f"name:{x}" for x in parts] if kind == "name" and len(parts) > 1 and not _STATES.intersection(parts) else []
+
+
+def _wrappers(elements: list, total: int):
+    """(main element or None, function element -> features that count on it).
+
+    The main element is the labelled one with most words that does not call itself furniture.
+    A furniture name says nothing on it, on what encloses it, or on html and body; nor does a
+    name of several words on an element with almost all words of the page.
+    """
+    own = [e for e in elements if e["label"] and e["words"]
+           and not any(f.startswith("name:") and "-" not in f and _furniture_prior(f) for f in e["names"])]
+    chosen = max(own, key=lambda e: e["words"], default=None)
+    around, e = set(), chosen
+    while e is not None:
+        around.add(id(e))
+        e = e["parent"]
+
+    def counting(e: dict) -> frozenset:
+        if id(e) in around or e["name"] in ("html", "body"):
+            return frozenset(f for f in e["names"] if f.startswith("tag:") or not _furniture_prior(f))
+        if e["words"] >= _WRAPPER_SHARE * total:
+            return frozenset(f for f in e["names"] if not (f.startswith("name:") and "-" in f and _furniture_prior(f)))
+        return frozenset(e["names"])
+
+    return chosen, counting
 
 
 def parse(page: str):
-    """(tokens): ("text", text, features, linked) and ("tag", name, block, is_end) in page order.
+    """(tokens): ("text", text, features, linked, in main) and ("tag", name, block, is_end) in page order.
 
-    ``features`` are the features of all open elements.  The label marks are the
-    third kind of token, ("mark", +1 or -1).
+    ``features`` are the features of all open elements that count; ``in main`` is true inside the
+    main element.  The label marks are the third kind of token, ("mark", +1 or -1).
     """
-    stack = []            # (name, features, hidden, label)
-    at, out = 0, []
+    stack, elements = [], []            # the open ones, all
+    at, out, total = 0, [], 0
 
     def text(chunk):
-        if chunk and not any(s[2] for s in stack):
-            feats = frozenset(f for s in stack for f in s[1])
-            # the head of an article is a part of it, the head of a page is not
-            if "tag:header" in feats and any(s[0] in ("article", "main") for s in stack):
-                feats -= {"tag:header"}
-            out.append(("text", html.unescape(chunk), feats, any(s[0] == "a" for s in stack)))
+        nonlocal total
+        if chunk and not any(e["hidden"] for e in stack):
+            chunk = html.unescape(chunk)
+            n = len(chunk.split())
+            total += n
+            for e in stack:
+                e["words"] += n
+            out.append(("text", chunk, tuple(stack), any(e["name"] == "a" for e in stack)))
 
     def close():
-        name, _, _, label = stack.pop()
-        if label:
+        e = stack.pop()
+        if e["label"]:
             out.append(("mark", -1))
-        out.append(("tag", name, name in BLOCK, True))
+        out.append(("tag", e["name"], e["name"] in BLOCK, True))
 
     for m in _TOKEN.finditer(page):
         text(page[at:m.start()])
@@ -95,18 +138,18 @@ def parse(page: str):
             continue
         name = name.lower()
         if m.group(2):
-            if any(s[0] == name for s in stack):
-                while stack[-1][0] != name:
+            if any(e["name"] == name for e in stack):
+                while stack[-1]["name"] != name:
                     close()
                 close()
             elif name == "p":
                 out.append(("tag", "p", True, True))
             continue
-        if name in _CLOSES_P and stack and any(s[0] == "p" for s in stack[-3:]):
-            while stack[-1][0] != "p":
+        if name in _CLOSES_P and stack and any(e["name"] == "p" for e in stack[-3:]):
+            while stack[-1]["name"] != "p":
                 close()
             close()
-        if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
+        if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1]["name"] == name:
             close()
         names, label = {f"tag:{name}"}, name in ("article", "main")
         for key, value in _ATTRIBUTE.findall(m.group(4)):
@@ -115,18 +158,38 @@ def parse(page: str):
             if key == "itemprop":
                 label = label or value == "articleBody"
             else:
-                names.update(f"name:{x}" for x in _NAME.findall(value.lower()))
+                found = ("-".join(_NAME.findall(x)) for x in value.lower().split())
+                names.update(f"name:{x}" for x in found if x)
         out.append(("tag", name, name in BLOCK, False))
         if name == "br":
-            out.append(("text", " ", frozenset(), False))
+            out.append(("text", " ", (), False))
         if name not in VOID and not m.group(4).rstrip().endswith("/"):
-            stack.append((name, names, name in HIDDEN, label))
+            stack.append({"name": name, "names": names, "hidden": name in HIDDEN, "label": label, "words": 0,
+                          "parent": stack[-1] if stack else None})
+            elements.append(stack[-1])
             if label:
                 out.append(("mark", 1))
     text(page[at:])
     while stack:
         close()
-    return out
+    chosen, counting = _wrappers(elements, total)
+    known, paths, done = {}, {}, []
+    for t in out:
+        if t[0] != "text":
+            done.append(t)
+            continue
+        key = id(t[2][-1]) if t[2] else 0
+        if key not in paths:
+            for e in t[2]:
+                if id(e) not in known:
+                    known[id(e)] = counting(e)
+            feats = frozenset().union(*(known[id(e)] for e in t[2]))
+            # the head of an article is a part of it, the head of a page is not
+            if "tag:header" in feats and any(e["name"] in ("article", "main") for e in t[2]):
+                feats -= {"tag:header"}
+            paths[key] = feats, any(e is chosen for e in t[2])
+        done.append((*t[:2], paths[key][0], t[3], paths[key][1]))
+    return done
 
 
 def count_features(page: str) -> dict | None:
@@ -144,7 +207,9 @@ def count_features(page: str) -> dict | None:
         else:
             n = len(t[1].split())
             known = [f for f in t[2] if _furniture_prior(f)]
-            found = known or t[2]
+            # a class token counts as a whole, and its single words for tokens that are not known
+            found = set(known or t[2])
+            found |= {x for f in found for x in _parts(f) if not known or _furniture_prior(x)}
         for f in found if n else ():
             counts.setdefault(f, [0, 0])[0 if inside else 1] += n
     return counts
@@ -180,6 +245,8 @@ def log_odds(model: dict, feature: str) -> float:
     a, b = model.get(feature, (0, 0))
     if feature.startswith("end:"):
         return math.log((a + 1.0) / (b + 1.0))
+    if feature not in model and (parts := _parts(feature)):
+        return min(log_odds(model, x) for x in parts)
     prior = (1.0, _PRIOR) if _furniture_prior(feature) else (_PRIOR, 1.0)
     return math.log((a + prior[0]) / (b + prior[1]))
 

@@ -187,6 +187,20 @@ def test_furniture_without_article_marks():
     assert html_extract.extract(PAGE, {}) == want
 
 
+def test_furniture_names_on_wrappers():
+    text = "First words of the piece that go on and on for a while."
+    for head in ("<body class='no-sidebar'>", "<body class='has-comments'><div class='search-enabled'>",
+                 "<body class='sidebar'><div class='page-with-sidebar widget'>"):
+        page = f"{head}<nav>Home</nav><article class='social-post'><p>{text}</p></article>"
+        assert html_extract.extract(page, {}) == text
+        if "widget" not in head:
+            assert html_extract.extract(page.replace("article", "div").replace("social-post", "x"), {}) == text
+    # comments stay out, also as articles of their own and when they are longer
+    page = (f"<body class='no-sidebar'><div class='x'><p>{text}</p></div><section id='comments'>"
+            f"<article class='comment'><p>{text * 9}</p></article></section>")
+    assert html_extract.extract(page, {}) == text
+
+
 def test_html_edges(spark, nothing):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>a < b and c > d"), (5, "<div><p>open"),
             (6, "<script>never closed <p>x"), (7, "<nav><a>menu</a></nav>"), (8, "<p>x</p>" * 5000), (8, "<p>twice")]
