@@ -17,6 +17,10 @@ a list item inside a menu is no evidence against list items.  Counts come from a
 bounded sample of ``MAX_TRAIN`` labelled pages (a parameter), chosen by a hash
 of the page id.
 
+A list item whose words are all linked scores negative unless it lies in the main element, so
+that menus do not widen the region; inside the best region it is kept like every other block.
+On a page without a main element such a list at the very end or start of the text stays outside.
+
 Blocks are joined by a newline, white space inside a block is one space.
 
 Edge cases: null or empty html gives the empty text, as does a page without
@@ -254,17 +258,18 @@ def log_odds(model: dict, feature: str) -> float:
 def extract(page: str, model: dict, memo: dict | None = None) -> str:
     """The main text of one page."""
     memo = {} if memo is None else memo
-    # blocks: [words, score per word, linked words, in list]; costs of tags lie between them
-    blocks, costs, words, linked, cost, current = [], [], [], 0, 0.0, None
-    in_list = 0
+    # blocks: (words, score per word, cost of the tags before, kept inside the best region)
+    blocks, words, linked, cost, current = [], [], 0, 0.0, None
+    in_list, in_main = 0, False
 
     def flush():
         nonlocal words, linked, cost, current
         joined = " ".join("".join(words).split())
         if joined:
             only_links = linked and linked >= len(joined.split())
-            value = current if not (only_links and in_list) else -1.0
-            blocks.append((joined, value, cost))
+            # a list of links outside the main element does not widen the region
+            value = -1.0 if only_links and in_list and not in_main else current
+            blocks.append((joined, value, cost, current > 0))
             cost = 0.0
         words, linked, current = [], 0, None
 
@@ -278,6 +283,7 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
                 if current is not None and (value > 0) != (current > 0):
                     flush()
                 current = value if current is None else min(current, value)
+                in_main = t[4]
                 linked += len(t[1].split()) if t[3] else 0
             words.append(t[1])
         elif t[0] == "tag":
@@ -288,7 +294,7 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
             cost += min(0.6, max(0.05, 0.1 - 0.1 * memo.setdefault(t[1], log_odds(model, f"end:{t[1]}"))))
     flush()
     best, best_span, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (joined, value, before) in enumerate(blocks):
+    for i, (joined, value, before, _) in enumerate(blocks):
         if run - before <= 0:
             run, start = 0.0, i
         else:
@@ -297,7 +303,7 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
         run += n * value if value > 0 else max(-3.0, 0.1 * n * value)
         if run > best:
             best, best_span = run, (start, i + 1)
-    return "\n".join(b[0] for b in blocks[best_span[0]:best_span[1]] if b[1] > 0)
+    return "\n".join(b[0] for b in blocks[best_span[0]:best_span[1]] if b[3])
 
 
 def extract_text(pages: DataFrame, model: dict, column: str = "html", keep: list | None = None) -> DataFrame:

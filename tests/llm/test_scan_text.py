@@ -201,6 +201,19 @@ def test_furniture_names_on_wrappers():
     assert html_extract.extract(page, {}) == text
 
 
+def test_linked_list_items_of_the_article_stay():
+    first, last = "The first paragraph has quite a few words in it.", "The last paragraph has quite a few words too."
+    items = "<ul><li><a href='a'>Some work</a></li><li><a href='b'>Another work</a></li></ul>"
+    want = f"{first}\nSome work\nAnother work\n{last}"
+    inner = f"<p>{first}</p>{items}<p>{last}</p>"
+    menu = "<div><ul><li><a href='m'>Menu entry</a></li></ul></div>"
+    for tag in ("article", "div"):
+        assert html_extract.extract(f"<body>{menu}<{tag}>{inner}</{tag}>{menu}</body>", {}) == want
+    # sources at the end of a marked article
+    assert html_extract.extract(f"<body><article><p>{first}</p>{items}</article>{menu}</body>", {}) == (
+        f"{first}\nSome work\nAnother work")
+
+
 def test_html_edges(spark, nothing):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>a < b and c > d"), (5, "<div><p>open"),
             (6, "<script>never closed <p>x"), (7, "<nav><a>menu</a></nav>"), (8, "<p>x</p>" * 5000), (8, "<p>twice")]
