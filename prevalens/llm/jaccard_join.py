@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, thres
     pairs = saved(_possible(pairs, reps, "fine", threshold), "join-likely")
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
     few = saved(_pick(texts, ids).dropDuplicates(["id", "t"]), "join-texts")
-    left = few.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+    left = few.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.xxhash64("t").alias("ha"))
     right = few.select(F.col("id").alias("b"), F.col("t").alias("tb"))
 
     def run(batches):
@@ -321,7 +321,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, thres
             done, held = 0, (None, None)
             for part in slices(batch, "tb"):
                 h, cuts = shingle_sets(part.column("tb"), n)
-                names, texts_a = part.column("a").to_pylist(), part.column("ta")
+                # an id may have several texts
+                names = list(zip(part.column("a").to_pylist(), part.column("ha").to_pylist()))
+                texts_a = part.column("ta")
                 for i in range(part.num_rows):
                     if held[0] != names[i]:
                         held = (names[i], shingle_sets(texts_a.slice(i, 1), n)[0])
@@ -336,7 +338,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, thres
             kept = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "ab"], names=["a", "b"])
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "ha", "tb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -366,6 +368,17 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         before = now
 
 
+def _shared_ids(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): the smallest and every other class of an id with several sets."""
+    own = F.struct("k1", "k2", "n_shingles")
+    several = (keys.where("n_shingles > 0 and id is not null").groupBy("id")
+               .agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").select("id"))
+    named = (keys.join(several, "id").select(F.col("id").alias("of"), "k1", "k2", "n_shingles")
+             .join(reps.select("k1", "k2", "n_shingles", "id"), ["k1", "k2", "n_shingles"]))
+    least = named.groupBy("of").agg(F.min("id").alias("a"))
+    return named.join(least, "of").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM,
          threshold=THRESHOLD, max_group: int = MAX_GROUP, last_group: int = LAST_GROUP) -> DataFrame:
     """(key, n_shingles, class_id, component_id), one row per row of ``docs``."""
@@ -377,7 +390,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     texts = (docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
              .where(F.col("t").isNotNull() & F.col("id").isNotNull()))
     names = {x: reps.select(F.col("k1").alias(f"k{x}"), F.col("id").alias(x)) for x in "ab"}
-    links, todo, labels = None, None, None
+    links, todo, labels = saved(_shared_ids(keys, reps), "join-links"), None, None
     for depth, level in enumerate(LEVELS):
         count = (todo if depth else reps).count()
         if not count:
@@ -392,7 +405,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
         if depth:          # pairs inside one component tell nothing new
             pairs = _across(pairs, labels)
         good = saved(_verified(pairs, reps, texts, n, threshold), "join-links")
-        links = good if links is None else links.union(good)
+        links = links.union(good)
         labels = components(links)
         # classes of the big groups that are not yet in one component
         star = (found.where("big <> 0").select("big", F.explode(F.array("a", "b")).alias("ka")).distinct()

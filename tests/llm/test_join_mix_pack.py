@@ -257,3 +257,21 @@ def test_shingle_sets_are_sorted_and_distinct():
     h, cuts = jaccard_join.shingle_sets(pa.array(["a b c d e a b c d e", None, "x"]))
     assert np.diff(cuts).tolist() == [5, 0, 1]
     assert all((np.diff(h[a:b].astype(object)) > 0).all() for a, b in zip(cuts, cuts[1:]))
+
+
+def test_join_links_classes_that_share_an_id(spark):
+    one, two, far = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, one), (5, one), (4, two), (5, two), (9, far)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 9: 9}
+
+
+def test_join_verifies_every_text_of_the_left_id(spark):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "xy")
+    for texts in ([one, two], [two, one]):
+        docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, two + " end")], "id long, t string").coalesce(1)
+        keys = jaccard_join.set_keys(docs.withColumnRenamed("t", "text"), "id", "text", jaccard_join.NGRAM)
+        found = jaccard_join._verified(pairs, keys, docs, jaccard_join.NGRAM, jaccard_join.THRESHOLD)
+        assert [tuple(r) for r in found.distinct().collect()] == [(1, 2)]
