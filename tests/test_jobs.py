@@ -4,7 +4,7 @@ import dataclasses
 import os
 import tempfile
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 
 from prevalens.config import FIXTURE_SURVEY
 from prevalens.plans import jobs

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_MID
+from data_dirs import SF_MID
 
 from prevalens.sources.fixture import survey_view
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 
 from prevalens.config import FIXTURE_SURVEY as SPEC
 from prevalens.functions.distributions import t_two_sided_p

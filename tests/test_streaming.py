@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 from pyspark.sql import functions as F
 
 from prevalens.config import FIXTURE_SURVEY
