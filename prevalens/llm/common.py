@@ -33,15 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def saved(df: DataFrame, name: str, by: list | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by some columns if named, and read it back.
 
     Later reads survive lost executors and never run the upstream plan again.
     Every call gets a folder of its own, so two runs never meet.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
