@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, fingerprints, html_extract, jaccard_join, language, licenses, mixing, packing,
-               phrases, pii, quality_model, quality_rules)
+from . import (alignment, fingerprints, html_extract, jaccard_join, language, licenses, minhash, mixing,
+               packing, phrases, pii, quality_model, quality_rules)
 from .common import table
 
 
@@ -80,6 +80,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         listed(F.col("spans")).alias("spans"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return alignment.score(docs, alignment.pair_counts(docs), keep=["doc_id"])
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
