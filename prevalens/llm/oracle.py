@@ -51,11 +51,11 @@ WITH RECURSIVE worded AS (
     lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2),
-                                      lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' '))) END AS shingles
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2),
+                                      lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' ')))) END AS shingles
   FROM worded),
-classes AS (SELECT min(doc_id) AS cid, list_sort(shingles) AS shingles, len(shingles) AS n FROM sets
-            WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+classes AS (SELECT min(doc_id) AS cid, shingles, len(shingles) AS n FROM sets
+            WHERE len(shingles) > 0 GROUP BY shingles),
 elements AS (SELECT cid, n, unnest(shingles) AS x FROM classes),
 shared AS (
   SELECT p.cid AS a, q.cid AS b, p.n AS na, q.n AS nb, count(*) AS c
@@ -69,10 +69,12 @@ reached AS (SELECT cid, cid AS vertex FROM classes
   UNION SELECT reached.cid, links.b FROM reached JOIN links ON links.a = reached.vertex),
 lowest AS (SELECT cid, min(vertex) AS component_id FROM reached GROUP BY cid)
 SELECT sets.doc_id, len(sets.shingles)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id{more}
-FROM sets LEFT JOIN classes ON classes.shingles = list_sort(sets.shingles) LEFT JOIN lowest USING (cid)
+FROM sets LEFT JOIN classes ON classes.shingles = sets.shingles LEFT JOIN lowest USING (cid)
 """
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": _SHINGLES.format(
+        n=5, least=75, more=", coalesce(cid, sets.doc_id) AS class_id"),
     "op11_minhash_near_dedup": _SHINGLES.format(
         n=2, least=80, more=", coalesce(component_id, sets.doc_id) = sets.doc_id AS kept"),
     "op13_phrase_collocations": _PHRASES,
