@@ -17,11 +17,11 @@ could tell nothing new.  Of the others, those up to ``MAX_GROUP`` classes compar
 their pairs across components; larger ones are divided by a second band (classes
 that share a passage rarely share two, linked ones do with probability 0.9998),
 and treated again in the same way.  What is large and unsettled then is
-compared in full: blocks of ``BLOCK`` signatures against blocks inside tasks, and
-only pairs that may be linked leave a task.  Nothing is capped.
+compared in full: blocks of ``BLOCK`` classes against blocks inside tasks, and
+only links that join two components leave a task.  Nothing is capped.
 
 Verification.  A pair whose signatures agree in less than ``LEAST_AGREEING`` of
-their minima goes (a linked pair falls below with probability under 1e-6); the rest
+their minima goes (a linked pair falls below with probability under 1e-5); the rest
 is confirmed on the full sets of 64-bit shingle hashes.
 
 Components by alternating large-star and small-star over the links.
@@ -51,10 +51,10 @@ ROWS = 5
 BANDS = 28
 #: Unsettled bands up to this size compare their pairs at once.
 MAX_GROUP = 16
-#: Signatures of a block in the full comparison of large unsettled groups.
-BLOCK = 1_024
+#: Classes of a block in the full comparison of large unsettled groups.
+BLOCK = 512
 #: Share of agreeing minima below which a pair cannot be linked.
-LEAST_AGREEING = 0.6
+LEAST_AGREEING = 0.65
 #: Classes whose texts are picked by a broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 300_000
 _SEED = 20_240_601
@@ -208,9 +208,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, thr
                     if held[0] != name:
                         held = (name, shingle_sets(left.slice(i, 1), n)[0])
                     x, y = held[1], h[cuts[i]:cuts[i + 1]]
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    same = int((x[at] == y).sum())
+                    same = _shared(x, y)
                     keep[done + i] = den * same >= num * (len(x) + len(y) - same)
                 done += part.num_rows
             kept = pa.array(keep)
@@ -221,34 +219,64 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, thr
     return saved(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "minhash-links")
 
 
-def _blocks(left: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
-    """(a, b): pairs across components inside large groups whose signatures allow the similarity.
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
 
-    ``left`` has key, cid, size, label.  Members are dealt into blocks by a hash; a task
-    compares two blocks and emits only what may be linked.
+
+def _blocks(left: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold, least: float, block: int,
+            repeated: bool) -> DataFrame:
+    """(a, b): links that join the components inside large groups.
+
+    ``left`` has key, cid, size, label.  Members are dealt by a hash into blocks of
+    about ``block`` sets and ``block`` times 512 shingles; a task compares two blocks,
+    signatures first, then full sets, and only across components.  A link merges its two
+    components, so a task emits fewer links than it has components.
     """
-    number = F.ceil(F.col("size") / block).cast("int")
-    dealt = left.select("key", "cid", "label", number.alias("of"),
-                        F.pmod(F.xxhash64("cid"), number).cast("int").alias("own"))
+    num, den = threshold
+    need = saved(left.select("cid").distinct().join(classes.select("cid", "id", "k1", "k2"), "cid"), "minhash-need")
+    few = _class_texts(need, texts, n)
+    few = saved(few.dropDuplicates(["cid"]) if repeated else few, "minhash-texts")
+    sized = left.select("key", "cid", "label").join(classes.select("cid", "n_shingles", "minima"), "cid")
+    number = sized.groupBy("key").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / (block * 512))).cast("int").alias("of"))
+    dealt = sized.join(number, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
     spread = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-              .select("key", "cid", "label", "own", F.least("own", "other").alias("low"),
-                      F.greatest("own", "other").alias("high"))
-              .join(classes.select("cid", "n_shingles", "minima"), "cid"))
+              .select("key", "cid", "label", "n_shingles", "minima", "own", F.least("own", "other").alias("low"),
+                      F.greatest("own", "other").alias("high")).join(few, "cid"))
 
     def run(table: pa.Table) -> pa.Table:
         own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
         cid, label, size = (table.column(c).to_numpy() for c in ("cid", "label", "n_shingles"))
         m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(own), -1)
-        x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = []
-        for i in x.tolist():
-            j = y[label[y] != label[i]]
+        t = table.column("t")
+        held: dict = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in held:
+                held[i] = shingle_sets(t.slice(i, 1).combine_chunks(), n)[0]
+            return held[i]
+
+        names, root = np.unique(label, return_inverse=True)
+        y = np.flatnonzero(own == high)
+        links = []
+        for i in np.flatnonzero(own == low).tolist():
+            j = y[root[y] != root[i]]
+            j = j[(np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)]
             j = j[(m[j] == m[i]).mean(axis=1) >= least]
-            found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+            for k in j.tolist():
+                if root[k] == root[i]:
+                    continue
+                same = _shared(full(i), full(k))
+                if den * same >= num * (int(size[i]) + int(size[k]) - same):
+                    links.append((int(cid[i]), int(cid[k])))
+                    root[root == root[k]] = root[i]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return spread.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _unsettled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -301,8 +329,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         if depth == "one":
             source = saved(second_bands(large, classes), "minhash-second")
         else:
-            pairs = saved(_blocks(large, classes, least, block), "minhash-blocks")
-            links.append(verified(pairs, classes, texts, n, threshold, least, repeated))
+            links.append(saved(_blocks(large, classes, texts, n, threshold, least, block, repeated), "minhash-links"))
     labels = components(_all(links), "minhash-components")
     member = classes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))

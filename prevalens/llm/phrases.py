@@ -262,6 +262,12 @@ def _all(parts: list) -> DataFrame:
     return out
 
 
+def cut_score(left: str, right: str) -> Column:
+    """floor(10**6 a**2 / (left right)) of the count columns."""
+    return F.expr(f"cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0)) "
+                  f"div (cast({left} as decimal(19,0)) * cast({right} as decimal(19,0)))")
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST,
                  top: int | None = TOP, keep_percent: int = KEEP_PERCENT, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of every language."""
@@ -277,15 +283,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     def two(first: str, second: str, value: str) -> DataFrame:
         return pairs.select("lang", F.col("h1").alias(first), F.col("h2").alias(second), F.col("a").alias(value))
 
-    def rated(left: str, right: str) -> Column:
-        return F.expr(f"cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0)) "
-                      f"div (cast({left} as decimal(19,0)) * cast({right} as decimal(19,0)))")
-
     both = pairs.join(one("h1", "l"), ["lang", "h1"]).join(one("h2", "r"), ["lang", "h2"])
-    both = both.withColumn("score", rated("l", "r")).withColumn("h3", F.lit(0).cast("long"))
+    both = both.withColumn("score", cut_score("l", "r")).withColumn("h3", F.lit(0).cast("long"))
     long_ = (threes.join(one("h1", "l1"), ["lang", "h1"]).join(two("h2", "h3", "r1"), ["lang", "h2", "h3"])
              .join(two("h1", "h2", "l2"), ["lang", "h1", "h2"]).join(one("h3", "r2"), ["lang", "h3"]))
-    long_ = long_.withColumn("s1", rated("l1", "r1")).withColumn("s2", rated("l2", "r2"))
+    long_ = long_.withColumn("s1", cut_score("l1", "r1")).withColumn("s2", cut_score("l2", "r2"))
     first = F.col("s1") <= F.col("s2")
     long_ = long_.select("lang", "h1", "h2", "h3", "a", F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l"),
                          F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"),
