@@ -20,9 +20,10 @@ characters that are not white space, so a text is encoded segment by segment
 memory.  A very long text is a batch of its own; a task's memory follows the
 longest text, not the number of documents.
 
-Counts.  A first pass sums, map side first, how often every pair of ids is
-linked; the pass that scores the documents looks the pairs up.  The table has at
-most one row per pair of vocabulary entries; up to ``BROADCAST_PAIRS`` of them
+Counts.  Texts are tokenised and aligned once; what is written is a document's
+digest and its links as 32-bit id pairs.  From that table the pairs are counted,
+map side first, and then looked up document by document.  The table of counts has
+at most one row per pair of vocabulary entries; up to ``BROADCAST_PAIRS`` of them
 are broadcast, more are joined by a shuffle on the pair.
 
 Edge cases: null and empty texts, and texts whose tokens do not spell a space
@@ -37,6 +38,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .textnum import mixed, slices
+from .textnum import slices
 
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
@@ -55,7 +57,7 @@ CACHE = 400_000
 CACHED_LENGTH = 64
 #: Id pairs that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 6_000_000
-_PAIR = np.int64(1) << np.int64(24)
+_PAIR = np.uint32(1 << 16)
 _ANY_HARD = re.compile(r" (?:\s|\Z)|[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] |\A ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -118,22 +120,25 @@ def merge_path(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple:
 
 # ---- tokens ---------------------------------------------------------------------------
 class _Flat:
-    """Ragged rows of numbers in one growing array."""
+    """Ragged rows of numbers in growing arrays."""
 
     def __init__(self):
-        self.start, self.count = [], []
-        self.ids, self.sizes = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.rows, self.used = 0, 0
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.uint16)
 
-    def add(self, ids: list, sizes: list) -> None:
-        n = len(ids)
-        while self.used + n > len(self.ids):
-            self.ids, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.sizes))
-        self.ids[self.used:self.used + n] = ids
-        self.sizes[self.used:self.used + n] = sizes
-        self.start.append(self.used)
-        self.count.append(n)
-        self.used += n
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.start, self.count = (_room(x, self.rows + len(counts)) for x in (self.start, self.count))
+        self.ids = _room(self.ids, self.used + len(ids))
+        to = self.rows + len(counts)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.count[self.rows:to] = counts
+        self.start[self.rows:to] = self.used + np.cumsum(counts) - counts
+        self.rows, self.used = to, self.used + len(ids)
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)])
 
 
 class Tokens:
@@ -149,13 +154,16 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b_file))
         self.a_bytes = _byte_level(self.a)
         self.b_bytes = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("an id pair has 32 bits: at most 65,536 entries a vocabulary")
+        self.length = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
         # whether a piece joins something to a space that follows it
         self.joins = any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.b_bytes)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict = {}
-        self.good: list = []
+        self.good = np.zeros(1 << 12, dtype=bool)
         self.flat_a, self.flat_b = _Flat(), _Flat()
 
     def segments(self, text: str) -> list:
@@ -166,16 +174,18 @@ class Tokens:
 
     def learn(self, fresh: list) -> None:
         """Encode segments (without their space) and keep ids and byte lengths."""
-        in_a = self.a.encode_batch_fast([" " + s for s in fresh], add_special_tokens=False)
+        in_a = [x.ids for x in self.a.encode_batch_fast([" " + s for s in fresh], add_special_tokens=False)]
         in_b = self.b.encode(fresh, num_threads=1)
-        for s, x, y in zip(fresh, in_a, in_b):
-            x = x.ids
-            whole = (" " + s).encode("utf-8", "surrogatepass")
-            pa_, pb = [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
-            self.known[s] = len(self.good)
-            self.good.append(b"".join(pa_) == whole and b"".join(pb) == whole)
-            self.flat_a.add(x, [len(p) for p in pa_])
-            self.flat_b.add(y, [len(p) for p in pb])
+        first = self.flat_a.rows
+        good = np.ones(len(fresh), dtype=bool)
+        for flat, spelt, rows in ((self.flat_a, self.a_bytes, in_a), (self.flat_b, self.b_bytes, in_b)):
+            ids = list(chain.from_iterable(rows))
+            flat.add(np.array(ids, np.uint16), np.fromiter(map(len, rows), np.int64, len(rows)))
+            if b"".join([spelt[i] for i in ids]) != (" " + " ".join(fresh)).encode():
+                good &= [b"".join([spelt[i] for i in x]) == (" " + s).encode() for x, s in zip(rows, fresh)]
+        self.good = _room(self.good, first + len(fresh))
+        self.good[first:first + len(fresh)] = good
+        self.known.update(zip(fresh, range(first, first + len(fresh))))
 
     def encode(self, texts: list) -> tuple:
         """Tokens of all texts: per side (ids, ends, tokens per text); texts that fail have none.
@@ -200,15 +210,16 @@ class Tokens:
         at = np.array(found, dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), number)
         fails = np.zeros(len(texts), bool)
-        fails[owner[~np.array(self.good, dtype=bool)[at]]] = True
-        use = ~fails[owner]
-        at, owner = at[use], owner[use]
+        fails[owner[~self.good[at]]] = True
+        if fails.any():
+            use = ~fails[owner]
+            at, owner = at[use], owner[use]
         out = []
-        for flat in (self.flat_a, self.flat_b):
-            start, count = np.array(flat.start, np.int64)[at], np.array(flat.count, np.int64)[at]
+        for flat, length in zip((self.flat_a, self.flat_b), self.length):
+            start, count = flat.start[at], flat.count[at]
             stop = np.cumsum(count)
-            place = np.repeat(start - (stop - count), count) + np.arange(int(count.sum()))
-            out.append((flat.ids[place], np.cumsum(flat.sizes[place], dtype=np.int64),
+            ids = flat.ids[np.repeat(start - (stop - count), count) + np.arange(int(count.sum()))]
+            out.append((ids, np.cumsum(length[ids]),
                         np.bincount(owner, count, minlength=len(texts)).astype(np.int64)))
         return tuple(out)
 
@@ -251,7 +262,7 @@ def align(texts: list, tokens: Tokens, work: int = WORK) -> dict:
     owner = np.searchsorted(stop_a, cut_a - 1, side="right")
     n_groups = np.bincount(owner, minlength=len(texts)).astype(np.int64)
     return {"a": a, "b": b, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups,
-            "pair": a[i].astype(np.int64) * _PAIR + b[j], "cut_a": cut_a, "cut_b": cut_b}
+            "pair": a[i].astype(np.uint32) * _PAIR + b[j], "cut_a": cut_a, "cut_b": cut_b}
 
 
 def group_texts(found: dict) -> list:
@@ -281,11 +292,35 @@ def group_texts(found: dict) -> list:
 
 
 # ---- jobs -----------------------------------------------------------------------------
-def pair_counts(docs: DataFrame, text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE,
-                work: int = WORK) -> DataFrame:
-    """(pair, count, best): links that hold the id pair; whether no pair of its B id has more."""
+def linked(docs: DataFrame, text: str = "text", keep: list | None = None, a_file: str = A_FILE,
+           b_file: str = B_FILE, work: int = WORK) -> DataFrame:
+    """One row per document, written once: row, k0, k1, ... (``keep``), n_a, n_b, n_groups, n_links,
+    groups_sha256 and links, the 32-bit id pairs of all overlaps."""
+    inner = [f"k{i}" for i in range(len(keep or []))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep or [], inner)], F.col(text).alias("t"))
+
     def run(batches):
         tokens = shared_tokens(a_file, b_file)
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = align(part.column("t").to_pylist(), tokens, work)
+                shown = [hashlib.sha256(g).hexdigest() if g else "" for g in group_texts(found)]
+                stop = np.cumsum(found["n_links"]).tolist()
+                raw = found["pair"].astype("<u4")
+                cols = {**{k: part.column(k) for k in inner}, **{k: pa.array(found[k]) for k in _COUNTS},
+                        "groups_sha256": pa.array(shown, pa.string()),
+                        "links": pa.array([raw[x:y].tobytes() for x, y in zip([0, *stop], stop)], pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    front = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(inner, rows.schema))
+    made = rows.mapInArrow(run, front + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string, links binary")
+    # numbered where they are written, so that the numbers stay
+    return saved(made.withColumn("row", F.monotonically_increasing_id()), "align-links", codec="zstd")
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
+    """(pair, count, best): links that hold the id pair; whether no pair of its B id has more."""
+    def run(batches):
         held, size = [], 0
 
         def total():
@@ -294,23 +329,27 @@ def pair_counts(docs: DataFrame, text: str = "text", a_file: str = A_FILE, b_fil
             at = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
             return pair[order][at], np.add.reduceat(np.concatenate([c for _, c in held])[order], at)
 
+        def rows(pair, count):
+            return pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(count)],
+                                              names=["pair", "count"])
+
         for batch in batches:
-            for part in slices(batch, "t"):
-                pair = align(part.column("t").to_pylist(), tokens, work)["pair"]
-                if not len(pair):
+            for part in slices(batch, "links"):
+                found = np.frombuffer(b"".join(part.column("links").to_pylist()), "<u4")
+                if not len(found):
                     continue
-                held.append(np.unique(pair, return_counts=True))
+                held.append(np.unique(found, return_counts=True))
                 size += len(held[-1][0])
                 if size > 4_000_000:
                     held = [total()]
                     if len(held[0][0]) > 2_000_000:      # memory is bounded: hand over and go on
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["pair", "count"])
+                        yield rows(*held[0])
                         held = []
                     size = sum(len(p) for p, _ in held)
         if held:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, total())), names=["pair", "count"])
+            yield rows(*total())
 
-    counted = (docs.select(F.col(text).alias("t")).mapInArrow(run, "pair long, count long")
+    counted = (links.select("links").mapInArrow(run, "pair long, count long")
                .groupBy("pair").agg(F.sum("count").alias("count")))
     counted = saved(counted, "align-pairs")
     by_b = F.pmod(F.col("pair"), F.lit(int(_PAIR)))
@@ -319,91 +358,54 @@ def pair_counts(docs: DataFrame, text: str = "text", a_file: str = A_FILE, b_fil
         "pair", "count", (F.col("count") == F.col("most")).alias("best")), "align-best")
 
 
-class _Lookup:
-    """Counts of id pairs: one probe of a table for nearly all, a binary search for the rest."""
-
-    def __init__(self, pair: np.ndarray, value: np.ndarray):
-        order = np.argsort(pair)
-        self.pair, self.value = pair[order], value[order]
-        self.mask = np.uint64((1 << max(1, int(2 * len(pair))).bit_length()) - 1)
-        self.slot = np.zeros(int(self.mask) + 1, np.int32)
-        self.slot[self._probe(self.pair)] = np.arange(len(pair))
-
-    def _probe(self, pair):
-        return (mixed(pair.astype(np.uint64)) & self.mask).astype(np.int64)
-
-    def __call__(self, pair: np.ndarray) -> np.ndarray:
-        at = self.slot[self._probe(pair)].astype(np.int64)
-        off = np.flatnonzero(self.pair[at] != pair)
-        at[off] = np.searchsorted(self.pair, pair[off])
-        return self.value[at]
-
-
-_DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-
-
-def _digests(found: dict, keep: list, part, extra: dict) -> pa.RecordBatch:
-    shown = [hashlib.sha256(g).hexdigest() if g else "" for g in group_texts(found)]
-    cols = {**{k: part.column(k) for k in keep}, **{k: pa.array(found[k]) for k in _COUNTS},
-            **{k: pa.array(v) for k, v in extra.items()}, "groups_sha256": pa.array(shown, pa.string())}
-    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-
-def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: list | None = None,
-          a_file: str = A_FILE, b_file: str = B_FILE, work: int = WORK,
+def score(links: DataFrame, counts: DataFrame, keep: list | None = None,
           broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """One row per document: ``keep`` columns and the alignment's numbers (see ``_DIGEST``)."""
-    keep = list(keep or [])
-    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    inner = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*named, F.col(text).alias("t"))
-    front = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(inner, rows.schema))
-    back = [F.col(n).alias(c) for n, c in zip(inner, keep)]
+    """One row per document: ``keep`` columns, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    inner = [f"k{i}" for i in range(len(keep or []))]
+    plain = inner + list(_COUNTS) + ["groups_sha256"]
+    types = dict(links.dtypes)
     if counts.count() <= broadcast_pairs:
-        # whole table within the bound: sorted arrays, 16 bytes a pair
-        got = counts.select("pair", (F.col("count") * 2 + F.col("best").cast("long")).alias("v")).toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast(
-            (got.column("pair").to_numpy(), got.column("v").to_numpy()))
+        # whole table within the bound: sorted arrays, 12 bytes a pair
+        got = counts.orderBy("pair").select("pair", (F.col("count") * 2 + F.col("best").cast("long")).alias("v")).toArrow()
+        sent = links.sparkSession.sparkContext.broadcast(
+            (got.column("pair").to_numpy().astype(np.uint32), got.column("v").to_numpy()))
 
         def run(batches):
-            tokens, look = shared_tokens(a_file, b_file), _Lookup(*sent.value)
+            pair, value = sent.value
             for batch in batches:
-                for part in slices(batch, "t"):
-                    found = align(part.column("t").to_pylist(), tokens, work)
-                    v = look(found["pair"]) if len(found["pair"]) else np.zeros(0, np.int64)
-                    stop = np.cumsum(found["n_links"])
-                    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (v >> 1, v & 1)]
-                    count_sum, n_best = (s[stop] - s[stop - found["n_links"]] for s in sums)
-                    yield _digests(found, inner, part, {"n_best": n_best, "count_sum": count_sum})
-
-        return rows.mapInArrow(run, front + _DIGEST).select(*back, *[c.split()[0] for c in _DIGEST.split(", ")])
-    # more pairs than may be broadcast: every different text's pairs are joined with the counts
-    named = saved(rows.withColumn("of", F.sha2("t", 256)), "align-texts")
-
-    def digest(batches):
-        tokens = shared_tokens(a_file, b_file)
-        for batch in batches:
-            for part in slices(batch, "t"):
-                yield _digests(align(part.column("t").to_pylist(), tokens, work), inner + ["of"], part, {})
-
-    def pairs(batches):
-        tokens = shared_tokens(a_file, b_file)
-        for batch in batches:
-            for part in slices(batch, "t"):
-                found = align(part.column("t").to_pylist(), tokens, work)
-                stop = np.cumsum(found["n_links"]).tolist()
-                for of, x, y in zip(part.column("of").to_pylist(), [0, *stop], stop):
-                    if y > x:
-                        p, c = np.unique(found["pair"][x:y], return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([of] * len(p)), pa.array(p), pa.array(c)], names=["of", "pair", "n"])
-
-    out = named.mapInArrow(digest, front + "of string, n_a long, n_b long, n_groups long, n_links long, "
-                                           "groups_sha256 string")
-    linked = named.where("t is not null").select("of", "t").dropDuplicates(["of"]).mapInArrow(
-        pairs, "of string, pair long, n long")
-    sums = linked.join(counts, "pair").groupBy("of").agg(
-        F.sum(F.col("n") * F.col("best").cast("long")).alias("n_best"),
-        F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    return out.join(sums, "of", "left").na.fill(0, ["n_best", "count_sum"]).select(
-        *back, *[c.split()[0] for c in _DIGEST.split(", ")])
+                for part in slices(batch, "links"):
+                    found = np.frombuffer(b"".join(part.column("links").to_pylist()), "<u4")
+                    n = part.column("n_links").to_numpy()
+                    own, back = np.unique(found, return_inverse=True)
+                    v = value[np.searchsorted(pair, own)][back] if len(own) else np.zeros(0, np.int64)
+                    stop = np.cumsum(n)
+                    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (v & 1, v >> 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(c) for c in plain] + [pa.array(s[stop] - s[stop - n]) for s in sums],
+                        names=plain + ["n_best", "count_sum"])
+
+        out = links.select(*plain, "links").mapInArrow(
+            run, ", ".join(f"{c} {types[c]}" for c in plain) + ", n_best long, count_sum long")
+    else:
+        def pairs(batches):
+            for batch in batches:
+                for row, raw in zip(batch.column("row").to_pylist(), batch.column("links").to_pylist()):
+                    p, c = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row] * len(p), pa.int64()), pa.array(p.astype(np.int64)), pa.array(c)],
+                        names=["row", "pair", "n"])
+
+        spread = links.select("row", "links").mapInArrow(pairs, "row long, pair long, n long")
+        sums = spread.join(counts, "pair").groupBy("row").agg(
+            F.sum(F.col("n") * F.col("best").cast("long")).alias("n_best"),
+            F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+        out = links.drop("links").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep or [])], "n_a", "n_b", "n_groups", "n_links",
+                      "n_best", "count_sum", "groups_sha256")
+
+
+def alignments(docs: DataFrame, text: str = "text", keep: list | None = None, a_file: str = A_FILE,
+               b_file: str = B_FILE, work: int = WORK, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """Align all texts and score their links: see ``score``."""
+    links = linked(docs, text, keep, a_file, b_file, work)
+    return score(links, pair_counts(links), keep, broadcast_pairs)

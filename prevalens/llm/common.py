@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def saved(df: DataFrame, name: str, by: list | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, by: list | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder, in folders by some columns if named, and read it back.
 
     Later reads survive lost executors and never run the upstream plan again.
@@ -41,7 +41,7 @@ def saved(df: DataFrame, name: str, by: list | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path, partitionBy=by)
+    df.write.parquet(path, partitionBy=by, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

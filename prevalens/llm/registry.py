@@ -86,7 +86,7 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return alignment.score(docs, alignment.pair_counts(docs), keep=["doc_id"])
+    return alignment.alignments(docs, keep=["doc_id"])
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

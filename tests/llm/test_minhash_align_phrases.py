@@ -154,17 +154,17 @@ def test_alignment_equals_brute_force(spark, tokens, edge, limit):
     rows += [(r.doc_id, r.text) for r in edge.where("length(coalesce(text, '')) < 1000").collect()]
     rows += [(1000 + r.doc_id, r.text) for r in short.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_a", F.lit("extra"))
-    got = alignment.score(docs, alignment.pair_counts(docs), keep=["doc_id"], broadcast_pairs=limit)
+    got = alignment.alignments(docs, keep=["doc_id"], broadcast_pairs=limit)
     assert got.columns[0] == "doc_id" and Counter(tuple(r) for r in got.collect()) == expected(tokens, rows)
 
 
 def test_alignment_of_long_text_and_nothing(spark, tokens, nothing):
     text = " ".join(f"word{i % 977} été" for i in range(20_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    r = alignment.score(docs, alignment.pair_counts(docs), keep=["doc_id"]).first()
+    r = alignment.alignments(docs, keep=["doc_id"]).first()
     assert r.n_a == len(tokens.a.encode(" " + text, add_special_tokens=False).ids)
     assert r.n_b == len(tokens.b.encode(text)) and r.n_links == r.n_a + r.n_b - r.n_groups
-    assert alignment.score(nothing, alignment.pair_counts(nothing)).count() == 0
+    assert alignment.alignments(nothing).count() == 0
 
 
 def test_merge_path_is_the_same_for_any_piece_size():
