@@ -5,24 +5,16 @@ Design:
 * the labelled table (national keys, features, label) is built with joins and
   a scalar-subquery median, then checkpointed once: every fit and metric job
   reads that small table instead of re-running the joins;
-* estimators are ``pyspark.ml`` (logistic regression, decision tree, random
-  forest, linear SVM); the penalties are mapped to the reference's
-  ``C = 1`` formulation (regParam = 1 / (C n));
-* each fold is one fit; predictions of all folds are unioned with a ``fold``
-  column and scored in one aggregate (accuracy / F1 / AUC per fold), so one
-  fit per fold yields all three metrics;
-* fold fits are independent jobs and run concurrently from a small thread
-  pool (Spark schedules concurrent jobs from several driver threads).
+* the fits are order-free sums over the rows: logistic regression and linear SVM
+  by Newton steps (``linear_fits``), decision tree and random forest level by level
+  (``exact_trees``).  A step or level serves the models of all folds and of the whole
+  data in one pass, and the same rows give the same models whatever their layout;
+* held-out predictions of all classifiers are unioned with ``classifier`` and ``fold``
+  columns and scored in one aggregate (accuracy / F1 / AUC per fold).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
-                                       LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +22,8 @@ from pyspark.sql.window import Window
 from ..functions.scalar import round_half_even
 from ..operators import filters as flt
 from ..operators import windows
-from ..session import laid_out, materialize
-from . import eda
+from ..session import materialize
+from . import eda, exact_trees, linear_fits
 from .regression import standardize
 
 CLASSIFIERS = ("Logistic Regression", "Decision Tree", "Random Forest", "Linear SVM")
@@ -69,46 +61,50 @@ def build_labeled(outcome, driver, habit, spec, *, with_habit: bool) -> tuple:
 
 
 def prepare(df: DataFrame, features: list, spec, k: int = 5, seed: int = 42) -> DataFrame:
-    """Standardise features (population std, all rows), add stratified folds,
-    assemble the vector, and checkpoint the small result."""
+    """Standardise features (population std, all rows) into the array ``x``, add stratified
+    folds, and checkpoint the small result."""
     scaled = standardize(df, features, "__z")
     scaled = windows.stratified_folds(scaled, spec.label, spec.national_keys, k, seed)
-    asm = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="features")
-    out = asm.transform(scaled).withColumn("label", F.col(spec.label).cast("double"))
-    # checkpointed (lineage cut) and persisted; a lost block re-reads the checkpoint
-    return laid_out(materialize(
-        out.select(*spec.national_keys, spec.category, "features", "label", "fold")),
-        spec.national_keys).persist()
-
-
-# -- estimators ------------------------------------------------------------------------
+    return materialize(scaled.select(
+        *spec.national_keys, spec.category, F.array(*[F.col(f"{c}__z") for c in features]).alias("x"),
+        F.col(spec.label).cast("double").alias("label"), "fold"))
 
-def make_estimator(name: str, n_train: int, seed: int = 42, C: float = 1.0):
-    reg = 1.0 / (C * max(n_train, 1))
-    if name == "Logistic Regression":
-        return LogisticRegression(maxIter=1000, regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, tol=1e-4)
-    if name == "Decision Tree":
-        return DecisionTreeClassifier(maxDepth=5, impurity="gini", seed=seed, maxBins=256)
-    if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt",
-                                      impurity="gini", seed=seed, maxBins=256)
-    if name == "Linear SVM":
-        # the published iteration limit and tolerance
-        return LinearSVC(maxIter=2000, regParam=reg, standardization=False, tol=1e-4)
-    raise ValueError(name)
 
+# -- fits --------------------------------------------------------------------------------
 
-def score_col(pred: DataFrame, name: str) -> DataFrame:
-    """Positive-class score: probability when the model has one, else the margin."""
-    if name == "Linear SVM":
-        return pred.withColumn("score", vector_to_array("rawPrediction")[1])
-    return pred.withColumn("score", vector_to_array("probability")[1])
+TREE_DEPTH = 5
+FOREST_TREES = 100
+_LOSS = {"Logistic Regression": "logistic", "Linear SVM": "squared_hinge"}
 
 
-def _fit_predict(name, train, test, n_train, seed):
-    model = make_estimator(name, n_train, seed).fit(train)
-    return model, score_col(model.transform(test), name)
+def fit_predict(name: str, data: DataFrame, n_features: int, keys: list, k: int = 5, seed: int = 42,
+                C: float = 1.0) -> dict:
+    """One classifier on all folds and on all rows: held-out and training predictions with
+    fold, label, prediction, score, and what was learnt (coefficients or nodes)."""
+    if name in _LOSS:
+        loss = _LOSS[name]
+        coefs, report = linear_fits.fit(data, n_features + 1, loss, k, C)
+        held, full = linear_fits.scored(data, coefs, loss, k)
+        return {"cv_pred": held, "pred": full, "coefs": coefs, "report": report}
+    if name == "Decision Tree":
+        nodes, routed = exact_trees.grow(exact_trees.fold_rows(data, k), TREE_DEPTH)
+        found = exact_trees.leaf_scores(nodes, routed).select(
+            F.col("model").alias("of"), "fold", "label", F.col("prob").alias("score"))
+        own = nodes.where(F.col("model") == k)
+    elif name == "Random Forest":
+        some = max(1, int(n_features ** 0.5))
+        rows = exact_trees.forest_rows(data, F.concat_ws("|", *keys), FOREST_TREES, k, seed)
+        nodes, routed = exact_trees.grow(rows, None, some, seed)
+        found = exact_trees.leaf_scores(nodes, routed).groupBy("of", *keys, "fold", "label").agg(
+            F.avg("prob").alias("score"))
+        own = nodes.where(F.col("model") >= k * FOREST_TREES)
+    else:
+        raise ValueError(name)
+    # label 1 needs more than half, as a majority among the classes in order does
+    found = materialize(found.withColumn("prediction", (F.col("score") > 0.5).cast("double")))
+    cols = ["fold", "label", "prediction", "score"]
+    return {"cv_pred": found.where(F.col("of") == F.col("fold")).select(*cols),
+            "pred": found.where(F.col("of") == k).select(*cols), "nodes": own}
 
 
 # -- metrics ---------------------------------------------------------------------------
@@ -129,55 +125,41 @@ def fold_metrics(pred: DataFrame, group_cols: list) -> DataFrame:
         rec.alias("recall"), z(2 * tp, 2 * tp + fp + fn).alias("f1"), "auc")
 
 
-def run_dataset(data: DataFrame, classifiers=CLASSIFIERS, k: int = 5, seed: int = 42,
-                threads: int = 16) -> list:
-    """All (classifier, fold) fits plus one full-data fit per classifier.
+def run_dataset(data: DataFrame, n_features: int, keys: list, classifiers=CLASSIFIERS, k: int = 5,
+                seed: int = 42) -> list:
+    """All classifiers with cross-validation and on all rows; two scoring jobs for all of them."""
+    fits = {c: fit_predict(c, data, n_features, keys, k, seed) for c in classifiers}
 
-    Fits are independent jobs submitted to one thread pool; the predictions
-    of every fold are unioned with (classifier, fold) tags and scored in a
-    single aggregate, and the full-data predictions in another, so metric
-    jobs do not grow with the number of models.
-    """
-    sizes = {r["fold"]: r["n"] for r in
-             data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}   # k rows
-    total = sum(sizes.values())
-    folds = sorted(sizes)
-
-    def cv_task(name, f):
-        train = data.where(F.col("fold") != f)
-        test = data.where(F.col("fold") == f)
-        _, pred = _fit_predict(name, train, test, total - sizes[f], seed)
-        return pred.select(F.lit(name).alias("classifier"), F.lit(f).alias("fold"),
-                           "label", "prediction", "score")
-
-    def full_task(name):
-        return _fit_predict(name, data, data, total, seed)
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        cv_futs = [pool.submit(cv_task, c, f) for c in classifiers for f in folds]
-        full_futs = {c: pool.submit(full_task, c) for c in classifiers}
-        cv_preds = [f.result() for f in cv_futs]
-        full = {c: f.result() for c, f in full_futs.items()}
-
-    allp = cv_preds[0]
-    for p in cv_preds[1:]:
-        allp = allp.unionByName(p)
-    # The scored rows are as many as the input; materialise them once so the
-    # metric jobs (counts, score buckets, running sums) do not re-run every
-    # model's transform branch.
-    allp = materialize(allp)
-    per_fold = fold_metrics(allp, ["classifier", "fold"])
+    def tagged(which: str) -> DataFrame:
+        parts = [fits[c][which].select(F.lit(c).alias("classifier"), "fold", "label", "prediction", "score")
+                 for c in classifiers]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return materialize(out)
+
+    per_fold = fold_metrics(tagged("cv_pred"), ["classifier", "fold"])
     cv_rows = {r["classifier"]: r for r in per_fold.groupBy("classifier").agg(
         *[f(c).alias(f"{c}_{s}") for c in ("accuracy", "f1", "auc")
           for s, f in (("mean", F.avg), ("std", F.stddev_pop))]).collect()}
-    train_all = None
-    for c, (_, pred) in full.items():
-        part = pred.select(F.lit(c).alias("classifier"), "label", "prediction", "score")
-        train_all = part if train_all is None else train_all.unionByName(part)
-    train_rows = {r["classifier"]: r for r in
-                  fold_metrics(materialize(train_all), ["classifier"]).collect()}
-    return [{"name": c, "model": full[c][0], "pred": full[c][1], "cv": cv_rows[c],
-             "train": train_rows[c]} for c in classifiers]
+    train_rows = {r["classifier"]: r for r in fold_metrics(tagged("pred"), ["classifier"]).collect()}
+    return [{"name": c, **fits[c], "cv": cv_rows[c], "train": train_rows[c]} for c in classifiers]
+
+
+def linear_models(results: list, features: list, spark) -> DataFrame:
+    """(classifier, model, term, coef): coefficients of every fold's model and of all rows (``full``)."""
+    rows = [(r["name"], "full" if m == max(r["coefs"]) else f"without fold {m}", term, float(v))
+            for r in results if "coefs" in r for m, w in r["coefs"].items()
+            for term, v in zip(["Intercept", *features], w)]
+    return spark.createDataFrame(rows, "classifier string, model string, term string, coef double")
+
+
+def convergence(results: list, spark) -> DataFrame:
+    """(classifier, model, steps, n_rows, objective, gradient, converged) of the linear fits."""
+    rows = [(r["name"], "full" if m == max(r["coefs"]) else f"without fold {m}", steps, n, float(obj), float(g), bool(ok))
+            for r in results if "coefs" in r for m, steps, n, obj, g, ok in r["report"]]
+    return spark.createDataFrame(rows, "classifier string, model string, steps int, n_rows long, objective double, "
+                                       "gradient double, converged boolean")
 
 
 def results_table(spark, results: list) -> DataFrame:
@@ -228,27 +210,15 @@ def _tagged(results: list, tag: str) -> DataFrame:
     return out
 
 
-def feature_importance(model, features: list, spark) -> DataFrame:
-    """Gini importances of a tree ensemble (sum to 1), highest first."""
-    imp = model.featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(features, imp)), "feature string, importance double")
-    return df.select("feature", round_half_even("importance", 4).alias("importance"))
+def feature_importance(nodes: DataFrame, features: list) -> DataFrame:
+    """Gini importances of a tree or forest (sum to 1)."""
+    return exact_trees.importances(nodes, features).select(
+        "feature", round_half_even("importance", 4).alias("importance"))
 
 
-def tree_rules(model, features: list, spark, max_depth: int = 3) -> DataFrame:
-    """The decision tree as (line, depth, rule) rows down to ``max_depth``."""
-    lines = []
-    for ln in model.toDebugString.splitlines()[1:]:
-        depth = (len(ln) - len(ln.lstrip(" "))) // 1
-        text = ln.strip()
-        for i, f in enumerate(features):
-            text = text.replace(f"feature {i} ", f"{f} ")
-        lines.append((len(lines), depth, text))
-    base = min(d for _, d, _ in lines) if lines else 0
-    rows = [(i, (d - base) // 1, t) for i, d, t in lines]
-    df = spark.createDataFrame(rows, "line int, indent int, rule string")
-    # debug-string indentation is one space per level
-    return df.where(F.col("indent") <= max_depth)
+def tree_rules(nodes: DataFrame, features: list, max_depth: int = 3) -> DataFrame:
+    """The decision tree as a table of nodes down to ``max_depth``."""
+    return exact_trees.node_table(nodes, features, max_depth)
 
 
 def classification_job(outcome, driver, habit, spec) -> dict:
@@ -257,11 +227,12 @@ def classification_job(outcome, driver, habit, spec) -> dict:
     for tag, with_habit in (("A", False), ("B", True)):
         labeled, feats = build_labeled(outcome, driver, habit, spec, with_habit=with_habit)
         data = prepare(labeled, feats, spec)
-        res = run_dataset(data)
+        res = run_dataset(data, len(feats), spec.national_keys)
         out[f"results_{tag}"] = results_table(spark, res)
         byname = {r["name"]: r for r in res}
         out[f"confusion_{tag}"] = confusion_matrices(res, tag)
-        out[f"importance_{tag}"] = feature_importance(byname["Random Forest"]["model"], feats, spark)
-        out[f"tree_{tag}"] = tree_rules(byname["Decision Tree"]["model"], feats, spark)
+        out[f"importance_{tag}"] = feature_importance(byname["Random Forest"]["nodes"], feats)
+        out[f"tree_{tag}"] = tree_rules(byname["Decision Tree"]["nodes"], feats)
+        out[f"convergence_{tag}"] = convergence(res, spark)
         out[f"roc_{tag}"] = roc_curves(res, tag)
     return out

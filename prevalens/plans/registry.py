@@ -464,7 +464,7 @@ def q_auc_driver_score(spark, sf_dir):
 def _classify(spark, sf_dir, with_habit, classifiers=clf.CLASSIFIERS, nat=None):
     df, feats = labeled(spark, sf_dir, with_habit, nat)
     data = clf.prepare(df, feats, SPEC)
-    return data, feats, clf.run_dataset(data, classifiers)
+    return data, feats, clf.run_dataset(data, len(feats), SPEC.national_keys, classifiers)
 
 
 @register("classifier_report_a")
@@ -510,13 +510,72 @@ def q_roc_curves(spark, sf_dir):
 @register("feature_importance_forest")
 def q_feature_importance_forest(spark, sf_dir):
     _, feats, res = _classify(spark, sf_dir, False, ("Random Forest",))
-    return clf.feature_importance(res[0]["model"], feats, spark)
+    return clf.feature_importance(res[0]["nodes"], feats)
+
+
+def _only(spark, sf_dir, with_habit, name, nat=None):
+    """One classifier: (its result, feature names)."""
+    _, feats, res = _classify(spark, sf_dir, with_habit, (name,), nat)
+    return res[0], feats
+
+
+def _both(spark, sf_dir, part):
+    """``part`` of data sets A and B under a ``dataset`` column."""
+    nat = nationals(spark, sf_dir)
+    a, b = (part(habit, nat).select(F.lit(tag).alias("dataset"), "*") for tag, habit in (("A", False), ("B", True)))
+    return a.unionByName(b)
 
 
 @register("tree_rules")
 def q_tree_rules(spark, sf_dir):
-    _, feats, res = _classify(spark, sf_dir, False, ("Decision Tree",))
-    return clf.tree_rules(res[0]["model"], feats, spark)
+    tree, feats = _only(spark, sf_dir, False, "Decision Tree")
+    return rounded(clf.tree_rules(tree["nodes"], feats), 6)
+
+
+@register("tree_nodes")
+def q_tree_nodes(spark, sf_dir):
+    """All nodes of the decision trees of both data sets."""
+    def part(habit, nat):
+        tree, feats = _only(spark, sf_dir, habit, "Decision Tree", nat)
+        return clf.tree_rules(tree["nodes"], feats, clf.TREE_DEPTH)
+    return rounded(_both(spark, sf_dir, part), 6)
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    def part(habit, nat):
+        tree, feats = _only(spark, sf_dir, habit, "Decision Tree", nat)
+        return clf.feature_importance(tree["nodes"], feats)
+    return _both(spark, sf_dir, part)
+
+
+@register("tree_report")
+def q_tree_report(spark, sf_dir):
+    return _both(spark, sf_dir, lambda habit, nat: clf.results_table(
+        spark, _classify(spark, sf_dir, habit, ("Decision Tree",), nat)[2]))
+
+
+@register("logistic_report")
+def q_logistic_report(spark, sf_dir):
+    return _both(spark, sf_dir, lambda habit, nat: clf.results_table(
+        spark, _classify(spark, sf_dir, habit, ("Logistic Regression",), nat)[2]))
+
+
+@register("logistic_models")
+def q_logistic_models(spark, sf_dir):
+    """Coefficients of every fold's model and of all rows."""
+    def part(habit, nat):
+        model, feats = _only(spark, sf_dir, habit, "Logistic Regression", nat)
+        return clf.linear_models([model], feats, spark).drop("classifier")
+    return rounded(_both(spark, sf_dir, part), 6)
+
+
+@register("linear_convergence")
+def q_linear_convergence(spark, sf_dir):
+    """Steps, objective and gradient of all linear fits."""
+    def part(habit, nat):
+        return clf.convergence(_classify(spark, sf_dir, habit, ("Logistic Regression", "Linear SVM"), nat)[2], spark)
+    return rounded(_both(spark, sf_dir, part), 6)
 
 
 # -- E1 / M: imputation and clustering ----------------------------------------------------
