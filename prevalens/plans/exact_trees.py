@@ -176,10 +176,10 @@ def importances(nodes: DataFrame, features: list) -> DataFrame:
 
 
 def node_table(nodes: DataFrame, features: list, max_depth: int | None = None) -> DataFrame:
-    """One row per node: id, parent, depth, feature and threshold (null for a leaf), gini, counts."""
+    """One row per node: id, parent (0 for the root), depth, feature and threshold (null for a leaf), gini, counts."""
     names = F.array(*[F.lit(f) for f in features])
     out = nodes.select(
-        F.col("node").alias("id"), F.nullif(F.shiftright("node", 1), F.lit(0).cast("long")).alias("parent"), "depth",
+        F.col("node").alias("id"), F.shiftright("node", 1).alias("parent"), "depth",
         F.get(names, F.col("feature")).alias("feature"), "threshold", "gini", F.col("n").cast("long").alias("n"),
         (F.col("n") - F.col("ones")).cast("long").alias("n_0"), F.col("ones").cast("long").alias("n_1"))
     return out if max_depth is None else out.where(F.col("depth") <= max_depth)

@@ -132,7 +132,7 @@ def _names(tag: str, at: str) -> str:
 
 
 def _nodes(tag: str, dataset: bool = True, depth: int = 5) -> str:
-    return f"""SELECT {f"'{tag}' AS dataset," if dataset else ''} node AS id, nullif(node // 2, 0) AS parent,
+    return f"""SELECT {f"'{tag}' AS dataset," if dataset else ''} node AS id, node // 2 AS parent,
        CAST(depth AS INTEGER) AS depth, {_names(tag, 'f')} AS feature, round_even(threshold, 6) AS threshold,
        round_even(2 * (ones / n) * (1 - ones / n), 6) AS gini, CAST(n AS BIGINT) AS n, CAST(n - ones AS BIGINT) AS n_0,
        CAST(ones AS BIGINT) AS n_1 FROM nodes{tag} WHERE model = 5 AND depth <= {depth}"""

@@ -154,6 +154,6 @@ def test_report_has_a_row_per_node(spark):
     table = exact_trees.node_table(nodes.where("model = 5"), ["a", "b", "c"])
     rows = {r.id: r for r in table.collect()}
     for r in rows.values():
-        assert r.n == r.n_0 + r.n_1 and (r.parent is None) == (r.id == 1)
+        assert r.n == r.n_0 + r.n_1 and r.parent == r.id // 2
         if r.feature:
             assert r.n == rows[2 * r.id].n + rows[2 * r.id + 1].n
