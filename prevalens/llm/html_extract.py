@@ -45,7 +45,8 @@ from .textnum import slices
 MAX_TRAIN = 2_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+    # quotes open a value only after an equals sign
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -269,7 +270,7 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
             only_links = linked and linked >= len(joined.split())
             # a list of links outside the main element does not widen the region
             value = -1.0 if only_links and in_list and not in_main else current
-            blocks.append((joined, value, cost, current > 0))
+            blocks.append((joined, value, cost, current > 0, in_main))
             cost = 0.0
         words, linked, current = [], 0, None
 
@@ -294,7 +295,7 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
             cost += min(0.6, max(0.05, 0.1 - 0.1 * memo.setdefault(t[1], log_odds(model, f"end:{t[1]}"))))
     flush()
     best, best_span, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (joined, value, before, _) in enumerate(blocks):
+    for i, (joined, value, before, *_) in enumerate(blocks):
         if run - before <= 0:
             run, start = 0.0, i
         else:
@@ -303,6 +304,10 @@ def extract(page: str, model: dict, memo: dict | None = None) -> str:
         run += n * value if value > 0 else max(-3.0, 0.1 * n * value)
         if run > best:
             best, best_span = run, (start, i + 1)
+    # the region holds at least the text of the main labelled element that it touches
+    own = [i for i, b in enumerate(blocks) if b[3] and b[4]]
+    if own and (not best or best_span[0] <= own[-1] and own[0] < best_span[1]):
+        best_span = (min(best_span[0], own[0]), max(best_span[1], own[-1] + 1)) if best else (own[0], own[-1] + 1)
     return "\n".join(b[0] for b in blocks[best_span[0]:best_span[1]] if b[3])
 
 

@@ -72,7 +72,9 @@ def base_spans(text: str) -> list:
         if b - a < 7:
             continue
         for m in _IP.finditer(text, a, b):
-            if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split(".")):
+            # leading zeros go before the number is read: a part may have thousands of them
+            parts = [x.lstrip("0") for x in m.group().split(".")]
+            if all(len(x) < 4 and int(x or "0") <= 255 for x in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text, a, b):
             digits = m.group().replace(" ", "").replace("-", "")

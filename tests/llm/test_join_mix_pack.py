@@ -244,7 +244,6 @@ def test_word_memory_equals_plain_encoding():
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encode = packing.load_encoder()
     rng = np.random.default_rng(4)
     parts = ["ab", " ", " ", " ", "\n", "x's", "é", " 12", "\t", "<|endoftext|>", "...", "　", "Wort", "  "]
@@ -275,3 +274,38 @@ def test_join_verifies_every_text_of_the_left_id(spark):
         keys = jaccard_join.set_keys(docs.withColumnRenamed("t", "text"), "id", "text", jaccard_join.NGRAM)
         found = jaccard_join._verified(pairs, keys, docs, jaccard_join.NGRAM, jaccard_join.THRESHOLD)
         assert [tuple(r) for r in found.distinct().collect()] == [(1, 2)]
+
+
+def test_mixed_rows_take_what_the_mix_says(spark):
+    """Copies and first words row by row, with a source that is one repeated row and with equal rows at a cut."""
+    from collections import Counter
+
+    import random
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 30))), rng.choice("abc")) for i in range(400)]
+    rows += [(9000, "one row many times over", "d")] * 37 + [(9001, "equal rows in a larger source", "a")] * 25
+    rows += [(None, "a row without id", None), (9002, None, "a"), (9003, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for weights in ((5, 2, 1), (1, 3), (7, 1, 1, 2)):
+        want = Counter()
+        for r in mixing.mix(docs, weights=weights).collect():
+            want[r.source, r.doc_id] += r.taken
+        got = Counter()
+        made = mixing.mixed_rows(docs, weights=weights).collect()
+        for r in made:
+            got[r.source, r.doc_id] += len((r.text or "").split())
+        assert +got == +want
+        # at most one cut document per source
+        full = {(s, i, t) for i, t, s in rows}
+        assert max(Counter(r.source for r in made if (r.source, r.doc_id, r.text) not in full).values(), default=0) <= 1
+
+
+def test_ids_are_those_of_the_named_tokenizer(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    named = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encode = packing.load_encoder()
+    texts = [r.text for r in docs.collect()] + [
+        "before <|endoftext|> after", "<|endoftext|>", " x  y \n z", "a  b" * 40, "été 12 345 " * 20, "\x00\t\r", "it's we'll DON'T"]
+    for t in texts:
+        assert encode(t) == np.array(named.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -296,3 +296,22 @@ def test_pii_edges(edge, nothing):
     assert kept[12] == "mail me at <EMAIL> or <PHONE>" and kept[1] is None and kept[2] == ""
     assert pii.fit(nothing) is None and pii.detect(nothing, None, keep=["doc_id"]).count() == 0
     assert pii.masked(text, [(0, 0, 4), (2, 1, 6)]) == "<EMAIL>e at" + text[10:]
+
+
+def test_pii_long_runs_of_digits():
+    zeros = "0" * 5000
+    for text, want in ((f"x {zeros}.1.1.1 y", [(2, 1, 2 + 5006)]), (f"{zeros}9999.1.1.1", []), ("9" * 6000, []),
+                       (f"{zeros}255.0.{zeros}.1", [(0, 1, len(f"{zeros}255.0.{zeros}.1"))])):
+        assert [s for s in pii.base_spans(text) if s[1] == 1] == want
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p title=\"5\" tall\">Hello there.</p><p class=\"x\">second</p></article>", "Hello there.\nsecond"),
+    ("<article><p data-x=it's>One.</p><p>Two.</p><p>It's three.</p></article>", "One.\nTwo.\nIt's three."),
+    ("<article><p>one two three four five</p><aside>" + "note " * 200 + "</aside><p>the last words</p></article>",
+     "one two three four five\nthe last words"),
+    ("<article><p>" + "word " * 30 + "</p>" + "<div>" * 9 + "</div>" * 9 + "<p>End.</p></article>",
+     ("word " * 30).strip() + "\nEnd."),
+])
+def test_html_quotes_and_whole_articles(page, want):
+    assert html_extract.extract(f"<html><body>{page}</body></html>", {}) == want
