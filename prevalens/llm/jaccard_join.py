@@ -24,8 +24,9 @@ than ``max_group`` sets are not expanded into pairs: their sets are compared
 with the group's first set only, and those that are not yet all in one
 component are signed again on the next level, whose signatures hold more
 elements.  Every linked pair of such a group lies in this smaller input, so a
-level is complete for it; the last level compares what is left in full, in
-blocks that Spark spreads.
+level is complete for it; what the last level leaves is compared in full, block
+against block inside tasks: only across components, sketches first, then sets, and a
+task hands over only links that join two components.
 
 Candidate pairs pass two lower bounds of the symmetric difference (counts of
 elements in cells, first few cells, then many), which never reject a linked
@@ -45,7 +46,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -54,9 +55,8 @@ from .textnum import mixed, shingle_hashes, slices, utf8, word_hashes, word_span
 THRESHOLD = (75, 100)
 NGRAM = 5
 MAX_GROUP = 32
-#: The last level expands groups up to this size inside a task, where pairs that many groups
-#: share are merged at once; larger ones are compared in blocks.
-LAST_GROUP = 2_048
+#: Texts of a block in the full comparison of groups that the last level leaves.
+BLOCK = 512
 _HELD_PAIRS = 4_000_000
 #: (n2, k2) of the levels: longer projections, more subsets.
 LEVELS = ((1, 0), (4, 1), (6, 2))
@@ -380,7 +380,7 @@ def _shared_ids(keys: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM,
-         threshold=THRESHOLD, max_group: int = MAX_GROUP, last_group: int = LAST_GROUP) -> DataFrame:
+         threshold=THRESHOLD, max_group: int = MAX_GROUP, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, class_id, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
     keys = saved(set_keys(docs, key, text, n), "join-keys")
@@ -397,8 +397,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
             break
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // DOCS_PER_BUCKET)
         source = _pick(texts, todo) if depth else texts
-        largest = last_group if depth == len(LEVELS) - 1 else max_group
-        found = saved(_candidates(_signature_blocks(source, level, buckets, n, threshold), largest),
+        found = saved(_candidates(_signature_blocks(source, level, buckets, n, threshold), max_group),
                       "join-candidates")
         pairs = (found.select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()
                  .join(names["a"], "ka").join(names["b"], "kb").select("a", "b"))
@@ -416,7 +415,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
                  .where("x <> y").select("big"))
         rest = named.join(apart, "big")
         if depth == len(LEVELS) - 1:
-            links = links.union(saved(_verified(_block_pairs(rest), reps, texts, n, threshold), "join-links"))
+            links = links.union(saved(_block_links(rest, texts, n, threshold, block), "join-links"))
             labels = components(links)
         else:
             todo = saved(rest.select("id").distinct(), "join-todo")
@@ -448,13 +447,51 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
 
 
-def _block_pairs(rest: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs across components inside the groups that the last level left, block against block."""
-    ranked = rest.withColumn("blk", F.floor(
-        (F.row_number().over(Window.partitionBy("big").orderBy("id")) - 1) / block))
-    size = ranked.groupBy("big").agg((F.max("blk") + 1).alias("n"))
-    held = ranked.join(size, "big")
-    one = held.select("big", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"),
-                      F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = held.select("big", F.col("blk").alias("other"), F.col("id").alias("b"), F.col("component").alias("cb"))
-    return (one.join(two, ["big", "other"]).where("a < b and ca <> cb").select("a", "b").distinct())
+def _block_links(rest: DataFrame, texts: DataFrame, n: int, threshold, block: int) -> DataFrame:
+    """(a, b): links that join the components inside the groups that the last level left.
+
+    ``rest`` has big (the group), id and component.  A group's texts are dealt by a hash
+    into blocks of about ``block`` texts and ``block`` times 4,096 characters; a task compares two
+    blocks.  A link merges its two components, so a task emits fewer links than it has
+    components.
+    """
+    num, den = threshold
+    few = saved(_pick(texts, saved(rest.select("id").distinct(), "join-ids")).dropDuplicates(["id", "t"])
+                .withColumn("size", F.length("t")), "join-texts")
+    members = rest.select("big", "id", "component").join(few.select("id", "size"), "id")
+    number = members.groupBy("big").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / (block * 4_096))).cast("int").alias("of"))
+    dealt = (rest.select("big", "id", "component").join(number, "big")
+             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
+    spread = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+              .select("big", "id", "component", "own", F.least("own", "other").alias("low"),
+                      F.greatest("own", "other").alias("high")).join(few.select("id", "t"), "id"))
+
+    def run(table: pa.Table) -> pa.Table:
+        own, low, high, ids, component = (table.column(c).to_numpy() for c in ("own", "low", "high", "id", "component"))
+        h, cuts = shingle_sets(table.column("t").combine_chunks(), n)
+        size = np.diff(cuts)
+        cells = np.frombuffer(b"".join(_sketches(h, cuts)[0]), np.uint8).reshape(len(own), -1).astype(np.int16)
+        root = np.unique(component, return_inverse=True)[1]
+        y = np.flatnonzero((own == high) & (size > 0))
+        links = []
+        for i in np.flatnonzero((own == low) & (size > 0)).tolist():
+            j = y[root[y] != root[i]]
+            j = j[np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num]
+            least = np.abs(cells[j] - cells[i]).sum(axis=1, dtype=np.int64)
+            j = j[least * (num + den) <= (size[j] + size[i]) * (den - num)]
+            x = h[cuts[i]:cuts[i + 1]]
+            for k in j.tolist():
+                if root[k] == root[i]:
+                    continue
+                z = h[cuts[k]:cuts[k + 1]]
+                at = np.searchsorted(x, z)
+                at[at == len(x)] = 0
+                same = int((x[at] == z).sum())
+                if den * same >= num * (len(x) + len(z) - same):
+                    links.append((int(ids[i]), int(ids[k])))
+                    root[root == root[k]] = root[i]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("big", "low", "high").applyInArrow(run, "a long, b long")

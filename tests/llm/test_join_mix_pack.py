@@ -78,7 +78,7 @@ def test_join_hot_groups(spark):
     df = spark.createDataFrame(texts + [(500, texts[0][1]), (501, texts[0][1].upper())], "doc_id long, text string")
     check_join(df)
     check_join(df, max_group=3)
-    check_join(df, max_group=3, last_group=3)
+    check_join(df, max_group=3, block=3)
 
 
 def test_join_ids_with_several_texts(spark):

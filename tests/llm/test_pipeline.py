@@ -15,14 +15,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_columns(spark, name):
-    first = "page_id" if name.startswith("op9") else "doc_id"
+    first = {"op9": "page_id", "op13": "lang"}.get(name.split("_")[0], "doc_id")
     assert QUERIES[name](spark, SF).columns[0] == first
 
 
