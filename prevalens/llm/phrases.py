@@ -42,7 +42,7 @@ from .textnum import mixed, slices, utf8, word_hashes
 
 LEAST = 10
 LONGEST = 3
-SHARDS = 3
+SHARDS = 2
 BUCKETS = 1 << 23
 KEEP_PERCENT = 50
 TOP = 2_000
@@ -78,12 +78,17 @@ def piece_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, joined
 
 
-def bucket(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """Bucket of a subphrase."""
+def named(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """64-bit hash of a subphrase; its lowest bits are the bucket."""
     h = np.atleast_1d(lang)
     for w in words:
         h = mixed(h * np.uint64(3) + w)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return h
+
+
+def bucket(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """Bucket of a subphrase."""
+    return (named(lang, *words) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 class _Sums:
@@ -195,38 +200,56 @@ def _word(raw: np.ndarray, a: int, b: int) -> str:
     return bytes(raw[a:b]).lower().decode("utf-8", "surrogatepass")
 
 
-def _reached(found: DataFrame, length: int, least: int, known: np.ndarray, seed: int) -> np.ndarray:
-    """Buckets of the phrases of a length whose counts so far reach ``least``, as an array of booleans.
+def _names(batch, length: int, langs: dict, seed: int) -> np.ndarray:
+    """Hashes of the phrases of a batch of counts."""
+    found = batch.column("lang").dictionary_encode()
+    names = found.dictionary.to_pylist()
+    langs |= _lang_hash([x for x in names if x not in langs], seed)
+    code = np.array([langs[x] for x in names], np.uint64)[found.indices.to_numpy()]
+    return named(code, *[batch.column(f"h{i + 1}").to_numpy().view(np.uint64) for i in range(length)])
+
+
+def _reached(found: DataFrame, length: int, least: int, reach, seed: int) -> np.ndarray:
+    """Buckets, not yet active, of the phrases of a length whose counts so far reach ``least``.
 
-    The tasks hand over their part of the buckets as packed bits: bounded by ``BUCKETS`` a task.
+    Phrases are summed by their 64-bit hash; two with one hash would only be active
+    earlier.  At most ``BUCKETS`` numbers reach the driver.
     """
     def run(batches):
-        bits, langs = np.zeros(BUCKETS, dtype=bool), {}
+        langs: dict = {}
         for batch in batches:
-            names = batch.column("lang").to_pylist()
-            for x in set(names) - set(langs):
-                langs |= _lang_hash([x], seed)
-            code = np.array([langs[x] for x in names], np.uint64)
-            hs = [batch.column(f"h{i + 1}").to_numpy().view(np.uint64) for i in range(length)]
-            bits[bucket(code, *hs)] = True
-        at = np.flatnonzero(bits).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
-
-    of_length = found.where(("h2 = 0" if length == 1 else "h2 <> 0 and h3 = 0"))
-    large = (of_length.groupBy("lang", "h1", "h2").agg(F.sum("c").alias("c"))
-             .where(F.col("c") >= least).withColumn("h3", F.lit(0)))
-    at = large.mapInArrow(run, "at int").distinct().toArrow().column("at").to_numpy()
+            name = _names(batch, length, langs, seed)
+            use = reach.value[(name & np.uint64(BUCKETS - 1)).astype(np.int64)] == _NEVER
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name[use].view(np.int64)), pa.array(batch.column("c").to_numpy()[use])], names=["name", "c"])
+
+    of_length = found.where(("h2 = 0" if length == 1 else "h2 <> 0 and h3 = 0")).select("lang", "h1", "h2", "c")
+    large = (of_length.mapInArrow(run, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+             .where(F.col("c") >= least))
+    at = large.select(F.col("name").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("at")).distinct()
     out = np.zeros(BUCKETS, dtype=bool)
-    out[at] = True
-    return out & (known == _NEVER)
+    out[at.toArrow().column("at").to_numpy()] = True
+    return out
+
+
+def _possible(found: DataFrame, reach, seed: int) -> DataFrame:
+    """Counts without the pairs whose bucket never became active: they cannot reach the least count."""
+    def run(batches):
+        langs: dict = {}
+        for batch in batches:
+            at = (_names(batch, 2, langs, seed) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            pair = (batch.column("h2").to_numpy() != 0) & (batch.column("h3").to_numpy() == 0)
+            yield batch.filter(pa.array(~pair | (reach.value[at] != _NEVER)))
+
+    return found.mapInArrow(run, found.schema)
 
 
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST,
                   shards: int = SHARDS) -> DataFrame:
     """(lang, h1, h2, h3, word, c): complete counts of all words and of all phrases that reach ``least``."""
-    rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("t"),
-                       F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard")).where("t is not null")
-    dealt = saved(rows, "phrases-shards", by=["shard"])
+    dealt = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("t")).where(
+        "t is not null")
+    number = F.pmod(F.xxhash64("t"), F.lit(shards))
     spark = docs.sparkSession
     seed = 0
     while True:
@@ -236,18 +259,19 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
         # a phrase that became active after step s is counted in the steps s + 1 ... s + shards
         while step < busy and step < LONGEST * shards:
             sent = spark.sparkContext.broadcast(reach)
-            counted.append(saved(count_step(dealt.where(F.col("shard") == step % shards), step, sent, seed, shards),
-                                 f"phrases-step{step}"))
-            sent.unpersist()
+            counted.append(saved(count_step(dealt.where(number == step % shards), step, sent, seed, shards),
+                                 f"phrases-step{step}", codec="zstd"))
             so_far = _all(counted)
             for length in (1, 2):
-                if step < length * shards:
-                    new = _reached(so_far, length, least, reach, seed)
+                if (length - 1 <= step) and step < length * shards:
+                    new = _reached(so_far, length, least, sent, seed)
                     if new.any():
-                        reach = np.where(new, np.uint8(step), reach)
+                        reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
                         busy = max(busy, step + 1 + shards)
+            sent.unpersist()
             step += 1
-        total = _all(counted).groupBy("lang", "h1", "h2", "h3").agg(
+        sent = spark.sparkContext.broadcast(reach)
+        total = _possible(_all(counted), sent, seed).groupBy("lang", "h1", "h2", "h3").agg(
             F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other"))
         total = saved(total.where(f"h2 = 0 or c >= {int(least)}"), "phrases-counts")
         if total.where("h2 = 0 and word <> other").isEmpty():
@@ -308,11 +332,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                 F.col("at") <= top)
         rated_ = rated_.drop("at")
 
-    def named(name: str) -> DataFrame:
+    def told_of(name: str) -> DataFrame:
         return words.select("lang", F.col("h").alias(f"h{name}"), F.col("word").alias(f"w{name}"))
 
-    told = (saved(rated_, "phrases-best").join(named("1"), ["lang", "h1"]).join(named("2"), ["lang", "h2"])
-            .join(named("3"), ["lang", "h3"], "left").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3")))
+    told = (saved(rated_, "phrases-best").join(told_of("1"), ["lang", "h1"]).join(told_of("2"), ["lang", "h2"])
+            .join(told_of("3"), ["lang", "h3"], "left").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase"))
     out = told.withColumn("rank", rank.cast("long"))
     if top is not None:
