@@ -57,9 +57,13 @@ def _best_cuts(rows: DataFrame, nodes: DataFrame, max_features: int | None, seed
             .where("value is not null")
             .groupBy(*_NODE, "feature", "value").agg(F.sum("weight").alias("n"), F.sum("ones").alias("ones")))
     seen = materialize(seen)
-    if seen.isEmpty():
+    size = seen.count()
+    if not size:
         return seen.select(*_NODE, "feature", F.col("value").alias("at"))
-    ran = windows.prefix_sums(seen, "value", ["n", "ones"], group_cols=[*_NODE, "feature"])
+    # the buckets only spread the work: about 4,096 distinct values each
+    most = max(256, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ran = windows.prefix_sums(seen, "value", ["n", "ones"], group_cols=[*_NODE, "feature"],
+                              buckets=max(2, min(most, size // 4_096)))
     total = nodes.select(*_NODE, F.col("n").alias("all"), F.col("ones").alias("all_ones"))
     cut = ran.join(total, _NODE).where("cum_n < all")
     left_n, left = F.col("cum_n"), F.col("cum_ones")
