@@ -48,7 +48,9 @@ KEEP_PERCENT = 50
 TOP = 2_000
 UNKNOWN = "und"
 #: Counts that a task holds before it hands them over (24 to 40 bytes each).
-HELD = 3_000_000
+HELD = 1_000_000
+#: Rows of a batch that a task hands over.
+BATCH = 1 << 16
 _NEVER = 255
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09]] = True
@@ -146,12 +148,15 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                 cols = sums.take()
                 if not len(cols[0]):
                     continue
-                hs = [c.view(np.int64) for c in cols[:-1]] + [np.zeros(len(cols[0]), np.int64)] * (3 - n)
-                word = [texts.pop((lang, h), None) for h in cols[0].tolist()] if n == 1 else None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(cols[0]), pa.string()), *map(pa.array, hs),
-                     pa.array(word if n == 1 else [None] * len(cols[0]), pa.string()), pa.array(cols[-1])],
-                    names=["lang", "h1", "h2", "h3", "word", "c"])
+                for i in range(0, len(cols[0]), BATCH):
+                    *hs, c = (x[i:i + BATCH] for x in cols)
+                    size = len(c)
+                    word = (pa.array([texts.pop((lang, h), None) for h in hs[0].tolist()], pa.string()) if n == 1
+                            else pa.nulls(size, pa.string()))
+                    hs = [h.view(np.int64) for h in hs] + [np.zeros(size, np.int64)] * (3 - n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(lang, pa.string()), size), *map(pa.array, hs), word, pa.array(c)],
+                        names=["lang", "h1", "h2", "h3", "word", "c"])
 
         for batch in batches:
             for whole in slices(batch, "t"):
@@ -271,11 +276,16 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
             sent.unpersist()
             step += 1
         sent = spark.sparkContext.broadcast(reach)
-        total = _possible(_all(counted), sent, seed).groupBy("lang", "h1", "h2", "h3").agg(
-            F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other"))
-        total = saved(total.where(f"h2 = 0 or c >= {int(least)}"), "phrases-counts")
-        if total.where("h2 = 0 and word <> other").isEmpty():
-            return total.drop("other")
+        every = _all(counted)
+        words = saved(every.where("h2 = 0").groupBy("lang", "h1").agg(
+            F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other")), "phrases-words")
+        if words.where("word <> other").isEmpty():
+            # numbers alone, so that the large sums are hashed and not sorted
+            phrases = (_possible(every.where("h2 <> 0").select("lang", "h1", "h2", "h3", "c"), sent, seed)
+                       .groupBy("lang", "h1", "h2", "h3").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+            none = F.lit(0).cast("long")
+            return words.select("lang", "h1", none.alias("h2"), none.alias("h3"), "word", "c").unionByName(
+                saved(phrases, "phrases-counts").withColumn("word", F.lit(None).cast("string")))
         seed += 1                                        # two words share a hash: count anew
 
 
