@@ -74,9 +74,17 @@ def category_summary(df: DataFrame, group_col: str, value_col: str, digits: int
         round_half_even(F.max(value_col), digits).alias("Max")))
 
 
-def _quantile(value_col: str, q: float, exact: bool) -> Column:
-    return (F.percentile(value_col, q) if exact
-            else F.percentile_approx(value_col, q, 10000))
+_QUARTILES = {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}
+
+
+def _with_quantiles(stats: DataFrame, rows: DataFrame, value_col: str, key: str, qs: dict, exact: bool) -> DataFrame:
+    """``stats`` (one row per ``key``) with the quantiles of ``rows``; a key without values gets NULLs.
+
+    Exact ones are spread over tasks (``windows.exact_quantiles``): no task holds a group."""
+    from .windows import exact_quantiles
+    found = (exact_quantiles(rows, value_col, qs, [key]) if exact else rows.groupBy(key).agg(*[
+        F.percentile_approx(value_col, q, 10000).alias(name) for name, q in qs.items()]))
+    return stats.join(found, key, "left")
 
 
 def column_summary(df: DataFrame, value_col: str, label: str, digits: int = 2,
@@ -84,64 +92,66 @@ def column_summary(df: DataFrame, value_col: str, label: str, digits: int = 2,
     """One summary row: N, Mean, Median, Std, Min, Max, Q1, Q3 (NULLs skipped).
 
     Quantiles are exact and linearly interpolated (pandas default);
-    ``exact=False`` switches to ``percentile_approx`` for unbounded inputs.
+    ``exact=False`` switches to ``percentile_approx``.
     """
-    r = lambda e: round_half_even(e, digits)
-    return (df.where(F.col(value_col).isNotNull()).agg(
-        F.count(F.lit(1)).alias("N"),
-        r(F.avg(value_col)).alias("Mean"),
-        r(_quantile(value_col, 0.5, exact)).alias("Median"),
-        r(F.stddev_samp(value_col)).alias("Std"),
-        r(F.min(value_col)).alias("Min"),
-        r(F.max(value_col)).alias("Max"),
-        r(_quantile(value_col, 0.25, exact)).alias("Q1"),
-        r(_quantile(value_col, 0.75, exact)).alias("Q3"))
-        .select(F.lit(label).alias("Indicator"), "*"))
+    return indicator_summary([(label, df, value_col)], digits, exact)
 
 
 def indicator_summary(items: list, digits: int = 2, exact: bool = True) -> DataFrame:
-    """Stack ``column_summary`` rows for (label, frame, column) items."""
-    frames = [column_summary(df, c, label, digits, exact) for label, df, c in items]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """One ``column_summary`` row per (label, frame, column) item, labels different.
+
+    The columns are stacked as (label, value) rows, so all summaries are one aggregate
+    and one quantile pass.  A column without values keeps its row with N = 0.
+    """
+    spark = items[0][1].sparkSession
+    rows = spark.createDataFrame([(label, None) for label, _, _ in items], "Indicator string, _x double")
+    for label, df, c in items:
+        rows = rows.unionByName(df.where(F.col(c).isNotNull()).select(
+            F.lit(label).alias("Indicator"), F.col(c).cast("double").alias("_x")))
+    stats = rows.groupBy("Indicator").agg(
+        F.count("_x").alias("N"), F.avg("_x").alias("Mean"), F.stddev_samp("_x").alias("Std"),
+        F.min("_x").alias("Min"), F.max("_x").alias("Max"))
+    out = _with_quantiles(stats, rows, "_x", "Indicator", _QUARTILES, exact)
+    return out.select("Indicator", "N", *[round_half_even(F.col(c), digits).alias(c) for c in
+                                          ("Mean", "Median", "Std", "Min", "Max", "Q1", "Q3")])
 
 
 def describe(df: DataFrame, cols: list, digits: int = 2) -> DataFrame:
     """count/mean/std/min/25%/50%/75%/max per column, exact quantiles, as rows."""
-    stats = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg),
-             ("std", F.stddev_samp), ("min", F.min),
-             ("25%", lambda c: F.percentile(c, 0.25)), ("50%", lambda c: F.percentile(c, 0.5)),
-             ("75%", lambda c: F.percentile(c, 0.75)), ("max", F.max)]
-    aggs = [round_half_even(fn(F.col(c)).cast("double"), digits).alias(f"{name}__{c}")
-            for name, fn in stats for c in cols]
-    wide = df.agg(*aggs)
-    stack = ", ".join(
-        f"'{name}', " + ", ".join(f"`{name}__{c}`" for c in cols) for name, _ in stats)
-    return wide.selectExpr(f"stack({len(stats)}, {stack}) AS (statistic, {', '.join(cols)})")
+    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    names = df.sparkSession.createDataFrame([(c, None) for c in cols], "_column string, _x double")
+    rows = names.unionByName(df.selectExpr(f"stack({len(cols)}, {stack}) AS (_column, _x)"))
+    stats = rows.groupBy("_column").agg(
+        F.count("_x").cast("double").alias("count"), F.avg("_x").alias("mean"),
+        F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    full = _with_quantiles(stats, rows, "_x", "_column", {"25%": 0.25, "50%": 0.5, "75%": 0.75}, True)
+    order = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    long = full.select("_column", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("statistic"), round_half_even(F.col(f"`{n}`"), digits).alias("_v"))
+        for n in order])).alias("_s")).select("_column", "_s.*")
+    return long.groupBy("statistic").pivot("_column", cols).agg(F.first("_v"))     # 8 x cols values
 
 
 def global_moments(df: DataFrame, value_col: str, *, category_col: str, total_value: str,
                    digits: int = 2) -> DataFrame:
-    """mean / median / std / min / max over all rows and over the total rows, one pass."""
+    """mean / median / std / min / max over all rows and over the total rows, one row."""
     is_total = F.col(category_col) == F.lit(total_value)
-    r = lambda e: round_half_even(e, digits)
-    v = F.col(value_col)
-    tv = F.when(is_total, v)
-    return df.agg(
-        r(F.avg(v)).alias("all_mean"), r(F.median(v)).alias("all_median"),
-        r(F.stddev_samp(v)).alias("all_std"), r(F.min(v)).alias("all_min"),
-        r(F.max(v)).alias("all_max"),
-        r(F.avg(tv)).alias("total_mean"), r(F.median(tv)).alias("total_median"),
-        r(F.stddev_samp(tv)).alias("total_std"), r(F.min(tv)).alias("total_min"),
-        r(F.max(tv)).alias("total_max"))
+    tags = F.array_compact(F.array(F.lit("all"), F.when(is_total, F.lit("total"))))
+    rows = df.select(F.explode(tags).alias("_tag"), F.col(value_col).cast("double").alias("_x"))
+    stats = rows.groupBy("_tag").agg(
+        F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"), F.max("_x").alias("max"))
+    full = _with_quantiles(stats, rows, "_x", "_tag", {"median": 0.5}, True)
+    return full.agg(*[                                    # two rows become one
+        round_half_even(F.max(F.when(F.col("_tag") == tag, F.col(c))), digits).alias(f"{tag}_{c}")
+        for tag in ("all", "total") for c in ("mean", "median", "std", "min", "max")])
 
 
 def group_median_order(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """Groups with their median, plus a rank by median descending (ties by name)."""
     from pyspark.sql.window import Window
-    med = df.na.drop(subset=[group_col]).groupBy(group_col).agg(F.median(value_col).alias("median"))
+    rows = df.na.drop(subset=[group_col])
+    med = _with_quantiles(rows.select(group_col).distinct(), rows, value_col, group_col, {"median": 0.5}, True)
     # one row per group: the window's single partition holds the group domain only
     w = Window.orderBy(F.desc("median"), F.col(group_col))
     return med.withColumn("rank", F.row_number().over(w))

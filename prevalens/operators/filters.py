@@ -54,11 +54,12 @@ def latest_period(df: DataFrame, period_col: str) -> DataFrame:
 
 
 def median_value(df: DataFrame, value_col: str, *, exact: bool = True) -> Column:
-    """Scalar-subquery median.  Exact (interpolated, like pandas) by default;
-    ``exact=False`` uses the bounded-memory ``percentile_approx`` for huge inputs."""
-    agg = (F.median(value_col) if exact
-           else F.percentile_approx(value_col, 0.5, 10000))
-    return df.agg(agg).scalar()
+    """Scalar-subquery median.  Exact (interpolated, like pandas) by default, spread over
+    tasks; ``exact=False`` uses ``percentile_approx``.  No values: NULL."""
+    if exact:
+        from .windows import exact_quantiles
+        return exact_quantiles(df, value_col, {"median": 0.5}).select("median").scalar()
+    return df.agg(F.percentile_approx(value_col, 0.5, 10000)).scalar()
 
 
 def binary_label(df: DataFrame, value_col: str, label_col: str,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import exact_quantiles
+
 
 def order_table(spark, order: dict, category_col: str, stratum_col: str) -> DataFrame:
     """(category, stratum, rank) rows for categories with a fixed order."""
@@ -20,16 +22,18 @@ def ordered_categories(df: DataFrame, source: DataFrame, category_col: str, stra
     Categories with a fixed order keep only the listed strata (others vanish,
     as in the reference charts); categories mapped to ``None`` are ranked by
     their median ``value_col`` descending; categories not in ``order`` are
-    left out.  The order table is tiny (the configured domain) and the
-    median ranking is an aggregate over ``source`` per stratum.
+    left out.  The order table is tiny (the configured domain); the medians
+    are exact and spread over tasks, so a hot stratum is not gathered.
     """
     spark = df.sparkSession
     fixed = order_table(spark, order, category_col, stratum_col)
     by_median = [c for c, v in order.items() if v is None]
     ranked = fixed
     if by_median:
-        med = (source.where(F.col(category_col).isin(by_median))
-               .groupBy(category_col, stratum_col).agg(F.median(value_col).alias("_med")))
+        rows = source.where(F.col(category_col).isin(by_median))
+        found = exact_quantiles(rows, value_col, {"_med": 0.5}, [category_col, stratum_col])
+        # strata without values keep their place at the end
+        med = rows.select(category_col, stratum_col).distinct().join(found, [category_col, stratum_col], "left")
         # one row per stratum: the window partition is one category's strata
         w = Window.partitionBy(category_col).orderBy(F.desc("_med"), F.col(stratum_col))
         ranked = ranked.unionByName(

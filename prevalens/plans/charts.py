@@ -130,14 +130,33 @@ def residual_points(df: DataFrame, x: str, y: str, keys: list, digits: int | Non
     return rows.select(*keys, shown(fitted).alias("fitted"), shown(F.col(y) - fitted).alias("residual"))
 
 
+#: ranks that one row unfolds to in one step of ``unfold_ranks``
+RANK_CHUNK = 1 << 16
+
+
+def unfold_ranks(ranked: DataFrame, last_col: str, count_col: str, chunk: int = RANK_CHUNK) -> DataFrame:
+    """One row per rank ``i`` (long) in (last - count, last] of every row.
+
+    The interval is cut into chunks, the chunks are dealt over tasks, and each is
+    unfolded where it lands: a value that a third of all rows share is spread like
+    any other, and no array is longer than ``chunk`` (or than the number of chunks).
+    """
+    first = F.col(last_col) - F.col(count_col) + 1
+    parts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = (ranked.withColumn("_start", F.explode(F.sequence(first, F.col(last_col), F.lit(chunk).cast("long"))))
+           .repartition(parts, F.col("_start")))     # a set number: not coalesced while the rows are still few
+    end = F.least(F.col("_start") + F.lit(chunk - 1), F.col(last_col))
+    return cut.withColumn("i", F.explode(F.sequence(F.col("_start"), end))).drop("_start")
+
+
 def qq_points(df: DataFrame, value_col: str, digits: int = 4) -> DataFrame:
     """Normal Q-Q points: theoretical quantile at i/(n+1) vs the i-th smallest value,
     with the standardised reference line mean + std * theoretical.
 
     Values are counted first and the rank of a distinct value is a bucketed prefix
     count (no single-task global window, and a value that many rows share is one
-    row there); the ranks of its copies are unfolded afterwards.  n, mean and the
-    population std are one aggregate.
+    row there); the ranks of its copies are unfolded afterwards in chunks dealt over
+    tasks.  n, mean and the population std are one aggregate.
     """
     from ..operators.windows import prefix_sums
     vals = df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("v"))
@@ -146,11 +165,10 @@ def qq_points(df: DataFrame, value_col: str, digits: int = 4) -> DataFrame:
     n, mu, sd = (st.select(c).scalar() for c in ("n", "mu", "sd"))
     counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     ranked = prefix_sums(counted, "v", ["c"], prefix="_to_", inclusive=True)
-    ranked = (ranked.select("v", F.explode(F.sequence(F.col("_to_c") - F.col("c") + 1, F.col("_to_c"))).alias("i"))
-              .withColumn("_pp", F.col("i") / (n + 1)))
+    ranked = unfold_ranks(ranked.select("v", "c", "_to_c"), "_to_c", "c").withColumn("_pp", F.col("i") / (n + 1))
     ranked = with_normal_ppf(ranked, "_pp", "theo")
     theo = F.col("theo")
-    return ranked.select(F.col("i").cast("int").alias("i"),
+    return ranked.select("i",
                          round_half_even(theo, digits).alias("theoretical"),
                          round_half_even(F.col("v"), digits).alias("sample"),
                          round_half_even(mu + sd * theo, digits).alias("line"))

@@ -341,7 +341,7 @@ p0 AS (SELECT *, CAST(i AS DOUBLE) / (n + 1) AS p FROM rk),
 p1 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM p0),
 p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM p1),
 p3 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS theo FROM p2)
-SELECT CAST(i AS INTEGER) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
+SELECT CAST(i AS BIGINT) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
        round_even(mu + sd * theo, 4) AS line FROM p3""")
 
 
@@ -770,7 +770,7 @@ p0 AS (SELECT *, CAST(i AS DOUBLE) / (n + 1) AS p FROM rk),
 p1 AS (SELECT *, {_ppf_x0('p')} AS x0 FROM p0),
 p2 AS (SELECT *, ({normal_cdf_sql('x0')} - p) * 2.5066282746310002 * exp(x0 * x0 / 2.0) AS u FROM p1),
 p3 AS (SELECT *, x0 - u / (1.0 + x0 * u / 2.0) AS theo FROM p2)
-SELECT CAST(i AS INTEGER) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
+SELECT CAST(i AS BIGINT) AS i, round_even(theo, 4) AS theoretical, round_even(v, 4) AS sample,
        round_even(mu + sd * theo, 4) AS line FROM p3""")
 
 oracle("fit_line_habit", """,
