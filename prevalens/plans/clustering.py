@@ -3,10 +3,11 @@
 * imputation is the group mean over the joined rows (an aggregate joined back
   on the strata keys, so no stratum is gathered into one task) plus a scalar
   fallback;
-* the feature table is standardised, assembled and checkpointed once; every
-  K-Means start reads that small table;
-* K-Means is ``pyspark.ml.clustering.KMeans`` (k-means|| init); "best of n
-  starts" = lowest training cost over ``n_init`` seeds, fitted concurrently;
+* the feature table is standardised, assembled and checkpointed once; its distinct
+  points feed every K-Means start;
+* K-Means is ``plans/kmeans.py``: hash-seeded starts and whole-number sums, so a model
+  depends on the rows and not on their layout; "best of n starts" = lowest cost over
+  ``n_init`` seeds, all starts sharing each pass;
 * silhouette is ``ClusteringEvaluator``'s squared-Euclidean silhouette, an
   exact O(n k) aggregate.  The plain-Euclidean silhouette needs every
   pairwise distance, which this engine does not materialise (see README).
@@ -14,10 +15,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,8 +26,8 @@ from pyspark.sql.window import Window
 from ..functions.scalar import round_half_even
 from ..operators import aggregates as agg
 from ..operators import windows
-from ..session import laid_out, materialize
-from . import eda
+from ..session import materialize
+from . import eda, kmeans
 from .regression import standardize
 
 # --- fixed values: display names of the canonical cluster types ---
@@ -58,23 +56,7 @@ def prepare(imputed: DataFrame, spec) -> DataFrame:
     feats = features_of(spec)
     scaled = standardize(imputed, feats, "__z")
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in feats], outputCol="features")
-    # checkpointed and persisted: the many K-Means starts share one cached copy
-    return laid_out(materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats])),
-                    spec.national_keys).persist()
-
-
-def _fit(data, k, seed, max_iter=300, tol=1e-4):
-    return KMeans(k=k, seed=seed, initMode="k-means||", maxIter=max_iter, tol=tol).fit(data)
-
-
-def best_of(data: DataFrame, k: int, n_init: int, seed: int = 42,
-            pool: ThreadPoolExecutor | None = None):
-    """Lowest-cost model over ``n_init`` seeded starts (first seed wins ties)."""
-    seeds = [seed + i for i in range(n_init)]
-    models = list(pool.map(lambda s: _fit(data, k, s), seeds)) if pool else \
-        [_fit(data, k, s) for s in seeds]
-    costs = [m.summary.trainingCost for m in models]
-    return models[int(np.argmin(costs))]
+    return materialize(asm.transform(scaled).drop(*[f"{c}__z" for c in feats]))
 
 
 def silhouette_squared(pred: DataFrame) -> float:
@@ -83,25 +65,12 @@ def silhouette_squared(pred: DataFrame) -> float:
                                distanceMeasure="squaredEuclidean").evaluate(pred)
 
 
-def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
-                 threads: int = 16) -> DataFrame:
-    """k, inertia (within-cluster SS of the best start), silhouette_squared.
-
-    All (k, seed) starts are submitted to one pool, then the winners'
-    silhouettes are evaluated concurrently: the sweep is latency-bound small
-    jobs, so keeping the scheduler busy matters more than anything per fit.
-    """
+def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42) -> DataFrame:
+    """k, inertia (within-cluster SS of the best start), silhouette_squared."""
     ks = list(ks)
-    seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        futs = {(k, s): pool.submit(_fit, data, k, s) for k in ks for s in seeds}
-        best = {}
-        for k in ks:
-            models = [futs[(k, s)].result() for s in seeds]
-            costs = [m.summary.trainingCost for m in models]
-            best[k] = models[int(np.argmin(costs))]      # first seed wins ties
-        sils = {k: pool.submit(lambda m: silhouette_squared(m.transform(data)), best[k]) for k in ks}
-        rows = [(int(k), float(best[k].summary.trainingCost), float(sils[k].result())) for k in ks]
+    best = kmeans.best_starts(kmeans.fit_starts(kmeans.weighted_points(data), ks, n_init, seed))
+    rows = [(int(k), float(best[k].cost), float(silhouette_squared(kmeans.assign(data, best[k].centers, "prediction"))))
+            for k in ks]
     df = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_squared double")
     return df.select("k", round_half_even("inertia", 4).alias("inertia"),
                      round_half_even("silhouette_squared", 4).alias("silhouette_squared"))
@@ -113,11 +82,10 @@ def best_k(sweep: DataFrame) -> DataFrame:
     return best_by(sweep, "silhouette_squared", "k")
 
 
-def fit_clusters(data: DataFrame, k: int, n_init: int = 20, seed: int = 42,
-                 threads: int = 16) -> DataFrame:
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        model = best_of(data, k, n_init, seed, pool)
-    return model.transform(data).withColumnRenamed("prediction", "Cluster")
+def fit_clusters(data: DataFrame, k: int, n_init: int = 20, seed: int = 42) -> DataFrame:
+    """``data`` with its ``Cluster`` (numbered by the centres' coordinates)."""
+    best = kmeans.best_starts(kmeans.fit_starts(kmeans.weighted_points(data), [k], n_init, seed))[k]
+    return kmeans.assign(data, best.centers, "Cluster")
 
 
 def pca2(clustered: DataFrame) -> tuple:

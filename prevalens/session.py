@@ -77,14 +77,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def laid_out(df: DataFrame, keys: list, partitions: int = 1) -> DataFrame:
-    """Hash-partition by ``keys`` into ``partitions`` and sort inside by the keys.
-
-    Iterative fits (forests, K-Means) depend on the order of their input, so the
-    layout is fixed by a parameter and the keys, not by the cluster or the row
-    count: the same data gives the same model.  Raise ``partitions`` for input
-    that is not a small model table.
-    """
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)

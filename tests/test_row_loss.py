@@ -10,6 +10,7 @@ from data_dirs import SF_SMALL
 
 from prevalens.config import FIXTURE_SURVEY as SPEC
 from prevalens.functions.distributions import t_two_sided_p
+from prevalens.operators import aggregates as agg
 from prevalens.operators import windows
 from prevalens.operators.aggregates import weighted_mean
 from prevalens.plans import charts, clean
@@ -150,3 +151,36 @@ def test_qq_points_with_a_hot_value(spark):
     assert [r["i"] for r in out] == list(range(1, 901))
     assert [r["sample"] for r in out] == sorted(r["v"] for r in df.collect())
     assert all(math.isfinite(r["line"]) for r in out)
+
+
+def test_ranks_of_a_hot_value_unfold_in_chunks(spark):
+    ranked = spark.createDataFrame([("a", 1, 1), ("b", 1000, 1001), ("c", 3, 1004)], "v string, c long, to long")
+    out = charts.unfold_ranks(ranked, "to", "c", chunk=64)
+    rows = sorted((r["i"], r["v"]) for r in out.collect())
+    assert [i for i, _ in rows] == list(range(1, 1005))
+    assert [v for _, v in rows] == ["a"] + ["b"] * 1000 + ["c"] * 3
+    assert dict(out.dtypes)["i"] == "bigint"
+    # the hot value's chunks do not end in one task
+    per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per_task) < 900
+
+
+def test_summaries_keep_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, "a"), (2.0, None, "a"), (4.0, None, None)], "x double, y double, g string")
+    rows = {r["Indicator"]: r for r in agg.indicator_summary([("x", df, "x"), ("y", df, "y")]).collect()}
+    assert rows["x"]["N"] == 3 and rows["x"]["Median"] == 2.0 and rows["x"]["Q3"] == 3.0
+    assert rows["y"]["N"] == 0 and rows["y"]["Median"] is None
+    told = {r["statistic"]: r for r in agg.describe(df, ["x", "y"]).collect()}
+    assert told["count"]["y"] == 0 and told["50%"]["y"] is None and told["25%"]["x"] == 1.5
+    order = agg.group_median_order(df, "g", "y").collect()
+    assert [(r["g"], r["median"], r["rank"]) for r in order] == [("a", None, 1)]
+    one = agg.global_moments(df, "x", category_col="g", total_value="no such").first()
+    assert one["all_median"] == 2.0 and one["total_median"] is None
+
+
+def test_no_summary_holds_a_group_in_one_state(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("g"))
+    for out in (agg.column_summary(df, "x", "x"), agg.describe(df, ["x"]), agg.group_median_order(df, "g", "x"),
+                agg.global_moments(df, "x", category_col="g", total_value="0")):
+        plan = out._jdf.queryExecution().toString().lower()
+        assert "percentile(" not in plan and "median(" not in plan
