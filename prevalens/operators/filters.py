@@ -80,10 +80,9 @@ class ValidationError(ValueError):
     pass
 
 
-def validation_report(df: DataFrame, *, value_col: str, sample_col: str, year_col: str,
-                      required: list, value_range=(0.0, 100.0),
-                      year_range=(2000, 2030)) -> DataFrame:
-    """One aggregate pass: violation count per rule (NULLs are ignored, as in pandas)."""
+def violation_rules(df: DataFrame, *, value_col: str, sample_col: str, year_col: str, required: list,
+                    value_range=(0.0, 100.0), year_range=(2000, 2030)) -> list:
+    """(rule, aggregate counting its violations); rules of absent columns are left out."""
     # Column presence is checked first: the other rules need the columns.
     missing = [c for c in required if c not in df.columns]
     rules = [("columns_present", F.lit(len(missing)))]
@@ -94,6 +93,15 @@ def validation_report(df: DataFrame, *, value_col: str, sample_col: str, year_co
         rules.append(("sample_non_negative", F.count_if(F.col(sample_col) < 0)))
     if year_col in df.columns:
         rules.append(("year_in_range", F.count_if(~F.col(year_col).between(*year_range))))
+    return rules
+
+
+def validation_report(df: DataFrame, *, value_col: str, sample_col: str, year_col: str,
+                      required: list, value_range=(0.0, 100.0),
+                      year_range=(2000, 2030)) -> DataFrame:
+    """One aggregate pass: violation count per rule (NULLs are ignored, as in pandas)."""
+    rules = violation_rules(df, value_col=value_col, sample_col=sample_col, year_col=year_col,
+                            required=required, value_range=value_range, year_range=year_range)
     counts = df.agg(*[e.cast("long").alias(name) for name, e in rules])
     stack_items = ", ".join(f"'{name}', `{name}`" for name, _ in rules)
     report = counts.selectExpr(f"stack({len(rules)}, {stack_items}) AS (rule, violations)")

@@ -67,6 +67,48 @@ def kde(df: DataFrame, value_col: str, gridsize: int = 200, cut: float = 0.0,
                        round_half_even(F.col("ksum") / norm, digits).alias("density"))
 
 
+def kde_binned(df: DataFrame, value_col: str, gridsize: int = 200, cut: float = 0.0,
+               cells_per_bandwidth: int = 32, digits: int = 6) -> DataFrame:
+    """``kde`` over linearly binned values: no row is multiplied by the grid.
+
+    Cells are ``bandwidth / cells_per_bandwidth`` wide; a value shares its weight between the two
+    ends of its cell in proportion to its place, so a cell is one count and one sum, taken
+    map-side.  Only the cells that hold values meet the grid.  Linear interpolation of the kernel
+    is off by at most (cell width)^2 / 8 times its second derivative, so a density differs from
+    the exact one by at most ``1 / (8 cells_per_bandwidth^2)`` of a kernel's peak
+    ``1 / (bandwidth sqrt(2 pi))``: 1.2e-4 of it at 32.
+
+    Null values are left out, as in ``kde``; with fewer than two values, or no spread, no rows.
+    """
+    x = F.col(value_col).cast("double")
+    vals = df.where(F.col(value_col).isNotNull()).select(x.alias("v"))
+    s = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
+                 F.min("v").alias("lo"), F.max("v").alias("hi")).first()      # one row
+    if not s["n"] or not s["sd"]:
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+    bw = s["sd"] * math.pow(float(s["n"]), -0.2)
+    width = bw / cells_per_bandwidth
+    place = (F.col("v") - F.lit(s["lo"])) / F.lit(width)
+    cells = (vals.select(F.floor(place).alias("cell"), place.alias("place"))
+             .groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.col("place") - F.col("cell")).alias("right")))
+    lo = s["lo"] - cut * bw
+    step = (s["hi"] + cut * bw - lo) / (gridsize - 1)
+    at = F.lit(lo) + F.col("point") * F.lit(step)
+    left = F.lit(s["lo"]) + F.col("cell") * F.lit(width)
+
+    def kernel(node: Column) -> Column:
+        return F.exp(-0.5 * F.pow((at - node) / F.lit(bw), 2))
+
+    ksum = (cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+            .groupBy("point")
+            .agg(F.sum((F.col("n") - F.col("right")) * kernel(left)
+                       + F.col("right") * kernel(left + F.lit(width))).alias("ksum")))
+    norm = float(s["n"]) * bw * math.sqrt(2 * math.pi)
+    return ksum.select(F.col("point").cast("int").alias("point"), round_half_even(at, digits).alias("x"),
+                       round_half_even(F.col("ksum") / F.lit(norm), digits).alias("density"))
+
+
 def _quartiles(vals: DataFrame, value_col: str, keys: list, names: dict, exact: bool) -> DataFrame:
     """Quantiles per group: exact ones spread over tasks, or ``percentile_approx``."""
     if exact:

@@ -61,17 +61,54 @@ def clean_tables(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None =
     return out
 
 
+def written_long(raw: DataFrame, spec: SurveySpec, *, min_sample: float | None = None) -> tuple:
+    """(long table without the dropped columns, report): one pass writes the one and counts the other.
+
+    The report has a row per dropped column, absent column and validation rule, and the rows
+    read and kept by the sample filter: ``section, item, n`` (columns count 1; null where a rule's
+    column is absent from the input).  The counts are metrics observed while the table is written
+    by the last stage of one job: the input is read once, and a task that ran again counts once.
+    """
+    from pyspark.sql import Observation
+    from ..session import scratch_path
+    spark = raw.sparkSession
+    threshold = spec.min_sample_size if min_sample is None else min_sample
+    kept, dropped, absent = flt.drop_columns(raw, spec.drop_columns)
+    rules = flt.violation_rules(raw, value_col=spec.value, sample_col=spec.sample_size, year_col=spec.year,
+                                required=[spec.klass], value_range=spec.value_range, year_range=spec.year_range)
+    large = (F.count_if(F.col(spec.sample_size) >= F.lit(threshold)) if spec.sample_size in raw.columns
+             else F.lit(None))
+    seen = Observation(f"clean-{spec.value}")
+    path = scratch_path(spark, "clean-long")
+    # the column rule is a literal, which no metric can be
+    counted = [(name, e) for name, e in rules if name != "columns_present"]
+    missing = sum(c not in raw.columns for c in [spec.klass])
+    kept.observe(seen, F.count(F.lit(1)).alias("rows_read"), large.cast("long").alias("rows_kept"),
+                 *[e.cast("long").alias(name) for name, e in counted]).write.parquet(path)
+    found = seen.get
+    rows = ([("dropped_column", c, 1) for c in dropped] + [("absent_column", c, 1) for c in absent]
+            + [("violations", "columns_present", missing)]
+            + [("violations", name, found[name]) for name, _ in counted]
+            + [("rows", "read", found["rows_read"]), ("rows", "kept", found["rows_kept"])])
+    return spark.read.parquet(path), spark.createDataFrame(rows, "section string, item string, n long")
+
+
 def clean_job(raw: DataFrame, spec: SurveySpec, output_dir: str, *,
               min_sample: float | None = None) -> dict:
     """Run the clean step and write the six parquet tables (sorted by key).
 
-    The long table without the dropped columns is checkpointed first, so the
-    validation and the six writes together scan the input once.
+    The long table without the dropped columns is written first, and the same pass counts the
+    report (``clean_report``, a CSV folder beside the tables); a violated rule stops the job
+    after the report is written.  The six writes read that long table.
     """
-    from ..session import materialize
-    from ..sources.tables import write_tables
-    kept, _, _ = flt.drop_columns(raw, spec.drop_columns)
-    tables = clean_tables(materialize(kept), spec, min_sample=min_sample)
+    import os
+    from ..sources.tables import write_report_csv, write_tables
+    long, report = written_long(raw, spec, min_sample=min_sample)
+    write_report_csv(report, os.path.join(output_dir, "clean_report"))
+    failed = [r["item"] for r in report.where((F.col("section") == "violations") & (F.col("n") > 0)).collect()]
+    if failed:                                                    # one row per rule
+        raise flt.ValidationError("validation failed: " + ", ".join(failed))
+    tables = clean_tables(long, spec, min_sample=min_sample, validate=False)
     ordered = {}
     for name, df in tables.items():
         keys = spec.state_keys if name.endswith("_state") else spec.national_keys

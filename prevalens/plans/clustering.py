@@ -8,9 +8,9 @@
 * K-Means is ``plans/kmeans.py``: hash-seeded starts and whole-number sums, so a model
   depends on the rows and not on their layout; "best of n starts" = lowest cost over
   ``n_init`` seeds, all starts sharing each pass;
-* silhouette is ``ClusteringEvaluator``'s squared-Euclidean silhouette, an
-  exact O(n k) aggregate.  The plain-Euclidean silhouette needs every
-  pairwise distance, which this engine does not materialise (see README).
+* the sweep reports two silhouettes: the plain-Euclidean one (``plans/silhouette.py``, pairwise
+  distances summed inside tasks, all k in one pass), which chooses k, and
+  ``ClusteringEvaluator``'s squared-Euclidean one, an exact O(n k) aggregate.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..operators import windows
 from ..session import materialize
 from . import eda, kmeans
 from .regression import standardize
+from .silhouette import silhouettes
 
 # --- fixed values: display names of the canonical cluster types ---
 LABEL_HIGH, LABEL_LOW, LABEL_MODERATE, LABEL_PARADOX = "High Risk", "Low Risk", "Moderate", "Paradox"
@@ -66,20 +67,26 @@ def silhouette_squared(pred: DataFrame) -> float:
 
 
 def kmeans_sweep(data: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42) -> DataFrame:
-    """k, inertia (within-cluster SS of the best start), silhouette_squared."""
+    """k, inertia (within-cluster SS of the best start), silhouette, silhouette_squared."""
     ks = list(ks)
     best = kmeans.best_starts(kmeans.fit_starts(kmeans.weighted_points(data), ks, n_init, seed))
-    rows = [(int(k), float(best[k].cost), float(silhouette_squared(kmeans.assign(data, best[k].centers, "prediction"))))
+    labelled = data
+    for k in ks:
+        labelled = kmeans.assign(labelled, best[k].centers, f"__k{k}")
+    plain = {r["labelling"]: r["silhouette"]                      # one row per k
+             for r in silhouettes(labelled, [f"__k{k}" for k in ks]).collect()}
+    rows = [(int(k), float(best[k].cost), plain[f"__k{k}"],
+             float(silhouette_squared(kmeans.assign(data, best[k].centers, "prediction"))))
             for k in ks]
-    df = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_squared double")
-    return df.select("k", round_half_even("inertia", 4).alias("inertia"),
-                     round_half_even("silhouette_squared", 4).alias("silhouette_squared"))
+    df = data.sparkSession.createDataFrame(
+        rows, "k int, inertia double, silhouette double, silhouette_squared double")
+    return df.select("k", *[round_half_even(c, 4).alias(c) for c in df.columns[1:]])
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
-    """The k with the best squared-distance silhouette (smallest k on ties)."""
+    """The k with the best plain silhouette (smallest k on ties)."""
     from ..operators.ordering import best_by
-    return best_by(sweep, "silhouette_squared", "k")
+    return best_by(sweep, "silhouette", "k")
 
 
 def fit_clusters(data: DataFrame, k: int, n_init: int = 20, seed: int = 42) -> DataFrame:
@@ -102,6 +109,12 @@ def pca2(clustered: DataFrame) -> tuple:
     return out, [float(v) for v in model.explainedVariance.toArray()]
 
 
+def model_table(spark, k: int, explained: list) -> DataFrame:
+    """One row per component: the chosen k and the component's explained variance ratio."""
+    rows = [(int(k), i + 1, float(v)) for i, v in enumerate(explained)]
+    return spark.createDataFrame(rows, "k int, component int, explained_ratio double")
+
+
 def profiles(clustered: DataFrame, spec, digits: int = 2) -> DataFrame:
     return clustered.groupBy("Cluster").agg(
         *[round_half_even(F.avg(c), digits).alias(c) for c in features_of(spec)])
@@ -152,5 +165,5 @@ def cluster_job(outcome, driver, habit, spec, *, k: int | None = None,
                 "sizes": agg.value_counts(clustered, "Cluster"),
                 "crosstab": crosstab(clustered, spec, k),
                 "composition": composition(clustered, spec, cats),
-                "explained": explained})
+                "explained": explained, "model": model_table(data.sparkSession, k, explained)})
     return out

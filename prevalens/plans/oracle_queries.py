@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import NUTRITION_DROP_COLUMNS
 from .oracle import sql
 
 
@@ -45,6 +46,17 @@ SELECT CAST(YearStart AS INTEGER) AS YearStart, LocationDesc, Class, Question,
        StratificationCategory1, Stratification1
 FROM kept""")
 
+_RAW_EXTRA = ("YearEnd", "Datasource", "Topic", "Data_Value_Unit", "Data_Value_Type", "Data_Value_Alt",
+              "Data_Value_Footnote", "Low_Confidence_Limit", "High_Confidence_Limit")
+oracle("clean_report", "".join(
+    f"SELECT '{'dropped' if c in _RAW_EXTRA else 'absent'}_column' AS section, '{c}' AS item, CAST(1 AS BIGINT) AS n UNION ALL\n"
+    for c in NUTRITION_DROP_COLUMNS) + """SELECT 'violations' AS section, 'columns_present' AS item, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'violations', 'value_in_range', count(*) FILTER (WHERE NOT (Data_Value BETWEEN 0 AND 100)) FROM survey
+UNION ALL SELECT 'violations', 'sample_non_negative', count(*) FILTER (WHERE Sample_Size < 0) FROM survey
+UNION ALL SELECT 'violations', 'year_in_range', count(*) FILTER (WHERE NOT (YearStart BETWEEN 1990 AND 2030)) FROM survey
+UNION ALL SELECT 'rows', 'read', count(*) FROM survey
+UNION ALL SELECT 'rows', 'kept', count(*) FROM kept""")
+
 oracle("class_split_counts", """
 SELECT count(*) FILTER (WHERE regexp_matches(Class, '(?i)Outcome')) AS n_outcome,
        count(*) FILTER (WHERE regexp_matches(Class, '(?i)Driver')) AS n_driver,
@@ -662,6 +674,31 @@ SELECT 1 AS component, round_even(l1 / 3, 4) AS explained_ratio FROM e4
 UNION ALL SELECT 2, round_even((3 - l1 - l3) / 3, 4) FROM e4""")
 
 
+oracle("silhouette_strata", """,
+lj AS (SELECT o.YearStart, o.StratificationCategory1, o.Stratification1, o.Outcome, d.Driver, h.Habit
+  FROM outcome_national o JOIN driver_national d USING (YearStart, StratificationCategory1, Stratification1)
+  LEFT JOIN habit_national h USING (YearStart, StratificationCategory1, Stratification1)),
+im0 AS (SELECT YearStart, StratificationCategory1, Outcome, Driver,
+               coalesce(Habit, avg(Habit) OVER (PARTITION BY StratificationCategory1, Stratification1),
+                        (SELECT avg(Habit) FROM habit_national)) AS Habit FROM lj),
+im AS (SELECT *, row_number() OVER () AS id FROM im0
+       WHERE Outcome IS NOT NULL AND Driver IS NOT NULL AND Habit IS NOT NULL),
+sd AS (SELECT stddev_pop(Outcome) AS so, stddev_pop(Driver) AS sdd, stddev_pop(Habit) AS sh FROM im),
+lab AS (SELECT id, Outcome, Driver, Habit, 'StratificationCategory1' AS labelling, StratificationCategory1 AS label FROM im
+        UNION ALL SELECT id, Outcome, Driver, Habit, 'YearStart', CAST(YearStart AS VARCHAR) FROM im),
+pair AS (SELECT a.labelling, a.id, a.label AS own, b.label AS other,
+                sum(sqrt(pow((a.Outcome - b.Outcome) / so, 2) + pow((a.Driver - b.Driver) / sdd, 2)
+                         + pow((a.Habit - b.Habit) / sh, 2))) AS s, count(*) AS n
+         FROM lab a JOIN lab b USING (labelling), sd GROUP BY 1, 2, 3, 4),
+ab AS (SELECT labelling, id, max(n) FILTER (WHERE own = other) AS n_own,
+              max(s / nullif(n - 1, 0)) FILTER (WHERE own = other) AS a, min(s / n) FILTER (WHERE own <> other) AS b
+       FROM pair GROUP BY 1, 2)
+SELECT labelling, CAST((SELECT count(DISTINCT label) FROM lab l WHERE l.labelling = ab.labelling) AS INTEGER) AS clusters,
+       count(*) AS n, round_even(avg(CASE WHEN n_own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 4)
+       AS silhouette
+FROM ab GROUP BY labelling""")
+
+
 def _eigvec(l):
     """Unit eigenvector of the correlation matrix for eigenvalue ``l`` (cross product of
     two rows of R - l I), sign-fixed so the largest-magnitude entry is positive."""
@@ -724,6 +761,19 @@ SELECT CAST(g.k AS INTEGER) AS point, round_even(g.gx, 6) AS x,
 FROM g JOIN d USING (k), s""")
 
 
+plain("row_kde_binned_lineitem", """
+WITH v AS (SELECT l_extendedprice / 1000 AS x FROM lineitem WHERE l_extendedprice IS NOT NULL),
+s AS (SELECT count(*) AS n, stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw, min(x) AS lo, max(x) AS hi FROM v),
+p AS (SELECT floor((x - lo) / (bw / 32)) AS cell, (x - lo) / (bw / 32) AS place FROM v, s),
+node AS (SELECT cell AS i, sum(1 - (place - cell)) AS weight FROM p GROUP BY 1
+         UNION ALL SELECT cell + 1, sum(place - cell) FROM p GROUP BY 1),
+g AS (SELECT range AS k, lo + range * ((hi - lo) / 199) AS gx FROM range(200), s),
+d AS (SELECT k, sum(weight * exp(-0.5 * pow((gx - (lo + i * (bw / 32))) / bw, 2))) AS ks FROM g, node, s GROUP BY k)
+SELECT CAST(g.k AS INTEGER) AS point, round_even(g.gx, 6) AS x,
+       round_even(d.ks / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM g JOIN d USING (k), s""")
+
+
 def _box_sql(table, keys, col):
     inside = f"{col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
     return f"""

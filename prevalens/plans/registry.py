@@ -92,6 +92,12 @@ def q_min_sample_filter(spark, sf_dir):
     return rounded(flt.filter_min_sample(kept, SPEC.sample_size, MIN_SAMPLE))
 
 
+@register("clean_report")
+def q_clean_report(spark, sf_dir):
+    """What the clean step drops, misses and finds at fault, counted in the pass that writes its long table."""
+    return clean.written_long(raw_survey(spark, sf_dir, raw_columns=True), SPEC, min_sample=MIN_SAMPLE)[1]
+
+
 @register("class_split_counts")
 def q_class_split_counts(spark, sf_dir):
     kept = flt.filter_min_sample(raw_survey(spark, sf_dir), SPEC.sample_size, MIN_SAMPLE)
@@ -581,6 +587,7 @@ def q_linear_convergence(spark, sf_dir):
 # -- E1 / M: imputation and clustering ----------------------------------------------------
 
 from . import clustering as clu  # noqa: E402
+from .silhouette import silhouettes  # noqa: E402
 
 CLUSTER_K = 4   # the reference's chosen k; the sweep query searches k = 2..8
 
@@ -605,6 +612,12 @@ def q_kmeans_sweep(spark, sf_dir):
     return clu.kmeans_sweep(clu.prepare(imputed(spark, sf_dir), SPEC))
 
 
+@register("silhouette_strata")
+def q_silhouette_strata(spark, sf_dir):
+    """How far categories and years part the standardised measures: plain silhouettes of given labels."""
+    return rounded(silhouettes(clu.prepare(imputed(spark, sf_dir), SPEC), [SPEC.category, SPEC.year]))
+
+
 @register("cluster_profiles")
 def q_cluster_profiles(spark, sf_dir):
     return clu.profiles(_clustered(spark, sf_dir)[0], SPEC)
@@ -788,15 +801,7 @@ def q_model_summary(spark, sf_dir):
     m1 = regression.ols(ds["od"], SPEC.outcome_col, [SPEC.driver_col], "M1: Outcome ~ Driver")
     m2 = regression.ols(ds["odh"], SPEC.outcome_col, [SPEC.habit_score], "M2: Outcome ~ Habit")
     odh, res = _ridge(spark, sf_dir, nat)
-    slopes = m1.unionByName(m2).where(F.col("term") != "Intercept").select(
-        "model", "n", "r2", F.concat(F.lit("b="), F.format_number(F.bround("coef", 3), 3),
-                                     F.lit(", p="), F.format_number("p_value", 6)).alias("finding"))
-    ridge = spark.range(1).select(F.lit("M3: Ridge (Driver + Habit)").alias("model"),
-                                  F.lit(res.n).cast("long").alias("n"),
-                                  F.bround(F.lit(float(res.r2)), 4).alias("r2"),
-                                  F.concat(F.lit("CV R2="), F.format_number(
-                                      F.bround(F.lit(float(res.cv_r2_mean)), 4), 4)).alias("finding"))
-    return slopes.unionByName(ridge)
+    return regression.model_summary([m1, m2], res, "M3: Ridge (Driver + Habit)")
 
 
 @register("clustered_dataset")

@@ -249,6 +249,21 @@ def model_compare(df: DataFrame, y: str, features: list, ridge_r2: float) -> Dat
     return out.unionByName(ridge)
 
 
+def model_summary(ols_tables: list, ridge, ridge_name: str) -> DataFrame:
+    """One row per model: rows, R2 and the headline finding as text."""
+    slopes = ols_tables[0]
+    for t in ols_tables[1:]:
+        slopes = slopes.unionByName(t)
+    slopes = slopes.where(F.col("term") != "Intercept").select(
+        "model", "n", "r2", F.concat(F.lit("b="), F.format_number(F.bround("coef", 3), 3),
+                                     F.lit(", p="), F.format_number("p_value", 6)).alias("finding"))
+    last = slopes.sparkSession.range(1).select(
+        F.lit(ridge_name).alias("model"), F.lit(ridge.n).cast("long").alias("n"),
+        F.bround(F.lit(float(ridge.r2)), 4).alias("r2"),
+        F.concat(F.lit("CV R2="), F.format_number(F.bround(F.lit(float(ridge.cv_r2_mean)), 4), 4)).alias("finding"))
+    return slopes.unionByName(last)
+
+
 def regression_job(od: DataFrame, odh: DataFrame, spec, key_cols: list) -> dict:
     """The three models and their report tables."""
     o, d, h = spec.outcome_col, spec.driver_col, spec.habit_score
@@ -267,4 +282,5 @@ def regression_job(od: DataFrame, odh: DataFrame, spec, key_cols: list) -> dict:
             "ridge": ridge_table(spark, rid, [d, h], f"Ridge {o} ~ {d} + {h}"),
             "ridge_alpha_path": spark.createDataFrame(rid.alpha_path, "alpha double, cv_r2 double"),
             "model_compare": model_compare(odh, o, [d, h], rid.r2),
+            "model_summary": model_summary([m1, m2], rid, f"Ridge {o} ~ {d} + {h}"),
             "ridge_result": rid}

@@ -62,7 +62,7 @@ def results_overview(spark, ols_tables: list, ridge, class_results: list, sweep_
                      f"{best['Classifier']} {best['CV_Accuracy'] * 100:.1f}% CV accuracy", ""))
     if sweep_best is not None:
         rows.append(("K-Means Clustering", n_clustered,
-                     f"k={sweep_best['k']}, squared silhouette={sweep_best['silhouette_squared']:.2f}", ""))
+                     f"k={sweep_best['k']}, silhouette={sweep_best['silhouette']:.2f}", ""))
     return spark.createDataFrame(rows, "Model string, n long, Result string, Finding string")
 
 
@@ -75,5 +75,5 @@ def headline_kpis(change: DataFrame, model_r2: DataFrame, class_results: DataFra
                                  F.max_by("dataset", "CV_Accuracy").alias("best_dataset"))
     first = change.first()
     extra = best_r2.first().asDict() | best_acc.first().asDict()
-    row = first.asDict() | extra | {"k": sweep_best["k"], "silhouette_squared": sweep_best["silhouette_squared"]}
+    row = first.asDict() | extra | {"k": sweep_best["k"], "silhouette": sweep_best["silhouette"]}
     return change.sparkSession.createDataFrame([row])

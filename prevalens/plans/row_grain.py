@@ -50,6 +50,13 @@ def q_kde_price(spark, sf_dir):
     return charts.kde(read_table(spark, sf_dir, "part"), "p_retailprice")
 
 
+@register("row_kde_binned_lineitem")
+def q_kde_binned_lineitem(spark, sf_dir):
+    """Density of the extended prices of all order lines, binned linearly; x1000 for digits that tell."""
+    lines = read_table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("price"))
+    return charts.kde_binned(lines, "price")
+
+
 @register("row_box_stats_orders")
 def q_box_stats_orders(spark, sf_dir):
     return charts.box_stats(read_table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
