@@ -13,8 +13,9 @@ is in its cycle any more, at the latest after three cycles.
 Activation is one byte per hash bucket: the first step at which a subphrase of
 that bucket had reached the least count.  The table has ``BUCKETS`` entries
 whatever the corpus, and is all that is broadcast.  A bucket may hold several
-subphrases, so a phrase may be active earlier than it should; then it is counted
-earlier, still for exactly one cycle, and counts stay exact.  A phrase whose count
+subphrases, so a phrase may be active earlier than it should, though never before
+its words; then it is counted earlier, still for exactly one cycle, and counts stay
+exact.  A phrase whose count
 reaches the threshold has subphrases that do, so none is missed.
 
 A task names a word by a 64-bit hash, sums its counts before the shuffle and
@@ -32,6 +33,8 @@ gives no rows; extra columns are ignored; very long texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +54,8 @@ UNKNOWN = "und"
 HELD = 1_000_000
 #: Rows of a batch that a task hands over.
 BATCH = 1 << 16
+#: Bytes of a word up to which the polynomial hash tells words apart.
+PLAIN = 256
 _NEVER = 255
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09]] = True
@@ -88,9 +93,9 @@ def named(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
     return h
 
 
-def bucket(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """Bucket of a subphrase."""
-    return (named(lang, *words) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def buckets(names: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of named subphrases in a table of a power of two entries."""
+    return (names & np.uint64(len(table) - 1)).astype(np.int64)
 
 
 class _Sums:
@@ -168,8 +173,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                     starts, ends, joined = piece_words(raw, offsets)
                     if not len(starts):
                         continue
-                    w = mixed(word_hashes(raw, starts, ends, lower=True) ^ mixed(np.array([seed + 1], np.uint64)))
-                    w = np.maximum(w, np.uint64(1))      # 0 stands for no word
+                    w = named_words(raw, starts, ends, seed)
                     if step < shards:
                         sums = rows.setdefault((lang, 1), _Sums(1))
                         found, first, c = np.unique(w, return_index=True, return_counts=True)
@@ -177,15 +181,16 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                         for h, i in zip(found.tolist(), first.tolist()):
                             if (lang, h) not in texts:
                                 texts[lang, h] = _word(raw, starts[i], ends[i])
-                    one = table[bucket(code, w)].astype(np.int64)
+                    one = table[buckets(named(code, w), table)].astype(np.int64)
                     since = np.maximum(one[1:], one[:-1])
                     two = joined[1:] & (since < _NEVER)
                     use = np.flatnonzero(two & (since < step) & (since >= step - shards))
                     rows.setdefault((lang, 2), _Sums(2)).add([w[use], w[use + 1]])
-                    if step > 1 and len(w) > 2:
+                    if step > 0 and len(w) > 2:
+                        # never before the pairs' words: a shared bucket may be older than they are
                         pair = np.full(len(w) - 1, _NEVER, np.int64)
                         at = np.flatnonzero(two)
-                        pair[at] = table[bucket(code, w[at], w[at + 1])]
+                        pair[at] = np.maximum(table[buckets(named(code, w[at], w[at + 1]), table)], since[at])
                         since = np.maximum(pair[1:], pair[:-1])
                         use = np.flatnonzero((since < step) & (since >= step - shards))
                         rows.setdefault((lang, 3), _Sums(3)).add([w[use], w[use + 1], w[use + 2]])
@@ -201,6 +206,15 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
     return shard.mapInArrow(run, "lang string, h1 long, h2 long, h3 long, word string, c long")
 
 
+def named_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the words, never 0.  Long words can be built to share the plain one, and get another."""
+    w = mixed(word_hashes(raw, starts, ends, lower=True) ^ mixed(np.array([seed + 1], np.uint64)))
+    for i in np.flatnonzero(ends - starts > PLAIN):
+        code = hashlib.blake2b(bytes(raw[starts[i]:ends[i]]).lower(), digest_size=8, key=b"%d" % seed)
+        w[i] = int.from_bytes(code.digest(), "little")
+    return np.maximum(w, np.uint64(1))                   # 0 stands for no word
+
+
 def _word(raw: np.ndarray, a: int, b: int) -> str:
     return bytes(raw[a:b]).lower().decode("utf-8", "surrogatepass")
 
@@ -218,21 +232,23 @@ def _reached(found: DataFrame, length: int, least: int, reach, seed: int) -> np.
     """Buckets, not yet active, of the phrases of a length whose counts so far reach ``least``.
 
     Phrases are summed by their 64-bit hash; two with one hash would only be active
-    earlier.  At most ``BUCKETS`` numbers reach the driver.
+    earlier.  At most one number per bucket reaches the driver.
     """
+    size = len(reach.value)
+
     def run(batches):
         langs: dict = {}
         for batch in batches:
             name = _names(batch, length, langs, seed)
-            use = reach.value[(name & np.uint64(BUCKETS - 1)).astype(np.int64)] == _NEVER
+            use = reach.value[buckets(name, reach.value)] == _NEVER
             yield pa.RecordBatch.from_arrays(
                 [pa.array(name[use].view(np.int64)), pa.array(batch.column("c").to_numpy()[use])], names=["name", "c"])
 
     of_length = found.where(("h2 = 0" if length == 1 else "h2 <> 0 and h3 = 0")).select("lang", "h1", "h2", "c")
     large = (of_length.mapInArrow(run, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
              .where(F.col("c") >= least))
-    at = large.select(F.col("name").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("at")).distinct()
-    out = np.zeros(BUCKETS, dtype=bool)
+    at = large.select(F.col("name").bitwiseAND(F.lit(size - 1)).cast("int").alias("at")).distinct()
+    out = np.zeros(size, dtype=bool)
     out[at.toArrow().column("at").to_numpy()] = True
     return out
 
@@ -242,7 +258,7 @@ def _possible(found: DataFrame, reach, seed: int) -> DataFrame:
     def run(batches):
         langs: dict = {}
         for batch in batches:
-            at = (_names(batch, 2, langs, seed) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            at = buckets(_names(batch, 2, langs, seed), reach.value)
             pair = (batch.column("h2").to_numpy() != 0) & (batch.column("h3").to_numpy() == 0)
             yield batch.filter(pa.array(~pair | (reach.value[at] != _NEVER)))
 

@@ -274,3 +274,35 @@ def test_phrases_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_007, 4_000_000_009, 5_000_000_029
     df = spark.createDataFrame([(a, l, r)], "a long, l long, r long")
     assert df.select(phrases.cut_score("l", "r").alias("s")).first().s == 1_000_000 * a * a // (l * r)
+
+
+def test_phrases_count_whole_when_their_pairs_share_the_buckets_of_words(spark):
+    vocabulary = np.array([f"v{i}" for i in range(3000)])
+    raw = np.frombuffer("".join(vocabulary).encode(), np.uint8)
+    ends = np.cumsum([len(v) for v in vocabulary])
+    w = phrases.mixed(phrases.word_hashes(raw, ends - np.char.str_len(vocabulary), ends)
+                      ^ phrases.mixed(np.array([1], np.uint64)))
+    mask = np.uint64(phrases.BUCKETS - 1)
+    code = phrases._lang_hash(["en"], 0)["en"]
+    taken = np.unique(phrases.named(code, w) & mask)
+    follows = {i: np.flatnonzero(np.isin(phrases.named(code, np.repeat(w[i:i + 1], len(w)), w) & mask, taken))
+               for i in range(400)}
+    triples = [(i, j, k) for i in follows for j in follows[i] if j in follows for k in follows[j]][:5]
+    assert triples
+    # every word is frequent in both shards from the first scan on
+    rows = [(" . ".join(vocabulary) + f" . n{d}", "en") for d in range(60)]
+    rows += [(f"{d} . " + " ".join(vocabulary[list(t)]), "en") for t in triples for d in range(40)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert sorted(tuple(r) for r in phrases.collocations(df).collect()) == collocations(rows)
+
+
+def test_phrases_tell_long_words_with_one_polynomial_apart():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    raw = np.frombuffer((a + b + a.upper()).encode(), np.uint8)
+    starts = np.arange(3) * len(a)
+    plain = phrases.word_hashes(raw, starts, starts + len(a), lower=True)
+    assert plain[0] == plain[1]
+    w = phrases.named_words(raw, starts, starts + len(a), 0)
+    assert w[0] != w[1] and w[0] == w[2]
