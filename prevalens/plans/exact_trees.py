@@ -11,6 +11,12 @@ weight: 0 where the model must not learn from it.  A level is one pass:
    midpoint between the values left and right of it;
 4. rows move to the child nodes 2 n and 2 n + 1.
 
+An impure node with few rows (``IN_TASK``) leaves the levels: one task takes its rows and
+grows the rest of its tree by the same counts, gains, draws and ties, all such nodes of all
+models in one job.  Levels, and with them jobs, therefore follow the logarithm of the rows
+over ``IN_TASK`` and not the depth of the trees, which may be the number of rows; a task
+never holds a larger node.
+
 Weights are whole numbers, so the counts and therefore the tree do not depend on
 the order or the partitioning of the rows.  Equal gains are decided by the lower
 feature, then the lower value.  Rows without weight are routed along: their final
@@ -29,14 +35,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators import windows
 from ..session import materialize
 
+#: Rows up to which a node's tree is grown inside a task.
+IN_TASK = 10_000
+DEEPEST = 61
 _NODE = ["model", "node"]
+_FOUND = ["found_depth int", "found_n double", "found_ones double", "found_feature int", "found_threshold double"]
 
 
 def gini(n: Column, ones: Column) -> Column:
@@ -80,22 +94,120 @@ def _best_cuts(rows: DataFrame, nodes: DataFrame, max_features: int | None, seed
             .select(*_NODE, (-F.col("b.f")).alias("feature"), (-F.col("b.low")).alias("at")))
 
 
-def grow(rows: DataFrame, max_depth: int | None = 5, max_features: int | None = None, seed: int = 42) -> tuple:
+def _draw(seed: int, model, node: int, features: np.ndarray) -> np.ndarray:
+    """``xxhash64(seed, model, node, feature)`` of some features, as the levels compute it."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(h, by):
+        return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+    h = np.full(len(features), 42, np.uint64)
+    for value in (np.int32(seed), model, np.int64(node), features.astype(np.int32)):
+        v = np.atleast_1d(value)
+        if v.dtype == np.int32:
+            h = turned((h + p5 + np.uint64(4)) ^ (v.view(np.uint32).astype(np.uint64) * p1), 23) * p2 + p3
+        else:
+            h = turned((h + p5 + np.uint64(8)) ^ (turned(v.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def _cut(x: np.ndarray, weight: np.ndarray, ones: np.ndarray, draw, max_features: int | None):
+    """(feature, threshold) of the best cut of a node's weighted rows, or None."""
+    n, all_ones = float(weight.sum()), float(ones.sum())
+    best = []                                            # (gain, -feature, -value) of every feature with a cut
+    for f in range(x.shape[1]):
+        known = ~np.isnan(x[:, f])
+        values, at = np.unique(x[known, f], return_inverse=True)
+        left_n = np.cumsum(np.bincount(at, weight[known], len(values)))
+        left = np.cumsum(np.bincount(at, ones[known], len(values)))
+        use = left_n < n
+        if use.any():
+            gain = _purity(left_n[use], left[use]) + _purity(n - left_n[use], all_ones - left[use])
+            i = int(np.argmax(gain))
+            best.append((float(gain[i]), -f, -float(values[use][i])))
+    if max_features is not None and len(best) > max_features:
+        features = np.array([-b[1] for b in best])
+        best = [best[i] for i in np.lexsort((features, draw(features)))[:max_features]]
+    if not best:
+        return None
+    _, f, at = max(best)
+    value = x[:, -f]
+    below, above = value[value <= -at].max(), value[value > -at]
+    return -f, float((below + above.min()) / 2 if len(above) else below)
+
+
+def _finish(max_depth: int | None, max_features: int | None, seed: int):
+    """The rest of a node's tree: its rows with their final nodes, and one row per node found."""
+    def run(table):
+        model = table.column("model").to_numpy()[:1]
+        lists = table.column("x").combine_chunks()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        x = np.full((len(size), max(size.max(), 1)), np.nan)
+        x[np.repeat(np.arange(len(size)), size),
+          np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = (
+            lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+        x = x + 0.0                                      # one zero
+        weight = table.column("weight").to_numpy().astype(np.float64)
+        ones = table.column("label").to_numpy().astype(np.float64) * weight
+        final = table.column("node").to_numpy().copy()
+        found, todo = [], [(int(final[0]), np.arange(len(final)))]
+        while todo:
+            node, rows = todo.pop()
+            depth = node.bit_length() - 1
+            n, k = float(weight[rows].sum()), float(ones[rows].sum())
+            cut = None
+            if 0 < k < n and depth < DEEPEST and (max_depth is None or depth < max_depth):
+                used = rows[weight[rows] > 0]
+                cut = _cut(x[used], weight[used], ones[used],
+                           lambda features: _draw(seed, model, node, features), max_features)
+            found.append((node, depth, n, k, *(cut or (None, None))))
+            if cut is None:
+                final[rows] = node
+                continue
+            left = x[rows, cut[0]] <= cut[1]
+            todo += [(2 * node + side, part) for side, part in ((0, rows[left]), (1, rows[~left])) if len(part)]
+        node, *fields = (list(c) for c in zip(*found))
+        types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
+        names = [f.split()[0] for f in _FOUND]
+        routed = table.set_column(table.schema.get_field_index("node"), "node", pa.array(final, pa.int64()))
+        for name, kind in zip(names, types):
+            routed = routed.append_column(name, pa.nulls(len(final), kind))
+        given = {"model": pa.array(np.repeat(model, len(node)), table.schema.field("model").type),
+                 "node": pa.array(node, pa.int64()), **dict(zip(names, map(pa.array, fields, types)))}
+        nodes = pa.table([given.get(c, pa.nulls(len(node), routed.schema.field(c).type)) for c in routed.column_names],
+                         names=routed.column_names)
+        return pa.concat_tables([routed.cast(nodes.schema), nodes])
+    return run
+
+
+def grow(rows: DataFrame, max_depth: int | None = 5, max_features: int | None = None, seed: int = 42,
+         in_task: int = IN_TASK) -> tuple:
     """(nodes, routed rows) of all models.
 
     ``rows``: model, label (0 or 1), weight (whole), x (array) and any other columns.
     Nodes: model, node, depth, n, ones, gini, feature (from 0, null for a leaf), threshold.
-    Routed rows: ``rows`` with their final node.
+    Routed rows: ``rows`` with their final node.  ``in_task`` sets where the work is done, not the result.
     """
     live = materialize(rows.withColumn("node", F.lit(1).cast("long")))
-    done, depth = [], 0
+    done, waiting, depth = [], [], 0
     while True:
-        nodes = live.groupBy(*_NODE).agg(
-            F.sum("weight").cast("double").alias("n"), F.sum(F.col("label") * F.col("weight")).cast("double").alias("ones"))
         level = (F.col("node") >= 2 ** depth) & (F.col("node") < 2 ** (depth + 1))
-        nodes = nodes.where(level)
-        impure = materialize(nodes.where("ones > 0 and ones < n"))
-        if max_depth is not None and depth >= max_depth or depth >= 61 or impure.isEmpty():
+        nodes = materialize(live.where(level).groupBy(*_NODE).agg(
+            F.sum("weight").cast("double").alias("n"), F.sum(F.col("label") * F.col("weight")).cast("double").alias("ones"),
+            F.count(F.lit(1)).alias("held"), F.count(F.col("label") * F.col("weight")).alias("known")))
+        impure = F.coalesce((F.col("ones") > 0) & (F.col("ones") < F.col("n")), F.lit(False))
+        small = impure & (F.col("held") <= in_task) & (F.col("known") == F.col("held"))
+        if max_depth is not None and depth >= max_depth or depth >= DEEPEST:
+            done.append(_level(nodes, None, depth))
+            break
+        waiting.append(nodes.where(small).select(*_NODE))
+        nodes = nodes.where(~small)
+        impure = nodes.where(impure)
+        if impure.isEmpty():
             done.append(_level(nodes, None, depth))
             break
         inside = live.join(impure.select(*_NODE), _NODE, "left_semi")
@@ -118,7 +230,22 @@ def grow(rows: DataFrame, max_depth: int | None = 5, max_features: int | None =
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out, live
+    if not waiting:
+        return out, live
+    left = waiting[0]
+    for part in waiting[1:]:
+        left = left.unionByName(part)
+    once = {f.name: T.StructField(f.name, f.dataType) for f in live.schema.fields}   # a column may be given twice
+    schema = T.StructType([*once.values(), *T.StructType.fromDDL(", ".join(_FOUND)).fields])
+    grown = materialize(live.join(left, _NODE, "left_semi").select(*once).groupBy(*_NODE).applyInArrow(
+        _finish(max_depth, max_features, seed), schema))
+    found = grown.where("found_depth is not null").select(
+        *_NODE, F.col("found_depth").alias("depth"), F.col("found_n").alias("n"), F.col("found_ones").alias("ones"),
+        gini(F.col("found_n"), F.col("found_ones")).alias("gini"), F.col("found_feature").alias("feature"),
+        F.col("found_threshold").alias("threshold"))
+    live = live.join(left, _NODE, "left_anti").select(*live.columns).union(
+        grown.where("found_depth is null").select(*live.columns))
+    return out.unionByName(found), live
 
 
 def _level(nodes: DataFrame, ends: DataFrame | None, depth: int) -> DataFrame:

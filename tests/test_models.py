@@ -157,3 +157,35 @@ def test_report_has_a_row_per_node(spark):
         assert r.n == r.n_0 + r.n_1 and r.parent == r.id // 2
         if r.feature:
             assert r.n == rows[2 * r.id].n + rows[2 * r.id + 1].n
+
+
+def test_small_nodes_grow_in_tasks_as_by_levels(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = [None, float("nan"), -0.0, 0.0, 1.0, 2.0]
+    rows = []
+    for i in range(60):
+        x = [values[rng.integers(6)] if i % 3 else float(rng.random()), float(rng.integers(2)), float(rng.random())]
+        rows.append((i, float(rng.integers(2)), (None, x[:2], x)[min(i, 2)], int(rng.integers(2))))
+    data = spark.createDataFrame(rows, "id long, label double, x array<double>, fold int")
+    data = exact_trees.forest_rows(data.select("label", "x", "fold", data.id.alias("key"), data.id.alias("key2")),
+                                   F.col("key"), 2, k=2)
+
+    def grown(in_task, depth):
+        nodes, routed = exact_trees.grow(data, depth, 1, 5, in_task)
+        return [sorted(repr(tuple(r)) for r in t.collect()) for t in (nodes, routed)]
+
+    assert grown(10_000, 3) == grown(0, 3) == grown(20, 3)
+    # the jobs do not follow the depth of the trees
+    written = []
+    plain = exact_trees.materialize
+    monkeypatch.setattr(exact_trees, "materialize", lambda df: written.append(1) or plain(df))
+    nodes, _ = exact_trees.grow(data, None, 1, 5)
+    assert nodes.agg(F.max("depth")).first()[0] >= 6
+    assert len(written) <= 5
+
+
+def test_draws_in_tasks_are_those_of_the_levels(spark):
+    rows = [(m, n, f) for m in (0, 5, 605) for n in (1, 77, 1 << 40) for f in (0, 1, 7)]
+    df = spark.createDataFrame(rows, "model int, node long, feature int")
+    for r in df.select("*", F.xxhash64(F.lit(42), "model", "node", "feature").alias("h")).collect():
+        assert exact_trees._draw(42, np.array([r.model], np.int32), r.node, np.array([r.feature]))[0] == r.h
