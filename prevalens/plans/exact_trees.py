@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators import windows
-from ..session import materialize
+from ..session import materialize, package_for_workers
 
 #: Rows up to which a node's tree is grown inside a task.
 IN_TASK = 10_000
@@ -192,6 +192,7 @@ def grow(rows: DataFrame, max_depth: int | None = 5, max_features: int | None =
     Nodes: model, node, depth, n, ones, gini, feature (from 0, null for a leaf), threshold.
     Routed rows: ``rows`` with their final node.  ``in_task`` sets where the work is done, not the result.
     """
+    package_for_workers(rows.sparkSession)
     live = materialize(rows.withColumn("node", F.lit(1).cast("long")))
     done, waiting, depth = [], [], 0
     while True:

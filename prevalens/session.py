@@ -69,6 +69,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
 
 
+def package_for_workers(spark: SparkSession) -> None:
+    """Python workers of a local run find this package where the driver found it, whatever their folder."""
+    spark.sparkContext.environment.setdefault(
+        "PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss).
 
