@@ -309,3 +309,82 @@ def test_ids_are_those_of_the_named_tokenizer(docs):
         "before <|endoftext|> after", "<|endoftext|>", " x  y \n z", "a  b" * 40, "été 12 345 " * 20, "\x00\t\r", "it's we'll DON'T"]
     for t in texts:
         assert encode(t) == np.array(named.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def _shared_passage(number=400, own=30, passage=60, seed=3):
+    """Different texts that share a passage of about two thirds, and near copies of a few of them."""
+    rng = np.random.default_rng(seed)
+    common = [f"c{i}" for i in range(passage)]
+    texts = []
+    for i in range(number):
+        mine = [f"w{k}" for k in rng.integers(0, 1 << 40, own)]
+        texts.append(" ".join(common + mine))
+        if i % 40 == 0:
+            texts.append(" ".join(common + mine[:-1]))
+    return texts
+
+
+def test_join_shared_passage_is_divided_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a passage leave the levels after the rare shingles and are never compared in blocks."""
+    df = spark.createDataFrame(list(enumerate(_shared_passage())), "doc_id long, text string")
+    left, old = [], jaccard_join._block_links
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda rest, *a: left.append(rest.count()) or old(rest, *a))
+    check_join(df)
+    assert sum(left) == 0
+
+
+def test_rare_elements_meet():
+    """Two linked sets share one of their first elements, whatever the counts are."""
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, counts = int(rng.integers(1, 120)), rng.integers(0, 5, 64)
+        pool = rng.integers(0, 1 << 63, 4 * n + 8).astype(np.uint64)
+        lost, more = (int(rng.integers(0, n // 4 + 1)) for _ in "ab")
+        b = np.concatenate([pool[lost:n], pool[n:n + more]])
+        if not len(b) or 100 * (n - lost) < 75 * (n + more):
+            continue
+        h = np.concatenate([np.sort(pool[:n]), np.sort(b)])
+        s, d = jaccard_join.rare_elements(h, np.array([0, n, n + len(b)]), counts)
+        assert np.intersect1d(s[d == 0], s[d == 1]).size
+
+
+def test_shared_counts_are_exact(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(jaccard_join, "_COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    x, y = np.arange(0, 30, 2), np.arange(0, 30, 3)
+    got = jaccard_join.shared_counts(np.concatenate(sets), cuts, x, y)
+    assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in y] for i in x]
+
+
+def test_overlapping_groups_are_merged(spark):
+    """Groups of nearly the same members are compared once; groups that hardly overlap stay apart."""
+    rows = [(g, i, i) for g in range(6) for i in range(20) if i != g]
+    rows += [(g, i, i) for g, low in ((100, 50), (101, 69)) for i in range(low, low + 20)]
+    rest = spark.createDataFrame(rows, "big long, id long, component long")
+    got = jaccard_join.merged_groups(rest, "test").groupBy("big", "one").count().collect()
+    assert sorted(r["count"] for r in got) == [20, 20, 20]
+
+
+def test_signatures_are_handed_over_in_parts(spark, monkeypatch):
+    """However few signatures a task may hold, no pair is lost and memory does not follow its rows."""
+    df = spark.createDataFrame(list(enumerate(_shared_passage(60))), "doc_id long, text string").coalesce(1)
+    blocks = [jaccard_join._signature_blocks(df.selectExpr("doc_id id", "text t"), (4, 1), 1, 5, (75, 100)).count()]
+    monkeypatch.setattr(jaccard_join, "_HELD_SIGNATURES", 100)
+    monkeypatch.setattr(jaccard_join, "slices", lambda b, c: (b.slice(i, 4) for i in range(0, b.num_rows, 4)))
+    blocks.append(jaccard_join._signature_blocks(df.selectExpr("doc_id id", "text t"), (4, 1), 1, 5, (75, 100)).count())
+    assert blocks[0] == 1 and blocks[1] > 4
+
+
+def test_word_hash_tables_are_bounded():
+    """A worker keeps one table of powers; longer texts have the same hashes without leaving theirs."""
+    from prevalens.llm import textnum
+    words_ = [f"word{i}" for i in range(120_000)]
+    raw = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    starts, ends, _ = textnum.word_spans(raw, np.array([0, len(raw)]))
+    whole = textnum.word_hashes(raw, starts, ends)
+    tail = textnum.word_hashes(raw[starts[-9]:], starts[-9:] - starts[-9], ends[-9:] - starts[-9])
+    assert len(raw) > textnum._KEPT_POWERS and whole[-9:].tolist() == tail.tolist()
+    assert sum(x.nbytes for x in textnum._powers(1000)) <= 16 * textnum._KEPT_POWERS
+    assert textnum._kept_powers.cache_info().currsize == 1
