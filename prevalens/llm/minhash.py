@@ -14,11 +14,12 @@ Candidates without all pairs.  A band's classes are first compared with one of
 them only, the centre.  The links found are closed into components, and a band
 whose classes are all in one component is settled: the pairs it still holds
 could tell nothing new.  Of the others, those up to ``MAX_GROUP`` classes compare
-their pairs across components; larger ones are divided by a second band (classes
-that share a passage rarely share two, linked ones do with probability 0.9998),
-and treated again in the same way.  What is large and unsettled then is
-compared in full: blocks of ``BLOCK`` classes against blocks inside tasks, and
-only links that join two components leave a task.  Nothing is capped.
+their pairs across components; the classes of larger ones are grouped anew by their
+rare shingles (``rare_elements``: two linked classes always share one, those that
+share a passage rarely do), and treated again in the same way.  What is large and
+unsettled then is compared in full, groups that overlap only once: blocks of
+``BLOCK`` classes against blocks inside tasks, and only links that join two
+components leave a task.  Nothing is capped.
 
 Verification.  A pair whose signatures agree in less than ``LEAST_AGREEING`` of
 their minima goes (a linked pair falls below with probability under 1e-5); the rest
@@ -42,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .jaccard_join import components, shingle_sets
+from .jaccard_join import (components, in_blocks, joining_links, merged_groups, rare_elements, rarity, sets_of,
+                           shingle_sets)
 from .textnum import mixed, slices
 
 NGRAM = 2
@@ -125,23 +127,20 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "bands").mapInArrow(run, "key long, cid long")
 
 
-def second_bands(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, cid): the classes of some bands, divided by every other band they have."""
+def rare_rows(members: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold,
+              repeated: bool) -> DataFrame:
+    """(key, cid): the rare shingles of the classes of some groups; two linked classes share one."""
+    few = _texts_of(members, classes, texts, n, repeated)
+    counts = few.sparkSession.sparkContext.broadcast(rarity(few, n))
+
     def run(batches):
         for batch in batches:
-            keys = [np.frombuffer(x, "<u8") for x in batch.column("bands").to_pylist()]
-            if not keys:
-                continue
-            count = [len(k) for k in keys]
-            own = np.repeat(batch.column("key").to_numpy().view(np.uint64), count)
-            other, cid = np.concatenate(keys), np.repeat(batch.column("cid").to_numpy(), count)
-            use = other != own
-            low, high = np.minimum(own, other)[use], np.maximum(own, other)[use]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mixed(mixed(low) + high).view(np.int64)), pa.array(cid[use])], names=["key", "cid"])
+            for part in slices(batch, "t"):
+                found, owner = rare_elements(*shingle_sets(part.column("t"), n), counts.value, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), part.column("cid").take(pa.array(owner))], names=["key", "cid"])
 
-    return (members.select("key", "cid").join(classes.select("cid", "bands"), "cid")
-            .mapInArrow(run, "key long, cid long").distinct())
+    return few.mapInArrow(run, "key long, cid long")
 
 
 def groups(rows: DataFrame, name: str) -> DataFrame:
@@ -185,17 +184,20 @@ def _class_texts(need: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return some.select("cid", "t", "k1", "k2").mapInArrow(run, "cid long, t string")
 
 
+def _texts_of(members: DataFrame, classes: DataFrame, texts: DataFrame, n: int, repeated: bool) -> DataFrame:
+    """(cid, t): a text of every class that ``members`` names."""
+    need = saved(members.select("cid").distinct().join(classes.select("cid", "id", "k1", "k2"), "cid"), "minhash-need")
+    few = _class_texts(need, texts, n)
+    # several rows with one id: one text per class
+    return saved(few.dropDuplicates(["cid"]) if repeated else few, "minhash-texts")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold, least: float,
              repeated: bool) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
     num, den = threshold
     pairs = saved(_agreeing(pairs, classes, threshold, least), "minhash-likely")
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-                 .join(classes.select("cid", "id", "k1", "k2"), "cid"), "minhash-need")
-    few = _class_texts(need, texts, n)
-    if repeated:                      # several rows with one id: one text per class
-        few = few.dropDuplicates(["cid"])
-    few = saved(few, "minhash-texts")
+    few = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, texts, n, repeated)
 
     def run(batches):
         held = (None, None)
@@ -226,57 +228,27 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[at] == y).sum())
 
 
-def _blocks(left: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold, least: float, block: int,
+def _blocks(left: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold, block: int,
             repeated: bool) -> DataFrame:
     """(a, b): links that join the components inside large groups.
 
-    ``left`` has key, cid, size, label.  Members are dealt by a hash into blocks of
-    about ``block`` sets and ``block`` times 512 shingles; a task compares two blocks,
-    signatures first, then full sets, and only across components.  A link merges its two
-    components, so a task emits fewer links than it has components.
+    ``left`` has key, cid, size, label.  Groups that overlap are compared once.  Members are
+    dealt by a hash into blocks of about ``block`` sets and ``block`` times 512 shingles; a task counts the
+    intersections of two blocks and emits links across components only.  A link merges its two
+    components, so there are fewer links than components.
     """
-    num, den = threshold
-    need = saved(left.select("cid").distinct().join(classes.select("cid", "id", "k1", "k2"), "cid"), "minhash-need")
-    few = _class_texts(need, texts, n)
-    few = saved(few.dropDuplicates(["cid"]) if repeated else few, "minhash-texts")
-    sized = left.select("key", "cid", "label").join(classes.select("cid", "n_shingles", "minima"), "cid")
-    number = sized.groupBy("key").agg(F.greatest(
+    few = _texts_of(left, classes, texts, n, repeated)
+    merged = merged_groups(left.select(F.col("key").alias("big"), F.col("cid").alias("id"),
+                                       F.col("label").alias("component")), "minhash")
+    members = (merged.join(classes.select(F.col("cid").alias("id"), "n_shingles"), "id")
+               .join(few.withColumnRenamed("cid", "id"), "id"))
+    number = members.groupBy("big", "one").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / (block * 512))).cast("int").alias("of"))
-    dealt = sized.join(number, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
-    spread = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-              .select("key", "cid", "label", "n_shingles", "minima", "own", F.least("own", "other").alias("low"),
-                      F.greatest("own", "other").alias("high")).join(few, "cid"))
-
-    def run(table: pa.Table) -> pa.Table:
-        own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
-        cid, label, size = (table.column(c).to_numpy() for c in ("cid", "label", "n_shingles"))
-        m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(own), -1)
-        t = table.column("t")
-        held: dict = {}
-
-        def full(i: int) -> np.ndarray:
-            if i not in held:
-                held[i] = shingle_sets(t.slice(i, 1).combine_chunks(), n)[0]
-            return held[i]
-
-        names, root = np.unique(label, return_inverse=True)
-        y = np.flatnonzero(own == high)
-        links = []
-        for i in np.flatnonzero(own == low).tolist():
-            j = y[root[y] != root[i]]
-            j = j[(np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)]
-            j = j[(m[j] == m[i]).mean(axis=1) >= least]
-            for k in j.tolist():
-                if root[k] == root[i]:
-                    continue
-                same = _shared(full(i), full(k))
-                if den * same >= num * (int(size[i]) + int(size[k]) - same):
-                    links.append((int(cid[i]), int(cid[k])))
-                    root[root == root[k]] = root[i]
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return spread.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+
+    def compare(table: pa.Table) -> list:
+        return joining_links(table, *sets_of(table.column("t"), n), threshold)
+
+    return in_blocks(members, ["big", "one"], number, ["component", "t"], compare)
 
 
 def _unsettled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -327,9 +299,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         if large.isEmpty():
             break
         if depth == "one":
-            source = saved(second_bands(large, classes), "minhash-second")
+            source = saved(rare_rows(large, classes, texts, n, threshold, repeated), "minhash-rare")
         else:
-            links.append(saved(_blocks(large, classes, texts, n, threshold, least, block, repeated), "minhash-links"))
+            links.append(saved(_blocks(large, classes, texts, n, threshold, block, repeated), "minhash-links"))
     labels = components(_all(links), "minhash-components")
     member = classes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))

@@ -74,6 +74,27 @@ def test_minhash_large_groups_are_divided_and_compared_in_blocks(spark):
     same_as_brute(spark, near_copies(2, 5, 8), rows=1, bands=12, max_group=2, block=4, least=0.3)
 
 
+def test_minhash_blocks_travel_as_rows(spark, monkeypatch):
+    """Large groups are compared once, and rows follow the pairs of blocks, not members times blocks."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for k in rng.sample(range(80), 4 + i % 9):
+            text[k] = f"x{i}e{k}"
+        rows.append((i, " ".join(text)))
+    made, old = [], minhash.in_blocks
+
+    def seen(members, group, of, columns, compare):
+        made.append((members.count(), members.select("id").distinct().count(), of.count()))
+        return old(members, group, of, columns, compare)
+
+    monkeypatch.setattr(minhash, "in_blocks", seen)
+    same_as_brute(spark, rows, block=32)
+    assert made and all(n <= distinct + 16 for n, distinct, _ in made)
+
+
 def test_minhash_edges(spark, edge, nothing):
     same_as_brute(spark, [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()])
     # one id with different texts links their classes
