@@ -93,11 +93,11 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long")
 
 
-def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the one- and two-word sequences of a text (case kept: shouting is a signal)."""
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
+def ngram_hashes(w: Column) -> Column:
+    """Hashes of the one- and two-word sequences of a text (case kept: shouting is a signal)."""
+    ones = F.transform(w, lambda x: F.xxhash64(x))
     twos = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                       lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(buckets)).cast("int"))
+                       lambda x, i: F.xxhash64(F.get(w, i), x))
     return F.concat(ones, twos)
 
 
@@ -137,10 +137,12 @@ def _grams(docs: DataFrame, text: str, trusted: str | None, buckets: int, keep:
     flag = ((lambda w: F.coalesce(F.col(trusted), F.lit(False))) if trusted
             else (lambda w: running_prose(w, F.col(text))))
     found = let(words(F.col(text)), lambda w: F.struct(
-        flag(w).alias("trust"), ngram_buckets(w, buckets).alias("b")))
-    # the outer form: the plain one infers a filter that evaluates the array twice
+        flag(w).alias("trust"), ngram_hashes(w).alias("h")))
+    # the outer form: the plain one infers a filter that evaluates the array twice; hashes become
+    # buckets after it, in compiled code and not in the lambda
     return (docs.select(*keep, found.alias("f"))
-            .select(*keep, F.col("f.trust").alias("trust"), F.explode_outer("f.b").alias("b")))
+            .select(*keep, F.col("f.trust").alias("trust"), F.explode_outer("f.h").alias("h"))
+            .select(*keep, "trust", F.pmod("h", F.lit(buckets)).cast("int").alias("b")))
 
 
 def corpus_cut(scores: DataFrame) -> float:

@@ -144,3 +144,16 @@ def test_word_helpers_match_split():
     assert got == [[x for x in SEP.split(t or "") if x] for t in texts]
     h, made = shingle_hashes(word_hashes(raw, starts, ends), first)
     assert made.tolist() == [1, 0, 0, 1, 1, 1, 2] and len(h) == made.sum()
+
+
+def test_buckets_are_taken_outside_of_the_lambdas(docs):
+    """Hashes become buckets in compiled code after the explode, and are those of the plain words."""
+    from pyspark.sql import functions as F
+
+    from prevalens.llm import quality_rules
+    few = docs.limit(1).select(F.lit("a b a").alias("text"))
+    grams = quality_rules._grams(few, "text", None, 64, [])
+    lambdas = [x for x in grams._jdf.queryExecution().optimizedPlan().toString().split("\n") if "lambdafunction" in x]
+    assert lambdas and not any("pmod" in x for x in lambdas)
+    one = few.select(*[F.pmod(F.xxhash64(*map(F.lit, w)), F.lit(64)).cast("int") for w in ("a", "b", "a", "ab", "ba")])
+    assert sorted(r["b"] for r in grams.collect()) == sorted(one.first())
