@@ -29,13 +29,14 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import TEXT_ROWS, saved
 from .textnum import slices
 
 LENGTH = 2048
@@ -44,14 +45,15 @@ ISLANDS = 3
 EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 4
-#: Word pieces kept by a task's memory of encoded words.
-CACHE = 400_000
+#: Word pieces kept by a worker's memory of encoded words.
+CACHE = 100_000
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for texts without a special token's string.
 RANKS = "byte_bpe_50k.tiktoken"
 _HARD_SPACES = re.compile(r"\s \s*|\s\Z| \s")
 
 
+@lru_cache(1)
 def load_encoder(vocabulary: str = VOCABULARY, ranks_file: str = RANKS):
     """text -> little-endian bytes of its ids; words are looked up in a bounded memory.
 
@@ -59,7 +61,7 @@ def load_encoder(vocabulary: str = VOCABULARY, ranks_file: str = RANKS):
     special tokens is encoded by that library; for all others the same merges are read as
     ranks, which is faster (tests compare both).  A space before a letter always starts a new
     piece, so a text whose spaces all stand alone is the concatenation of its space-led
-    words; other texts are encoded in one go.
+    words; other texts are encoded in one go.  A worker reads the files once, not once a task.
     """
     import public_tokenizers
     import tiktoken
@@ -213,7 +215,8 @@ def pack(items: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: in
 
     A sequence id is block * 2**24 + bin; blocks are numbered from 0.
     """
-    kept = saved(items.withColumn("copy", F.monotonically_increasing_id()), "pack-pieces")
+    kept = saved(items.withColumn("copy", F.monotonically_increasing_id()), "pack-pieces",
+                 batch=TEXT_ROWS)
     partial = kept.where(F.col("length") < length)
     count = partial.count()
     blocks = max(1, -(-count // block))

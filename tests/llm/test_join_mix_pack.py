@@ -388,3 +388,20 @@ def test_word_hash_tables_are_bounded():
     assert len(raw) > textnum._KEPT_POWERS and whole[-9:].tolist() == tail.tolist()
     assert sum(x.nbytes for x in textnum._powers(1000)) <= 16 * textnum._KEPT_POWERS
     assert textnum._kept_powers.cache_info().currsize == 1
+
+
+def test_texts_travel_in_small_batches(spark):
+    from prevalens.llm.common import saved
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    got = saved(spark.range(100, numPartitions=1).mapInArrow(sizes, "n long"), "test-batches", batch=10)
+    assert {r.n for r in got.collect()} == {10} and spark.conf.get(name) == before
+
+
+def test_a_worker_reads_the_vocabulary_once():
+    assert packing.load_encoder() is packing.load_encoder()
