@@ -390,6 +390,36 @@ def test_word_hash_tables_are_bounded():
     assert textnum._kept_powers.cache_info().currsize == 1
 
 
+def test_packed_sketches_keep_lower_bounds():
+    """Two bits a cell: folded and cut, the cells never differ by more than the sets."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    sets = [np.sort(pool[a:b]) for a, b in ((0, 40), (5, 60), (0, 900), (100, 1100), (0, 9000))]
+    fine = [jaccard_join._sketches(h, np.array([0, len(h)]))[1][0] for h in sets]
+    cells = [jaccard_join.unpacked_cells(np.frombuffer(jaccard_join.pack_cells(x), np.uint8)[None])[0].astype(int) for x in fine]
+    assert [len(jaccard_join.pack_cells(x)) * 4 for x in fine] == [len(x) for x in fine]
+    for x, raw in zip(cells, fine):
+        assert x.tolist() == np.minimum(np.frombuffer(raw, np.uint8), 3).tolist()
+    for (x, a), (y, b) in itertools.combinations(zip(cells, sets), 2):
+        m = min(len(x), len(y))
+        low = np.abs(np.minimum(x.reshape(-1, m).sum(0), 3) - np.minimum(y.reshape(-1, m).sum(0), 3)).sum()
+        assert low <= len(np.setxor1d(a, b))
+
+
+def test_signature_blocks_do_not_grow_with_the_buckets(spark):
+    df = spark.createDataFrame(list(enumerate(_shared_passage(60))), "id long, t string").coalesce(1)
+    held = []
+    for buckets in (1, 64):
+        blocks = jaccard_join._signature_blocks(df, (1, 0), buckets, 5, (75, 100))
+        held.append(sum(len(x) for r in blocks.collect() for x in r if isinstance(x, (bytes, bytearray))))
+    assert held[0] == held[1]
+
+
+def test_classes_of_one_code_are_paired(spark):
+    reps = spark.createDataFrame([(1 << 33 | 5, 1), (1 << 40 | 5, 2), (5, 3), (6, 4)], "k1 long, id long")
+    assert {(r.a, r.b) for r in jaccard_join._one_code(reps).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_texts_travel_in_small_batches(spark):
     from prevalens.llm.common import saved
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
