@@ -19,7 +19,11 @@ exact.  A phrase whose count
 reaches the threshold has subphrases that do, so none is missed.
 
 A task names a word by a 64-bit hash, sums its counts before the shuffle and
-hands over words as text only once.  Words that share a hash would merge, so the
+hands over words as text only once.  Counts of phrases travel in blocks, one row per
+task, language and bucket of phrases; a bucket's blocks are summed in one group, whose
+size is bounded by the number of buckets (``WORDS_PER_PART``).  The sums after the
+last step that counts pairs are the pairs' complete counts, and are read
+again as such.  Words that share a hash would merge, so the
 complete word table is tested, and the whole count starts anew with another seed
 should it hold one hash twice.  Counts therefore are exact.
 
@@ -54,6 +58,10 @@ UNKNOWN = "und"
 HELD = 1_000_000
 #: Rows of a batch that a task hands over.
 BATCH = 1 << 16
+#: Words of the corpus for one bucket of phrases that is summed in one group.
+WORDS_PER_PART = 1 << 20
+#: Odd factors that make one number of a phrase's word hashes.
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 #: Bytes of a word up to which the polynomial hash tells words apart.
 PLAIN = 256
 _NEVER = 255
@@ -117,51 +125,90 @@ class _Sums:
         return out
 
 
+def _one_number(keys: list) -> np.ndarray:
+    """One 64-bit number of every row of hashes; equal rows have equal ones."""
+    out = keys[0] * _FACTORS[0]
+    for k, f in zip(keys[1:], _FACTORS[1:]):
+        out = out + k * f
+    return out
+
+
 def _summed(cols: list) -> list:
+    """Counts of equal rows of hashes, summed; sorted by one number of the row."""
     *keys, counts = cols
     if not len(counts):
         return cols
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), dtype=bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+    code = _one_number(keys)
+    order = np.argsort(code)
+    code, keys = code[order], [k[order] for k in keys]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = code[1:] != code[:-1]
+    if any((~new[1:] & (k[1:] != k[:-1])).any() for k in keys):
+        # two rows share the number
+        again = np.lexsort(keys[::-1])
+        order, keys = order[again], [k[again] for k in keys]
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     at = np.flatnonzero(new)
     return [*[k[at] for k in keys], np.add.reduceat(counts[order], at)]
 
 
+def _blocks(cols: list, parts: int):
+    """(part, rows, bytes) of summed counts: the counts and the hashes of the phrases of one part."""
+    *keys, counts = cols
+    part = ((_one_number(keys) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    rows = np.stack([counts, *[k.view(np.int64) for k in keys]])
+    if (part[1:] < part[:-1]).any():
+        order = np.argsort(part, kind="stable")
+        part, rows = part[order], rows[:, order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
+        yield int(part[a]), b - a, rows[:, a:b].tobytes()
+
+
 def _lang_hash(langs: list, seed: int) -> dict:
     """Any number per language; it only spreads buckets."""
     import zlib
     return {x: np.uint64(zlib.crc32(x.encode()) + (seed << 32)) for x in langs}
 
 
+_COUNTS = "lang string, h1 long, h2 long, word string, c long, length int, part int, counts binary"
+
+
 def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHARDS) -> DataFrame:
-    """(lang, h1, h2, h3, word, c): counts of one scan of a shard; h2, h3 are 0 for shorter phrases.
+    """Counts of one scan of a shard.  Words: lang, h1, h2 = 0, word, c.  Blocks of phrases: lang, their
+    ``length``, ``part``, the number of ``c`` rows, and ``counts``, the counts and hashes (``_blocks``).
 
-    ``reach`` is the broadcast byte table of activation steps.  A phrase is counted
-    if its cycle contains this step.
+    ``reach`` broadcasts the byte table of activation steps and the number of parts.  A phrase is
+    counted if its cycle contains this step.
     """
     def run(batches):
-        table = reach.value
+        table, parts = reach.value
         rows = {}                                        # (lang, length) -> sums
         texts: dict = {}                                 # (lang, hash) -> word
+        columns = [x.split()[0] for x in _COUNTS.split(", ")]
 
         def out():
             for (lang, n), sums in rows.items():
                 cols = sums.take()
                 if not len(cols[0]):
                     continue
+                if n > 1:
+                    held = list(_blocks(cols, parts))
+                    size = len(held)
+                    part, c, data = zip(*held)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(lang, pa.string()), size), *[pa.nulls(size, pa.int64())] * 2,
+                         pa.nulls(size, pa.string()), pa.array(c, pa.int64()), pa.array([n] * size, pa.int32()),
+                         pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=columns)
+                    continue
                 for i in range(0, len(cols[0]), BATCH):
-                    *hs, c = (x[i:i + BATCH] for x in cols)
+                    h, c = (x[i:i + BATCH] for x in cols)
                     size = len(c)
-                    word = (pa.array([texts.pop((lang, h), None) for h in hs[0].tolist()], pa.string()) if n == 1
-                            else pa.nulls(size, pa.string()))
-                    hs = [h.view(np.int64) for h in hs] + [np.zeros(size, np.int64)] * (3 - n)
+                    word = pa.array([texts.pop((lang, x), None) for x in h.tolist()], pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(lang, pa.string()), size), *map(pa.array, hs), word, pa.array(c)],
-                        names=["lang", "h1", "h2", "h3", "word", "c"])
+                        [pa.repeat(pa.scalar(lang, pa.string()), size), pa.array(h.view(np.int64)),
+                         pa.array(np.zeros(size, np.int64)), word, pa.array(c), pa.array([1] * size, pa.int32()),
+                         pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=columns)
 
         for batch in batches:
             for whole in slices(batch, "t"):
@@ -203,7 +250,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                         texts.clear()
         yield from out()
 
-    return shard.mapInArrow(run, "lang string, h1 long, h2 long, h3 long, word string, c long")
+    return shard.mapInArrow(run, _COUNTS)
 
 
 def named_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
@@ -228,43 +275,46 @@ def _names(batch, length: int, langs: dict, seed: int) -> np.ndarray:
     return named(code, *[batch.column(f"h{i + 1}").to_numpy().view(np.uint64) for i in range(length)])
 
 
-def _reached(found: DataFrame, length: int, least: int, reach, seed: int) -> np.ndarray:
-    """Buckets, not yet active, of the phrases of a length whose counts so far reach ``least``.
+def _frequent(found: DataFrame, length: int, least: int) -> DataFrame:
+    """(lang, h1, h2, h3, c): the phrases of a length whose counts so far reach ``least``; a group sums one part."""
+    def run(table: pa.Table) -> pa.Table:
+        held: dict = {}
+        for lang, data in zip(table.column("lang").to_pylist(), table.column("counts").to_pylist()):
+            held.setdefault(lang, []).append(np.frombuffer(data, np.int64).reshape(length + 1, -1))
+        out = []
+        for lang, blocks in held.items():
+            c, *keys = np.concatenate(blocks, axis=1)
+            *keys, c = _summed([*[k.view(np.uint64) for k in keys], c])
+            use = c >= least
+            size = int(use.sum())
+            hashes = [k[use].view(np.int64) for k in keys] + [np.zeros(size, np.int64)] * (3 - length)
+            out.append(pa.Table.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), size), *map(pa.array, hashes),
+                                             pa.array(c[use])], names=["lang", "h1", "h2", "h3", "c"]))
+        return pa.concat_tables(out)
 
-    Phrases are summed by their 64-bit hash; two with one hash would only be active
-    earlier.  At most one number per bucket reaches the driver.
+    return (found.where(F.col("length") == length).select("part", "lang", "counts")
+            .groupBy("part").applyInArrow(run, "lang string, h1 long, h2 long, h3 long, c long"))
+
+
+def _reached(large: DataFrame, length: int, reach, seed: int) -> np.ndarray:
+    """Buckets, not yet active, of phrases of a length that have reached the least count.
+
+    At most one number per bucket reaches the driver.
     """
-    size = len(reach.value)
+    size = len(reach.value[0])
 
     def run(batches):
-        langs: dict = {}
+        table, langs = reach.value[0], {}
         for batch in batches:
-            name = _names(batch, length, langs, seed)
-            use = reach.value[buckets(name, reach.value)] == _NEVER
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[use].view(np.int64)), pa.array(batch.column("c").to_numpy()[use])], names=["name", "c"])
-
-    of_length = found.where(("h2 = 0" if length == 1 else "h2 <> 0 and h3 = 0")).select("lang", "h1", "h2", "c")
-    large = (of_length.mapInArrow(run, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
-             .where(F.col("c") >= least))
-    at = large.select(F.col("name").bitwiseAND(F.lit(size - 1)).cast("int").alias("at")).distinct()
+            at = buckets(_names(batch, length, langs, seed), table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at[table[at] == _NEVER]))], names=["at"])
+
+    at = large.mapInArrow(run, "at long").distinct()
     out = np.zeros(size, dtype=bool)
     out[at.toArrow().column("at").to_numpy()] = True
     return out
 
 
-def _possible(found: DataFrame, reach, seed: int) -> DataFrame:
-    """Counts without the pairs whose bucket never became active: they cannot reach the least count."""
-    def run(batches):
-        langs: dict = {}
-        for batch in batches:
-            at = buckets(_names(batch, 2, langs, seed), reach.value)
-            pair = (batch.column("h2").to_numpy() != 0) & (batch.column("h3").to_numpy() == 0)
-            yield batch.filter(pa.array(~pair | (reach.value[at] != _NEVER)))
-
-    return found.mapInArrow(run, found.schema)
-
-
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST,
                   shards: int = SHARDS) -> DataFrame:
     """(lang, h1, h2, h3, word, c): complete counts of all words and of all phrases that reach ``least``."""
@@ -275,33 +325,44 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
     seed = 0
     while True:
         reach = np.full(BUCKETS, _NEVER, np.uint8)
-        counted, busy = [], shards
-        step = 0
+        counted, busy, parts = [], shards, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        step, pairs, pairs_until = 0, None, 0
         # a phrase that became active after step s is counted in the steps s + 1 ... s + shards
         while step < busy and step < LONGEST * shards:
-            sent = spark.sparkContext.broadcast(reach)
+            sent = spark.sparkContext.broadcast((reach, parts))
             counted.append(saved(count_step(dealt.where(number == step % shards), step, sent, seed, shards),
                                  f"phrases-step{step}", codec="zstd"))
             so_far = _all(counted)
-            for length in (1, 2):
-                if (length - 1 <= step) and step < length * shards:
-                    new = _reached(so_far, length, least, sent, seed)
-                    if new.any():
-                        reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
-                        busy = max(busy, step + 1 + shards)
+            if step < shards:
+                if step == 0:                            # phrases are counted from the next step on
+                    seen = so_far.agg(F.sum("c")).first()[0] or 0
+                    parts = max(parts, -(-seen * shards // WORDS_PER_PART))
+                large = (so_far.where("h2 = 0").groupBy("lang", "h1").agg(F.sum("c").alias("c"))
+                         .where(F.col("c") >= least))
+                new = _reached(large, 1, sent, seed)
+                if new.any():
+                    reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
+                    busy = max(busy, step + 1 + shards)
+                    pairs_until = step + shards          # the last step that counts pairs
+            if 1 <= step <= pairs_until:
+                large = _frequent(so_far, 2, least)
+                if step == pairs_until:
+                    pairs = large = saved(large, "phrases-pairs")
+                new = _reached(large, 2, sent, seed)
+                if new.any():
+                    reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
+                    busy = max(busy, step + 1 + shards)
             sent.unpersist()
             step += 1
-        sent = spark.sparkContext.broadcast(reach)
         every = _all(counted)
         words = saved(every.where("h2 = 0").groupBy("lang", "h1").agg(
             F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other")), "phrases-words")
         if words.where("word <> other").isEmpty():
-            # numbers alone, so that the large sums are hashed and not sorted
-            phrases = (_possible(every.where("h2 <> 0").select("lang", "h1", "h2", "h3", "c"), sent, seed)
-                       .groupBy("lang", "h1", "h2", "h3").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
             none = F.lit(0).cast("long")
-            return words.select("lang", "h1", none.alias("h2"), none.alias("h3"), "word", "c").unionByName(
-                saved(phrases, "phrases-counts").withColumn("word", F.lit(None).cast("string")))
+            out = words.select("lang", "h1", none.alias("h2"), none.alias("h3"), "word", "c")
+            for phrases in ([] if pairs is None else [pairs, saved(_frequent(every, 3, least), "phrases-threes")]):
+                out = out.unionByName(phrases.withColumn("word", F.lit(None).cast("string")))
+            return out
         seed += 1                                        # two words share a hash: count anew
 
 

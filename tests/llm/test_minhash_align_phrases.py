@@ -327,3 +327,27 @@ def test_phrases_tell_long_words_with_one_polynomial_apart():
     assert plain[0] == plain[1]
     w = phrases.named_words(raw, starts, starts + len(a), 0)
     assert w[0] != w[1] and w[0] == w[2]
+
+
+def test_phrases_with_one_number_are_summed_apart(monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), rng.randrange(5)) for _ in range(400)]
+    cols = [*(np.array(x, np.uint64) for x in zip(*rows)), np.ones(400, np.int64)]
+    for factors in (phrases._FACTORS, [np.uint64(0)] * 3, [np.uint64(1)] * 3):
+        monkeypatch.setattr(phrases, "_FACTORS", factors)
+        a, b, c = phrases._summed(cols)
+        assert {(x, y): n for x, y, n in zip(a.tolist(), b.tolist(), c.tolist())} == Counter(rows)
+        assert len(a) == len(set(rows))
+
+
+def test_phrases_travel_in_blocks(spark):
+    """A task hands over a row per language and part, not one per phrase, and their sums are whole."""
+    words_ = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(" ".join(words_), "en")] * 12, "t string, lang string").coalesce(1)
+    reach = np.zeros(phrases.BUCKETS, np.uint8)
+    sent = spark.sparkContext.broadcast((reach, 4))
+    found = phrases.count_step(df, 1, sent, 0, 2)
+    assert found.where("length = 2").count() == 4 and found.where("length = 3").count() <= 4
+    pairs = phrases._frequent(found, 2, 10).collect()
+    assert len(pairs) == 299 and {r.c for r in pairs} == {12}
+    assert phrases._frequent(found, 2, 13).count() == 0
