@@ -2,11 +2,13 @@
 
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from prevalens.llm import jaccard_join, mixing, packing
 
@@ -435,3 +437,36 @@ def test_texts_travel_in_small_batches(spark):
 
 def test_a_worker_reads_the_vocabulary_once():
     assert packing.load_encoder() is packing.load_encoder()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from prevalens.llm.common import saved
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle_")}
+
+    before = shuffled()
+    got = [saved(spark.range(1000).repartition(n, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test-freed")
+           for n in (3, 4)]
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false"
+    for _ in range(50):                                  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert [x.count() for x in got] == [7, 7]
+
+
+def test_keep_one_shuffles_no_texts_of_single_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "x y z"), (2, "a b c d e f"), (3, "p q r"), (None, "p q r"),
+            (None, "p q r"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.keep_one(df)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
+        (0, "p q r"), (0, "p q r"), (1, "a b c d e f"), (1, "x y z"), (3, "p q r"), (4, "")]
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    # one branch alone groups by the text: the rows of ids that several rows have
+    assert plan.count("LeftSemi") == 1 and plan.count("Aggregate") == 2 and "SortMergeJoin" not in plan
