@@ -21,9 +21,10 @@ reaches the threshold has subphrases that do, so none is missed.
 A task names a word by a 64-bit hash, sums its counts before the shuffle and
 hands over words as text only once.  Counts of phrases travel in blocks, one row per
 task, language and bucket of phrases; a bucket's blocks are summed in one group, whose
-size is bounded by the number of buckets (``WORDS_PER_PART``).  The sums after the
-last step that counts pairs are the pairs' complete counts, and are read
-again as such.  Words that share a hash would merge, so the
+size is bounded by the number of buckets (``WORDS_PER_PART``).  A block holds phrases that
+became active after one step, its *cohort*: they are complete together, so later
+steps sum no cohort again that is.  Words are complete after the first cycle, and are
+summed once more then, as text too.  Words that share a hash would merge, so the
 complete word table is tested, and the whole count starts anew with another seed
 should it hold one hash twice.  Counts therefore are exact.
 
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import freed, saved
 from .textnum import mixed, slices, utf8, word_hashes
 
 LEAST = 10
@@ -171,24 +172,30 @@ def _lang_hash(langs: list, seed: int) -> dict:
     return {x: np.uint64(zlib.crc32(x.encode()) + (seed << 32)) for x in langs}
 
 
-_COUNTS = "lang string, h1 long, h2 long, word string, c long, length int, part int, counts binary"
+_COUNTS = "lang string, h1 long, h2 long, word string, c long, length int, part int, since int, counts binary"
 
 
 def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHARDS) -> DataFrame:
     """Counts of one scan of a shard.  Words: lang, h1, h2 = 0, word, c.  Blocks of phrases: lang, their
-    ``length``, ``part``, the number of ``c`` rows, and ``counts``, the counts and hashes (``_blocks``).
+    ``length``, ``part``, the step ``since`` which they are active, the number of ``c`` rows, and ``counts``,
+    the counts and hashes (``_blocks``).
 
     ``reach`` broadcasts the byte table of activation steps and the number of parts.  A phrase is
     counted if its cycle contains this step.
     """
     def run(batches):
         table, parts = reach.value
-        rows = {}                                        # (lang, length) -> sums
+        rows = {}                                        # (lang, length, since) -> sums
         texts: dict = {}                                 # (lang, hash) -> word
         columns = [x.split()[0] for x in _COUNTS.split(", ")]
 
+        def add(lang: str, since: np.ndarray, *cols: np.ndarray):
+            for s in np.unique(since).tolist():
+                at = since == s
+                rows.setdefault((lang, len(cols), s), _Sums(len(cols))).add([c[at] for c in cols])
+
         def out():
-            for (lang, n), sums in rows.items():
+            for (lang, n, since), sums in rows.items():
                 cols = sums.take()
                 if not len(cols[0]):
                     continue
@@ -199,7 +206,8 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(pa.scalar(lang, pa.string()), size), *[pa.nulls(size, pa.int64())] * 2,
                          pa.nulls(size, pa.string()), pa.array(c, pa.int64()), pa.array([n] * size, pa.int32()),
-                         pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=columns)
+                         pa.array(part, pa.int32()), pa.array([since] * size, pa.int32()),
+                         pa.array(data, pa.binary())], names=columns)
                     continue
                 for i in range(0, len(cols[0]), BATCH):
                     h, c = (x[i:i + BATCH] for x in cols)
@@ -208,7 +216,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(pa.scalar(lang, pa.string()), size), pa.array(h.view(np.int64)),
                          pa.array(np.zeros(size, np.int64)), word, pa.array(c), pa.array([1] * size, pa.int32()),
-                         pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=columns)
+                         *[pa.nulls(size, pa.int32())] * 2, pa.nulls(size, pa.binary())], names=columns)
 
         for batch in batches:
             for whole in slices(batch, "t"):
@@ -222,7 +230,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                         continue
                     w = named_words(raw, starts, ends, seed)
                     if step < shards:
-                        sums = rows.setdefault((lang, 1), _Sums(1))
+                        sums = rows.setdefault((lang, 1, 0), _Sums(1))
                         found, first, c = np.unique(w, return_index=True, return_counts=True)
                         sums.add([found], c)
                         for h, i in zip(found.tolist(), first.tolist()):
@@ -232,7 +240,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                     since = np.maximum(one[1:], one[:-1])
                     two = joined[1:] & (since < _NEVER)
                     use = np.flatnonzero(two & (since < step) & (since >= step - shards))
-                    rows.setdefault((lang, 2), _Sums(2)).add([w[use], w[use + 1]])
+                    add(lang, since[use], w[use], w[use + 1])
                     if step > 0 and len(w) > 2:
                         # never before the pairs' words: a shared bucket may be older than they are
                         pair = np.full(len(w) - 1, _NEVER, np.int64)
@@ -240,7 +248,7 @@ def count_step(shard: DataFrame, step: int, reach, seed: int, shards: int = SHAR
                         pair[at] = np.maximum(table[buckets(named(code, w[at], w[at + 1]), table)], since[at])
                         since = np.maximum(pair[1:], pair[:-1])
                         use = np.flatnonzero((since < step) & (since >= step - shards))
-                        rows.setdefault((lang, 3), _Sums(3)).add([w[use], w[use + 1], w[use + 2]])
+                        add(lang, since[use], w[use], w[use + 1], w[use + 2])
                 if sum(s.size for s in rows.values()) > HELD:
                     for sums in rows.values():
                         cols = sums.take()
@@ -276,9 +284,12 @@ def _names(batch, length: int, langs: dict, seed: int) -> np.ndarray:
 
 
 def _frequent(found: DataFrame, length: int, least: int) -> DataFrame:
-    """(lang, h1, h2, h3, c): the phrases of a length whose counts so far reach ``least``; a group sums one part."""
-    def run(table: pa.Table) -> pa.Table:
-        held: dict = {}
+    """(lang, h1, h2, h3, c, since): the phrases of a length whose counts so far reach ``least``.
+
+    A group sums one part of a cohort; a phrase is in one cohort only.
+    """
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        since, held = key[1].as_py(), {}
         for lang, data in zip(table.column("lang").to_pylist(), table.column("counts").to_pylist()):
             held.setdefault(lang, []).append(np.frombuffer(data, np.int64).reshape(length + 1, -1))
         out = []
@@ -289,11 +300,20 @@ def _frequent(found: DataFrame, length: int, least: int) -> DataFrame:
             size = int(use.sum())
             hashes = [k[use].view(np.int64) for k in keys] + [np.zeros(size, np.int64)] * (3 - length)
             out.append(pa.Table.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), size), *map(pa.array, hashes),
-                                             pa.array(c[use])], names=["lang", "h1", "h2", "h3", "c"]))
+                                             pa.array(c[use]), pa.array([since] * size, pa.int32())],
+                                            names=["lang", "h1", "h2", "h3", "c", "since"]))
         return pa.concat_tables(out)
 
-    return (found.where(F.col("length") == length).select("part", "lang", "counts")
-            .groupBy("part").applyInArrow(run, "lang string, h1 long, h2 long, h3 long, c long"))
+    return (found.where(F.col("length") == length).select("part", "since", "lang", "counts")
+            .groupBy("part", "since").applyInArrow(run, "lang string, h1 long, h2 long, h3 long, c long, since int"))
+
+
+def _words(found: DataFrame) -> DataFrame:
+    """(lang, h1, c, word, other): sums of all words; ``other`` differs from ``word`` if two words share a hash."""
+    # texts are group keys first: sums of numbers need no sorting, and few rows are left for min and max
+    each = found.where("h2 = 0").groupBy("lang", "h1", "word").agg(F.sum("c").alias("c"))
+    return each.groupBy("lang", "h1").agg(
+        F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other"))
 
 
 def _reached(large: DataFrame, length: int, reach, seed: int) -> np.ndarray:
@@ -309,9 +329,10 @@ def _reached(large: DataFrame, length: int, reach, seed: int) -> np.ndarray:
             at = buckets(_names(batch, length, langs, seed), table)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(at[table[at] == _NEVER]))], names=["at"])
 
-    at = large.mapInArrow(run, "at long").distinct()
     out = np.zeros(size, dtype=bool)
-    out[at.toArrow().column("at").to_numpy()] = True
+    with freed(large.sparkSession):
+        at = large.mapInArrow(run, "at long").distinct().toArrow()
+    out[at.column("at").to_numpy()] = True
     return out
 
 
@@ -326,7 +347,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
     while True:
         reach = np.full(BUCKETS, _NEVER, np.uint8)
         counted, busy, parts = [], shards, int(spark.conf.get("spark.sql.shuffle.partitions"))
-        step, pairs, pairs_until = 0, None, 0
+        step, pairs, pairs_until = 0, [], 0
         # a phrase that became active after step s is counted in the steps s + 1 ... s + shards
         while step < busy and step < LONGEST * shards:
             sent = spark.sparkContext.broadcast((reach, parts))
@@ -335,33 +356,35 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
             so_far = _all(counted)
             if step < shards:
                 if step == 0:                            # phrases are counted from the next step on
-                    seen = so_far.agg(F.sum("c")).first()[0] or 0
+                    with freed(spark):
+                        seen = so_far.agg(F.sum("c")).first()[0] or 0
                     parts = max(parts, -(-seen * shards // WORDS_PER_PART))
-                large = (so_far.where("h2 = 0").groupBy("lang", "h1").agg(F.sum("c").alias("c"))
-                         .where(F.col("c") >= least))
-                new = _reached(large, 1, sent, seed)
+                if step == shards - 1:                   # a whole cycle: words are complete
+                    large = words = saved(_words(so_far), "phrases-words")
+                else:
+                    large = so_far.where("h2 = 0").groupBy("lang", "h1").agg(F.sum("c").alias("c"))
+                new = _reached(large.where(F.col("c") >= least), 1, sent, seed)
                 if new.any():
                     reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
                     busy = max(busy, step + 1 + shards)
                     pairs_until = step + shards          # the last step that counts pairs
             if 1 <= step <= pairs_until:
-                large = _frequent(so_far, 2, least)
-                if step == pairs_until:
-                    pairs = large = saved(large, "phrases-pairs")
+                whole = step - shards                    # the cohort that this step completes; older ones are done
+                large = saved(_frequent(_all(counted[max(0, whole + 1):]).where(F.col("since") >= whole), 2, least),
+                              "phrases-pairs")
+                pairs.append(large.where(F.col("since") == whole))
                 new = _reached(large, 2, sent, seed)
                 if new.any():
                     reach = np.where(new & (reach == _NEVER), np.uint8(step), reach)
                     busy = max(busy, step + 1 + shards)
             sent.unpersist()
             step += 1
-        every = _all(counted)
-        words = saved(every.where("h2 = 0").groupBy("lang", "h1").agg(
-            F.sum("c").alias("c"), F.min("word").alias("word"), F.max("word").alias("other")), "phrases-words")
         if words.where("word <> other").isEmpty():
             none = F.lit(0).cast("long")
             out = words.select("lang", "h1", none.alias("h2"), none.alias("h3"), "word", "c")
-            for phrases in ([] if pairs is None else [pairs, saved(_frequent(every, 3, least), "phrases-threes")]):
-                out = out.unionByName(phrases.withColumn("word", F.lit(None).cast("string")))
+            threes = [saved(_frequent(_all(counted), 3, least), "phrases-threes")] if pairs else []
+            for phrases in [*pairs, *threes]:
+                out = out.unionByName(phrases.drop("since").withColumn("word", F.lit(None).cast("string")))
             return out
         seed += 1                                        # two words share a hash: count anew
 

@@ -351,3 +351,22 @@ def test_phrases_travel_in_blocks(spark):
     pairs = phrases._frequent(found, 2, 10).collect()
     assert len(pairs) == 299 and {r.c for r in pairs} == {12}
     assert phrases._frequent(found, 2, 13).count() == 0
+
+
+def test_phrases_that_are_complete_are_not_summed_again(spark, monkeypatch):
+    """Cohorts leave the sums of pairs once complete, words are summed as text once; no count is lost."""
+    rows = language(4) + [(f"late{i % 7} comer{i % 7} {i}", "en") for i in range(150)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    summed, worded = [], []
+    frequent, words_ = phrases._frequent, phrases._words
+
+    def noted(found, length, least):
+        if length == 2:
+            summed.append(sorted(r.since for r in found.where("length = 2").select("since").distinct().collect()))
+        return frequent(found, length, least)
+
+    monkeypatch.setattr(phrases, "_frequent", noted)
+    monkeypatch.setattr(phrases, "_words", lambda found: worded.append(1) or words_(found))
+    assert sorted(tuple(r) for r in phrases.collocations(df, shards=2).collect()) == collocations(rows)
+    # step 3 sums what became active after step 1 alone; step 2 completes what did after step 0
+    assert summed == [[0], [0, 1], [1]] and worded == [1]
