@@ -470,3 +470,51 @@ def test_keep_one_shuffles_no_texts_of_single_ids(spark):
     plan = kept._jdf.queryExecution().sparkPlan().toString()
     # one branch alone groups by the text: the rows of ids that several rows have
     assert plan.count("LeftSemi") == 1 and plan.count("Aggregate") == 2 and "SortMergeJoin" not in plan
+
+
+def test_big_groups_with_one_centre_share_their_rows(spark):
+    """A passage that many texts share gives a row for each text, not for each signature."""
+    df = spark.createDataFrame(list(enumerate(_shared_passage(60))), "id long, t string").coalesce(1)
+    blocks = jaccard_join._signature_blocks(df, (1, 0), 1, 5, (75, 100))
+    stars = [(r.a, r.b) for r in jaccard_join._candidates(blocks, 3).where("star").collect()]
+    assert stars and len(stars) == len(set(stars)) and all(a < b for a, b in stars)
+
+
+def test_components_by_the_driver_equal_those_of_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = np.concatenate([rng.integers(0, 300, (200, 2)), [(i, i + 1) for i in range(400, 480)], [(7, 7)]])
+    links = spark.createDataFrame(ends.tolist(), "a long, b long")
+    got = [{tuple(r) for r in jaccard_join.components(links).collect()}]
+    monkeypatch.setattr(jaccard_join, "DRIVER_LINKS", 0)
+    got.append({tuple(r) for r in jaccard_join.components(links).collect()})
+    least = {int(x): int(x) for x in ends.ravel()}
+    for _ in least:
+        for a, b in ends.tolist():
+            least[a] = least[b] = min(least[a], least[b])
+    assert got[0] == got[1] == {(i, c) for i, c in least.items() if i != c}
+    assert [len(x) for x in jaccard_join.smallest_reachable(*np.zeros((2, 0), np.int64))] == [0, 0]
+
+
+def test_labels_follow_more_links(spark, monkeypatch):
+    """New links close only the components that they join; links inside one component change nothing."""
+    old, new = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 21), (40, 41), (1, 3)]
+    seen, components = [], jaccard_join.components
+    labels = components(spark.createDataFrame(old, "a long, b long"))
+    monkeypatch.setattr(jaccard_join, "components", lambda links, *a: seen.append(links.count()) or components(links, *a))
+    got = jaccard_join._relabelled(labels, spark.createDataFrame(new, "a long, b long"))
+    want = components(spark.createDataFrame(old + new, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and seen == [3]
+    assert jaccard_join._relabelled(got, spark.createDataFrame([(2, 10)], "a long, b long")) is got and len(seen) == 1
+
+
+def test_join_without_broadcast_ids(spark, monkeypatch):
+    """Most classes are signed again, none by a broadcast of ids: no texts are copied, the components are whole."""
+    names, old = [], jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "_FEW_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "DRIVER_LINKS", 0)
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, name, *a, **k: names.append(name) or old(df, name, *a, **k))
+    df = spark.createDataFrame(list(enumerate(_shared_passage())), "doc_id long, text string")
+    check_join(df, max_group=3)
+    second = names[names.index("join-todo"):]
+    assert "join-texts" not in second[:second.index("join-candidates")]
