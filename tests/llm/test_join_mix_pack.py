@@ -507,6 +507,16 @@ def test_labels_follow_more_links(spark, monkeypatch):
     assert jaccard_join._relabelled(got, spark.createDataFrame([(2, 10)], "a long, b long")) is got and len(seen) == 1
 
 
+def test_rarity_counts_every_shingle(spark):
+    texts = _shared_passage(40) + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    h = jaccard_join.shingle_sets(pa.array(texts))[0]
+    for cells in (50, 5_000):
+        want = np.bincount(jaccard_join._cells(h, cells), minlength=cells)
+        assert (jaccard_join.rarity(df, 5, cells) == want).all()
+    assert not jaccard_join.rarity(df.where("false"), 5, 50).any()
+
+
 def test_join_without_broadcast_ids(spark, monkeypatch):
     """Most classes are signed again, none by a broadcast of ids: no texts are copied, the components are whole."""
     names, old = [], jaccard_join.saved
